@@ -82,6 +82,18 @@ _PERCENT = """
   shares as (select *, cast(sum(bp) over (order by lo rows unbounded preceding) as bigint) as cum_bp from points)"""
 _TOP = "order by duration desc, job, attempt, l_partkey, l_suppkey, l_extendedprice limit 20"
 
+_RECALC = """, sums as (select run, host, cast(sum(duration2) as bigint) as duration, cast(sum(tasks) as bigint) as tasks,
+          cast(sum(executors) as bigint) as executors,
+          cast(coalesce(sum(executors - tasks) filter (where executors > tasks), 0) as bigint) as extra_executors,
+          round(cast(sum(cast(round(cast(duration2 * (executors - tasks) as double) / executors * 10000) as bigint)) as double) / 10000, 1)
+            as extra_time from apps group by run, host),
+        times as (select *, round(cast(duration as double) / nullif(tasks, 0), 1) as old_time,
+          round((duration - extra_time) / nullif(tasks, 0), 1) as new_time from sums),
+        recalc as (select *, round(old_time / nullif(new_time, 0), 2) as old_over_new from times)"""
+RECALC_ROWS_SQL = b.with_apps(f"""{_RECALC}
+        select '01/01' as date, '24H' as hours, replace(host, 'tdw-', '') as server, 'POC' as tag, duration, tasks,
+          executors, extra_executors, extra_time, old_time, new_time, old_over_new from recalc""")
+
 SQL = {
     "agg_histogram": f"with tasks as ({b.TASKS_SQL}), {_HISTOGRAM} select lo, hi, n from bins",
     "win_cumulative_pct": f"with tasks as ({b.TASKS_SQL}), {_HISTOGRAM}, {_PERCENT} select lo, hi, n, bp, cum_bp from shares",
@@ -108,15 +120,7 @@ SQL = {
           from lineitem group by 1, 2)
         select ip, watt, n, row_number() over (partition by ip order by watt desc) as rank from counted
         qualify rank <= 5""",
-    "agg_recalc": b.with_apps("""
-        , sums as (select run, host, cast(sum(duration2) as bigint) as duration, cast(sum(tasks) as bigint) as tasks,
-          cast(sum(executors) as bigint) as executors,
-          cast(coalesce(sum(executors - tasks) filter (where executors > tasks), 0) as bigint) as extra_executors,
-          round(cast(sum(cast(round(cast(duration2 * (executors - tasks) as double) / executors * 10000) as bigint)) as double) / 10000, 1)
-            as extra_time from apps group by run, host),
-        times as (select *, round(cast(duration as double) / nullif(tasks, 0), 1) as old_time,
-          round((duration - extra_time) / nullif(tasks, 0), 1) as new_time from sums)
-        select *, round(old_time / nullif(new_time, 0), 2) as old_over_new from times"""),
+    "agg_recalc": b.with_apps(f"{_RECALC} select * from recalc"),
     "prj_surplus": b.with_apps("""
         select *, executors - tasks as extraexec,
           cast(duration2 * (executors - tasks) as double) / executors as extratime from apps"""),

@@ -63,15 +63,14 @@ def host_to_ip(host: Column) -> Column:
 
 
 def host_of(path: Column) -> Column:
-    """Server folder of a file path, NULL where the folder is no server folder."""
-    return F.nullif(F.regexp_extract(path, r"/(?:host=)?(tdw[^/]*)/[^/]+$", 1), F.lit(""))
+    """Server folder of a file path (``host=`` in front is allowed), NULL without one."""
+    return F.nullif(F.regexp_extract(path, r"/(?:host=)?(tdw[^/]*)/", 1), F.lit(""))
 
 
 def run_of(path: Column) -> Column:
-    """Run folder of a file path: above the server folder, or the folder of a per-run file."""
-    return F.nullif(
-        F.regexp_extract(path, r"/(?:run=)?([^/]+?)(?:/(?:host=)?tdw[^/]*)?/[^/]+$", 1), F.lit("")
-    )
+    """Run folder of a file path: named ``run=``, or above the server folder, or the file's own."""
+    part = lambda pattern: F.nullif(F.regexp_extract(path, pattern, 1), F.lit(""))
+    return F.coalesce(part("/run=([^/]+)/"), part("/([^/]+)/(?:host=)?tdw[^/]*/"), part("/([^/]+)/[^/]+$"))
 
 
 def run_name_valid(run: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +16,14 @@ from rackmeter.sources import lines as ln
 from rackmeter.sources import monitor, summary
 
 KEYS = ["run", "ip"]
+# Where each kind of input lies, below the run folder (config) or the server folder.
+FILES = {
+    "config": "*.config.all.txt",
+    "perf": "sum_cron*",
+    "power": "avg_max_min_stdev_*",
+    "dump": "sdr_log*",
+    "pool": "hottub_log*",
+}
 DERIVED = ["tput", "tput_vs_ref", "tput_per_wh", "per_wh_vs_ref"]
 
 
@@ -152,48 +160,58 @@ def keep_relevant(spark: SparkSession, lines: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def _config(spark: SparkSession, base: str, files: Mapping[str, str]) -> DataFrame:
+    return summary.config_blocks(ln.read_lines(spark, f"{base}/{files['config']}", optional=True))
+
+
 def fleet_report_from_runs(
     spark: SparkSession,
     runs: str,
     hours: int | None = None,
     reference_ip: str = REFERENCE_IP,
+    keep_last: bool = False,
+    files: Mapping[str, str] = FILES,
 ) -> DataFrame:
     """The fleet report of all run folders that match ``runs`` (a path or glob)."""
     base = runs.rstrip("/")
     server = f"{base}/*tdw*"
-    dumps = keep_relevant(spark, ln.read_lines(spark, f"{server}/sdr_log*"))
-    config = summary.config_blocks(ln.read_lines(spark, f"{base}/*.config.all.txt", optional=True))
-    perf = summary.perf_summary(ln.read_lines(spark, f"{server}/sum_cron*", optional=True))
-    power = summary.power_stats(ln.read_lines(spark, f"{server}/avg_max_min_stdev_*", optional=True))
+    dumps = keep_relevant(spark, ln.read_lines(spark, f"{server}/{files['dump']}"))
+    perf = summary.perf_summary(ln.read_lines(spark, f"{server}/{files['perf']}", optional=True))
+    power = summary.power_stats(ln.read_lines(spark, f"{server}/{files['power']}", optional=True))
     return fleet_report(
         ln.hosts(spark, f"{server}/*"),
-        one_per_server(config),
+        one_per_server(_config(spark, base, files)),
         one_per_server(perf),
         one_per_server(power),
         utilisation_means(monitor.cpu_rows(dumps), monitor.count_rows(dumps)),
-        rollup.host_means(monitor.sample_blocks(dumps, full=False)),
+        rollup.host_means(monitor.sample_blocks(dumps, keep_last, full=False)),
         hours,
         reference_ip,
     )
 
 
-def jvm_pool_report_from_runs(spark: SparkSession, runs: str) -> DataFrame:
+def jvm_pool_report_from_runs(
+    spark: SparkSession, runs: str, files: Mapping[str, str] = FILES
+) -> DataFrame:
     """The JVM-pool report; servers without such a log are skipped."""
     base = runs.rstrip("/")
-    pool = summary.jvm_pool(ln.read_lines(spark, f"{base}/*tdw*/hottub_log*", optional=True))
-    config = summary.config_blocks(ln.read_lines(spark, f"{base}/*.config.all.txt", optional=True))
-    return jvm_pool_report(one_per_server(pool), one_per_server(config))
+    pool = summary.jvm_pool(ln.read_lines(spark, f"{base}/*tdw*/{files['pool']}", optional=True))
+    return jvm_pool_report(one_per_server(pool), one_per_server(_config(spark, base, files)))
 
 
-def sample_table_from_runs(spark: SparkSession, runs: str, keep_last: bool = False) -> DataFrame:
+def sample_table_from_runs(
+    spark: SparkSession, runs: str, keep_last: bool = False, dump: str = FILES["dump"]
+) -> DataFrame:
     """Samples of all monitor dumps below the run folders."""
-    return monitor.sample_blocks(ln.read_lines(spark, f"{runs.rstrip('/')}/*tdw*/sdr_log*"), keep_last)
+    return monitor.sample_blocks(ln.read_lines(spark, f"{runs.rstrip('/')}/*tdw*/{dump}"), keep_last)
 
 
-def sources_audit(spark: SparkSession, runs: str, patterns: Sequence[str]) -> DataFrame:
+def sources_audit(
+    spark: SparkSession, runs: str, patterns: Sequence[str], everything: str = "*"
+) -> DataFrame:
     """Servers that lack files of a kind: run, host, ip, pattern."""
     base = f"{runs.rstrip('/')}/*tdw*"
-    servers = ln.hosts(spark, f"{base}/*")
+    servers = ln.hosts(spark, f"{base}/{everything}")
     audits = []
     for pattern in patterns:
         files = ln.with_server(ln.list_files(spark, f"{base}/{pattern}", optional=True))

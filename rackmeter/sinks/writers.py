@@ -13,7 +13,9 @@ from rackmeter.schemas import CSV_NAMES, FLEET_COLUMNS
 KEYS = ("run", "host")
 
 
-def write_new_partitions(df: DataFrame, path: str, keys: Sequence[str] = KEYS, fmt: str = "parquet") -> None:
+def write_new_partitions(
+    df: DataFrame, path: str, keys: Sequence[str] = KEYS, fmt: str = "parquet"
+) -> None:
     """Append only partitions the table does not hold yet; existing ones are left as they are.
 
     Rows are rebalanced by partition first: a partition with very many rows is split over several
@@ -29,7 +31,8 @@ def write_new_partitions(df: DataFrame, path: str, keys: Sequence[str] = KEYS, f
         # Partition values read back may be typed, so both sides are compared as text.
         names = {k: F.col(k).cast("string") for k in keys}
         df = df.join(present.withColumns(names), list(keys), "left_anti")
-    df.hint("rebalance", *keys).write.mode("append").partitionBy(*keys).format(fmt).save(path)
+    out = df.hint("rebalance", *keys).write.mode("append").partitionBy(*keys).format(fmt)
+    (out.option("header", True) if fmt == "csv" else out).save(path)
 
 
 def write_once(df: DataFrame, path: str) -> None:

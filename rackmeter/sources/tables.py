@@ -34,10 +34,10 @@ def _csv(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
 
 def task_info(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Task log: tid, starttime, endtime, duration (whole seconds)."""
-    return spark.read.schema(TASK_SCHEMA).csv(
+    typed = spark.read.schema(TASK_SCHEMA).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
+    return typed.csv(
         paths if isinstance(paths, str) else list(paths),
         header=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True,
-        timestampNTZFormat="yyyy-MM-dd HH:mm:ss",
     )
 
 
