@@ -38,14 +38,23 @@ def host_sql(key: str) -> str:
 
 # --- samples: one row per event -------------------------------------------------------------
 
-def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One monitor sample per event, with run, host, ip and date text."""
+# The file queries spread all samples over this many servers, which keeps the number of folders low.
+FEW_SERVERS = 24
+
+
+def samples(spark: SparkSession, sf_dir: str, few_servers: bool = False) -> DataFrame:
+    """One monitor sample per event, with run, host, ip and date text.
+
+    With ``few_servers`` the samples of all users form one run on ``FEW_SERVERS`` servers.
+    """
     e = table(spark, sf_dir, "events")
+    if few_servers:
+        e = e.withColumn("user_id", F.col("user_id") % FEW_SERVERS)
     user, event, ts = F.col("user_id"), F.col("event_id"), F.col("ts")
     cents = lambda n: n.cast("double") / 100
     return e.select(
         event, ts,
-        F.concat(F.date_format(ts, "MMdd"), F.lit("-24H")).alias("run"),
+        (F.lit(RUN) if few_servers else F.concat(F.date_format(ts, "MMdd"), F.lit("-24H"))).alias("run"),
         server_host(user).alias("host"),
         server_ip(user).alias("ip"),
         F.date_format(ts, "EEE MMM dd HH:mm:ss 'CST' yyyy").alias("date"),
@@ -100,8 +109,13 @@ SAMPLES_SQL = f"""
   from events"""
 
 
-def with_samples(body: str) -> str:
-    return f"with samples as ({SAMPLES_SQL})\n{body}"
+FEW_SERVERS_SQL = f"""
+  select * replace ('{RUN}' as run) from ({SAMPLES_SQL.replace(
+      "from events", f"from (select * replace (user_id % {FEW_SERVERS} as user_id) from events)")})"""
+
+
+def with_samples(body: str, few_servers: bool = False) -> str:
+    return f"with samples as ({FEW_SERVERS_SQL if few_servers else SAMPLES_SQL})\n{body}"
 
 
 def mean_sql(column: str) -> str:
@@ -305,14 +319,19 @@ def with_tables(names: Sequence[str], body: str) -> str:
 
 # --- log lines: files rendered row by row ---------------------------------------------------------
 
-def to_lines(df: DataFrame, file: Column, key: Column, texts: Sequence[Column]) -> DataFrame:
+def to_lines(
+    df: DataFrame, file: Column, key: Column, texts: Sequence[Column], carry: Sequence[str] = ()
+) -> DataFrame:
     """Each row becomes some lines of a file, placed by an ascending key; NULL texts are skipped.
 
-    No rows are gathered: a line carries its own place, ``key * 32 + n``.
+    No rows are gathered: a line carries its own place, ``key * 32 + n``. Columns in ``carry`` are
+    repeated on each line.
     """
-    return df.select(file.alias("file"), key.alias("_key"), F.posexplode(F.array(*texts)).alias("_n", "line")).where(
-        F.col("line").isNotNull()
-    ).select("file", F.lit(0).cast("bigint").alias("split"), (F.col("_key") * 32 + F.col("_n")).alias("pos"), "line")
+    exploded = df.select(
+        file.alias("file"), key.alias("_key"), *carry, F.posexplode(F.array(*texts)).alias("_n", "line")
+    ).where(F.col("line").isNotNull())
+    place = (F.col("_key") * 32 + F.col("_n")).alias("pos")
+    return exploded.select("file", F.lit(0).cast("bigint").alias("split"), place, "line", *carry)
 
 
 def dump_file() -> Column:

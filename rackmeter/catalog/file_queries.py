@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from rackmeter.catalog import bindings as b
 from rackmeter.catalog import sample_queries, server_queries, task_queries
-from rackmeter.functions import text as tx
-from rackmeter.operators import compare, distribution, recalc, rollup
+from rackmeter.operators import distribution, recalc, rollup
 from rackmeter.plans import fleet
 from rackmeter.schemas import CPU_COLUMNS, MEM_COLUMNS, SAMPLE_COLUMNS, SWAP_COLUMNS, YARN_COLUMNS
 from rackmeter.session import scratch_path
@@ -30,14 +29,17 @@ def _write_lines(lines: DataFrame, path: str, **options: str) -> str:
     return path
 
 
-def _dumps(spark, sf_dir) -> DataFrame:
-    """All samples as dump lines of one run, with run, host and kind."""
-    one_run = b.samples(spark, sf_dir).withColumn("run", F.lit(b.RUN))
-    return _located(b.to_lines(one_run, b.dump_file(), F.col("event_id"), b.dump_texts()), "sdr_log")
+def _texts(df: DataFrame, kind: str, key: str, texts) -> DataFrame:
+    """Lines of one kind of input per row of ``df``, with run, host and kind."""
+    host = F.concat(F.lit("tdw-"), F.translate("ip", ".", "-"))
+    named = df.withColumn("host", host)
+    lines = b.to_lines(named, F.lit(kind), F.col(key), texts, carry=["run", "host"])
+    return lines.select("run", "host", F.lit(kind).alias("kind"), "pos", "line")
 
 
-def _located(lines: DataFrame, kind: str) -> DataFrame:
-    return ln.with_server(lines).withColumn("kind", F.lit(kind)).drop("ip")
+def _dumps(spark, sf_dir) -> DataFrame:
+    """All samples as dump lines of one run."""
+    return _texts(b.samples(spark, sf_dir, few_servers=True), "sdr_log", "event_id", b.dump_texts())
 
 
 def src_sample_blocks_files(spark, sf_dir):
@@ -112,14 +114,14 @@ def src_task_info(spark, sf_dir):
 
 def src_sample_table(spark, sf_dir):
     path = scratch_path(spark, "samples")
-    samples = b.samples(spark, sf_dir).withColumn("run", F.lit(b.RUN)).select("run", "host", *SAMPLE_COLUMNS)
+    samples = b.samples(spark, sf_dir, few_servers=True).select("run", "host", *SAMPLE_COLUMNS)
     writers.write_new_partitions(writers.for_csv(samples), path, fmt="csv")
     return tables.sample_table(spark, f"{path}/*/*").select(*SAMPLE_COLUMNS)
 
 
 def snk_incremental(spark, sf_dir):
     path = scratch_path(spark, "incremental")
-    samples = b.samples(spark, sf_dir).withColumn("run", F.lit(b.RUN)).select("run", "host", "event_id", "ctn")
+    samples = b.samples(spark, sf_dir, few_servers=True).select("run", "host", "event_id", "ctn")
     # Servers written first stay as they are; the later run only adds the others.
     writers.write_new_partitions(samples.where(F.col("host").endswith("1")), path)
     writers.write_new_partitions(samples.withColumn("ctn", F.col("ctn") + 100), path)
@@ -183,14 +185,8 @@ def rep_fleet_files(spark, sf_dir):
     path = scratch_path(spark, "fleet")
     power = b.power(spark, sf_dir)
     row = F.concat_ws(" ", *[F.col(c).cast("string") for c in ("avg_w", "max_w", "min_w", "stdev_w")])
-    small = [
-        _located(
-            b.to_lines(power, b.server_file("avg_max_min_stdev_x"), F.col("l_suppkey"), [F.lit("avg max min stdev"), row]),
-            "avg_max_min_stdev_x",
-        ),
-        _located(_perf_texts(spark, sf_dir), "sum_cron"),
-    ]
-    _write_lines(rollup.union_all([_dumps(spark, sf_dir), *small]), path)
+    power_lines = _texts(power, "avg_max_min_stdev_x", "l_suppkey", [F.lit("avg max min stdev"), row])
+    _write_lines(rollup.union_all([_dumps(spark, sf_dir), power_lines, _perf_lines(spark, sf_dir)]), path)
     config = b.config(spark, sf_dir).select(
         "run",
         F.concat_ws(
@@ -211,7 +207,7 @@ def rep_fleet_files(spark, sf_dir):
     return report.where(F.col("jdk").isNotNull())
 
 
-def _perf_texts(spark, sf_dir) -> DataFrame:
+def _perf_lines(spark, sf_dir) -> DataFrame:
     texts = [F.lit("=="), F.lit("==")]
     for name, label in [("mr", "Total executors mr"), ("sql", "Total tasks"), ("scala", "Total tasks")]:
         texts += [
@@ -219,7 +215,7 @@ def _perf_texts(spark, sf_dir) -> DataFrame:
             F.concat(F.lit("Average task duration : "), F.col(f"{name}_time").cast("string"), F.lit(" secs")),
             F.lit("Task duration standard variance : 0 secs"),
         ]
-    return b.to_lines(b.perf(spark, sf_dir), b.server_file("sum_cron"), F.col("l_suppkey"), texts)
+    return _texts(b.perf(spark, sf_dir), "sum_cron", "l_suppkey", texts)
 
 
 def rep_task_distribution_files(spark, sf_dir):
@@ -239,17 +235,17 @@ _list = ", ".join
 
 SQL = {
     "src_sample_blocks_files": b.with_samples(
-        f"select '{b.RUN}' as run, date, ip, hour, {_list(ALL_METRICS)} from samples"),
-    "src_gzip": b.with_samples(f"select '{b.RUN}' as run, ip, {_list(CPU_COLUMNS)} from samples"),
+        f"select '{b.RUN}' as run, date, ip, hour, {_list(ALL_METRICS)} from samples", True),
+    "src_gzip": b.with_samples(f"select '{b.RUN}' as run, ip, {_list(CPU_COLUMNS)} from samples", True),
     "src_app_info": b.with_apps("select * from apps"),
     "src_hosts": b.with_apps(
         "select distinct run, host, replace(replace(host, 'tdw-', ''), '-', '.') as ip from apps"),
     "src_task_info": b.with_tasks(f"""
         select {b.ATTEMPT_SQL} as tid, l_shipdate as starttime, l_shipdate + to_seconds(duration) as endtime, duration
         from tasks"""),
-    "src_sample_table": b.with_samples(f"select {_list(SAMPLE_COLUMNS)} from samples"),
+    "src_sample_table": b.with_samples(f"select {_list(SAMPLE_COLUMNS)} from samples", True),
     "snk_incremental": b.with_samples(f"""
-        select '{b.RUN}' as run, host, event_id, case when host like '%1' then ctn else ctn + 100 end as ctn from samples"""),
+        select '{b.RUN}' as run, host, event_id, case when host like '%1' then ctn else ctn + 100 end as ctn from samples""", True),
     "snk_rollup": sample_queries.SQL["agg_hourly_mean"],
     "src_rollup_reread": sample_queries.SQL["agg_hourly_shares"],
     "snk_single_csv": sample_queries.SQL["agg_hourly_sql"],

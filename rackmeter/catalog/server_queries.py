@@ -151,8 +151,7 @@ _FLEET_SQL = f"""
     coalesce(cast(mr_nbr + sql_nbr as double) / nullif(max_w, 0) / {HOURS}, 0) as tput_per_wh from filled),
   ref as (select tput as ref_tput, tput_per_wh as ref_wh from rated where ip = '{b.REFERENCE}'),
   fleet as (select rated.*, {_REF} from rated left join ref on true)"""
-# Servers without samples have no folder, so the report read from files does not list them as lacking some.
-FLEET_FILES_SQL = f"{_FLEET_SQL} select * from fleet"
+FLEET_FILES_SQL = f"{_FLEET_SQL.replace(b.SAMPLES_SQL, b.FEW_SERVERS_SQL)} select * from fleet"
 _ratio = lambda n: (
     f"coalesce(round(cast({n}_reuse as decimal(18,4)) / nullif({n}_new, 0), 1), 0)"
 )

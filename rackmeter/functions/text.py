@@ -103,21 +103,21 @@ def short_ip(ip: Column) -> Column:
     return F.substring_index(ip, ".", -2)
 
 
-def header_time(header: Column) -> Column:
-    """Timestamp of a block header; the zone word is ignored (naive local time)."""
-    part = lambda n: word(header, n)
+def header_time(words: Column) -> Column:
+    """Timestamp from the words of a block header; the zone is ignored (naive local time)."""
+    part = lambda n: F.get(words, F.lit(n))
     return F.try_to_timestamp(
         F.concat_ws(" ", part(2), part(3), part(6), part(4)), F.lit("MMM d yyyy HH:mm:ss")
     ).cast("timestamp_ntz")
 
 
-def header_date(header: Column) -> Column:
+def header_date(words: Column) -> Column:
     """The six date words of a block header, as text."""
-    return F.array_join(F.slice(tokens(header), 2, 6), " ")
+    return F.array_join(F.slice(words, 2, 6), " ")
 
 
-def header_hour(header: Column) -> Column:
-    return F.substring_index(word(header, 4), ":", 1).try_cast("int")
+def header_hour(words: Column) -> Column:
+    return F.substring_index(F.get(words, F.lit(4)), ":", 1).try_cast("int")
 
 
 def day_of(date: Column) -> Column:

@@ -10,9 +10,9 @@ from pyspark.sql import SparkSession
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
+    # Building plans takes much less time without a stack trace per column.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    # Respect the advisory size: small results end in one file, large ones in many.
-    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
 }

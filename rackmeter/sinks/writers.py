@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rackmeter.schemas import CSV_NAMES, FLEET_COLUMNS
+from rackmeter.session import scratch_path
 
 KEYS = ("run", "host")
+# The most rows that are written as one file.
+SINGLE_FILE_ROWS = 1_000_000
 
 
 def write_new_partitions(
@@ -40,13 +43,24 @@ def write_once(df: DataFrame, path: str) -> None:
     for_csv(df).write.mode("ignore").csv(path, header=True)
 
 
-def write_sorted_csv(df: DataFrame, path: str, order: Sequence[str]) -> None:
-    """Sorted CSV with header: one file for a small result.
+def write_sorted_csv(
+    df: DataFrame, path: str, order: Sequence[str], single_file_rows: int = SINGLE_FILE_ROWS
+) -> None:
+    """Sorted CSV with header, in one file if the result is small.
 
-    The sort is distributed; its small partitions are merged at run time, so a result below the
-    advisory partition size gives one file and a large one several, in order of their names.
+    The result is computed once into the scratch folder and counted there. Up to
+    ``single_file_rows`` rows one task writes one file; beyond that the rows are sorted by range
+    into several files, in the order of their names.
     """
-    for_csv(df).orderBy(*order).write.csv(path, header=True)
+    spark = df.sparkSession
+    staged = scratch_path(spark, "sorted-csv")
+    df.write.parquet(staged)
+    rows = spark.read.parquet(staged)
+    if rows.count() <= single_file_rows:
+        ordered = rows.repartition(1).sortWithinPartitions(*order)
+    else:
+        ordered = rows.orderBy(*order)
+    for_csv(ordered).write.csv(path, header=True)
 
 
 def append_rows(df: DataFrame, path: str) -> None:

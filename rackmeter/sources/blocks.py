@@ -47,7 +47,7 @@ def _marked(lines: DataFrame, header: Column, rules: Sequence[Rule], every_rule:
         cells.alias("cells"),
     ).select(
         "file", "split", "chunk", "pos", "kind", "opener",
-        *[F.get("cells", F.lit(i)).alias(f"v{i}") for i in range(width)],
+        *[F.expr(f"get(cells, {i}) as v{i}") for i in range(width)],
     )
 
 
@@ -66,7 +66,7 @@ def assemble(
     ``every_rule``. If several lines fill a cell the last one wins, or with ``first_match`` the
     first one, whose place is then given as ``cell_split`` and ``cell_pos``.
     """
-    pick = F.min_by if first_match else F.max_by
+    pick = "min_by" if first_match else "max_by"
     chunk_keys = ["file", "split", "chunk"]
     upto = (Window.unboundedPreceding, Window.currentRow)
     in_chunk = Window.partitionBy(*chunk_keys).orderBy("pos", "kind").rowsBetween(*upto)
@@ -80,7 +80,7 @@ def assemble(
         F.max(F.when(F.col("kind") == 0, F.col("pos"))).alias("opened"),
         F.min(F.when(F.col("kind") > 0, F.col("pos"))).alias("first_cell"),
         *[
-            pick(f"v{i}", F.when((F.col("kind") == k) & F.col(f"v{i}").isNotNull(), F.col("pos"))).alias(name)
+            F.expr(f"{pick}(v{i}, case when kind = {k} and v{i} is not null then pos end) as `{name}`")
             for name, k, i in cells
         ],
     )
@@ -123,7 +123,7 @@ def assemble(
             F.max("opened").alias("block_pos"),
             *place,
             *[
-                pick(name, F.when(F.col(name).isNotNull(), F.col("rank"))).alias(name)
+                F.expr(f"{pick}(`{name}`, case when `{name}` is not null then rank end) as `{name}`")
                 for name, _, _ in cells
             ],
         )

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from rackmeter.functions import text as tx
 from rackmeter.schemas import LINE_SCHEMA
 
-CHUNK_BITS = 20
+CHUNK_BITS = 17
 
 
 def chunk_of(pos: Column) -> Column:
@@ -49,8 +49,8 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str], optional: bool =
 
 def with_server(df: DataFrame) -> DataFrame:
     """Add ``run``, ``host`` and ``ip``, taken from the file path."""
-    host = tx.host_of(F.col("file"))
-    return df.withColumns({"run": tx.run_of(F.col("file")), "host": host, "ip": tx.host_to_ip(host)})
+    named = df.withColumns({"run": tx.run_of(F.col("file")), "host": tx.host_of(F.col("file"))})
+    return named.withColumn("ip", tx.host_to_ip(F.col("host")))
 
 
 def list_files(spark: SparkSession, paths: str | Sequence[str], optional: bool = False) -> DataFrame:

@@ -81,15 +81,16 @@ def sample_blocks(
     whole = YARN_COLUMNS + MEM_COLUMNS + SWAP_COLUMNS
 
     def cell(name: str) -> Column:
-        value = F.coalesce(F.col(name), F.lit(0.0)) if missing_as_zero else F.col(name)
-        return (value.cast("bigint") if name in whole else value).alias(name)
+        value = f"coalesce({name}, 0.0d)" if missing_as_zero else name
+        return F.expr(f"cast({value} as {'bigint' if name in whole else 'double'}) as {name}")
 
-    head = F.col("header")
-    return with_server(blocks).select(
+    words = F.col("words")
+    placed = with_server(blocks.withColumn("words", tx.tokens(F.col("header"))))
+    return placed.select(
         "file", "run", "host", "ip", "block_split", "block_pos",
-        tx.header_date(head).alias("date"),
-        tx.header_hour(head).alias("hour"),
-        tx.header_time(head).alias("ts"),
+        tx.header_date(words).alias("date"),
+        tx.header_hour(words).alias("hour"),
+        tx.header_time(words).alias("ts"),
         *[cell(name) for rule in rules for name in rule.names],
     )
 
