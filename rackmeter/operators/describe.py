@@ -29,13 +29,20 @@ def exact_quantiles(df: DataFrame, column: str, shares: Sequence[float], accurac
         return F.struct(F.lit(i).alias("i"), low.alias("lo"), high.alias("hi"))
 
     brackets = F.array(*[bracket(i, share) for i, share in enumerate(shares)])
-    # Each value meets each bracket: below it (counted as one group) or inside (kept by value).
-    met = values.withColumn("b", sketch).select("v", F.inline(brackets)).where(F.col("v") <= F.col("hi"))
-    counted = met.groupBy("i", F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("v")).agg(F.count("*").alias("n"))
-    upto = Window.partitionBy("i").orderBy(F.col("v").asc_nulls_first()).rowsBetween(
+    # Each value meets each bracket. Values inside are kept apart; all below and all above it form
+    # one group each, which stands for its value next to the bracket.
+    zone = F.when(F.col("v") < F.col("lo"), -1).when(F.col("v") > F.col("hi"), 1).otherwise(0)
+    met = values.withColumn("b", sketch).select("v", F.inline(brackets)).withColumn("zone", zone)
+    counted = met.groupBy("i", "zone", F.when(F.col("zone") == 0, F.col("v")).alias("inside")).agg(
+        F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most")
+    )
+    upto = Window.partitionBy("i").orderBy("zone", "inside").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    ranked = counted.withColumn("upto", F.sum("n").over(upto)).where(F.col("v").isNotNull())
+    ranked = counted.select(
+        "i", F.when(F.col("zone") < 0, F.col("most")).otherwise(F.col("least")).alias("v"),
+        F.sum("n").over(upto).alias("upto"),
+    )
     total = values.agg(F.count("*")).scalar()
     place = F.element_at(F.array(*[F.lit(float(s)) for s in shares]), F.col("i") + 1) * (total - 1)
     located = ranked.withColumn("place", place)
