@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from rackmeter.schemas import CPU_COLUMNS, YARN_COLUMNS
 
-RUN = "0101-24H"
+# The server the others are compared with; only one of the two runs has it.
 REFERENCE = "10.0.0.0"
 
 
@@ -28,6 +28,15 @@ def server_host(key: Column) -> Column:
     return F.concat(F.lit("tdw-"), F.translate(server_ip(key), ".", "-"))
 
 
+def server_run(key: Column) -> Column:
+    """Servers are measured in two runs, even and odd ones."""
+    return F.concat(F.lit("010"), key % 2 + 1, F.lit("-24H"))
+
+
+def run_sql(key: str) -> str:
+    return f"('010' || ({key} % 2 + 1) || '-24H')"
+
+
 def ip_sql(key: str) -> str:
     return f"('10.0.' || ({key} // 256) || '.' || ({key} % 256))"
 
@@ -45,7 +54,7 @@ FEW_SERVERS = 24
 def samples(spark: SparkSession, sf_dir: str, few_servers: bool = False) -> DataFrame:
     """One monitor sample per event, with run, host, ip and date text.
 
-    With ``few_servers`` the samples of all users form one run on ``FEW_SERVERS`` servers.
+    With ``few_servers`` the samples of all users come from ``FEW_SERVERS`` servers in two runs.
     """
     e = table(spark, sf_dir, "events")
     if few_servers:
@@ -54,7 +63,7 @@ def samples(spark: SparkSession, sf_dir: str, few_servers: bool = False) -> Data
     cents = lambda n: n.cast("double") / 100
     return e.select(
         event, ts,
-        (F.lit(RUN) if few_servers else F.concat(F.date_format(ts, "MMdd"), F.lit("-24H"))).alias("run"),
+        (server_run(user) if few_servers else F.concat(F.date_format(ts, "MMdd"), F.lit("-24H"))).alias("run"),
         server_host(user).alias("host"),
         server_ip(user).alias("ip"),
         F.date_format(ts, "EEE MMM dd HH:mm:ss 'CST' yyyy").alias("date"),
@@ -110,8 +119,10 @@ SAMPLES_SQL = f"""
 
 
 FEW_SERVERS_SQL = f"""
-  select * replace ('{RUN}' as run) from ({SAMPLES_SQL.replace(
-      "from events", f"from (select * replace (user_id % {FEW_SERVERS} as user_id) from events)")})"""
+  select * exclude (user_id), {run_sql('user_id')} as run from (
+    select s.* exclude (run), e.user_id from ({SAMPLES_SQL.replace(
+      "from events", f"from (select * replace (user_id % {FEW_SERVERS} as user_id) from events)")}) s
+    join (select event_id, user_id % {FEW_SERVERS} as user_id from events) e using (event_id))"""
 
 
 def with_samples(body: str, few_servers: bool = False) -> str:
@@ -176,14 +187,14 @@ def apps(spark: SparkSession, sf_dir: str) -> DataFrame:
         per_order.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(customer, F.col("o_custkey") == F.col("c_custkey"))
         .select(
-            F.lit(RUN).alias("run"), server_host(F.col("c_nationkey")).alias("host"),
+            server_run(F.col("c_nationkey")).alias("run"), server_host(F.col("c_nationkey")).alias("host"),
             F.col("o_orderkey").alias("app"), "executors", "tasks", "duration2",
         )
     )
 
 
 APPS_SQL = f"""
-  select '{RUN}' as run, {host_sql('c_nationkey')} as host, o_orderkey as app, count(*) as executors,
+  select {run_sql('c_nationkey')} as run, {host_sql('c_nationkey')} as host, o_orderkey as app, count(*) as executors,
     count(case when l_returnflag <> 'R' then 1 end) as tasks,
     cast(sum(cast(l_quantity as bigint) * l_linenumber * l_linenumber * l_linenumber) as bigint) as duration2
   from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey
@@ -210,7 +221,7 @@ def perf(spark: SparkSession, sf_dir: str) -> DataFrame:
         ]
     return (
         table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(*aggs)
-        .select(F.lit(RUN).alias("run"), server_ip(F.col("l_suppkey")).alias("ip"), "l_suppkey",
+        .select(server_run(F.col("l_suppkey")).alias("run"), server_ip(F.col("l_suppkey")).alias("ip"), "l_suppkey",
                 *[f"{n}_{k}" for n in FRAMEWORKS for k in ("nbr", "time")])
     )
 
@@ -224,7 +235,7 @@ def _framework_sql(name: str, f: str) -> str:
 
 
 PERF_SQL = f"""
-  select '{RUN}' as run, {ip_sql('l_suppkey')} as ip, l_suppkey,
+  select {run_sql('l_suppkey')} as run, {ip_sql('l_suppkey')} as ip, l_suppkey,
     {', '.join(_framework_sql(n, f) for n, f in FRAMEWORKS.items())}
   from lineitem group by l_suppkey"""
 
@@ -238,13 +249,13 @@ def power(spark: SparkSession, sf_dir: str) -> DataFrame:
             (F.sum(F.rint(price * 100).cast("bigint")).cast("double") / 100 / F.count(price)).alias("avg_w"),
             F.max(price).alias("max_w"), F.min(price).alias("min_w"),
         )
-        .select(F.lit(RUN).alias("run"), server_ip(F.col("l_suppkey")).alias("ip"), "l_suppkey",
+        .select(server_run(F.col("l_suppkey")).alias("run"), server_ip(F.col("l_suppkey")).alias("ip"), "l_suppkey",
                 "avg_w", "max_w", "min_w", ((F.col("max_w") - F.col("min_w")) / 4).alias("stdev_w"))
     )
 
 
 POWER_SQL = f"""
-  select '{RUN}' as run, {ip_sql('l_suppkey')} as ip, l_suppkey, {mean_sql('l_extendedprice')} as avg_w,
+  select {run_sql('l_suppkey')} as run, {ip_sql('l_suppkey')} as ip, l_suppkey, {mean_sql('l_extendedprice')} as avg_w,
     max(l_extendedprice) as max_w, min(l_extendedprice) as min_w,
     (max(l_extendedprice) - min(l_extendedprice)) / 4 as stdev_w
   from lineitem group by l_suppkey"""
@@ -256,7 +267,7 @@ def config(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     key = F.col("s_suppkey")
     return supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
-        F.lit(RUN).alias("run"), server_host(key).alias("host"), server_ip(key).alias("ip"), key,
+        server_run(key).alias("run"), server_host(key).alias("host"), server_ip(key).alias("ip"), key,
         (key % 3 * 4).cast("string").alias("smt"), (60 + key % 10).cast("string").alias("vcore"),
         F.concat(F.lit("3."), key % 10, F.lit("00GHz")).alias("freq"),
         F.concat(F.lit("1."), key % 9).alias("jdk"),
@@ -265,7 +276,7 @@ def config(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CONFIG_SQL = f"""
-  select '{RUN}' as run, {host_sql('s_suppkey')} as host, {ip_sql('s_suppkey')} as ip, s_suppkey,
+  select {run_sql('s_suppkey')} as run, {host_sql('s_suppkey')} as host, {ip_sql('s_suppkey')} as ip, s_suppkey,
     cast(s_suppkey % 3 * 4 as varchar) as smt, cast(60 + s_suppkey % 10 as varchar) as vcore,
     '3.' || (s_suppkey % 10) || '00GHz' as freq, '1.' || (s_suppkey % 9) as jdk,
     '/opt/jdk/openjdk-' || n_name as java_home
@@ -285,14 +296,14 @@ def jvm_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
             hit("l_quantity", 1.0).alias("mr_new"), hit("l_quantity", 2.0).alias("sql_new"),
             F.count("*").alias("conventional"),
         )
-        .select(F.lit(RUN).alias("run"), server_ip(F.col("l_suppkey")).alias("ip"), "l_suppkey",
+        .select(server_run(F.col("l_suppkey")).alias("run"), server_ip(F.col("l_suppkey")).alias("ip"), "l_suppkey",
                 "all_crash", "task_crash", "failed_container", "gc_limit", "mr_reuse", "sql_reuse",
                 "mr_fallback", "sql_fallback", "mr_new", "sql_new", "conventional")
     )
 
 
 JVM_POOL_SQL = f"""
-  select '{RUN}' as run, {ip_sql('l_suppkey')} as ip, l_suppkey,
+  select {run_sql('l_suppkey')} as run, {ip_sql('l_suppkey')} as ip, l_suppkey,
     count(*) filter (where l_linenumber = 1) as all_crash,
     count(*) filter (where l_linenumber = 2) as task_crash,
     count(*) filter (where l_linenumber = 3) as failed_container,

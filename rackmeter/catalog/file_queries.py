@@ -235,8 +235,8 @@ _list = ", ".join
 
 SQL = {
     "src_sample_blocks_files": b.with_samples(
-        f"select '{b.RUN}' as run, date, ip, hour, {_list(ALL_METRICS)} from samples", True),
-    "src_gzip": b.with_samples(f"select '{b.RUN}' as run, ip, {_list(CPU_COLUMNS)} from samples", True),
+        f"select run, date, ip, hour, {_list(ALL_METRICS)} from samples", True),
+    "src_gzip": b.with_samples(f"select run, ip, {_list(CPU_COLUMNS)} from samples", True),
     "src_app_info": b.with_apps("select * from apps"),
     "src_hosts": b.with_apps(
         "select distinct run, host, replace(replace(host, 'tdw-', ''), '-', '.') as ip from apps"),
@@ -245,7 +245,7 @@ SQL = {
         from tasks"""),
     "src_sample_table": b.with_samples(f"select {_list(SAMPLE_COLUMNS)} from samples", True),
     "snk_incremental": b.with_samples(f"""
-        select '{b.RUN}' as run, host, event_id, case when host like '%1' then ctn else ctn + 100 end as ctn from samples""", True),
+        select run, host, event_id, case when host like '%1' then ctn else ctn + 100 end as ctn from samples""", True),
     "snk_rollup": sample_queries.SQL["agg_hourly_mean"],
     "src_rollup_reread": sample_queries.SQL["agg_hourly_shares"],
     "snk_single_csv": sample_queries.SQL["agg_hourly_sql"],

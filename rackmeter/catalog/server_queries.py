@@ -70,12 +70,13 @@ def jon_util_tsv(spark, sf_dir):
 
 
 def _util(spark, sf_dir):
-    """Means of all samples per server, as one run."""
-    one_run = b.samples(spark, sf_dir).withColumn("run", F.lit(b.RUN))
-    counted = one_run.withColumn(
+    """Means of all samples per server."""
+    samples = b.samples(spark, sf_dir)
+    samples = samples.withColumn("run", b.server_run(F.substring_index("ip", ".", -1).cast("int")))
+    counted = samples.withColumn(
         "vcore_total", F.col("event_id") % 60 + F.col("event_id") % 50 + F.col("event_id") % 40
     )
-    return fleet.utilisation_means(one_run, counted), rollup.host_means(one_run)
+    return fleet.utilisation_means(samples, counted), rollup.host_means(samples)
 
 
 def _fleet(spark, sf_dir):
@@ -149,8 +150,8 @@ _FLEET_SQL = f"""
     from config left join perf using (ip) left join power using (ip) left join util using (ip)),
   rated as (select *, mr_nbr + sql_nbr as tput,
     coalesce(cast(mr_nbr + sql_nbr as double) / nullif(max_w, 0) / {HOURS}, 0) as tput_per_wh from filled),
-  ref as (select tput as ref_tput, tput_per_wh as ref_wh from rated where ip = '{b.REFERENCE}'),
-  fleet as (select rated.*, {_REF} from rated left join ref on true)"""
+  ref as (select run, tput as ref_tput, tput_per_wh as ref_wh from rated where ip = '{b.REFERENCE}'),
+  fleet as (select rated.*, {_REF} from rated left join ref using (run))"""
 FLEET_FILES_SQL = f"{_FLEET_SQL.replace(b.SAMPLES_SQL, b.FEW_SERVERS_SQL)} select * from fleet"
 _ratio = lambda n: (
     f"coalesce(round(cast({n}_reuse as decimal(18,4)) / nullif({n}_new, 0), 1), 0)"

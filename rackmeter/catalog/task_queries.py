@@ -91,7 +91,7 @@ _RECALC = """, sums as (select run, host, cast(sum(duration2) as bigint) as dura
           round((duration - extra_time) / nullif(tasks, 0), 1) as new_time from sums),
         recalc as (select *, round(old_time / nullif(new_time, 0), 2) as old_over_new from times)"""
 RECALC_ROWS_SQL = b.with_apps(f"""{_RECALC}
-        select '01/01' as date, '24H' as hours, replace(host, 'tdw-', '') as server, 'POC' as tag, duration, tasks,
+        select left(run, 2) || '/' || substr(run, 3, 2) as date, '24H' as hours, replace(host, 'tdw-', '') as server, 'POC' as tag, duration, tasks,
           executors, extra_executors, extra_time, old_time, new_time, old_over_new from recalc""")
 
 SQL = {
