@@ -103,7 +103,7 @@ def src_task_info(spark, sf_dir):
             F.concat(F.lit(" "), c).alias(n)
             for n, c in [
                 (" starttime", F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss")),
-                (" endtime", F.date_format(F.timestamp_seconds(F.unix_seconds(F.col("l_shipdate").cast("timestamp")) + F.col("duration")), "yyyy-MM-dd HH:mm:ss")),
+                (" endtime", F.date_format(F.col("l_shipdate") + F.make_dt_interval(secs=F.col("duration")), "yyyy-MM-dd HH:mm:ss")),
                 (" duration", F.col("duration").cast("string")),
             ]
         ],

@@ -178,7 +178,7 @@ SQL = {
           {b.mean_sql('cpu_sys')} / 100 as sys_share, {b.mean_sql('cpu_idle')} / 100 as idle_share
           from samples group by ip)
         select ip, mr_nbr, mr_time, sql_nbr, sql_time, scala_nbr, scala_time, actual_vcore, user_share, sys_share,
-          idle_share from perf join util using (ip)"""),
+          idle_share from perf left join util using (ip)"""),
     "rep_fleet": f"{_FLEET_SQL} select * from fleet",
     "rep_fleet_quick_view": f"""{_FLEET_SQL}
         select run, split_part(ip, '.', 3) || '.' || split_part(ip, '.', 4) as server,

@@ -10,6 +10,7 @@ BLANKS = " \t\r\n"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d{2}|[1-9]?\d)"
 IPV4 = rf"(?:{OCTET}\.){{3}}{OCTET}"
 RUN_DATE = "[0-1][0-9][0-3][0-9]"
+MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
 
 
 def strip(text: Column) -> Column:
@@ -106,9 +107,9 @@ def short_ip(ip: Column) -> Column:
 def header_time(words: Column) -> Column:
     """Timestamp from the words of a block header; the zone is ignored (naive local time)."""
     part = lambda n: F.get(words, F.lit(n))
-    return F.try_to_timestamp(
-        F.concat_ws(" ", part(2), part(3), part(6), part(4)), F.lit("MMM d yyyy HH:mm:ss")
-    ).cast("timestamp_ntz")
+    month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), part(2))
+    date = F.concat_ws("-", part(6), month, part(3))
+    return F.concat_ws(" ", date, part(4)).try_cast("timestamp_ntz")
 
 
 def header_date(words: Column) -> Column:

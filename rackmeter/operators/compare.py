@@ -52,11 +52,14 @@ def missing_sources(expected: DataFrame, found: DataFrame, keys: Sequence[str] =
 
 
 def with_utilisation(report: DataFrame, utilisation: DataFrame) -> DataFrame:
-    """Fill vcores and cpu shares of a report from a utilisation table, by server."""
+    """Fill vcores and cpu shares of a report from a utilisation table, by server.
+
+    A server without utilisation stays in the report, with empty cells.
+    """
     used = utilisation.select(
         "ip", F.round("vcore").alias("actual_vcore"),
         (F.col("user") / 100).alias("user_share"),
         (F.col("sys") / 100).alias("sys_share"),
         (F.col("idle") / 100).alias("idle_share"),
     )
-    return report.drop("actual_vcore", "user_share", "sys_share", "idle_share").join(used, "ip")
+    return report.drop("actual_vcore", "user_share", "sys_share", "idle_share").join(used, "ip", "left")

@@ -26,14 +26,13 @@ def write_new_partitions(
     """
     spark = df.sparkSession
     try:
-        present = spark.read.format(fmt).load(path).select(*keys).distinct()
+        # With the schema given, partition values such as 0711 are not read as numbers.
+        present = spark.read.schema(df.schema).format(fmt).load(path).select(*keys).distinct()
     except AnalysisException as error:
-        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+        if error.getCondition() != "PATH_NOT_FOUND":
             raise
     else:
-        # Partition values read back may be typed, so both sides are compared as text.
-        names = {k: F.col(k).cast("string") for k in keys}
-        df = df.join(present.withColumns(names), list(keys), "left_anti")
+        df = df.join(present, list(keys), "left_anti")
     out = df.hint("rebalance", *keys).write.mode("append").partitionBy(*keys).format(fmt)
     (out.option("header", True) if fmt == "csv" else out).save(path)
 

@@ -217,3 +217,11 @@ def test_sorted_csv(spark, tmp_path, limit, files):
     assert (len(parts) == 1) if files == 1 else (len(parts) >= files)
     keys = [int(line.split(",")[0]) for p in parts for line in p.read_text().splitlines()[1:]]
     assert keys == list(range(500))
+
+
+def test_partition_values_stay_text(spark, tmp_path):
+    out = str(tmp_path / "t")
+    df = spark.createDataFrame([("0711", "h1", 1), ("0712", "h1", 2)], "run STRING, host STRING, x INT")
+    writers.write_new_partitions(df.where(F.col("run") == "0711"), out)
+    writers.write_new_partitions(df, out)
+    assert spark.read.parquet(out).count() == 2
