@@ -16,6 +16,9 @@ CPU_ROW = r"(\d{1,2}\.\d{1,2} *){6}"
 COUNT_LINE = "CST.*MR.*SQL"
 # A line that starts with six plain numbers.
 NUMBER_ROW = r"^\s*\d+(\.\d+)?(\s+\d+(\.\d+)?){5}"
+# Pairs "a/b" in words 9, 11 and 13.
+PAIR = r"\d+(\.\d+)?/\d+(\.\d+)?"
+COUNT_ROW = rf"^\s*(\S+\s+){{8}}{PAIR}\s+\S+\s+{PAIR}\s+\S+\s+{PAIR}"
 COUNT_MARKER = "mr_sparksql_scala_container_coun"
 CPU_MARKER = "avg-cpu"
 COUNT_COLUMNS = ["mr_used", "mr_all", "sql_used", "sql_all", "scala_used", "scala_all"]
@@ -103,13 +106,11 @@ def cpu_rows(lines: DataFrame) -> DataFrame:
     return with_server(line_after(lines, line.contains(CPU_MARKER), readable, CPU_COLUMNS, cells))
 
 
-def _counts(line: Column, kind: str) -> Column:
+def _counts(line: Column) -> Column:
     """The three ``a/b`` pairs in words 9, 11 and 13 as one array of six numbers."""
     words = tx.tokens(line)
-    pairs = F.array(*[F.get(words, F.lit(n - 1)) for n in (9, 11, 13)])
-    return F.flatten(
-        F.transform(pairs, lambda p: F.transform(F.split(p, "/"), lambda x: x.try_cast("double").try_cast(kind)))
-    )
+    pairs = F.concat_ws("/", *[F.coalesce(F.get(words, F.lit(n - 1)), F.lit("/")) for n in (9, 11, 13)])
+    return tx.numbers(F.split(pairs, "/"))
 
 
 def _with_total(df: DataFrame) -> DataFrame:
@@ -119,7 +120,7 @@ def _with_total(df: DataFrame) -> DataFrame:
 def count_rows(lines: DataFrame) -> DataFrame:
     """Used and available containers per framework, and the sum of the used ones."""
     found = lines.where(is_count_line(F.col("line"))).select(
-        "file", "split", "pos", _counts(F.col("line"), "double").alias("c")
+        "file", "split", "pos", _counts(F.col("line")).alias("c")
     )
     return _with_total(
         with_server(found).select(
@@ -132,8 +133,8 @@ def count_rows(lines: DataFrame) -> DataFrame:
 def count_rows_after_marker(lines: DataFrame) -> DataFrame:
     """The same counts in the older layout: on the line after a marker, whole numbers."""
     line = F.col("line")
-    cells = _counts(line, "bigint")
-    readable = line.contains("/") & (F.size(F.filter(cells, lambda c: c.isNotNull())) == 6)
+    cells = F.transform(_counts(line), lambda c: c.try_cast("bigint"))
+    readable = line.contains("/") & line.rlike(COUNT_ROW)
     found = line_after(lines, line.contains(COUNT_MARKER), readable, COUNT_COLUMNS, cells)
     return _with_total(with_server(found))
 
