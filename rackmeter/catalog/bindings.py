@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rackmeter.schemas import CPU_COLUMNS, YARN_COLUMNS
+from rackmeter.schemas import CPU_COLUMNS
 
 # The server the others are compared with; only one of the two runs has it.
 REFERENCE = "10.0.0.0"
@@ -165,10 +165,10 @@ def with_tasks(body: str) -> str:
 
 
 def attempt_id(job: Column, attempt: Column) -> Column:
-    return F.concat(F.lit("attempt_1482394966158_"), job, F.lit("_r_"), F.lpad(attempt.cast("string"), 6, "0"), F.lit("_0"))
+    return F.concat(F.lit("attempt_1700000000001_"), job, F.lit("_r_"), F.lpad(attempt.cast("string"), 6, "0"), F.lit("_0"))
 
 
-ATTEMPT_SQL = "'attempt_1482394966158_' || job || '_r_' || lpad(cast(attempt as varchar), 6, '0') || '_0'"
+ATTEMPT_SQL = "'attempt_1700000000001_' || job || '_r_' || lpad(cast(attempt as varchar), 6, '0') || '_0'"
 
 
 # --- applications: one row per order ------------------------------------------------------------

@@ -144,7 +144,7 @@ def snk_rollup(spark, sf_dir):
 def src_rollup_reread(spark, sf_dir):
     path = scratch_path(spark, "reread")
     writers.write_once(_rollup(spark, sf_dir), path)
-    return rollup.hourly_shares(tables.rollup_table(spark, path), sample_queries.IP).select(
+    return rollup.hourly_shares(tables.rollup_table(spark, path)).select(
         "day", "ip", "hour", F.round("`cpu_nonidle%`", 6).alias("nonidle"), F.round("`vcore%`", 6).alias("vcore")
     )
 

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from rackmeter.catalog import bindings as b
 from rackmeter.functions import columns as cx
-from rackmeter.functions import text as tx
 from rackmeter.operators import describe, fit, rollup
 from rackmeter.plans import fleet
 from rackmeter.schemas import CPU_COLUMNS, SAMPLE_METRICS, YARN_COLUMNS
@@ -30,7 +29,7 @@ def agg_hourly_mean(spark, sf_dir):
 
 def agg_hourly_shares(spark, sf_dir):
     means = rollup.hourly_means(_dated(spark, sf_dir), names=["cpu_idle"])
-    return rollup.hourly_shares(means, IP).select(
+    return rollup.hourly_shares(means).select(
         "day", "ip", "hour", F.round("`cpu_nonidle%`", 6).alias("nonidle"), F.round("`vcore%`", 6).alias("vcore")
     )
 
@@ -208,7 +207,7 @@ SQL = {
     "agg_hourly_shares": b.with_samples(f"""
         select {_DAY} as day, ip, hour, round(avg((100 - cpu_idle) / 100), 6) as nonidle,
           round(avg(cast(yarn_cpu_used as double) / yarn_cpu_all), 6) as vcore
-        from samples where ip = '{IP}' group by 1, 2, 3"""),
+        from samples group by 1, 2, 3"""),
     "agg_host_mean": b.with_samples(f"select ip, {_host_means} from samples group by ip"),
     "prj_sample_ratios": b.with_samples("""
         select event_id, (100 - cpu_idle) / 100 as non_idle,

@@ -114,7 +114,7 @@ SQL = {
         select lo, hi, n, bp, cum_bp, cast((select sum(n) from bins) as bigint) as binned, tasks, total, mean
         from shares, whole""",
     "prj_job_key": b.with_tasks(
-        f"select {b.ATTEMPT_SQL} as tid, 'attempt_1482394966158_' || job || '_r' as job_key, duration from tasks"),
+        f"select {b.ATTEMPT_SQL} as tid, 'attempt_1700000000001_' || job || '_r' as job_key, duration from tasks"),
     "win_top5_values": f"""
         with counted as (select {b.ip_sql('l_suppkey')} as ip, l_quantity as watt, count(*) as n
           from lineitem group by 1, 2)
