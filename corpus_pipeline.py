@@ -4,19 +4,38 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rackmeter.llm import pieces
-from rackmeter.llm.common import stored, table
+from rackmeter.llm import decontam, pieces, ranking, secrets
+from rackmeter.llm.common import on_workers, stored, table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of good quality; those that the classifier rejects go."""
+    ranks = ranking.train(docs, table(spark, sf_dir, "labels"))
+    return ranking.accepted(docs, ranks)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages of benchmark items."""
+    found = decontam.leaks(docs, table(spark, sf_dir, "benchmark"))
+    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with a mark in place of each secret."""
+    cleaned = on_workers(docs).withColumn("text", secrets.redacted("text"))
+    return cleaned.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of the documents that are left."""
     return pieces.encode_pieces(docs, PIECE_MODEL, ids=True)
 
 
-STAGES = [("encode", encode)]
+STAGES = [("classify", classify), ("decontaminate", decontaminate), ("redact", redact), ("encode", encode)]
 
 #: SQL cannot express the classifier and the encoder; the tests compare with plain versions.
 ORACLE_SQL: str | None = None

@@ -1,0 +1,269 @@
+"""Documents that hold benchmark passages, found by the q-gram lemma.
+
+Benchmark texts are cut into overlapping windows. A window of m characters that occurs in a text with at most k
+edits shares at least m + 1 - q (k + 1) of its q-grams with it, and all those matches lie on at most k + 1
+neighbouring diagonals (place in the text minus place in the window). Shared q-grams are counted in bands of
+2 (k + 1) diagonals that overlap by half, so one band holds them all; bands that reach the bound are
+verified by a banded alignment, all others cannot hold a match. Capitals of ASCII and Latin-1 count as small letters.
+
+The windows are the stated query set: they are dealt into blocks of bounded size, each block is sent to
+the executors as one index, and all texts are scanned against it.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from rackmeter.llm.common import on_workers, text_column, text_slices
+
+Q = 8
+WINDOW = 96
+EDIT_SHARE = 0.08
+BLOCK_CHARACTERS = 2_000_000
+TABLE_BITS = 22
+HITS = 2_000_000
+ALIGNED = 20_000
+OUTSIDE = 0xFFFFFFFF
+
+
+def budget(length: int, share: float) -> int:
+    """Edits allowed in a window."""
+    return int(share * length)
+
+
+def q_for(length: int, share: float, q: int) -> int:
+    """The largest q-gram length up to ``q`` for which a match must share at least one q-gram."""
+    k = budget(length, share)
+    while q > 1 and length + 1 - q * (k + 1) < 1:
+        q -= 1
+    return q
+
+
+def gram_hashes(text: np.ndarray, q: int) -> np.ndarray:
+    """32-bit hashes of all runs of q characters."""
+    h = np.zeros(max(0, len(text) - q + 1), dtype=np.uint32)
+    for k in range(q):
+        h = h * np.uint32(0x01000193) + text[k : k + len(h)]
+    h ^= h >> np.uint32(15)
+    h *= np.uint32(0x2C1B3C6D)
+    return h ^ (h >> np.uint32(13))
+
+
+def code_points(raw: bytes) -> np.ndarray:
+    """Characters of UTF-8 text as numbers, capitals of the first 256 as small letters."""
+    points = np.frombuffer(raw.decode().encode("utf-32-le"), dtype="<u4")
+    return np.take(FOLD, points, mode="clip") + np.where(points > 0xFF, points - np.uint32(0xFF), np.uint32(0))
+
+
+FOLD = np.arange(256, dtype=np.uint32)
+FOLD[[*range(0x41, 0x5B), *range(0xC0, 0xD7), *range(0xD8, 0xDF)]] += 32
+
+
+@dataclass
+class Windows:
+    """Windows of one q-gram length with their index: hashes in order, and the window and place of each."""
+
+    q: int
+    share: float
+    owners: list
+    texts: list[np.ndarray]
+    hashes: np.ndarray = field(init=False)
+    window: np.ndarray = field(init=False)
+    place: np.ndarray = field(init=False)
+
+    def __post_init__(self) -> None:
+        grams = [gram_hashes(t, self.q) for t in self.texts]
+        sizes = [len(g) for g in grams]
+        window = np.repeat(np.arange(len(grams)), sizes)
+        place = np.concatenate([np.arange(s) for s in sizes])
+        hashes = np.concatenate(grams)
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.window, self.place = hashes[order], window[order], place[order]
+        self.length = np.array([len(t) for t in self.texts])
+        self.edits = np.array([budget(n, self.share) for n in self.length])
+        self.least = np.maximum(1, self.length + 1 - self.q * (self.edits + 1))
+        self.table = np.zeros(1 << TABLE_BITS, dtype=bool)
+        self.table[self.hashes >> np.uint32(32 - TABLE_BITS)] = True
+
+    def regions(self, text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Windows and first diagonals of the bands that reach the bound, over all texts joined."""
+        hashes = gram_hashes(text, self.q)
+        hit = self.table[hashes >> np.uint32(32 - TABLE_BITS)]
+        # A band that reaches the bound needs that many hits within the longest window and its edits.
+        span = int(self.length.max() + self.edits.max())
+        total = np.r_[0, np.cumsum(hit, dtype=np.int64)]
+        at = np.flatnonzero(hit)
+        around = total[np.minimum(at + span, len(hit))] - total[np.maximum(at - span, 0)]
+        at = at[around >= self.least.min()]
+        low = np.searchsorted(self.hashes, hashes[at], "left")
+        count = np.searchsorted(self.hashes, hashes[at], "right") - low
+        at, low, count = at[count > 0], low[count > 0], count[count > 0]
+        doc = np.searchsorted(offsets, at, "right") - 1
+        inside = at + self.q <= offsets[doc + 1]
+        at, low, count = at[inside], low[inside], count[inside]
+        keys, counts, base = [], [], 4 * len(text) + 4 * int(self.length.max()) + 64
+        first, sums = 0, np.cumsum(count)
+        while first < len(at):
+            # hits in bounded portions; a band's counts from two portions are added up below
+            last = max(first + 1, int(np.searchsorted(sums, (sums[first - 1] if first else 0) + HITS, "right")))
+            some = slice(first, last)
+            row = np.repeat(np.arange(last - first), count[some])
+            entry = low[some][row] + np.arange(len(row)) - np.repeat(np.cumsum(count[some]) - count[some], count[some])
+            window = self.window[entry]
+            diagonal = at[some][row] - self.place[entry] + int(self.length.max())
+            band = diagonal // (self.edits[window] + 1)
+            key, n = np.unique(np.r_[window * base + band, window * base + band - 1], return_counts=True)
+            keys.append(key)
+            counts.append(n)
+            first = last
+        if not keys:
+            empty = np.zeros(0, dtype=np.int64)
+            return empty, empty
+        key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(inverse, np.concatenate(counts))
+        window = key // base
+        good = total >= self.least[window]
+        window, band = window[good], (key % base)[good]
+        return window, band * (self.edits[window] + 1) - int(self.length.max())
+
+    def verify(self, text: np.ndarray, offsets: np.ndarray, windows: np.ndarray, diagonals: np.ndarray) -> list[tuple]:
+        """(document, window, edits, start, end) where a window occurs; a band in two documents is aligned in each."""
+        reach = self.length[windows] + 2 * self.edits[windows] + 1
+        low, high = np.maximum(0, diagonals), np.minimum(len(text), diagonals + reach)
+        first = np.searchsorted(offsets, low, "right") - 1
+        docs = np.maximum(1, np.searchsorted(offsets, high, "left") - first)
+        row = np.repeat(np.arange(len(windows)), docs)
+        doc = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(docs) - docs, docs)
+        found = set()
+        length, edits = self.length[windows[row]], self.edits[windows[row]]
+        for m in np.unique(length):
+            of_length = np.flatnonzero(length == m)
+            for part in np.array_split(of_length, -(-len(of_length) // ALIGNED)):
+                k, some = int(edits[part[0]]), windows[row[part]]
+                begin = diagonals[row[part]]
+                at = begin[:, None] + np.arange(m + 2 * k + 1)
+                inside = (at >= offsets[doc[part]][:, None]) & (at < offsets[doc[part] + 1][:, None])
+                around = np.where(inside, text[np.clip(at, 0, len(text) - 1)], OUTSIDE)
+                cost, start, end = align(np.stack([self.texts[w] for w in some]), around, k)
+                good = cost <= k
+                base = offsets[doc[part]]
+                size = offsets[doc[part] + 1] - base
+                start, end = np.clip(begin + start - base, 0, size), np.clip(begin + end - base, 0, size)
+                columns = (doc[part], some, cost, start, end)
+                found.update(zip(*[c[good].tolist() for c in columns]))
+        return sorted(found)
+
+
+def align(patterns: np.ndarray, regions: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Banded alignment of pattern rows with region rows: fewest edits, start and end of the matched part.
+
+    A row has one cell for each of the 2 (k + 1) diagonals of the band. The start of the best path is carried
+    along in the low digits of the costs, so that among equal costs the latest start wins. Places outside of
+    the document differ from every character and thus cost as much as leaving the character out.
+    """
+    width = regions.shape[1] - patterns.shape[1] + 1
+    scale = np.int64(1 << 20)
+    diagonal = np.arange(width, dtype=np.int64)
+    row = np.broadcast_to(-diagonal, (len(patterns), width)).copy()
+    for i in range(patterns.shape[1]):
+        same = row + scale * (regions[:, i : i + width] != patterns[:, i : i + 1])
+        same[:, :-1] = np.minimum(same[:, :-1], row[:, 1:] + scale)
+        row = np.minimum.accumulate(same - scale * diagonal, axis=1) + scale * diagonal
+    end = np.argmin(row, axis=1)
+    best = row[np.arange(len(row)), end]
+    cost = -(-best // scale)
+    return cost, cost * scale - best, patterns.shape[1] + end
+
+
+def scan(text: np.ndarray, offsets: np.ndarray, groups: list[Windows]) -> list[tuple]:
+    """(document, owner, edits, start, end) over all groups of windows."""
+    out = []
+    for group in groups:
+        if len(text):
+            windows, diagonals = group.regions(text, offsets)
+            out += [(d, group.owners[w], e, s, t) for d, w, e, s, t in group.verify(text, offsets, windows, diagonals)]
+    return out
+
+
+def build(rows: list[tuple], share: float = EDIT_SHARE, q: int = Q) -> list[Windows]:
+    """Windows from (owner, text), grouped by the q-gram length that their edits allow."""
+    groups: dict[int, tuple[list, list]] = {}
+    for owner, text in rows:
+        if text:
+            owners, texts = groups.setdefault(q_for(len(text), share, q), ([], []))
+            owners.append(owner)
+            texts.append(code_points(text.encode()))
+    return [Windows(length, share, *groups[length]) for length in sorted(groups)]
+
+
+def benchmark_windows(benchmark: DataFrame, item: str, text: str, window: int) -> DataFrame:
+    """Windows of the benchmark texts, half overlapping; the last one ends with the text."""
+    n = F.char_length("whole")
+    starts = F.when(n <= window, F.array(F.lit(1))).otherwise(
+        F.array_union(F.sequence(F.lit(1), n - window + 1, F.lit(window // 2)), F.array(n - window + 1))
+    )
+    return (
+        benchmark.select(F.col(item).alias("item"), F.col(text).alias("whole")).where("char_length(whole) > 0")
+        .withColumn("start", F.explode(starts))
+        .select("item", F.expr(f"substring(whole, start, {window})").alias("window"))
+    )
+
+
+def leaks(
+    docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
+    item_text: str = "text", window: int = WINDOW, share: float = EDIT_SHARE, q: int = Q,
+    block_characters: int = BLOCK_CHARACTERS,
+) -> DataFrame:
+    """Occurrences of benchmark windows: key, item, edits, start and end (code points, end exclusive), a row each.
+
+    Null and empty texts hold nothing, and null or empty items are held by nothing. Items shorter than a
+    window are one window; repeated rows on either side give repeated results, and an empty table none.
+    Further columns of both tables are not read.
+    """
+    windows = benchmark_windows(benchmark, item, item_text, window)
+    size = windows.agg(F.sum(F.char_length("window"))).first()[0] or 0
+    blocks = max(1, -(-size // block_characters))
+    dealt = windows.withColumn("block", F.pmod(F.xxhash64("item", "window"), F.lit(blocks)))
+    names = [key, "item_id", "edits", "start", "end"]
+    kinds = [docs.schema[key].dataType.simpleString(), benchmark.schema[item].dataType.simpleString(), *["long"] * 3]
+    schema = ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds))
+    return reduce(DataFrame.unionAll, [
+        _block_leaks(docs.select(F.col(key), F.col(text).alias("text")), dealt.where(F.col("block") == block), share, q, schema)
+        for block in range(blocks)
+    ])
+
+
+def _block_leaks(docs: DataFrame, block: DataFrame, share: float, q: int, schema: str) -> DataFrame:
+    """Leaks of one block of windows, which is small enough to be held by every executor."""
+    rows = [(r.item, r.window) for r in block.select("item", "window").collect()]
+    held = docs.sparkSession.sparkContext.broadcast(rows)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups = build(held.value, share, q)
+        for batch in batches:
+            kinds = [batch.schema.field(0).type, item_kind, *[pa.int64()] * 3]
+            for low, high, data, offsets in text_slices(text_column(batch, "text")):
+                heads = np.r_[0, np.cumsum((data & 0xC0) != 0x80, dtype=np.int64)]
+                points = code_points(data.tobytes())
+                found = scan(points, heads[offsets], groups)
+                keys = batch.column(0).slice(low, high - low).take(pa.array([f[0] for f in found], pa.int64()))
+                rest = [pa.array([f[k] for f in found], kinds[k]) for k in range(1, 5)]
+                yield pa.RecordBatch.from_arrays([keys, *rest], names=names)
+
+    names = [f.split("`")[1] for f in schema.split(", ")]
+    item_kind = pa.int64() if "item_id` bigint" in schema else pa.int32() if "item_id` int" in schema else pa.string()
+    return on_workers(docs).mapInArrow(find, schema)
+
+
+def leaked(found: DataFrame, key: str = "doc_id") -> DataFrame:
+    """One row per document and item: fewest edits of a window, first start and last end of the windows found."""
+    return found.groupBy(key, "item_id").agg(
+        F.min("edits").alias("edits"), F.min("start").alias("start"), F.max("end").alias("end")
+    )

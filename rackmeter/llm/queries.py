@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rackmeter.llm import pieces, token_files
-from rackmeter.llm.common import table
+from rackmeter.llm import decontam, pieces, ranking, repetition, secrets, token_files
+from rackmeter.llm.common import held_out, table
 from rackmeter.session import scratch_path
 
 WORD_MODEL = public_tokenizers.path("word_bpe_49k.json")
@@ -26,5 +26,33 @@ def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_pieces(table(spark, sf_dir, "documents"), PIECE_MODEL)
 
 
-QUERIES = {"op1_token_files": op1_token_files, "op2_pieces": op2_pieces}
+def op6_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality rules on all documents."""
+    return repetition.quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op7_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents."""
+    docs = table(spark, sf_dir, "documents")
+    scored = ranking.score_documents(docs, ranking.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id", held_out("doc_id", ranking.MODULUS, ranking.REMAINDER).alias("held_out"), "score",
+        (F.col("score") >= ranking.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents."""
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with passages of benchmark items."""
+    return decontam.leaked(decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+QUERIES = {
+    "op1_token_files": op1_token_files, "op2_pieces": op2_pieces, "op6_repetition": op6_repetition,
+    "op7_ranking": op7_ranking, "op8_secrets": op8_secrets, "op9_decontamination": op9_decontamination,
+}
 SQL: dict[str, str] = {}
