@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rackmeter.llm import decontam, pieces, ranking, secrets
+from rackmeter.llm import decontam, minhash, pieces, ranking, secrets
 from rackmeter.llm.common import on_workers, stored, table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -18,6 +18,12 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return ranking.accepted(docs, ranks)
 
 
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (shingles of five words)."""
+    groups = minhash.near_duplicates(docs, words=5)
+    return docs.join(groups.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of benchmark items."""
     found = decontam.leaks(docs, table(spark, sf_dir, "benchmark"))
@@ -35,7 +41,10 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pieces.encode_pieces(docs, PIECE_MODEL, ids=True)
 
 
-STAGES = [("classify", classify), ("decontaminate", decontaminate), ("redact", redact), ("encode", encode)]
+STAGES = [
+    ("classify", classify), ("deduplicate", deduplicate), ("decontaminate", decontaminate), ("redact", redact),
+    ("encode", encode),
+]
 
 #: SQL cannot express the classifier and the encoder; the tests compare with plain versions.
 ORACLE_SQL: str | None = None

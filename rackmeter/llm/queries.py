@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rackmeter.llm import decontam, pieces, ranking, repetition, secrets, token_files
+from rackmeter.llm import decontam, minhash, pieces, ranking, repetition, secrets, token_files
 from rackmeter.llm.common import held_out, table
 from rackmeter.session import scratch_path
 
@@ -26,6 +26,11 @@ def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_pieces(table(spark, sf_dir, "documents"), PIECE_MODEL)
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near-duplicates among all documents, on shingles of two words."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2)
+
+
 def op6_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality rules on all documents."""
     return repetition.quality_rules(table(spark, sf_dir, "documents"))
@@ -52,7 +57,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op1_token_files": op1_token_files, "op2_pieces": op2_pieces, "op6_repetition": op6_repetition,
-    "op7_ranking": op7_ranking, "op8_secrets": op8_secrets, "op9_decontamination": op9_decontamination,
+    "op1_token_files": op1_token_files, "op2_pieces": op2_pieces, "op3_minhash": op3_minhash,
+    "op6_repetition": op6_repetition, "op7_ranking": op7_ranking, "op8_secrets": op8_secrets, "op9_decontamination": op9_decontamination,
 }
 SQL: dict[str, str] = {}
