@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rackmeter.llm import decontam, minhash, pieces, ranking, repetition, secrets, token_files
+from rackmeter.llm import decontam, minhash, pieces, ranking, repetition, secrets, token_files, warc
 from rackmeter.llm.common import held_out, table
 from rackmeter.session import scratch_path
 
@@ -31,6 +31,15 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2)
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives of all pages, read back."""
+    read = warc.archived(table(spark, sf_dir, "pages"))
+    return read.select(
+        F.col("key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.col("refers_to").cast("long").alias("refers_to"),
+    )
+
+
 def op6_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality rules on all documents."""
     return repetition.quality_rules(table(spark, sf_dir, "documents"))
@@ -57,7 +66,22 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op1_token_files": op1_token_files, "op2_pieces": op2_pieces, "op3_minhash": op3_minhash,
+    "op1_token_files": op1_token_files, "op2_pieces": op2_pieces, "op3_minhash": op3_minhash, "op4_warc": op4_warc,
     "op6_repetition": op6_repetition, "op7_ranking": op7_ranking, "op8_secrets": op8_secrets, "op9_decontamination": op9_decontamination,
 }
-SQL: dict[str, str] = {}
+
+SQL = {
+    "op4_warc": """
+        WITH raw AS (
+            SELECT page_id, encode(coalesce(html, '')) AS payload, sha1(coalesce(html, '')) AS digest FROM pages
+        ), firsts AS (SELECT digest, min(page_id) AS first_id FROM raw GROUP BY digest)
+        SELECT page_id, octet_length(payload) AS payload_bytes,
+            list_aggregate(list_transform(range(32), lambda i: substr(
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                1 + CAST((CAST('0x' || substr(raw.digest, CAST(1 + 10 * (i // 8) AS INTEGER), 10) AS BIGINT)
+                    >> CAST(35 - 5 * (i % 8) AS BIGINT)) & 31 AS INTEGER), 1)), 'string_agg', '') AS payload_digest,
+            CASE WHEN first_id < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN first_id < page_id THEN first_id END AS refers_to
+        FROM raw JOIN firsts USING (digest)
+    """,
+}
