@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rackmeter.llm import decontam, minhash, pieces, ranking, repetition, secrets, token_files, warc
+from rackmeter.llm import decontam, lattice, minhash, pieces, ranking, repetition, secrets, token_files, warc
 from rackmeter.llm.common import held_out, table
 from rackmeter.session import scratch_path
 
@@ -65,9 +65,15 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaked(decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op10_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities of all documents under a piece lattice, beside smoothed word counts."""
+    return lattice.score_texts(table(spark, sf_dir, "documents"), PIECE_MODEL)
+
+
 QUERIES = {
     "op1_token_files": op1_token_files, "op2_pieces": op2_pieces, "op3_minhash": op3_minhash, "op4_warc": op4_warc,
-    "op6_repetition": op6_repetition, "op7_ranking": op7_ranking, "op8_secrets": op8_secrets, "op9_decontamination": op9_decontamination,
+    "op6_repetition": op6_repetition, "op7_ranking": op7_ranking, "op8_secrets": op8_secrets,
+    "op9_decontamination": op9_decontamination, "op10_lattice": op10_lattice,
 }
 
 SQL = {
