@@ -1,8 +1,9 @@
 """Near-duplicate groups by compressed minimum hashes.
 
-A document is the set of its word shingles. HyperMinHash deals the shingles into registers by one hash and
-keeps of the least value in each the number of leading zeros and a few bits after them (16 bits in all).
-Runs of registers make up bands. Documents that agree in a band, of which at least one register is
+A document is the set of its word shingles. HyperMinHash keeps of the least hash value in each register the
+number of leading zeros and a few bits after them (16 bits in all). The shingles of a large set are dealt into
+the registers by one hash; those of a small set, which would leave registers empty and bands unspecific,
+count in every register. Runs of registers make up bands. Documents that agree in a band, of which at least one register is
 filled, are candidates; the share of agreeing registers, corrected for agreement by chance, estimates their
 similarity; what stays above the threshold less six standard errors is confirmed on the full sets.
 
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +28,11 @@ from rackmeter.llm.common import mix64, on_workers, span_hashes, stored, text_co
 from rackmeter.llm.graph import components
 
 BANDS, ROWS = 40, 6
+REGISTERS = BANDS * ROWS
 MANTISSA = 10
+#: Sets of up to SMALL shingles count each shingle in all registers, sets of more than LARGE deal them out. The
+#: overlap holds all sizes that a set of LARGE shingles can be linked with.
+LARGE, SMALL = 640, 800
 SIMILARITY = 80
 STANDARD_ERRORS = 6
 
@@ -58,72 +64,97 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.
     return (np.concatenate(sets) if sets else np.zeros(0, np.uint64)), np.r_[0, np.cumsum([len(s) for s in sets], dtype=np.int64)]
 
 
-def registers(values: np.ndarray, bounds: np.ndarray, count: int = BANDS * ROWS) -> np.ndarray:
-    """One row of compressed registers per set; 0 is an empty register."""
+def compressed(least: np.ndarray) -> np.ndarray:
+    """Registers of 32-bit values: leading zeros (plus one) and the bits after the leading one."""
+    bits = np.frexp(least.astype(np.float64))[1].astype(np.int64)
+    zeros = 32 - bits
+    after = least.astype(np.uint64) << (zeros + 1).astype(np.uint64) & np.uint64(0xFFFFFFFF)
+    return ((zeros + 1).astype(np.uint64) << np.uint64(MANTISSA) | after >> np.uint64(32 - MANTISSA)).astype(np.uint16)
+
+
+def dealt_registers(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A row of registers per large set: each shingle goes to one register, 0 is an empty one."""
     docs = len(bounds) - 1
-    out = np.zeros(docs * count, dtype=np.uint16)
+    out = np.zeros(docs * REGISTERS, dtype=np.uint16)
     if len(values):
         scrambled = mix64(values ^ np.uint64(0x5851F42D4C957F2D))
-        register = (scrambled >> np.uint64(32)) * np.uint64(count) >> np.uint64(32)
-        owner = np.repeat(np.arange(docs, dtype=np.uint64), np.diff(bounds)) * np.uint64(count) + register
+        register = (scrambled >> np.uint64(32)) * np.uint64(REGISTERS) >> np.uint64(32)
+        owner = np.repeat(np.arange(docs, dtype=np.uint64), np.diff(bounds)) * np.uint64(REGISTERS) + register
         keys = np.sort(owner << np.uint64(32) | scrambled & np.uint64(0xFFFFFFFF))
         cell = (keys >> np.uint64(32)).astype(np.int64)
         head = np.r_[True, cell[1:] != cell[:-1]]
-        least = keys[head] & np.uint64(0xFFFFFFFF)
-        bits = np.frexp(least.astype(np.float64))[1].astype(np.int64)  # bit length
-        zeros = 32 - bits
-        after = least << (zeros + 1).astype(np.uint64) & np.uint64(0xFFFFFFFF)
-        mantissa = after >> np.uint64(32 - MANTISSA)
-        out[cell[head]] = np.uint64(1024) * (zeros + 1).astype(np.uint64) + mantissa
-    return out.reshape(docs, count)
+        out[cell[head]] = compressed(keys[head] & np.uint64(0xFFFFFFFF))
+    return out.reshape(docs, REGISTERS)
+
+
+_FACTORS = mix64(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
+
 
+def filled_registers(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A row of registers per small set: each shingle counts in all registers, by a hash for each."""
+    out = np.empty((len(bounds) - 1, REGISTERS), dtype=np.uint32)
+    scrambled = mix64(values ^ np.uint64(0x1D8E4E27C47D124F))
+    for row, (low, high) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+        out[row] = (np.multiply.outer(_FACTORS, scrambled[low:high]) >> np.uint64(32)).min(axis=1)
+    return compressed(out)
 
-def band_keys(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+
+def band_keys(rows: np.ndarray, kind: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the bands of each row, and whether the band has a filled register."""
     bands = rows.reshape(len(rows), BANDS, ROWS).astype(np.uint64)
-    keys = np.broadcast_to(mix64(np.arange(1, BANDS + 1, dtype=np.uint64)), bands.shape[:2])
+    first = mix64(np.arange(1, BANDS + 1, dtype=np.uint64) + np.uint64(1000 * kind))
+    keys = np.broadcast_to(first, bands.shape[:2])
     for k in range(ROWS):
         keys = mix64(keys + bands[:, :, k])
     return keys, bands.any(axis=2)
 
 
-def by_chance(a: np.ndarray, b: np.ndarray, count: int) -> np.ndarray:
-    """Chance that a register of two unlike sets of the given sizes holds the same filled value."""
+def by_chance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Chance that registers with the given mean numbers of different shingles hold the same filled value."""
     zeros = 0.5 ** np.arange(0, 33)
-    fill = lambda n: np.exp(-np.outer(n / count, zeros[1:])) - np.exp(-np.outer(n / count, zeros[:-1]))
+    fill = lambda n: np.exp(-np.outer(n, zeros[1:])) - np.exp(-np.outer(n, zeros[:-1]))
     return (fill(a) * fill(b)).sum(axis=1) / (1 << MANTISSA)
 
 
 def estimate(left: np.ndarray, right: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Estimated similarity of register rows of sets with ``a`` and ``b`` shingles, and its standard error at 0.8."""
+    """Estimated similarity of register rows with ``a`` and ``b`` shingles per register, and its standard error at 0.8."""
     filled = np.maximum(1, ((left > 0) | (right > 0)).sum(axis=1))
     same = ((left == right) & (left > 0)).sum(axis=1)
-    chance = by_chance(a, b, left.shape[1]) * left.shape[1]
+    chance = by_chance(a, b) * REGISTERS
     return (same - chance) / np.maximum(1e-9, filled - chance), np.sqrt(0.16 / filled)
 
 
 def signatures(docs: DataFrame, words: int, key: str, text: str) -> DataFrame:
-    """id, n_shingles, a 128-bit hash of the set and the registers of every row."""
+    """id, n_shingles, a 128-bit hash of the set and the registers (of one or both forms) of every row."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, high, data, offsets in text_slices(text_column(batch, "text")):
                 values, bounds = shingle_sets(data, offsets, words)
-                rows = registers(values, bounds)
+                size = np.diff(bounds)
+                rows = []
+                for chosen, make in (((size > 0) & (size <= SMALL), filled_registers), (size > LARGE, dealt_registers)):
+                    part = np.r_[0, np.cumsum(size[chosen])]
+                    made = iter(make(values[np.repeat(chosen, size)], part))
+                    rows.append([next(made).tobytes() if c else None for c in chosen.tolist()])
                 sums = [np.r_[np.uint64(0), np.cumsum(mix64(values ^ np.uint64(s)), dtype=np.uint64)] for s in (17, 91)]
                 columns = [
-                    batch.column(0).slice(low, high - low), pa.array(np.diff(bounds)),
+                    batch.column(0).slice(low, high - low), pa.array(size),
                     *(pa.array(np.diff(s[bounds]).view(np.int64)) for s in sums),
-                    pa.array([r.tobytes() for r in rows], pa.binary()),
+                    *(pa.array(r, pa.binary()) for r in rows),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    names = ["id", "n_shingles", "set_a", "set_b", "registers"]
+    names = ["id", "n_shingles", "set_a", "set_b", "filled", "dealt"]
     return on_workers(docs).select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(
-        describe, f"id {docs.schema[key].dataType.simpleString()}, n_shingles long, set_a long, set_b long, registers binary"
+        describe, f"id {docs.schema[key].dataType.simpleString()}, n_shingles long, set_a long, set_b long, filled binary, dealt binary"
     )
 
 
+def _rows(column: pa.Array) -> np.ndarray:
+    return np.stack([np.frombuffer(r, dtype=np.uint16) for r in column.to_pylist()])
+
+
 def bands(sets: DataFrame) -> DataFrame:
     """(band, id): a row per band with a filled register."""
 
@@ -131,31 +162,37 @@ def bands(sets: DataFrame) -> DataFrame:
         for batch in batches:
             for low in range(0, len(batch), 4096):
                 part = batch.slice(low, 4096)
-                rows = np.stack([np.frombuffer(r, dtype=np.uint16) for r in part.column(1).to_pylist()])
-                keys, filled = band_keys(rows)
-                at = np.r_[0, np.cumsum(filled.sum(axis=1))].astype(np.int32)
-                lists = pa.ListArray.from_arrays(at, pa.array(keys[filled].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["id", "bands"])
+                for kind in (1, 2):
+                    rows = part.filter(part.column(kind).is_valid())
+                    if len(rows):
+                        keys, filled = band_keys(_rows(rows.column(kind)), kind)
+                        at = np.r_[0, np.cumsum(filled.sum(axis=1))].astype(np.int32)
+                        lists = pa.ListArray.from_arrays(at, pa.array(keys[filled].view(np.int64)))
+                        yield pa.RecordBatch.from_arrays([rows.column(0), lists], names=["id", "bands"])
 
     kind = sets.schema["id"].dataType.simpleString()
-    found = sets.select("id", "registers").mapInArrow(split, f"id {kind}, bands array<long>")
+    found = sets.select("id", "filled", "dealt").mapInArrow(split, f"id {kind}, bands array<long>")
     return found.select(F.explode("bands").alias("band"), "id")
 
 
 def _plausible() -> Column:
     @F.arrow_udf("boolean")
-    def plausible(left: pa.Array, right: pa.Array, a: pa.Array, b: pa.Array) -> pa.Array:
+    def plausible(*columns: pa.Array) -> pa.Array:
         """Whether the estimate leaves a link possible."""
-        out = []
-        for low in range(0, len(left), 4096):
-            rows = [np.stack([np.frombuffer(r, np.uint16) for r in c.slice(low, 4096).to_pylist()]) for c in (left, right)]
-            sizes = [c.slice(low, 4096).to_numpy(zero_copy_only=False).astype(float) for c in (a, b)]
-            similarity, error = estimate(*rows, *sizes)
-            possible = 100 * np.minimum(*sizes) >= SIMILARITY * np.maximum(*sizes)
-            out.append(possible & (similarity >= SIMILARITY / 100 - STANDARD_ERRORS * error))
-        return pa.array(np.concatenate(out) if out else [], pa.bool_())
-
-    return plausible("ra", "rb", "na", "nb")
+        fa, fb, da, db, na, nb = columns
+        sizes = [n.to_numpy(zero_copy_only=False).astype(float) for n in (na, nb)]
+        out = 100 * np.minimum(*sizes) >= SIMILARITY * np.maximum(*sizes)
+        small = pc.and_(fa.is_valid(), fb.is_valid()).to_numpy(zero_copy_only=False)
+        for a, b, which, load in ((fa, fb, small, 1), (da, db, ~small, REGISTERS)):
+            at = np.flatnonzero(which & out)
+            for part in np.array_split(at, -(-len(at) // 4096)) if len(at) else []:
+                similarity, error = estimate(
+                    _rows(a.take(pa.array(part))), _rows(b.take(pa.array(part))), sizes[0][part] / load, sizes[1][part] / load
+                )
+                out[part] = similarity >= SIMILARITY / 100 - STANDARD_ERRORS * error
+        return pa.array(out)
+
+    return plausible("fa", "fb", "da", "db", "na", "nb")
 
 
 def _linked(words: int) -> Column:
@@ -182,7 +219,7 @@ def _linked(words: int) -> Column:
 
 def confirmed(pairs: DataFrame, sets: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     """Those of the pairs (a, b) that are links."""
-    side = lambda e: sets.select(F.col("id").alias(e), F.col("registers").alias(f"r{e}"), F.col("n_shingles").alias(f"n{e}"))
+    side = lambda e: sets.select(F.col("id").alias(e), F.col("filled").alias(f"f{e}"), F.col("dealt").alias(f"d{e}"), F.col("n_shingles").alias(f"n{e}"))
     likely = stored(
         pairs.join(side("a"), "a").join(side("b"), "b").where(_plausible()).select("a", "b"), "likely"
     )
@@ -201,7 +238,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, key: str = "doc_id", text:
     texts = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     marks = stored(signatures(docs, words, key, text), "signatures")
     real = marks.where("n_shingles > 0 and id is not null")
-    first = F.min(F.struct("id", "n_shingles", "registers"))
+    first = F.min(F.struct("id", "n_shingles", "filled", "dealt"))
     sets = stored(real.groupBy("set_a", "set_b").agg(first.alias("first")).select("set_a", "set_b", "first.*"), "sets")
     buckets = (
         bands(sets).groupBy("band").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
