@@ -74,6 +74,18 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bo
     return mix64(h + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
+def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
+    """64-bit hashes of all runs of ``size`` bytes."""
+    n = len(data) - size + 1
+    if n <= 0:
+        return np.zeros(0, dtype=np.uint64)
+    up, down = _Powers.of(len(data))
+    sums = np.empty(len(data) + 1, dtype=np.uint64)
+    sums[0] = 0
+    np.cumsum(_SYMBOL[data] * up, out=sums[1:])
+    return mix64((sums[size:] - sums[:n]) * down[:n])
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and document number of every word; a word never crosses documents."""
     n = len(data)

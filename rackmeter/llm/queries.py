@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rackmeter.llm import decontam, lattice, minhash, pieces, ranking, repetition, secrets, token_files, warc
+from rackmeter.llm import decontam, lattice, minhash, pieces, ranking, repeats, repetition, secrets, token_files, warc
 from rackmeter.llm.common import held_out, table
 from rackmeter.session import scratch_path
 
@@ -40,6 +40,13 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the byte strings that occur more than once."""
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op6_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality rules on all documents."""
     return repetition.quality_rules(table(spark, sf_dir, "documents"))
@@ -72,8 +79,8 @@ def op10_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_files": op1_token_files, "op2_pieces": op2_pieces, "op3_minhash": op3_minhash, "op4_warc": op4_warc,
-    "op6_repetition": op6_repetition, "op7_ranking": op7_ranking, "op8_secrets": op8_secrets,
-    "op9_decontamination": op9_decontamination, "op10_lattice": op10_lattice,
+    "op5_repeats": op5_repeats, "op6_repetition": op6_repetition, "op7_ranking": op7_ranking,
+    "op8_secrets": op8_secrets, "op9_decontamination": op9_decontamination, "op10_lattice": op10_lattice,
 }
 
 SQL = {
