@@ -8,10 +8,11 @@ filled, are candidates; the share of agreeing registers, corrected for agreement
 similarity; what stays above the threshold less six standard errors is confirmed on the full sets.
 
 Documents with the same set are one node from the start. In each band bucket all members are first paired
-with its smallest member only. Links found so join most of each group; then, in buckets that still hold
-several components, all members of different components are paired. A link between two documents of a
-bucket is thus only left out if both are known to be connected, so groups are the same as with
-all pairs, without listing the pairs of large groups.
+with one of them only, that which shares most buckets with others and so is the likely origin of the copies.
+Links found so join most of each group. In buckets that still hold several components, a prefix filter on the full
+sets gives the pairs of members of different components that can still be links. A link between two
+documents of a bucket is thus only left out if both are known to be connected, so groups are the same as
+with all pairs, without listing the pairs of large groups.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rackmeter.llm.common import mix64, on_workers, span_hashes, stored, text_column, text_slices, word_spans
@@ -227,6 +228,41 @@ def confirmed(pairs: DataFrame, sets: DataFrame, texts: DataFrame, words: int) -
     return likely.join(text("a"), "a").join(text("b"), "b").where(_linked(words)).select("a", "b")
 
 
+def sharing_rare(chosen: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """Pairs (a, b) of chosen documents (id, component, n_shingles) of different components that can be links.
+
+    Two sets of similarity 0.8 must share a number of shingles that follows from their sizes, so with shingles
+    ordered from rare to frequent their first shared one stands early in both. No link is left out, and
+    what many documents share is rarely that early in a set that is not linked with any of them.
+    """
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, high, data, offsets in text_slices(text_column(batch, "text")):
+                values, bounds = shingle_sets(data, offsets, words)
+                owner = pa.array(np.repeat(np.arange(low, high), np.diff(bounds)))
+                rest = [batch.column(c).take(owner) for c in (0, 1, 2)]
+                yield pa.RecordBatch.from_arrays([*rest, pa.array(values.view(np.int64))], names=names)
+
+    names = ["id", "component", "n_shingles", "shingle"]
+    kind = chosen.schema["id"].dataType.simpleString()
+    rows = chosen.join(texts, "id").select("id", "component", "n_shingles", "text").mapInArrow(
+        split, f"id {kind}, component {kind}, n_shingles long, shingle long"
+    )
+    rows = stored(rows, "shingles")
+    rarity = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("rarity"))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("rarity", "shingle"))
+    least = F.ceil(F.col("n_shingles") * SIMILARITY / 100)
+    head = rows.join(rarity, "shingle").withColumn("rank", rank).where(F.col("rank") <= F.col("n_shingles") - least + 1)
+    head = stored(head.where("rarity > 1").select("id", "component", "n_shingles", "shingle", "rank"), "rare")
+    other = head.select("shingle", *[F.col(c).alias(f"other_{c}") for c in ("id", "component", "n_shingles", "rank")])
+    # shingles that sets of these sizes must share; a shared one further back leaves too few behind it
+    common = F.ceil((F.col("n_shingles") + F.col("other_n_shingles")) * SIMILARITY / (100 + SIMILARITY))
+    early = (F.col("rank") <= F.col("n_shingles") - common + 1) & (F.col("other_rank") <= F.col("other_n_shingles") - common + 1)
+    pairs = head.join(other, "shingle").where((F.col("component") != F.col("other_component")) & (F.col("id") < F.col("other_id")) & early)
+    return pairs.select(F.col("id").alias("a"), F.col("other_id").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Groups of near-duplicates: key, n_shingles, component_id and kept, a row per row of ``docs``.
 
@@ -240,23 +276,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, key: str = "doc_id", text:
     real = marks.where("n_shingles > 0 and id is not null")
     first = F.min(F.struct("id", "n_shingles", "filled", "dealt"))
     sets = stored(real.groupBy("set_a", "set_b").agg(first.alias("first")).select("set_a", "set_b", "first.*"), "sets")
-    buckets = (
-        bands(sets).groupBy("band").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    )
-    members = stored(bands(sets).join(buckets.select("band", "hub"), "band"), "members")
-    hubs = members.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    links = stored(confirmed(hubs, sets, texts, words), "links")
+    sizes = bands(sets).groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = stored(bands(sets).join(sizes, "band"), "members")
+    # the member that shares most buckets with most others is the likely origin of the copies in a bucket
+    degree = members.groupBy("id").agg(F.sum("size").alias("degree"))
+    ranked = members.select("band", "id").join(degree, "id")
+    hub = F.max_by("id", F.struct("degree", F.xxhash64("id"))).alias("hub")
+    hubs = stored(members.select("band", "id").join(ranked.groupBy("band").agg(hub), "band"), "hubs")
+    pairs = hubs.where("id != hub").select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
+    links = stored(confirmed(pairs, sets, texts, words), "links")
     known = components(links)
-    placed = members.join(known.withColumnRenamed("node", "id"), "id", "left").select(
-        "band", "id", "hub", F.coalesce("component", "id").alias("component")
+    placed = members.select("band", "id").join(known.withColumnRenamed("node", "id"), "id", "left").select(
+        "band", "id", F.coalesce("component", "id").alias("component")
     )
     mixed = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    apart = stored(placed.join(mixed.select("band"), "band"), "apart")
-    other = apart.select("band", F.col("id").alias("b"), F.col("component").alias("other"))
-    across = (
-        apart.select("band", "hub", F.col("id").alias("a"), "component").join(other, "band")
-        .where("component != other and a < b and a != hub").select("a", "b").distinct()
-    )
+    apart = stored(placed.join(mixed.select("band"), "band").select("id", "component").distinct(), "apart")
+    across = sharing_rare(apart.join(sets.select("id", "n_shingles"), "id"), texts, words)
     more = confirmed(across, sets, texts, words)
     groups = components(links.unionAll(more))
     # rows with the same set go with the first of them
