@@ -10,7 +10,7 @@ Their collection Burrows-Wheeler transform is built column by column from the ri
 suffix of every text by one symbol; the place of the extended suffix follows from the symbols before it in the
 transform, and the common prefixes next to it from the least ones between the extended suffixes' places. All
 rounds read the transform and the prefixes in sequence and write them anew. These sequences belong to a block of
-about a thousand runs (a few hundred kilobytes), so they stay in the memory of the task and no file of a task has to
+some hundred runs (about a hundred kilobytes), so they stay in the memory of the task and no file of a task has to
 outlive it. The anchor counts as one symbol of its own, which keeps blocks with several anchors apart.
 
 An anchor with very many different runs (a passage that a large share of documents holds) would make an
@@ -31,7 +31,7 @@ from rackmeter.llm.common import gram_hashes, on_workers, span_hashes, stored, t
 
 LENGTH = 200
 ANCHOR = 64
-BLOCK_RUNS = 1000
+BLOCK_RUNS = 300
 HOT_RUNS = 4096
 SIZE_BITS, MARK_BITS = 10, 22
 #: Hashes are compared without as many low bits, which leaves room for the place (texts of 64 MB).
@@ -87,8 +87,8 @@ def collection_repeats(texts: list[np.ndarray], window: int) -> tuple[np.ndarray
     flat = np.concatenate([np.zeros(1, np.uint16), *texts])  # place 0 stands for the symbol before a whole text
     ends = np.cumsum(size) + 1
     symbol = flat[np.where(size > 0, ends - 1, 0)]
-    owner = np.arange(m)
-    depth = np.zeros(m, dtype=np.int64)
+    owner = np.arange(m, dtype=np.int32)
+    depth = np.zeros(m, dtype=np.int32)
     common = np.zeros(m, dtype=np.int32)
     last = np.arange(m)  # row of each text's longest suffix so far
     for j in range(1, int(size.max(initial=0)) + 1):
@@ -119,7 +119,7 @@ def collection_repeats(texts: list[np.ndarray], window: int) -> tuple[np.ndarray
         new_symbol[~fresh] = symbol[m:]
         new_symbol[fresh] = flat[np.where(size[inserted] > j, ends[inserted] - j - 1, 0)]
         new_owner = owner[order]
-        new_depth = np.empty(len(order), dtype=np.int64)
+        new_depth = np.empty(len(order), dtype=np.int32)
         new_depth[~fresh] = depth[m:]
         new_depth[fresh] = j
         symbol = np.r_[symbol[:m], new_symbol]
@@ -266,15 +266,15 @@ def remove_repeats(
     if not crowded.isEmpty():
         many = stored(_run_bytes(docs, kinds.join(crowded, "anchor", "left_semi")), "crowded-runs")
         stretches = stretches.unionAll(_counted_repeats(many, length))
-    first = F.shiftright("place", SIZE_BITS).bitwiseAND((1 << 31) - 1)
-    mark = F.shiftright("place", 41)
-    end = first + F.col("place").bitwiseAND((1 << SIZE_BITS) - 1)
-    whole = shared.where("alike").select("id", mark.alias("mark"), first.alias("low"), end.alias("high"))
+    # a span is written like the place of a run
+    whole = shared.where("alike").select("id", "place")
     twice = kinds.where("n > 1").select("anchor", "content", F.lit(0).cast("long").alias("low"), F.lit(None).cast("long").alias("high"))
-    parts = shared.where("not alike").join(stretches.unionAll(twice), ["anchor", "content"]).select(
-        "id", mark.alias("mark"), (first + F.col("low")).alias("low"), F.coalesce(first + F.col("high"), end).alias("high")
-    )
-    spans = whole.unionAll(parts).groupBy("id").agg(F.collect_list(F.struct("mark", "low", "high")).alias("spans"))
+    start = F.col("place") - F.col("place").bitwiseAND((1 << SIZE_BITS) - 1)
+    part = start + F.shiftleft("low", SIZE_BITS) + F.col("high") - F.col("low")
+    parts = shared.where("not alike").select("anchor", "content", "id", "place").join(
+        stretches.unionAll(twice), ["anchor", "content"]
+    ).select("id", F.coalesce(part, "place").alias("place"))
+    spans = whole.unionAll(parts).groupBy("id").agg(F.collect_list("place").alias("spans"))
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -291,13 +291,15 @@ def remove_repeats(
     )
 
 
-def _stripped(raw: bytes, spans: list[dict] | None) -> tuple[int, int, int, bytes]:
+def _stripped(raw: bytes, spans: list[int] | None) -> tuple[int, int, int, bytes]:
     """Bytes, removed bytes, maximal removed runs, and what is left."""
     if not spans:
         return len(raw), 0, 0, raw
     mark = _mark(raw)
     kept, at, removed, number = [], 0, 0, 0
-    for low, high in sorted((s["low"], s["high"]) for s in spans if s["mark"] == mark):
+    for span in sorted(s for s in spans if s >> 41 == mark):
+        low = span >> SIZE_BITS & (1 << 31) - 1
+        high = low + (span & (1 << SIZE_BITS) - 1)
         if low > at or not number:
             kept.append(raw[at:low])
             number += 1
