@@ -73,7 +73,7 @@ def samples(spark: SparkSession, sf_dir: str, few_servers: bool = False) -> Data
         cents(event * 13 % 2500).alias("cpu_sys"),
         cents(user % 90).alias("cpu_io"),
         F.lit(0.0).alias("cpu_steal"),
-        F.get_json_object("props", "$.k").cast("double").alias("cpu_idle"),
+        F.when(event % 101 == 0, F.lit(100.0)).otherwise(F.get_json_object("props", "$.k").cast("double")).alias("cpu_idle"),
         (event % 29).alias("ctn"),
         F.round(F.col("value") * 100).cast("bigint").alias("yarn_mem_used"),
         F.lit(262144).cast("bigint").alias("yarn_mem_all"),
@@ -100,7 +100,7 @@ SAMPLES_SQL = f"""
     cast(event_id * 13 % 2500 as double) / 100 as cpu_sys,
     cast(user_id % 90 as double) / 100 as cpu_io,
     cast(0 as double) as cpu_steal,
-    cast(json_extract_string(props, '$.k') as double) as cpu_idle,
+    case when event_id % 101 = 0 then 100.0 else cast(json_extract_string(props, '$.k') as double) end as cpu_idle,
     event_id % 29 as ctn,
     cast(round(value * 100) as bigint) as yarn_mem_used,
     cast(262144 as bigint) as yarn_mem_all,
@@ -129,13 +129,12 @@ def with_samples(body: str, few_servers: bool = False) -> str:
     return f"with samples as ({FEW_SERVERS_SQL if few_servers else SAMPLES_SQL})\n{body}"
 
 
-def mean_sql(column: str) -> str:
-    """The order-independent mean of a column with at most two decimals."""
-    return f"(cast(sum(cast(round({column} * 100) as bigint)) as double) / 100 / count({column}))"
+def mean_sql(column: str, digits: int = 9) -> str:
+    return f"round(avg({column}), {digits})"
 
 
-def sum_sql(column: str) -> str:
-    return f"(cast(sum(cast(round({column} * 100) as bigint)) as double) / 100)"
+def sum_sql(column: str, digits: int = 2) -> str:
+    return f"round(sum({column}), {digits})"
 
 
 # --- tasks: one row per line item -------------------------------------------------------------
@@ -255,7 +254,7 @@ def power(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 POWER_SQL = f"""
-  select {run_sql('l_suppkey')} as run, {ip_sql('l_suppkey')} as ip, l_suppkey, {mean_sql('l_extendedprice')} as avg_w,
+  select {run_sql('l_suppkey')} as run, {ip_sql('l_suppkey')} as ip, l_suppkey, cast(sum(cast(round(l_extendedprice * 100) as bigint)) as double) / 100 / count(*) as avg_w,
     max(l_extendedprice) as max_w, min(l_extendedprice) as min_w,
     (max(l_extendedprice) - min(l_extendedprice)) / 4 as stdev_w
   from lineitem group by l_suppkey"""

@@ -129,31 +129,32 @@ def snk_incremental(spark, sf_dir):
 
 
 def _rollup(spark, sf_dir) -> DataFrame:
-    return rollup.hourly_means(rollup.with_date_parts(b.samples(spark, sf_dir)), digits=2)
+    return rollup.hourly_means(rollup.with_date_parts(b.samples(spark, sf_dir)))
 
 
 def snk_rollup(spark, sf_dir):
     path = scratch_path(spark, "rollup")
     means = _rollup(spark, sf_dir)
-    writers.write_once(means, path)
-    writers.write_once(means.limit(1), path)
-    shares = {c: F.round(F.col(f"`{c}`"), 6) for c in ("cpu_nonidle%", "vcore%")}
-    return tables.rollup_table(spark, path).withColumnRenamed("ctn#", "ctn").withColumns(shares)
+    # Runs written first stay as they are; the second call only adds the others.
+    writers.write_new_partitions(means.where("run < '0115-24H'"), path, ["run"])
+    writers.write_new_partitions(means.withColumn("hour", F.when(F.col("run") < "0115-24H", 99).otherwise(F.col("hour"))), path, ["run"])
+    return sample_queries.rounded(spark.read.schema(means.schema).parquet(path))
 
 
 def src_rollup_reread(spark, sf_dir):
     path = scratch_path(spark, "reread")
     writers.write_once(_rollup(spark, sf_dir), path)
     return rollup.hourly_shares(tables.rollup_table(spark, path)).select(
-        "day", "ip", "hour", F.round("`cpu_nonidle%`", 6).alias("nonidle"), F.round("`vcore%`", 6).alias("vcore")
+        "run", "year", "day", "ip", "hour", F.round("`cpu_nonidle%`", 9).alias("nonidle"),
+        F.round("`vcore%`", 9).alias("vcore")
     )
 
 
 def snk_single_csv(spark, sf_dir):
     path = scratch_path(spark, "hourly")
-    writers.write_sorted_csv(rollup.hourly_utilisation(b.samples(spark, sf_dir)), path, ["ip", "hour"])
-    schema = "ip STRING, hour INT, cpu_user DOUBLE, non_idle DOUBLE, vcore_ratio DOUBLE, cpu_used DOUBLE, mem_used DOUBLE"
-    return spark.read.schema(schema).csv(path, header=True)
+    writers.write_sorted_csv(rollup.hourly_utilisation(b.samples(spark, sf_dir)), path, ["run", "ip", "hour"])
+    schema = "run STRING, ip STRING, hour INT, cpu_user DOUBLE, non_idle DOUBLE, vcore_ratio DOUBLE, cpu_used DOUBLE, mem_used DOUBLE"
+    return sample_queries.rounded(spark.read.schema(schema).csv(path, header=True))
 
 
 def src_raw_csv(spark, sf_dir):
@@ -201,7 +202,7 @@ def rep_fleet_files(spark, sf_dir):
         "config": "kind=config", "perf": "kind=sum_cron", "power": "kind=avg_max_min_stdev_x", "dump": "kind=sdr_log",
     }
     report = fleet.fleet_report_from_runs(
-        spark, f"{path}/*", server_queries.HOURS, b.REFERENCE, keep_last=True, files=files
+        spark, f"{path}/*", server_queries.HOURS, reference_ip=b.REFERENCE, keep_last=True, files=files
     )
     # The SQL lists the servers of the configuration.
     return report.where(F.col("jdk").isNotNull())

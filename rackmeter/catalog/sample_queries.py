@@ -14,8 +14,14 @@ IP = "10.0.0.8"
 LINE_NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
+def rounded(df, digits=9, skip=()):
+    """Sums of DOUBLE in other orders differ in the last places only."""
+    kinds = dict(df.dtypes)
+    return df.select(*[F.round(f"`{c}`", digits).alias(c) if kinds[c] == "double" and c not in skip else F.col(f"`{c}`") for c in df.columns])
+
+
 def agg_hourly_sql(spark, sf_dir):
-    return rollup.hourly_utilisation(b.samples(spark, sf_dir))
+    return rounded(rollup.hourly_utilisation(b.samples(spark, sf_dir)))
 
 
 def _dated(spark, sf_dir):
@@ -23,19 +29,19 @@ def _dated(spark, sf_dir):
 
 
 def agg_hourly_mean(spark, sf_dir):
-    means = rollup.hourly_means(_dated(spark, sf_dir))
-    return means.withColumns({c: F.round(F.col(f"`{c}`"), 6) for c in ("cpu_nonidle%", "vcore%")})
+    return rounded(rollup.hourly_means(_dated(spark, sf_dir)))
 
 
 def agg_hourly_shares(spark, sf_dir):
     means = rollup.hourly_means(_dated(spark, sf_dir), names=["cpu_idle"])
     return rollup.hourly_shares(means).select(
-        "day", "ip", "hour", F.round("`cpu_nonidle%`", 6).alias("nonidle"), F.round("`vcore%`", 6).alias("vcore")
+        "run", "year", "day", "ip", "hour", F.round("`cpu_nonidle%`", 9).alias("nonidle"),
+        F.round("`vcore%`", 9).alias("vcore")
     )
 
 
 def agg_host_mean(spark, sf_dir):
-    return rollup.host_means(b.samples(spark, sf_dir), keys=["ip"])
+    return rounded(rollup.host_means(b.samples(spark, sf_dir), keys=["ip"]))
 
 
 def prj_sample_ratios(spark, sf_dir):
@@ -63,7 +69,7 @@ def prj_metric_series(spark, sf_dir):
 
 
 def rep_minute_series(spark, sf_dir):
-    return fleet.minute_series(b.samples(spark, sf_dir), "mpc")
+    return fleet.minute_series(b.samples(spark, sf_dir))
 
 
 def agg_distinct_hosts(spark, sf_dir):
@@ -80,17 +86,17 @@ def agg_audit_counts(spark, sf_dir):
 
 def agg_sum_by_date(spark, sf_dir):
     traffic = b.samples(spark, sf_dir).select(F.to_date("ts").cast("string").alias("day"), "yarn_mem_used", "cpu_user")
-    return rollup.sum_by(traffic, ["day"], ["yarn_mem_used", "cpu_user"])
+    return rounded(rollup.sum_by(traffic, ["day"], ["yarn_mem_used", "cpu_user"]), 2)
 
 
 def agg_month_mean(spark, sf_dir):
     monthly = b.samples(spark, sf_dir).withColumn("mon", F.date_format("ts", "yyyy-MM"))
-    return rollup.mean_by(monthly, ["ip", "mon"], ["yarn_mem_used", "cpu_user"])
+    return rounded(rollup.mean_by(monthly, ["ip", "mon"], ["yarn_mem_used", "cpu_user"]))
 
 
 def agg_describe(spark, sf_dir):
     stats = describe.describe(b.table(spark, sf_dir, "events"), "value")
-    return stats.withColumns({c: F.round(c, 6) for c in ("std", "p25", "p50", "p75")})
+    return stats.withColumns({c: F.round(c, 6) for c in ("mean", "std", "p25", "p50", "p75")})
 
 
 def flt_host(spark, sf_dir):
@@ -106,7 +112,7 @@ def flt_drop_dates(spark, sf_dir):
     daily = b.samples(spark, sf_dir).select(
         F.concat(F.to_date("ts").cast("string"), F.lit(" ")).alias("day"), "cpu_user"
     )
-    totals = rollup.sum_by(daily, ["day"], ["cpu_user"])
+    totals = rounded(rollup.sum_by(daily, ["day"], ["cpu_user"]), 2)
     return rollup.without_dates(totals, "day", ["2024-01-01 ", "2024-01-30 "]).select(
         F.trim("day").alias("day"), "cpu_user"
     )
@@ -118,16 +124,21 @@ def srt_head(spark, sf_dir):
 
 def set_union_all(spark, sf_dir):
     frame = b.samples(spark, sf_dir).select("ip", "hour", "cpu_idle")
-    both = rollup.union_all([rollup.of_host(frame, "10.0.0.8", "10.0.0.9"), rollup.of_host(frame, "10.0.0.9")])
-    return both
+    return rollup.union_all([frame, frame.where("hour < 12")])
+
+
+def _line_numbers(spark, sf_dir):
+    """Columns of few decimals, and one of many."""
+    taxed = F.col("l_extendedprice") * F.col("l_discount") * F.col("l_tax")
+    return b.table(spark, sf_dir, "lineitem").select(*LINE_NUMBERS, taxed.alias("taxed"))
 
 
 def agg_column_mean(spark, sf_dir):
-    return rollup.column_means(b.table(spark, sf_dir, "lineitem").select(*LINE_NUMBERS))
+    return rounded(rollup.column_means(_line_numbers(spark, sf_dir)), 6)
 
 
 def agg_column_sum(spark, sf_dir):
-    return rollup.column_sums(b.table(spark, sf_dir, "lineitem").select(*LINE_NUMBERS))
+    return rounded(rollup.column_sums(_line_numbers(spark, sf_dir)), 2)
 
 
 def _rounded_fit(df, keys=()):
@@ -172,12 +183,13 @@ QUERIES = {
     ]
 }
 
+_LINE_VALUES = {c: c for c in LINE_NUMBERS} | {"taxed": "l_extendedprice * l_discount * l_tax"}
 _LONG = [c for c in SAMPLE_METRICS if c not in CPU_COLUMNS]
 _means = ", ".join(
-    [f"{b.mean_sql(c)} as {c}" for c in CPU_COLUMNS] + [f"avg({c}) as {c}" for c in _LONG]
+    [f"{b.mean_sql(c)} as {c}" for c in CPU_COLUMNS] + [f"{b.mean_sql(c)} as {c}" for c in _LONG]
 )
 _host_means = ", ".join(
-    [f"{b.mean_sql(c)} as {c}" for c in CPU_COLUMNS] + [f"avg({c}) as {c}" for c in YARN_COLUMNS]
+    [f"{b.mean_sql(c)} as {c}" for c in CPU_COLUMNS] + [f"{b.mean_sql(c)} as {c}" for c in YARN_COLUMNS]
 )
 _DAY = "strftime(ts, '%b-%d')"
 _series = "union all ".join(
@@ -194,20 +206,21 @@ _FIT = """round(regr_slope(l_extendedprice, l_quantity), 4) as slope,
 
 SQL = {
     "agg_hourly_sql": b.with_samples(f"""
-        select ip, hour, {b.mean_sql('cpu_user')} / 100 as cpu_user,
-          (100 - {b.mean_sql('cpu_idle')}) / 100 as non_idle,
-          avg(yarn_cpu_used) / avg(yarn_cpu_all) as vcore_ratio,
-          avg(yarn_cpu_used) as cpu_used, avg(yarn_mem_used) as mem_used
-        from samples group by ip, hour"""),
+        select run, ip, hour, round(avg(cpu_user) / 100, 9) as cpu_user,
+          round((100 - avg(cpu_idle)) / 100, 9) as non_idle,
+          round(avg(yarn_cpu_used) / avg(yarn_cpu_all), 9) as vcore_ratio,
+          {b.mean_sql('yarn_cpu_used')} as cpu_used, {b.mean_sql('yarn_mem_used')} as mem_used
+        from samples group by run, ip, hour"""),
     "agg_hourly_mean": b.with_samples(f"""
-        select {_DAY} as day, ip, hour, {_means},
-          round(avg((100 - cpu_idle) / 100), 6) as "cpu_nonidle%",
-          round(avg(cast(yarn_cpu_used as double) / yarn_cpu_all), 6) as "vcore%"
-        from samples group by 1, 2, 3"""),
+        select run, strftime(ts, '%Y') as year, {_DAY} as day, ip, hour, {_means},
+          round(avg((100 - cpu_idle) / 100), 9) as "cpu_nonidle%",
+          round(avg(cast(yarn_cpu_used as double) / yarn_cpu_all), 9) as "vcore%"
+        from samples group by 1, 2, 3, 4, 5"""),
     "agg_hourly_shares": b.with_samples(f"""
-        select {_DAY} as day, ip, hour, round(avg((100 - cpu_idle) / 100), 6) as nonidle,
-          round(avg(cast(yarn_cpu_used as double) / yarn_cpu_all), 6) as vcore
-        from samples group by 1, 2, 3"""),
+        select run, strftime(ts, '%Y') as year, {_DAY} as day, ip, hour,
+          round(avg((100 - cpu_idle) / 100), 9) as nonidle,
+          round(avg(cast(yarn_cpu_used as double) / yarn_cpu_all), 9) as vcore
+        from samples group by 1, 2, 3, 4, 5"""),
     "agg_host_mean": b.with_samples(f"select ip, {_host_means} from samples group by ip"),
     "prj_sample_ratios": b.with_samples("""
         select event_id, (100 - cpu_idle) / 100 as non_idle,
@@ -223,9 +236,7 @@ SQL = {
         select event_id, round(cpu_user * 100) / 10000 as cpu_user, round(cpu_sys * 100) / 10000 as cpu_sys,
           round(cpu_idle * 100) / 10000 as cpu_idle from samples"""),
     "prj_metric_series": b.with_samples(_series),
-    "rep_minute_series": b.with_samples("""
-        select run, ip, ts, strftime(ts, '%H:%M') as min,
-          cast(yarn_mem_used as double) / nullif(yarn_cpu_used, 0) / 1000 as value from samples"""),
+    "rep_minute_series": b.with_samples(_series.replace("select event_id, ip,", "select run, ip, ts,")),
     "agg_distinct_hosts": b.with_samples("select distinct ip from samples"),
     "agg_group_size": b.with_samples("select ip, hour, count(*) as n from samples group by ip, hour"),
     "agg_audit_counts": b.with_samples("select count(distinct ip) as servers, count(*) as rows from samples"),
@@ -233,10 +244,10 @@ SQL = {
         select strftime(ts, '%Y-%m-%d') as day, {b.sum_sql('yarn_mem_used')} as yarn_mem_used,
           {b.sum_sql('cpu_user')} as cpu_user from samples group by 1"""),
     "agg_month_mean": b.with_samples(f"""
-        select ip, strftime(ts, '%Y-%m') as mon, avg(yarn_mem_used) as yarn_mem_used,
+        select ip, strftime(ts, '%Y-%m') as mon, {b.mean_sql('yarn_mem_used')} as yarn_mem_used,
           {b.mean_sql('cpu_user')} as cpu_user from samples group by 1, 2"""),
     "agg_describe": f"""
-        select count(value) as count, {b.mean_sql('value')} as mean, round(stddev(value), 6) as std,
+        select count(value) as count, {b.mean_sql('value', 6)} as mean, round(stddev(value), 6) as std,
           min(value) as min, round(quantile_cont(value, 0.25), 6) as p25,
           round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.75), 6) as p75,
           max(value) as max from events""",
@@ -249,10 +260,10 @@ SQL = {
         where strftime(ts, '%Y-%m-%d') not in ('2024-01-01', '2024-01-30') group by 1"""),
     "srt_head": b.with_samples("select event_id, ip, ts from samples order by ts, event_id limit 5"),
     "set_union_all": b.with_samples("""
-        select ip, hour, cpu_idle from samples where ip in ('10.0.0.8', '10.0.0.9')
-        union all select ip, hour, cpu_idle from samples where ip = '10.0.0.9'"""),
-    "agg_column_mean": "select " + ", ".join(f"{b.mean_sql(c)} as {c}" for c in LINE_NUMBERS) + " from lineitem",
-    "agg_column_sum": "select " + ", ".join(f"{b.sum_sql(c)} as {c}" for c in LINE_NUMBERS) + " from lineitem",
+        select ip, hour, cpu_idle from samples
+        union all select ip, hour, cpu_idle from samples where hour < 12"""),
+    "agg_column_mean": "select " + ", ".join(f"{b.mean_sql(v, 6)} as {c}" for c, v in _LINE_VALUES.items()) + " from lineitem",
+    "agg_column_sum": "select " + ", ".join(f"{b.sum_sql(v)} as {c}" for c, v in _LINE_VALUES.items()) + " from lineitem",
     "ml_linear_fit": """
         with ranked as (select *, row_number() over (order by l_orderkey desc, l_linenumber desc,
           l_partkey desc, l_suppkey desc, l_extendedprice desc, l_quantity desc) as back from lineitem),
@@ -260,13 +271,13 @@ SQL = {
           regr_intercept(l_extendedprice, l_quantity) as c from ranked where back > 20),
         ends as (select min(l_quantity) as lo, max(l_quantity) as hi from lineitem)
         select n, round(m, 4) as slope, round(c, 3) as intercept, lo as min_x, hi as max_x,
-          round(c, 3) as y_start, round(m * hi + c, 3) as y_end from fitted, ends""",
+          round(m * lo + c, 3) as y_start, round(m * hi + c, 3) as y_end from fitted, ends""",
     "ml_linear_fit_by_group": """
         with fitted as (select l_returnflag, count(*) as n, regr_slope(l_extendedprice, l_quantity) as m,
           regr_intercept(l_extendedprice, l_quantity) as c, min(l_quantity) as lo, max(l_quantity) as hi
           from lineitem group by l_returnflag)
         select l_returnflag, n, round(m, 4) as slope, round(c, 3) as intercept, lo as min_x, hi as max_x,
-          round(c, 3) as y_start, round(m * hi + c, 3) as y_end from fitted""",
+          round(m * lo + c, 3) as y_start, round(m * hi + c, 3) as y_end from fitted""",
     "fn_math_pack": b.with_samples("""
         select event_id, cast(round(cast(cpu_idle / 100 as decimal(18,4)), 1) as double) as rounded,
           yarn_mem_used // 1000 as gb, case when cpu_idle > 50 then 'idle' else 'busy' end as state,

@@ -9,7 +9,7 @@ from rackmeter.functions import columns as cx
 from rackmeter.functions import text as tx
 from rackmeter.operators import compare, rollup
 from rackmeter.plans import fleet
-from rackmeter.schemas import FLEET_COLUMNS
+from rackmeter.schemas import FLEET_COLUMNS, FLEET_COLUMNS_SHORT
 from rackmeter.sinks import writers
 
 HOURS = 24
@@ -64,7 +64,7 @@ def prj_reuse_ratio(spark, sf_dir):
 def jon_util_tsv(spark, sf_dir):
     used = b.samples(spark, sf_dir).groupBy("ip").agg(
         F.avg("yarn_cpu_used").alias("vcore"),
-        *[cx.fixed_mean(F.col(f"cpu_{c}")).alias(c) for c in ("user", "sys", "idle")],
+        *[cx.fixed_mean(F.col(f"cpu_{c}"), fleet.MONITOR_DIGITS).alias(c) for c in ("user", "sys", "idle")],
     )
     return compare.with_utilisation(b.perf(spark, sf_dir).drop("run", "l_suppkey"), used)
 
@@ -85,7 +85,7 @@ def _fleet(spark, sf_dir):
     return fleet.fleet_report(
         config.select("run", "ip"), config.drop("s_suppkey", "host"),
         b.perf(spark, sf_dir).drop("l_suppkey"), b.power(spark, sf_dir).drop("l_suppkey"),
-        util, yarn, HOURS, b.REFERENCE,
+        util, yarn, HOURS, reference_ip=b.REFERENCE,
     )
 
 
@@ -94,9 +94,7 @@ def rep_fleet(spark, sf_dir):
 
 
 def rep_fleet_quick_view(spark, sf_dir):
-    kept = ["run", "server", "smt_vcore_freq", "mr_nbr", "mr_time", "sql_nbr", "sql_time", "tput",
-            "max_w", "actual_vcore", "containers_cpu", "mem_used_gb", "jdk"]
-    return fleet.quick_view(_fleet(spark, sf_dir)).select(*kept)
+    return fleet.quick_view(_fleet(spark, sf_dir))
 
 
 def rep_jvm_pool(spark, sf_dir):
@@ -104,9 +102,9 @@ def rep_jvm_pool(spark, sf_dir):
 
 
 def snk_flat_line(spark, sf_dir):
-    flat = ["ip", "jdk", "smt", "vcore", "freq", "mr_nbr", "sql_nbr", "scala_nbr", "containers", "cpu_used",
-            "topops_blank", "mem_used_gb", "last_blank"]
-    return writers.flat_lines(_fleet(spark, sf_dir), flat)
+    """Lines of the full and of the older layout."""
+    report = _fleet(spark, sf_dir)
+    return writers.flat_lines(report).unionAll(writers.flat_lines(report, FLEET_COLUMNS_SHORT))
 
 
 QUERIES = {
@@ -131,12 +129,14 @@ def _with_servers(body: str) -> str:
 
 
 _blank = ", ".join(f"cast(null as varchar) as {c}" for c in FLEET_COLUMNS if c.endswith("_blank"))
+# The monitor prints hundredths; their sum is taken in whole numbers, as the report does.
+_cents = lambda c: f"(cast(sum(cast(round({c} * 100) as bigint)) as double) / 100 / count({c}))"
 _vcore = "event_id % 60 + event_id % 50 + event_id % 40"
 _frac = lambda c: f"cast(cast(round(cast({c} as decimal(18,6)) * 100) as bigint) as double) / 10000"
 _FLEET_SQL = f"""
   with samples as ({b.SAMPLES_SQL}), perf as ({b.PERF_SQL}), power as ({b.POWER_SQL}), config as ({b.CONFIG_SQL}),
-  util as (select ip, {b.mean_sql('cpu_user')} as avg_user, {b.mean_sql('cpu_sys')} as avg_sys,
-    {b.mean_sql('cpu_idle')} as avg_idle, cast(sum({_vcore}) as double) / count(*) as avg_vcore,
+  util as (select ip, {_cents('cpu_user')} as avg_user, {_cents('cpu_sys')} as avg_sys,
+    {_cents('cpu_idle')} as avg_idle, cast(sum({_vcore}) as double) / count(*) as avg_vcore,
     avg(ctn) as ctn, avg(yarn_cpu_used) as cpu_used, avg(yarn_mem_used) as mem_used from samples group by ip),
   filled as (select config.run, config.ip, java_home as jdk, cast(smt as bigint) as smt, cast(vcore as bigint) as vcore,
     freq, coalesce(mr_nbr, 0) as mr_nbr, coalesce(mr_time, 0) as mr_time, coalesce(sql_nbr, 0) as sql_nbr,
@@ -152,11 +152,14 @@ _FLEET_SQL = f"""
     coalesce(cast(mr_nbr + sql_nbr as double) / nullif(max_w, 0) / {HOURS}, 0) as tput_per_wh from filled),
   ref as (select run, tput as ref_tput, tput_per_wh as ref_wh from rated where ip = '{b.REFERENCE}'),
   fleet as (select rated.*, {_REF} from rated left join ref using (run))"""
+_percent = lambda c: f"cast(cast(cast({c} as decimal(9,4)) * 100 as decimal(9,2)) as varchar) || '%' as {c}"
 FLEET_FILES_SQL = f"{_FLEET_SQL.replace(b.SAMPLES_SQL, b.FEW_SERVERS_SQL)} select * from fleet"
 _ratio = lambda n: (
     f"coalesce(round(cast({n}_reuse as decimal(18,4)) / nullif({n}_new, 0), 1), 0)"
 )
 
+_line = lambda names: " || ',' || ".join(f"coalesce(cast({c} as varchar), '')" for c in names) + " as line"
+
 SQL = {
     "prj_throughput": _with_servers("select ip, mr_nbr, sql_nbr, max_w, tput, tput_per_wh from servers"),
     "jon_vs_reference": _with_servers(
@@ -174,8 +177,8 @@ SQL = {
     "prj_reuse_ratio": b.with_tables(
         ["pool"], f"select ip, {_ratio('mr')} as mr_ratio, {_ratio('sql')} as sql_ratio from pool"),
     "jon_util_tsv": b.with_tables(["samples", "perf"], f"""
-        , util as (select ip, round(avg(yarn_cpu_used)) as actual_vcore, {b.mean_sql('cpu_user')} / 100 as user_share,
-          {b.mean_sql('cpu_sys')} / 100 as sys_share, {b.mean_sql('cpu_idle')} / 100 as idle_share
+        , util as (select ip, round(avg(yarn_cpu_used)) as actual_vcore, {_cents('cpu_user')} / 100 as user_share,
+          {_cents('cpu_sys')} / 100 as sys_share, {_cents('cpu_idle')} / 100 as idle_share
           from samples group by ip)
         select ip, mr_nbr, mr_time, sql_nbr, sql_time, scala_nbr, scala_time, actual_vcore, user_share, sys_share,
           idle_share from perf left join util using (ip)"""),
@@ -184,15 +187,15 @@ SQL = {
         select run, split_part(ip, '.', 3) || '.' || split_part(ip, '.', 4) as server,
           smt || '/' || vcore || '/' || left(freq, 4) as smt_vcore_freq, mr_nbr,
           cast(round(mr_time) as bigint) as mr_time, sql_nbr, cast(round(sql_time) as bigint) as sql_time, tput,
+          round(mr_time) <= 62 as mr_time_ok, round(sql_time) <= 39 as sql_time_ok,
+          tput >= 80000 as tput_ok, round(tput_vs_ref, 2) || 'x' as tput_vs_ref,
+          round(tput_per_wh, 2) as tput_per_wh, round(per_wh_vs_ref, 2) || 'x' as per_wh_vs_ref,
+          {_percent('user_share')}, {_percent('sys_share')}, {_percent('idle_share')},
           cast(trunc(max_w) as bigint) as max_w, cast(actual_vcore as bigint) as actual_vcore,
           concat_ws('/', containers, cpu_used) as containers_cpu, mem_used_gb, right(jdk, 16) as jdk from fleet""",
     "rep_jvm_pool": b.with_tables(["pool", "config"], f"""
         select pool.run, ip, all_crash, task_crash, failed_container, gc_limit, mr_reuse, mr_new,
           {_ratio('mr')} as mr_ratio, mr_fallback, sql_reuse, sql_new, {_ratio('sql')} as sql_ratio, sql_fallback,
           conventional, right(java_home, 16) as jdk from pool left join config using (ip)"""),
-    "snk_flat_line": f"""{_FLEET_SQL}
-        select ip || ',' || jdk || ',' || smt || ',' || vcore || ',' || freq || ',' || mr_nbr || ',' || sql_nbr || ','
-          || scala_nbr || ',' || coalesce(cast(containers as varchar), '') || ','
-          || coalesce(cast(cpu_used as varchar), '') || ',,' || coalesce(cast(mem_used_gb as varchar), '') || ',' as line
-        from fleet""",
+    "snk_flat_line": f"{_FLEET_SQL} select {_line(FLEET_COLUMNS)} from fleet union all select {_line(FLEET_COLUMNS_SHORT)} from fleet",
 }

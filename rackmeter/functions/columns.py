@@ -1,4 +1,4 @@
-"""Column helpers for metrics: ratios, shares, flags, order-independent means."""
+"""Column helpers for metrics: ratios, shares, flags, sums in fixed point."""
 
 from __future__ import annotations
 
@@ -74,15 +74,15 @@ def reaches_target(value: Column, target: float) -> Column:
     return value >= target
 
 
-def fixed(value: Column, digits: int = 2) -> Column:
+def fixed(value: Column, digits: int) -> Column:
     """The value in units of 10**-digits as BIGINT, so that sums do not depend on row order."""
     return F.rint(value * 10**digits).cast("bigint")
 
 
-def fixed_sum(value: Column, digits: int = 2) -> Column:
+def fixed_sum(value: Column, digits: int) -> Column:
     return F.sum(fixed(value, digits)).cast("double") / 10**digits
 
 
-def fixed_mean(value: Column, digits: int = 2) -> Column:
+def fixed_mean(value: Column, digits: int) -> Column:
     """Mean of values with at most ``digits`` decimals, independent of row order."""
     return fixed_sum(value, digits) / F.count(value)

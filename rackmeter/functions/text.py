@@ -59,7 +59,7 @@ def ip_valid(text: Column) -> Column:
 
 
 def host_to_ip(host: Column) -> Column:
-    """``tdw-100-76-29-3`` -> ``100.76.29.3``."""
+    """``tdw-10-0-0-3`` -> ``10.0.0.3``."""
     return F.replace(F.translate(host, "-", "."), F.lit("tdw."), F.lit(""))
 
 

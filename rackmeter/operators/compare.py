@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rackmeter.functions import columns as cx
-from rackmeter.schemas import MR_TIME_TARGET, REFERENCE_IP, SQL_TIME_TARGET, THROUGHPUT_TARGET
+from rackmeter.schemas import MR_TIME_TARGET, SQL_TIME_TARGET, THROUGHPUT_TARGET
 
 
 def with_throughput(servers: DataFrame, hours: Column) -> DataFrame:
@@ -19,7 +19,7 @@ def with_throughput(servers: DataFrame, hours: Column) -> DataFrame:
     )
 
 
-def versus_reference(servers: DataFrame, reference_ip: str = REFERENCE_IP) -> DataFrame:
+def versus_reference(servers: DataFrame, reference_ip: str) -> DataFrame:
     """Throughput and throughput per watt-hour relative to one server of the same run.
 
     The reference has one row per run, so the join stays small; a run without it gets 0.

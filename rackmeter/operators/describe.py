@@ -56,14 +56,14 @@ def exact_quantiles(df: DataFrame, column: str, shares: Sequence[float], accurac
     return hits.agg(*[F.max(F.when(F.col("i") == i, value)).alias(f"q{i}") for i in range(n)])
 
 
-def describe(df: DataFrame, column: str, digits: int = 2) -> DataFrame:
+def describe(df: DataFrame, column: str, digits: int | None = None) -> DataFrame:
     """count, mean, std, min, 25 %, 50 %, 75 % and max of a column, as one row."""
     value = F.col(column)
     q = exact_quantiles(df, column, [0.25, 0.5, 0.75])
     quartiles = q.select(F.struct("q0", "q1", "q2")).scalar()
     return df.agg(
         F.count(value).alias("count"),
-        cx.fixed_mean(value, digits).alias("mean"),
+        (F.avg(value) if digits is None else cx.fixed_mean(value, digits)).alias("mean"),
         F.stddev(value).alias("std"),
         F.min(value).alias("min"),
         F.max(value).alias("max"),

@@ -21,10 +21,9 @@ def linear_fit(df: DataFrame, x: str, y: str, keys: Sequence[str] = ()) -> DataF
 
 
 def _with_ends(fit: DataFrame) -> DataFrame:
-    """The drawn line starts at the intercept and ends on the fitted line at the highest x."""
-    return fit.withColumns(
-        {"y_start": F.col("intercept"), "y_end": F.col("slope") * F.col("max_x") + F.col("intercept")}
-    )
+    """Both ends of the drawn line lie on the fitted line, at the lowest and the highest x."""
+    at = lambda x: F.col("slope") * F.col(x) + F.col("intercept")
+    return fit.withColumns({"y_start": at("min_x"), "y_end": at("max_x")})
 
 
 def linear_fit_holdout(df: DataFrame, x: str, y: str, order: Sequence[str], n_test: int = 20) -> DataFrame:

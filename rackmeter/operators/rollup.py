@@ -24,10 +24,11 @@ def numeric_columns(df: DataFrame, skip: Iterable[str] = ()) -> list[str]:
     ]
 
 
-def stable_mean(df: DataFrame, name: str, digits: int | None = 2) -> Column:
-    """Mean of a column; with ``digits`` the sum of a DOUBLE column does not depend on row order.
+def mean_of(df: DataFrame, name: str, digits: int | None = None) -> Column:
+    """Mean of a column.
 
-    ``digits=None`` takes the plain mean, for columns with more decimals (ratios).
+    A caller who knows how many decimals the source of a DOUBLE column has may name them as ``digits``; the
+    sum is then taken in fixed point and does not depend on the order of rows.
     """
     integral = isinstance(df.schema[name].dataType, INTEGRAL)
     if digits is None or integral:
@@ -35,31 +36,42 @@ def stable_mean(df: DataFrame, name: str, digits: int | None = 2) -> Column:
     return cx.fixed_mean(F.col(f"`{name}`"), digits)
 
 
-def column_means(df: DataFrame, names: Sequence[str] | None = None, digits: int | None = 2) -> DataFrame:
+def sum_of(name: str, digits: int | None = None) -> Column:
+    """Sum of a column in its own type, or in fixed point with ``digits``."""
+    column = F.col(f"`{name}`")
+    return F.sum(column) if digits is None else cx.fixed_sum(column, digits)
+
+
+def column_means(df: DataFrame, names: Sequence[str] | None = None, digits: int | None = None) -> DataFrame:
     """Mean of every numeric column."""
     names = list(names or numeric_columns(df))
-    return df.agg(*[stable_mean(df, c, digits).alias(c) for c in names])
+    return df.agg(*[mean_of(df, c, digits).alias(c) for c in names])
 
 
-def column_sums(df: DataFrame, names: Sequence[str] | None = None, digits: int = 2) -> DataFrame:
+def column_sums(df: DataFrame, names: Sequence[str] | None = None, digits: int | None = None) -> DataFrame:
     """Sum of every numeric column."""
     names = list(names or numeric_columns(df))
-    return df.agg(*[cx.fixed_sum(F.col(f"`{c}`"), digits).alias(c) for c in names])
+    return df.agg(*[sum_of(c, digits).alias(c) for c in names])
 
 
 def host_means(
-    samples: DataFrame, names: Sequence[str] | None = None, keys: Sequence[str] = ("run", "ip"), digits: int | None = 2
+    samples: DataFrame, names: Sequence[str] | None = None, keys: Sequence[str] = ("run", "ip"), digits: int | None = None
 ) -> DataFrame:
     """Mean of the metrics per server."""
     names = list(names or CPU_COLUMNS + YARN_COLUMNS)
-    return samples.groupBy(*keys).agg(*[stable_mean(samples, c, digits).alias(c) for c in names])
+    return samples.groupBy(*keys).agg(*[mean_of(samples, c, digits).alias(c) for c in names])
+
 
+def hourly_utilisation(
+    samples: DataFrame, keys: Sequence[str] = ("run", "ip", "hour"), digits: int | None = None
+) -> DataFrame:
+    """Utilisation by run, server and hour; the vcore ratio is the ratio of the means.
 
-def hourly_utilisation(samples: DataFrame, digits: int | None = 2) -> DataFrame:
-    """Utilisation by server and hour; the vcore ratio is the ratio of the means."""
-    mean = lambda name: stable_mean(samples, name, digits)
+    Rows come in no order; a writer that wants one sorts them.
+    """
+    mean = lambda name: mean_of(samples, name, digits)
     return (
-        samples.groupBy("ip", "hour")
+        samples.groupBy(*keys)
         .agg(
             (mean("cpu_user") / 100).alias("cpu_user"),
             ((100 - mean("cpu_idle")) / 100).alias("non_idle"),
@@ -67,7 +79,6 @@ def hourly_utilisation(samples: DataFrame, digits: int | None = 2) -> DataFrame:
             mean("yarn_cpu_used").alias("cpu_used"),
             mean("yarn_mem_used").alias("mem_used"),
         )
-        .orderBy("ip", "hour")
     )
 
 
@@ -89,15 +100,18 @@ def with_date_parts(samples: DataFrame) -> DataFrame:
     )
 
 
-def hourly_means(samples: DataFrame, names: Sequence[str] | None = None, digits: int | None = 2) -> DataFrame:
-    """Mean of all metrics by (day, ip, hour), with the mean of the per-sample ratios.
+def hourly_means(
+    samples: DataFrame, names: Sequence[str] | None = None, digits: int | None = None,
+    keys: Sequence[str] = ("run", "year", "day", "ip", "hour"),
+) -> DataFrame:
+    """Mean of all metrics by run, year, day, server and hour, with the mean of the per-sample ratios.
 
-    ``samples`` needs ``day`` (see ``with_date_parts``).
+    ``samples`` needs ``year`` and ``day`` (see ``with_date_parts``).
     """
     rated = with_ratios(samples)
     names = list(names or [c for c in SAMPLE_METRICS if c in samples.columns])
-    return rated.groupBy("day", "ip", "hour").agg(
-        *[stable_mean(rated, c, digits).alias(c) for c in names],
+    return rated.groupBy(*keys).agg(
+        *[mean_of(rated, c, digits).alias(c) for c in names],
         F.avg("`cpu_nonidle%`").alias("cpu_nonidle%"),
         F.avg("`vcore%`").alias("vcore%"),
     )
@@ -106,7 +120,7 @@ def hourly_means(samples: DataFrame, names: Sequence[str] | None = None, digits:
 def hourly_shares(rollup: DataFrame, ip: str | None = None) -> DataFrame:
     """The cpu and vcore shares by hour, for one server or for all."""
     kept = rollup if ip is None else rollup.where(F.col("ip") == ip)
-    return kept.select("day", "ip", "hour", "`cpu_nonidle%`", "`vcore%`")
+    return kept.select("run", "year", "day", "ip", "hour", "`cpu_nonidle%`", "`vcore%`")
 
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
@@ -114,12 +128,12 @@ def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def sum_by(df: DataFrame, keys: Sequence[str], names: Sequence[str], digits: int = 2) -> DataFrame:
-    return df.groupBy(*keys).agg(*[cx.fixed_sum(F.col(c), digits).alias(c) for c in names])
+def sum_by(df: DataFrame, keys: Sequence[str], names: Sequence[str], digits: int | None = None) -> DataFrame:
+    return df.groupBy(*keys).agg(*[sum_of(c, digits).alias(c) for c in names])
 
 
-def mean_by(df: DataFrame, keys: Sequence[str], names: Sequence[str], digits: int | None = 2) -> DataFrame:
-    return df.groupBy(*keys).agg(*[stable_mean(df, c, digits).alias(c) for c in names])
+def mean_by(df: DataFrame, keys: Sequence[str], names: Sequence[str], digits: int | None = None) -> DataFrame:
+    return df.groupBy(*keys).agg(*[mean_of(df, c, digits).alias(c) for c in names])
 
 
 def group_sizes(df: DataFrame, *keys: str) -> DataFrame:

@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from rackmeter.functions import columns as cx
 from rackmeter.functions import text as tx
 from rackmeter.operators import compare, rollup
-from rackmeter.schemas import FLEET_COLUMNS, REFERENCE_IP
-from rackmeter.session import scratch_path
+from rackmeter.schemas import FLEET_COLUMNS
 from rackmeter.sources import lines as ln
 from rackmeter.sources import monitor, summary
 
@@ -24,6 +23,8 @@ FILES = {
     "dump": "sdr_log*",
     "pool": "hottub_log*",
 }
+# Decimals of the percentages in monitor dumps.
+MONITOR_DIGITS = 2
 DERIVED = ["tput", "tput_vs_ref", "tput_per_wh", "per_wh_vs_ref"]
 
 
@@ -37,11 +38,11 @@ def utilisation_means(cpu_rows: DataFrame, count_rows: DataFrame) -> DataFrame:
     """Mean cpu shares and used vcores per server from the rows of the dumps."""
     cpu = cpu_rows.groupBy(*KEYS).agg(
         *[
-            cx.fixed_mean(F.col(c)).alias(name)
+            cx.fixed_mean(F.col(c), MONITOR_DIGITS).alias(name)
             for c, name in [("cpu_user", "avg_user"), ("cpu_sys", "avg_sys"), ("cpu_idle", "avg_idle")]
         ]
     )
-    vcore = count_rows.groupBy(*KEYS).agg(cx.fixed_mean(F.col("vcore_total")).alias("avg_vcore"))
+    vcore = count_rows.groupBy(*KEYS).agg(F.avg("vcore_total").alias("avg_vcore"))
     return cpu.join(vcore, KEYS, "full")
 
 
@@ -59,7 +60,8 @@ def fleet_report(
     util: DataFrame,
     yarn: DataFrame,
     hours: int | None = None,
-    reference_ip: str = REFERENCE_IP,
+    *,
+    reference_ip: str,
 ) -> DataFrame:
     """One row per server in the report layout, compared with a reference server.
 
@@ -112,7 +114,7 @@ def quick_view(report: DataFrame) -> DataFrame:
         F.concat(F.round("per_wh_vs_ref", 2).cast("string"), F.lit("x")).alias("per_wh_vs_ref"),
         F.col("max_w").cast("bigint").alias("max_w"),
         F.col("actual_vcore").cast("bigint").alias("actual_vcore"),
-        *[F.concat((F.col(c) * 100).cast("string"), F.lit("%")).alias(c) for c in ("user_share", "sys_share", "idle_share")],
+        *[F.concat((F.col(c).cast("decimal(9,4)") * 100).cast("decimal(9,2)").cast("string"), F.lit("%")).alias(c) for c in ("user_share", "sys_share", "idle_share")],
         F.concat_ws("/", "containers", "cpu_used").alias("containers_cpu"),
         "mem_used_gb",
         F.right("jdk", F.lit(16)).alias("jdk"),
@@ -143,21 +145,14 @@ def jvm_pool_counts(pool: DataFrame) -> DataFrame:
 
 
 def minute_series(samples: DataFrame, metric: str | None = None) -> DataFrame:
-    """Per-minute series by server, for one metric or for all."""
+    """Per-minute series by server, for one metric or for all; each series lies in order in one partition."""
     dated = rollup.with_date_parts(samples)
     series = (
         rollup.all_metric_series(dated, "run", "ip", "ts")
         if metric is None
         else rollup.metric_series(dated, metric, "run", "ip", "ts")
     )
-    return series.orderBy("run", "ip", "ts")
-
-
-def keep_relevant(spark: SparkSession, lines: DataFrame) -> DataFrame:
-    """The relevant lines of monitor dumps, written once so that several readers share the scan."""
-    path = scratch_path(spark, "monitor-lines")
-    lines.where(monitor.relevant(F.col("line"))).write.parquet(path)
-    return spark.read.parquet(path)
+    return series.repartition("run", "ip").sortWithinPartitions("run", "ip", "ts")
 
 
 def _config(spark: SparkSession, base: str, files: Mapping[str, str]) -> DataFrame:
@@ -168,14 +163,15 @@ def fleet_report_from_runs(
     spark: SparkSession,
     runs: str,
     hours: int | None = None,
-    reference_ip: str = REFERENCE_IP,
+    *,
+    reference_ip: str,
     keep_last: bool = False,
     files: Mapping[str, str] = FILES,
 ) -> DataFrame:
     """The fleet report of all run folders that match ``runs`` (a path or glob)."""
     base = runs.rstrip("/")
     server = f"{base}/*tdw*"
-    dumps = keep_relevant(spark, ln.read_lines(spark, f"{server}/{files['dump']}"))
+    dumps = ln.read_lines(spark, f"{server}/{files['dump']}")
     perf = summary.perf_summary(ln.read_lines(spark, f"{server}/{files['perf']}", optional=True))
     power = summary.power_stats(ln.read_lines(spark, f"{server}/{files['power']}", optional=True))
     return fleet_report(
@@ -186,7 +182,7 @@ def fleet_report_from_runs(
         utilisation_means(monitor.cpu_rows(dumps), monitor.count_rows(dumps)),
         rollup.host_means(monitor.sample_blocks(dumps, keep_last, full=False)),
         hours,
-        reference_ip,
+        reference_ip=reference_ip,
     )
 
 

@@ -51,8 +51,7 @@ DURATION_EDGES = [
     0, 10, 20, 30, 40, 50, 60, 70, 80, 90, 100, 110, 120, 300, 600, 1800, 3600, 7200, 14400, 144000,
 ]
 
-# Report targets and the server the others are compared with.
+# Report targets.
 MR_TIME_TARGET = 62
 SQL_TIME_TARGET = 39
 THROUGHPUT_TARGET = 80000
-REFERENCE_IP = "100.76.29.3"

@@ -33,9 +33,11 @@ def build_session(app: str = "rackmeter", master: str | None = None, **extra: st
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below ``spark.checkpoint.dir``, which every executor can reach.
 
-    Only a session without that setting (tests on one machine) gets a local temporary folder.
+    Without that setting a session on one machine gets a temporary folder; one on a cluster gets an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="rackmeter-")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"

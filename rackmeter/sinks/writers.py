@@ -9,11 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rackmeter.schemas import CSV_NAMES, FLEET_COLUMNS
-from rackmeter.session import scratch_path
 
 KEYS = ("run", "host")
-# The most rows that are written as one file.
-SINGLE_FILE_ROWS = 1_000_000
 
 
 def write_new_partitions(
@@ -26,12 +23,14 @@ def write_new_partitions(
     """
     spark = df.sparkSession
     try:
-        # With the schema given, partition values such as 0711 are not read as numbers.
-        present = spark.read.schema(df.schema).format(fmt).load(path).select(*keys).distinct()
+        # Only names are looked at; no file of the target is opened.
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
     else:
+        value = lambda k: F.url_decode(F.regexp_replace(F.regexp_extract("path", f"/{k}=([^/]*)/", 1), r"\+", "%2B"))
+        present = files.select(*[value(k).alias(k) for k in keys]).distinct()
         df = df.join(present, list(keys), "left_anti")
     out = df.hint("rebalance", *keys).write.mode("append").partitionBy(*keys).format(fmt)
     (out.option("header", True) if fmt == "csv" else out).save(path)
@@ -42,24 +41,14 @@ def write_once(df: DataFrame, path: str) -> None:
     for_csv(df).write.mode("ignore").csv(path, header=True)
 
 
-def write_sorted_csv(
-    df: DataFrame, path: str, order: Sequence[str], single_file_rows: int = SINGLE_FILE_ROWS
-) -> None:
-    """Sorted CSV with header, in one file if the result is small.
+def write_sorted_csv(df: DataFrame, path: str, order: Sequence[str]) -> None:
+    """CSV with header in several files, sorted by range: in the order of their names they make up the order."""
+    for_csv(df.orderBy(*order)).write.csv(path, header=True)
 
-    The result is computed once into the scratch folder and counted there. Up to
-    ``single_file_rows`` rows one task writes one file; beyond that the rows are sorted by range
-    into several files, in the order of their names.
-    """
-    spark = df.sparkSession
-    staged = scratch_path(spark, "sorted-csv")
-    df.write.parquet(staged)
-    rows = spark.read.parquet(staged)
-    if rows.count() <= single_file_rows:
-        ordered = rows.repartition(1).sortWithinPartitions(*order)
-    else:
-        ordered = rows.orderBy(*order)
-    for_csv(ordered).write.csv(path, header=True)
+
+def write_single_csv(df: DataFrame, path: str, order: Sequence[str]) -> None:
+    """Sorted CSV with header, always in one file and thus by one task; made for roll-ups."""
+    for_csv(df.repartition(1).sortWithinPartitions(*order)).write.csv(path, header=True)
 
 
 def append_rows(df: DataFrame, path: str) -> None:

@@ -28,17 +28,29 @@ def _missing(error: AnalysisException) -> bool:
     return error.getCondition() == "PATH_NOT_FOUND"
 
 
+def present_paths(spark: SparkSession, paths: str | Sequence[str]) -> list[str]:
+    """Those of the paths that exist (globs: that match something), tried one by one."""
+    found = []
+    for path in [paths] if isinstance(paths, str) else paths:
+        try:
+            spark.read.format("binaryFile").load(path)
+        except AnalysisException as error:
+            if not _missing(error):
+                raise
+        else:
+            found.append(path)
+    return found
+
+
 def read_lines(spark: SparkSession, paths: str | Sequence[str], optional: bool = False) -> DataFrame:
     """Lines of all files below ``paths`` (globs allowed, ``.gz`` is unpacked on the way).
 
-    With ``optional=True`` a path without files gives an empty frame.
+    With ``optional=True`` paths without files are left out.
     """
-    try:
-        text = spark.read.text(paths if isinstance(paths, str) else list(paths))
-    except AnalysisException as error:
-        if optional and _missing(error):
-            return spark.createDataFrame([], LINE_SCHEMA)
-        raise
+    found = present_paths(spark, paths) if optional else paths
+    if not found:
+        return spark.createDataFrame([], LINE_SCHEMA)
+    text = spark.read.text(found if isinstance(found, str) else list(found))
     return text.select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("split"),
@@ -55,12 +67,10 @@ def with_server(df: DataFrame) -> DataFrame:
 
 def list_files(spark: SparkSession, paths: str | Sequence[str], optional: bool = False) -> DataFrame:
     """Path and size of each file, without reading any content."""
-    try:
-        files = spark.read.format("binaryFile").load(paths if isinstance(paths, str) else list(paths))
-    except AnalysisException as error:
-        if optional and _missing(error):
-            return spark.createDataFrame([], "file STRING, bytes BIGINT")
-        raise
+    found = present_paths(spark, paths) if optional else paths
+    if not found:
+        return spark.createDataFrame([], "file STRING, bytes BIGINT")
+    files = spark.read.format("binaryFile").load(found if isinstance(found, str) else list(found))
     return files.select(F.col("path").alias("file"), F.col("length").alias("bytes"))
 
 

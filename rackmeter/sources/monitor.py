@@ -12,7 +12,7 @@ from rackmeter.sources.lines import with_server
 
 # What the monitor writes.
 HEADER = "CST.*=="
-CPU_ROW = r"(\d{1,2}\.\d{1,2} *){6}"
+CPU_ROW = r"(\d{1,3}\.\d{1,2} *){6}"
 COUNT_LINE = "CST.*MR.*SQL"
 # A line that starts with six plain numbers.
 NUMBER_ROW = r"^\s*\d+(\.\d+)?(\s+\d+(\.\d+)?){5}"

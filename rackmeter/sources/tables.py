@@ -20,10 +20,13 @@ def trim_names(df: DataFrame) -> DataFrame:
 
 
 def _csv(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """All columns as trimmed text under their trimmed header names, with the file path."""
+    """All columns as trimmed text under their trimmed header names, with the file path.
+
+    Files whose header differs from that of the first one are refused when they are read.
+    """
     df = spark.read.csv(
         paths if isinstance(paths, str) else list(paths),
-        header=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True,
+        header=True, enforceSchema=False, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True,
     )
     names = [n.strip() for n in df.columns]
     return df.select(
@@ -70,7 +73,7 @@ def sample_table(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
 def rollup_table(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """An hourly roll-up written earlier."""
     df = _csv(spark, paths).drop("file")
-    keys = {"day", "ip", "hour"}
+    keys = {"run", "year", "day", "ip", "hour"}
     typed = {c: F.col(c).try_cast("double") for c in df.columns if c not in keys}
     return df.withColumns({**typed, "hour": F.col("hour").try_cast("int")})
 

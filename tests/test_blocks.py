@@ -46,7 +46,7 @@ def read_plainly(lines, keep_last):
             row = {"date": " ".join(w[1:7]), "hour": int(w[4].split(":")[0]), **{c: 0 for c in ALL}}
         elif row is None:
             continue
-        elif re.search(r"(\d{1,2}\.\d{1,2} *){6}", line):
+        elif re.search(r"(\d+\.\d+ *){6}", line):
             row.update(zip(CPU_COLUMNS, map(float, line.split()[:6])))
         elif any(label in line for label in LABELS):
             label = next(x for x in LABELS if x in line)

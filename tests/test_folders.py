@@ -12,7 +12,8 @@ from rackmeter.sinks import writers
 from rackmeter.sources import lines as ln
 from rackmeter.sources import summary, tables
 
-HOSTS = ["tdw-100-76-29-3", "tdw-100-76-29-4", "tdw-100-76-29-5"]
+REFERENCE = "10.0.29.3"
+HOSTS = ["tdw-10-0-29-3", "tdw-10-0-29-4", "tdw-10-0-29-5"]
 
 
 def config_text():
@@ -61,9 +62,9 @@ def runs(tmp_path):
         else:
             (d / f"sdr_log_{host}").write_text(dump_text(3, 60))
     (run / HOSTS[0] / "hottub_log_1").write_text(
-        "ip, total_crash_cnt, more\n100.76.29.3, 1, 2, 3, 4, 50, 60, 7, 8, 20, 0, 9\n")
-    (run / HOSTS[1] / "hottub_log_1").write_text("changed header\n100.76.29.4, 1, 2, 3, 4, 50, 60, 7, 8, 20, 0, 9\n")
-    (run / "tdw-100-76-29-9").mkdir()  # empty: not a server
+        "ip, total_crash_cnt, more\n10.0.29.3, 1, 2, 3, 4, 50, 60, 7, 8, 20, 0, 9\n")
+    (run / HOSTS[1] / "hottub_log_1").write_text("changed header\n10.0.29.4, 1, 2, 3, 4, 50, 60, 7, 8, 20, 0, 9\n")
+    (run / "tdw-10-0-29-9").mkdir()  # empty: not a server
     other = run / "notes"
     other.mkdir()
     (other / "readme").write_text("x\n")
@@ -84,10 +85,10 @@ def test_hosts_and_audit(spark, runs):
 
 
 def test_fleet_report(spark, runs):
-    report = fleet.fleet_report_from_runs(spark, f"{runs}/*")
+    report = fleet.fleet_report_from_runs(spark, f"{runs}/*", reference_ip=REFERENCE)
     assert report.columns == ["run", *FLEET_COLUMNS, *fleet.DERIVED, "missing_sources"]
     rows = report.collect()
-    assert [r["ip"] for r in rows] == ["100.76.29.3", "100.76.29.4", "100.76.29.5"]
+    assert [r["ip"] for r in rows] == ["10.0.29.3", "10.0.29.4", "10.0.29.5"]
     ref, second, third = rows
     assert (ref["mr_nbr"], ref["sql_nbr"], ref["tput"]) == (1000, 500, 1500)
     assert (ref["smt"], ref["vcore"], ref["jdk"]) == (8, 66, "/opt/jdk/openjdk-1.8.0-r0")
@@ -103,14 +104,14 @@ def test_fleet_report(spark, runs):
 
 
 def test_quick_view_and_flat_lines(spark, runs):
-    report = fleet.fleet_report_from_runs(spark, f"{runs}/*", hours=12).cache()
+    report = fleet.fleet_report_from_runs(spark, f"{runs}/*", hours=12, reference_ip=REFERENCE).cache()
     view = fleet.quick_view(report).collect()
     assert view[0]["server"] == "29.3" and view[0]["smt_vcore_freq"] == "8/66/3.50"
     assert view[0]["mr_time"] == 66 and not view[0]["mr_time_ok"] and view[0]["sql_time_ok"] and not view[0]["tput_ok"]
     assert view[0]["tput_vs_ref"] == "1.0x" and view[0]["jdk"] == "openjdk-1.8.0-r0"
     assert view[0]["tput_per_wh"] == 0.13  # 0.125, half away from zero
     flat = [r["line"] for r in writers.flat_lines(report).collect()]
-    assert flat[0].startswith("100.76.29.3,,,,,/opt/jdk/openjdk-1.8.0-r0,,,,8,66,3.5001GHz,,1000,65.5,,,500,38.6,15,")
+    assert flat[0].startswith("10.0.29.3,,,,,/opt/jdk/openjdk-1.8.0-r0,,,,8,66,3.5001GHz,,1000,65.5,,,500,38.6,15,")
     assert all(line.count(",") == 34 for line in flat)
     short = [r["line"] for r in writers.flat_lines(report, FLEET_COLUMNS_SHORT).collect()]
     assert all(line.count(",") == 29 for line in short)
@@ -120,7 +121,7 @@ def test_quick_view_and_flat_lines(spark, runs):
 def test_jvm_pool(spark, runs):
     rows = fleet.jvm_pool_report_from_runs(spark, f"{runs}/*").collect()
     assert [(r["ip"], r["mr_ratio"], r["sql_ratio"], r["jdk"]) for r in rows] == [
-        ("100.76.29.3", 2.5, 0.0, "openjdk-1.8.0-r0")]
+        ("10.0.29.3", 2.5, 0.0, "openjdk-1.8.0-r0")]
     lines = ln.read_lines(spark, f"{runs}/*/*/hottub_log*")
     assert summary.jvm_pool_rejects(lines).count() == 1
     assert fleet.jvm_pool_counts(summary.jvm_pool(lines)).columns[6:9] == ["mr_reuse", "mr_fallback", "mr_new"]
@@ -129,7 +130,7 @@ def test_jvm_pool(spark, runs):
 def test_perf_spread(spark, runs):
     lines = ln.read_lines(spark, f"{runs}/*/*/sum_cron*")
     rows = {r["ip"]: r for r in summary.perf_spread(lines).collect()}
-    one = rows["100.76.29.3"]
+    one = rows["10.0.29.3"]
     assert (one["mr_nbr"], one["mr_time"], one["mr_std"], one["sql_std"], one["scala_std"]) == (1000, 65.5, 180.25, 91.0, 290.0)
 
 
@@ -149,14 +150,14 @@ def test_config_forms(spark, tmp_path):
     good.write_text(config_text() )
     keyed = {r["ip"]: r for r in summary.config_blocks(ln.read_lines(spark, str(good))).collect()}
     fixed = {r["ip"]: r for r in summary.config_fixed(ln.read_lines(spark, str(good))).collect()}
-    assert set(keyed) == set(fixed) == {"100.76.29.3", "100.76.29.4"}
-    assert keyed["100.76.29.4"]["vcore"] == "67" and fixed["100.76.29.4"]["vcore"] == 67
-    assert keyed["100.76.29.3"]["java_home"] == fixed["100.76.29.3"]["java_home"] == "/opt/jdk/openjdk-1.8.0-r0"
+    assert set(keyed) == set(fixed) == {"10.0.29.3", "10.0.29.4"}
+    assert keyed["10.0.29.4"]["vcore"] == "67" and fixed["10.0.29.4"]["vcore"] == 67
+    assert keyed["10.0.29.3"]["java_home"] == fixed["10.0.29.3"]["java_home"] == "/opt/jdk/openjdk-1.8.0-r0"
     # A repeated key counts with its last value; a server named again with its last block.
     bad = tmp_path / "0711-24H" / "b.config.all.txt"
     bad.write_text(config_text() + "SMT=4\nSMT=2\n")
     lines = ln.read_lines(spark, str(bad))
-    assert {r["ip"]: r["smt"] for r in summary.config_blocks(lines).collect()}["100.76.29.4"] == "2"
+    assert {r["ip"]: r["smt"] for r in summary.config_blocks(lines).collect()}["10.0.29.4"] == "2"
     assert summary.config_fixed(lines).count() == 0 and summary.config_fixed_rejects(lines).count() == 1
 
 
@@ -206,15 +207,15 @@ def test_sample_table_is_incremental(spark, runs, tmp_path):
     assert sorted((r["host"], r["n"], r["ctn"]) for r in rows) == [(HOSTS[0], 3, 21), (HOSTS[1], 2, 0), (HOSTS[2], 2, 0)]
 
 
-@pytest.mark.parametrize("limit, files", [(1000, 1), (10, 5)])
-def test_sorted_csv(spark, tmp_path, limit, files):
+@pytest.mark.parametrize("write, single", [(writers.write_single_csv, True), (writers.write_sorted_csv, False)])
+def test_sorted_csv(spark, tmp_path, write, single):
     df = spark.range(500).select((F.col("id") * 7 % 500).alias("k"), F.lit("x").alias("v"))
     path = tmp_path / "csv"
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    writers.write_sorted_csv(df, str(path), ["k"], single_file_rows=limit)
+    write(df, str(path), ["k"])
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     parts = sorted(path.glob("part-*.csv"))
-    assert (len(parts) == 1) if files == 1 else (len(parts) >= files)
+    assert (len(parts) == 1) == single
     keys = [int(line.split(",")[0]) for p in parts for line in p.read_text().splitlines()[1:]]
     assert keys == list(range(500))
 

@@ -112,7 +112,7 @@ def test_recalculation(spark):
 def test_ratio_of_means_and_mean_of_ratios_differ(spark):
     rows = [("10.0.0.1", 1, "Tue Jul 11 01:00:01 CST 2017", 0.0, 50.0, 10, 20, 1000), ("10.0.0.1", 1, "Tue Jul 11 01:01:01 CST 2017", 10.0, 60.0, 30, 40, 3000)]
     schema = "ip STRING, hour INT, date STRING, cpu_user DOUBLE, cpu_idle DOUBLE, yarn_cpu_used BIGINT, yarn_cpu_all BIGINT, yarn_mem_used BIGINT"
-    samples = rollup.with_date_parts(spark.createDataFrame(rows, schema))
+    samples = rollup.with_date_parts(spark.createDataFrame(rows, schema).withColumn("run", F.lit("0711-24H")))
     sql = rollup.hourly_utilisation(samples).first()
     assert sql["vcore_ratio"] == 20 / 30 and sql["cpu_user"] == 0.05 and sql["non_idle"] == 0.45
     mean = rollup.hourly_means(samples).first()
@@ -169,3 +169,29 @@ def test_helpers(spark):
     assert value(tx.run_of(F.lit("/a/0711-24H/tdw-1-2-3-4/sdr_log"))) == "0711-24H"
     assert value(tx.run_of(F.lit("/a/0711-24H/x.config.all.txt"))) == "0711-24H"
     assert value(tx.host_to_ip(tx.host_of(F.lit("/a/0711-24H/tdw-1-2-3-4/sdr_log")))) == "1.2.3.4"
+
+
+def test_means_and_sums_are_exact(spark):
+    df = spark.createDataFrame([(0.001, 2**60), (0.004, 1)], "x DOUBLE, n BIGINT")
+    assert tuple(rollup.column_means(df, ["x"]).first()) == (0.0025,)
+    assert tuple(rollup.column_sums(df).first()) == (0.005, 2**60 + 1)
+    odd = spark.createDataFrame([(float("nan"),), (1.0,)], "x DOUBLE")
+    assert str(rollup.column_sums(odd).first()[0]) == "nan"
+
+
+def test_line_ends_lie_on_the_line(spark):
+    df = spark.createDataFrame([(2.0, 5.0), (4.0, 9.0)], "x DOUBLE, y DOUBLE")
+    from rackmeter.operators import fit
+
+    row = fit.linear_fit(df, "x", "y").first()
+    assert (round(row["y_start"], 9), round(row["y_end"], 9)) == (5.0, 9.0)
+
+
+def test_missing_paths_are_left_out(spark, tmp_path):
+    from rackmeter.sources import lines as ln
+
+    (tmp_path / "there").mkdir()
+    (tmp_path / "there" / "a.txt").write_text("x\ny\n")
+    paths = [str(tmp_path / "there"), str(tmp_path / "gone" / "*")]
+    assert ln.read_lines(spark, paths, optional=True).count() == 2
+    assert ln.list_files(spark, paths, optional=True).count() == 1

@@ -59,4 +59,4 @@ def test_every_query_has_sql():
 
 
 def test_entry(spark):
-    assert entry.entry(spark).columns == ["ip", "hour", "cpu_user", "non_idle", "vcore_ratio", "cpu_used", "mem_used"]
+    assert entry.entry(spark).columns == ["run", "ip", "hour", "cpu_user", "non_idle", "vcore_ratio", "cpu_used", "mem_used"]
