@@ -3,20 +3,22 @@
 Every text is a first layer. A work list unwraps a layer further: percent escapes and Unicode escapes are
 replaced in place (the new layer keeps the words around them), base64 runs and the compressed data
 in them become layers of their own. Each new layer is scanned like the first and put on the list, until no
-layer yields another; a layer that was seen before in the same text is not taken again, which ends cycles.
+layer yields another; a layer that was seen before at the same place is not taken again, which ends cycles.
 Every layer carries a map back to the original text, so spans are places in the original: for
-replaced escapes the characters themselves, for base64 and compressed data the whole run.
+replaced escapes the characters themselves, for base64 and compressed data the whole run, or those of its
+lines that hold the secret. Compressed data of any size is unfolded in chunks and scanned in portions.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
 import bisect
+import codecs
 import hashlib
+import itertools
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -36,10 +38,19 @@ ASSIGN_LENGTH = 12
 PERCENT = re.compile("(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2})+")
 UNICODE_ONE = re.compile(r"\\[uUx]([0-9A-Fa-f]+)")
-BASE64 = re.compile("[A-Za-z0-9+/_-]{16,}={0,2}")
-LAYER_BYTES = 16 << 20
-_CONTROL = re.compile("[\x00-\x08\x0e-\x1f\x7f]")
-
+RUN = 16
+_SET = "[A-Za-z0-9+/_-]"
+LINE = re.compile(f"{_SET}+")
+BASE64 = re.compile(
+    f"(?<!{_SET})(?:{_SET}{{{RUN},}}|{_SET}+(?=\r?\n[ \t]*{_SET}))(?:\r?\n[ \t]*{_SET}+)*={{0,2}}"
+)
+# Places that no match can cross, nor one in what escapes are replaced by: characters of no pattern, empty lines,
+# and single spaces after letters that end no escape.
+LAST_CUT = re.compile(r"""(?s).*(?:[^A-Za-z0-9+/_.=%\\"':\s-]|\n\r?\n|[g-zG-Z]\x20(?=[A-Za-z]))""")
+CHUNK = 1 << 18
+PORTION = 1 << 20
+
+Source = Callable[[], Iterator[bytes]]
 Span = tuple[str, int, int]
 
 
@@ -126,35 +137,164 @@ def _unicode(run: str) -> Iterator[tuple[str, int]]:
         k += 1
 
 
-def _inflate(raw: bytes) -> bytes | None:
-    """Decompressed data of gzip or zlib streams up to a size that bounds what hostile data can unfold to."""
-    if raw[:2] != b"\x1f\x8b" and (len(raw) < 2 or raw[0] & 15 != 8 or (raw[0] << 8 | raw[1]) % 31):
-        return None
-    try:
-        return zlib.decompressobj(zlib.MAX_WBITS | 32).decompress(raw, LAYER_BYTES) or None
-    except zlib.error:
-        return None
+def _packed(raw: bytes) -> bool:
+    """Whether data begins like a gzip or zlib stream."""
+    return raw[:2] == b"\x1f\x8b" or len(raw) > 1 and raw[0] & 15 == 8 and not (raw[0] << 8 | raw[1]) % 31
 
 
-def _readable(raw: bytes) -> str | None:
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return None
-    return None if not text or _CONTROL.search(text) else text
+class Inflated:
+    """Decompressed data of all members of gzip or zlib streams, in chunks of bounded size.
 
+    After a pass, ``used`` is the number of source bytes that belong to the members, and ``whole`` tells whether
+    they ended without an error.
+    """
 
-def _base64(run: str) -> str | None:
-    body = run.rstrip("=").replace("-", "+").replace("_", "/")
+    def __init__(self, source: Source):
+        self.source, self.used, self.whole = source, 0, False
+
+    def __iter__(self) -> Iterator[bytes]:
+        self.used, self.whole, read, held = 0, False, 0, b""
+        member, members = None, 0
+        for part in self.source():
+            read, held, out = read + len(part), held + part, b""
+            while held or len(out) == CHUNK:
+                if member is None:
+                    held = held.lstrip(b"\0") if members else held
+                    if len(held) < 2:
+                        break
+                    if not _packed(held):
+                        self.whole = True
+                        return
+                    member = zlib.decompressobj(zlib.MAX_WBITS | 32)
+                try:
+                    out = member.decompress(held, CHUNK)
+                except zlib.error:
+                    return
+                held = member.unused_data if member.eof else member.unconsumed_tail
+                self.used = read - len(held)
+                if member.eof:
+                    member, members = None, members + 1
+                if out:
+                    yield out
+        if member is not None and (out := member.flush()):
+            yield out
+        self.whole = member is None and members > 0
+
+
+def _head(source: Source) -> bytes:
+    head = b""
+    for part in source():
+        head += part
+        if len(head) > 1:
+            break
+    return head
+
+
+def _unfolded(source: Source, seen: frozenset[bytes] = frozenset()) -> Iterator[str]:
+    """Text of compressed data, also of several layers; data that unfolds to itself ends."""
+    inflated, digest, size = Inflated(source), hashlib.blake2b(digest_size=16), 0
+    for part in inflated:
+        digest.update(part)
+        size += len(part)
+    if size and digest.digest() not in seen:
+        yield from _texts(lambda: iter(Inflated(source)), seen | {digest.digest()})
+    if not inflated.whole:
+        yield from _portions(source())
+
+
+def _texts(source: Source, seen: frozenset[bytes] = frozenset()) -> Iterator[str]:
+    return _unfolded(source, seen) if _packed(_head(source)) else _portions(source())
+
+
+def _portions(parts: Iterable[bytes]) -> Iterator[str]:
+    """Decoded text in portions that end where no match, escape or run can go on."""
+    decoder = codecs.getincrementaldecoder("utf-8")("replace")
+    held, size, least = [], 0, PORTION
+    for part in parts:
+        held.append(decoder.decode(part))
+        size += len(held[-1])
+        if size >= least:
+            text = "".join(held)
+            cut = LAST_CUT.match(text)
+            at = cut.end() if cut else 0
+            if at:
+                yield text[:at]
+            held, size = [text[at:]], len(text) - at
+            least = max(PORTION, 2 * size)
+    held.append(decoder.decode(b"", True))
+    if text := "".join(held):
+        yield text
+
+
+def _decode(run: str) -> bytes:
+    """Data of base64 characters; a last character that completes no byte is left out."""
+    body = run.replace("-", "+").replace("_", "/")
     if len(body) % 4 == 1:
-        return None
-    try:
-        raw = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-    except binascii.Error:
-        return None
-    while (inner := _inflate(raw)) is not None:
-        raw = inner
-    return _readable(raw)
+        body = body[:-1]
+    return base64.b64decode(body + "=" * (-len(body) % 4))
+
+
+def _decoded_from(run: str, start: int) -> Source:
+    """Source of the data of base64 characters from a place on."""
+    return lambda: (_decode(run[at : at + CHUNK]) for at in range(start, len(run), CHUNK))
+
+
+def _base64(layer: Layer, match: re.Match) -> Iterator[Layer]:
+    """Layers of a base64 run: of each of its lines, and of the lines joined.
+
+    A line break may also part a run from a word, so data may begin with any line: compressed data is looked for
+    at each, and other data is decoded at each remainder by 4 that a line begins with.
+    """
+    lines = list(LINE.finditer(layer.text, *match.span()))
+    spans = [m.span() for m in lines]
+    spans[-1] = spans[-1][0], match.end()
+    for (start, end), line in zip(spans, lines):
+        if len(line[0]) >= RUN:
+            origin = layer.origin(start, end)
+            for text in _texts(_decoded_from(line[0], 0)):
+                yield Layer(text, [(0, *origin, False)])
+    if len(lines) == 1:
+        return
+    run = "".join([m[0] for m in lines])
+    if len(run) < RUN:
+        return
+    offsets = list(itertools.accumulate([len(m[0]) for m in lines], initial=0))
+    for phase in sorted({o % 4 for o in offsets[:-1]}):
+        yield _joined(layer, _decode(run[phase:]), [max(0, o - phase) for o in offsets], spans)
+    for k, offset in enumerate(offsets[:-1]):
+        if _packed(_decode(run[offset : offset + 4])):
+            inflated = Inflated(_decoded_from(run, offset))
+            if not sum(map(len, inflated)):
+                continue
+            last = bisect.bisect_left(offsets, offset + -(-4 * inflated.used // 3)) - 1
+            origin = layer.origin(spans[k][0], spans[max(k, min(last, len(spans) - 1))][1])
+            for text in _texts(lambda inflated=inflated: iter(inflated)):
+                yield Layer(text, [(0, *origin, False)])
+
+
+def _joined(layer: Layer, raw: bytes, offsets: list[int], spans: list[tuple[int, int]]) -> Layer:
+    """Text of data of joined lines; a character stands for its line, or the two lines that share its bits."""
+    decoder = codecs.getincrementaldecoder("utf-8")("replace")
+    out, pieces, at, size = [], [], 0, 0
+
+    def take(end: int, first: int, last: int) -> None:
+        nonlocal at, size
+        if end > at:
+            text = decoder.decode(raw[at:end])
+            if text:
+                pieces.append((size, *layer.origin(spans[first][0], spans[last][1]), False))
+                out.append(text)
+                size += len(text)
+            at = end
+
+    for k, end in enumerate(offsets[1:]):
+        take(min(len(raw), 3 * end // 4), k, k)
+        if k + 1 < len(spans):
+            take(min(len(raw), -(-3 * end // 4)), k, k + 1)
+    if text := decoder.decode(b"", True):
+        pieces.append((size, *layer.origin(*spans[-1]), False))
+        out.append(text)
+    return Layer("".join(out), pieces)
 
 
 def _unwrap(layer: Layer) -> Iterator[Layer]:
@@ -164,24 +304,31 @@ def _unwrap(layer: Layer) -> Iterator[Layer]:
     if "\\" in text and (found := _replaced(layer, UNICODE, _unicode)):
         yield found
     for match in BASE64.finditer(text):
-        decoded = _base64(match[0])
-        if decoded:
-            yield Layer(decoded, [(0, *layer.origin(*match.span()), False)])
+        if match.end() - match.start() >= RUN:
+            yield from _base64(layer, match)
 
 
 def scan(text: str) -> tuple[list[Span], list[Span]]:
     """Base spans of a text, and all spans: those and what decoded layers add."""
     base = base_spans(text)
     found = set(base)
-    seen, work = {text}, [Layer(text, [(0, 0, len(text), True)])]
+    # Each layer is taken as far as it goes before the next portion is unfolded.
+    seen, work = set(), [iter([Layer(text, [(0, 0, len(text), True)])])] if len(text) >= RUN else []
     while work:
-        for layer in _unwrap(work.pop()):
-            if layer.text in seen:
-                continue
-            seen.add(layer.text)
-            work.append(layer)
-            for kind, start, end in base_spans(layer.text):
-                found.add((kind, *layer.origin(start, end)))
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+            continue
+        if len(layer.text) < RUN:  # shorter than any secret
+            continue
+        digest = hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+        key = (digest, *layer.origin(0, len(layer.text)))
+        if key in seen:
+            continue
+        seen.add(key)
+        for kind, start, end in base_spans(layer.text):
+            found.add((kind, *layer.origin(start, end)))
+        work.append(_unwrap(layer))
     order = lambda s: (s[1], KINDS.index(s[0]), s[2])
     return sorted(base, key=order), sorted(found, key=order)
 
