@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from rackmeter.session import scratch_path
 
 SLICE_BYTES = 2 << 20
+WINDOW_BYTES = 4 << 20
+MERGED_ROWS = 600_000
 MASK64 = (1 << 64) - 1
 
 # White space that separates words (space, tab to carriage return).
@@ -130,6 +132,66 @@ def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[in
         low = high
 
 
+def text_windows(
+    column: pa.Array, breaks: np.ndarray, limit: int = WINDOW_BYTES
+) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Like ``text_slices``, but a text over the limit comes in windows that end behind a byte of ``breaks``.
+
+    Nothing is cut that has no such byte inside. A window of a long text holds that row alone.
+    """
+    for low, high, data, offsets in text_slices(column, limit):
+        if len(data) <= 2 * limit:
+            yield low, high, data, offsets
+            continue
+        for start, end in break_windows(data, breaks, limit):
+            yield low, high, data[start:end], np.array([0, end - start], dtype=np.int64)
+
+
+def break_windows(data: np.ndarray, breaks: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Windows of at least ``limit`` bytes over all of ``data``, each but the last ending behind a byte of ``breaks``."""
+    start = 0
+    while start < len(data):
+        end = start + limit
+        while end < len(data):
+            found = np.flatnonzero(breaks[data[end - 1 : end - 1 + limit]])
+            if len(found):
+                end += int(found[0])
+                break
+            end += limit
+        end = min(end, len(data))
+        yield start, end
+        start = end
+
+
+def string_array(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Strings of the given byte lengths that stand one after the other in ``data``."""
+    offsets = np.zeros(len(lengths) + 1, dtype=np.int32)
+    np.cumsum(lengths, out=offsets[1:])
+    return pa.StringArray.from_buffers(len(lengths), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data)))
+
+
+def merged_counts(values: Iterator[pa.Array], name: str, most: int = MERGED_ROWS) -> Iterator[pa.RecordBatch]:
+    """Counts (``name``, n) of the values of a task; what is held at once is bounded, so a value may come again."""
+    held: list[pa.Table] = []
+    size = 0
+
+    def merge() -> pa.Table:
+        return pa.concat_tables(held).group_by(name).aggregate([("n", "sum")]).rename_columns([name, "n"])
+
+    for array in values:
+        counts = array.value_counts()
+        held.append(pa.table({name: counts.field(0), "n": counts.field(1)}))
+        size += len(counts)
+        if size > most:
+            held = [merge()]
+            size = held[0].num_rows
+            if size > most // 2:
+                yield from held[0].to_batches(max_chunksize=50_000)
+                held, size = [], 0
+    if held:
+        yield from merge().to_batches(max_chunksize=50_000)
+
+
 def group_starts(keys: np.ndarray) -> np.ndarray:
     """First positions of the runs of equal values in a sorted array."""
     if not len(keys):

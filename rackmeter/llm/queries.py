@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rackmeter.llm import decontam, lattice, minhash, pieces, ranking, repeats, repetition, secrets, token_files, warc
+from rackmeter.llm import decontam, lattice, minhash, pieces, ranking, repeats, repetition, secrets, token_files, variants, warc
 from rackmeter.llm.common import held_out, table
 from rackmeter.session import scratch_path
 
@@ -77,10 +77,15 @@ def op10_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.score_texts(table(spark, sf_dir, "documents"), PIECE_MODEL)
 
 
+def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants among the words of all documents."""
+    return variants.spelling_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_files": op1_token_files, "op2_pieces": op2_pieces, "op3_minhash": op3_minhash, "op4_warc": op4_warc,
     "op5_repeats": op5_repeats, "op6_repetition": op6_repetition, "op7_ranking": op7_ranking,
-    "op8_secrets": op8_secrets, "op9_decontamination": op9_decontamination, "op10_lattice": op10_lattice,
+    "op8_secrets": op8_secrets, "op9_decontamination": op9_decontamination, "op10_lattice": op10_lattice, "op11_variants": op11_variants,
 }
 
 SQL = {
