@@ -170,7 +170,9 @@ def string_array(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
     return pa.StringArray.from_buffers(len(lengths), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data)))
 
 
-def merged_counts(values: Iterator[pa.Array], name: str, most: int = MERGED_ROWS) -> Iterator[pa.RecordBatch]:
+def merged_counts(
+    parts: Iterator[tuple[pa.Array, pa.Array]], name: str, most: int = MERGED_ROWS
+) -> Iterator[pa.RecordBatch]:
     """Counts (``name``, n) of the values of a task; what is held at once is bounded, so a value may come again."""
     held: list[pa.Table] = []
     size = 0
@@ -178,10 +180,9 @@ def merged_counts(values: Iterator[pa.Array], name: str, most: int = MERGED_ROWS
     def merge() -> pa.Table:
         return pa.concat_tables(held).group_by(name).aggregate([("n", "sum")]).rename_columns([name, "n"])
 
-    for array in values:
-        counts = array.value_counts()
-        held.append(pa.table({name: counts.field(0), "n": counts.field(1)}))
-        size += len(counts)
+    for values, counts in parts:
+        held.append(pa.table({name: values, "n": counts}))
+        size += len(values)
         if size > most:
             held = [merge()]
             size = held[0].num_rows

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rackmeter.llm import decontam, lattice, minhash, pieces, ranking, repeats, repetition, secrets, token_files, variants, warc
+from rackmeter.llm import collocations, decontam, lattice, minhash, pieces, ranking, repeats, repetition, secrets, token_files, variants, warc
 from rackmeter.llm.common import held_out, table
 from rackmeter.session import scratch_path
 
@@ -82,13 +82,58 @@ def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.spelling_groups(table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strongest phrases of each language in all documents."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_files": op1_token_files, "op2_pieces": op2_pieces, "op3_minhash": op3_minhash, "op4_warc": op4_warc,
     "op5_repeats": op5_repeats, "op6_repetition": op6_repetition, "op7_ranking": op7_ranking,
     "op8_secrets": op8_secrets, "op9_decontamination": op9_decontamination, "op10_lattice": op10_lattice, "op11_variants": op11_variants,
+    "op12_collocations": op12_collocations,
 }
 
 SQL = {
+    "op12_collocations": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents
+        ), texts AS (
+            SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda x: x <> '') AS w FROM pieces
+        ), grams AS (
+            SELECT lang, 1 AS size, unnest(w) AS phrase FROM texts
+            UNION ALL
+            SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM texts
+            UNION ALL
+            SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
+            FROM texts
+        ), f AS (SELECT lang, size, phrase, count(*) AS n FROM grams GROUP BY ALL
+        ), candidates AS (
+            SELECT lang, size, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE size > 1 AND n >= 10
+        ), cuts AS (
+            SELECT c.*, k, array_to_string(w[:k], ' ') AS lp, array_to_string(w[k + 1:], ' ') AS rp
+            FROM candidates c, (VALUES (1), (2)) AS v(k) WHERE k < size
+        ), scored AS (
+            SELECT c.lang, c.size, c.phrase, c.a, k, x.n AS l, y.n AS r,
+                1000000::HUGEINT * c.a * c.a // (x.n::HUGEINT * y.n) AS score
+            FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = lp JOIN f y ON y.lang = c.lang AND y.phrase = rp
+        ), lowest AS (
+            SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+        ), inner_pairs AS (
+            SELECT lang, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS phrase, a FROM candidates WHERE size = 3
+        ), longer AS (SELECT lang, phrase, max(a) AS m FROM inner_pairs GROUP BY ALL
+        ), ranked AS (
+            SELECT lowest.lang, row_number() OVER (
+                    PARTITION BY lowest.lang ORDER BY score DESC, a DESC, lowest.phrase) AS rank, lowest.phrase, a, l, r, score
+            FROM lowest LEFT JOIN longer ON longer.lang = lowest.lang AND longer.phrase = lowest.phrase
+            WHERE size = 3 OR m IS NULL OR 100 * m < 50 * a
+        ), totals AS (SELECT lang, sum(n) AS n FROM f WHERE size = 1 GROUP BY lang)
+        SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+        FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+    """,
     "op4_warc": """
         WITH raw AS (
             SELECT page_id, encode(coalesce(html, '')) AS payload, sha1(coalesce(html, '')) AS digest FROM pages

@@ -117,12 +117,12 @@ def count_words(
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found() -> Iterator[pa.Array]:
+        def found() -> Iterator[tuple[pa.Array, pa.Array]]:
             for batch in batches:
                 ids = [zlib.crc32(f"{i}:".encode()) for i in text_column(batch, "id").to_pylist()]
                 prefixes = np.array(ids, dtype=np.uint32)
                 for low, high, data, offsets in text_windows(text_column(batch, "text"), _BREAK):
-                    yield _runs(data, offsets, prefixes[low:high], noise, least)
+                    yield _runs(data, offsets, prefixes[low:high], noise, least).value_counts().flatten()
 
         yield from merged_counts(found(), "word")
 
