@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rackmeter.llm.common import (
-    LOWER, break_windows, merged_counts, mix64, on_workers, span_hashes, stored, string_array, text_column, text_slices,
+    LOWER, MERGED_ROWS, PACKED, break_windows, merged_counts, mix64, on_workers, packed, stored, string_array, string_hashes,
+    text_column, text_slices, unpacked_sums,
 )
 
 MIN_COUNT = 10
@@ -34,7 +35,8 @@ SCALE = 1_000_000
 NESTED_SHARE = 50  # percent
 SAMPLE_OF = 8
 SAMPLE_COUNT = 2
-SLICE = 4 << 20
+SLICE = 2 << 20
+BUCKETS_A_PARTITION = 4
 MIN_BITS, MAX_BITS, BITS_A_PHRASE, PROBES = 1 << 20, 1 << 28, 12, 3
 CHUNK = 1 << 16
 
@@ -48,13 +50,6 @@ def _pair_hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:
         return mix64(left * np.uint64(0x9E3779B97F4A7C15) + mix64(right))
 
 
-def _hashes(strings: pa.Array) -> np.ndarray:
-    """Hash of each string."""
-    offsets = np.frombuffer(strings.buffers()[1], dtype=np.int32)[strings.offset : strings.offset + len(strings) + 1]
-    data = np.frombuffer(strings.buffers()[2] or b"", dtype=np.uint8)
-    return span_hashes(data, offsets[:-1].astype(np.int64), offsets[1:].astype(np.int64))
-
-
 class PhraseFilter:
     """A set of words and pairs as bits; it may say yes to others, never no to its own."""
 
@@ -85,11 +80,11 @@ def phrase_filter(phrases: DataFrame) -> Broadcast:
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(size // 8, dtype=np.uint8)
         for batch in batches:
-            lang = _hashes(batch.column(0))
-            hashes = _pair_hash(lang, _hashes(batch.column(1)))
+            lang = string_hashes(batch.column(0))
+            hashes = _pair_hash(lang, string_hashes(batch.column(1)))
             two = np.flatnonzero(batch.column(2).is_valid().to_numpy(zero_copy_only=False))
             if len(two):
-                hashes[two] = _pair_hash(hashes[two], _hashes(batch.column(2).take(pa.array(two))))
+                hashes[two] = _pair_hash(hashes[two], string_hashes(batch.column(2).take(pa.array(two))))
             for at in PhraseFilter.places(hashes, np.uint64(size - 1)):
                 np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
         for start in range(0, len(bits), CHUNK):
@@ -159,7 +154,7 @@ def _count(
     keys, single = np.unique(lang_of * d + words, return_inverse=True)
     new = starts >= new_from
     in_lang, of_word = keys // d, keys % d
-    hashes = _pair_hash(_hashes(lang_names)[in_lang], _hashes(names)[of_word])
+    hashes = _pair_hash(string_hashes(lang_names)[in_lang], string_hashes(names)[of_word])
     take = lambda array, at: array.take(pa.array(at))
     if what.words:
         counts = np.bincount(single, new).astype(np.int64)
@@ -178,7 +173,7 @@ def _count(
         _spelled(take(lang_names, in_lang[left[some]]), word(left[some]), word(right[some])), pa.array(counts[some])
     ))
     if what.most > 2 and len(pairs):
-        pair_hashes = _pair_hash(hashes[left], _hashes(names)[of_word[right]])
+        pair_hashes = _pair_hash(hashes[left], string_hashes(names)[of_word[right]])
         next_to = np.flatnonzero(at[1:] == at[:-1] + 1)
         next_to = next_to[new[at[next_to] + 2]]
         triples, n_triples = np.unique(pair[next_to] * len(pairs) + pair[next_to + 1], return_counts=True)
@@ -192,12 +187,16 @@ def _count(
     return parts, starts
 
 
-def count_phrases(docs: DataFrame, filters: list[Broadcast] | None, words: bool, most: int = 3) -> DataFrame:
+def count_phrases(
+    docs: DataFrame, filters: list[Broadcast] | None, words: bool, min_count: int, most: int = 3
+) -> DataFrame:
     """(gram, n) of one pass over (lang, text); a gram is its language, a line feed and its words.
 
     ``filters``: those of this and all earlier passes; None counts all. With ``words`` single words are counted too,
-    and the empty phrase, which stands for every word.
+    and the empty phrase, which stands for every word. Grams of n < ``min_count`` are left out, but for that one.
+    Each task counts for itself first; its counts go in one row a bucket to the task that adds them up.
     """
+    buckets = BUCKETS_A_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         what = _Pass(None if filters is None else [PhraseFilter(f.value) for f in filters], words, most)
@@ -217,9 +216,15 @@ def count_phrases(docs: DataFrame, filters: list[Broadcast] | None, words: bool,
                         yield from parts
                         carried += int(starts[-2:][0]) if len(starts) else 0
 
-        yield from merged_counts(found(), "gram")
+        yield from packed(merged_counts(found(), "gram", chunk=MERGED_ROWS), buckets)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for sums in unpacked_sums(batches, "gram"):
+            often = pc.or_(pc.greater_equal(sums["n"], min_count), pc.ends_with(sums["gram"], "\n"))
+            yield from sums.filter(often).to_batches(max_chunksize=50_000)
 
-    return on_workers(docs).mapInArrow(count, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    counts = on_workers(docs).mapInArrow(count, PACKED).repartition("bucket").sortWithinPartitions("bucket")
+    return counts.mapInArrow(add, "gram string, n long")
 
 
 def _named(counts: DataFrame) -> DataFrame:
@@ -241,14 +246,12 @@ def frequent_phrases(
     rows = docs.select(F.col(key).alias("key"), F.coalesce(lang, F.lit("und")).alias("lang"), F.col(text).alias("text"))
     sample = rows.where(F.pmod(F.xxhash64("key"), F.lit(sample_of)) == 0).select("lang", "text")
     rows = rows.select("lang", "text")
-    proposed = count_phrases(sample, None, True, most=2).where(F.col("n") >= sample_count)
+    proposed = count_phrases(sample, None, True, sample_count, most=2)
     known = stored(_named(proposed).where("size > 0"), "proposed").select("lang", "phrase")
     filters = [phrase_filter(known)]
     found: DataFrame | None = None
     while True:
-        counted = count_phrases(rows, filters, words=found is None)
-        counted = counted.where((F.col("n") >= min_count) | F.endswith("gram", F.lit("\n")))
-        now = stored(_named(counted), "counted")
+        now = stored(_named(count_phrases(rows, filters, found is None, min_count)), "counted")
         found = now if found is None else found.unionAll(now)
         parts = found.where(F.col("size").isin(1, 2)).select("lang", "phrase")
         failed = stored(parts.join(known, ["lang", "phrase"], "left_anti"), "border")

@@ -21,6 +21,7 @@ SLICE_BYTES = 2 << 20
 WINDOW_BYTES = 4 << 20
 MERGED_ROWS = 600_000
 MASK64 = (1 << 64) - 1
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 # White space that separates words (space, tab to carriage return).
 WHITE = [0x20, *range(0x09, 0x0E)]
@@ -171,14 +172,15 @@ def string_array(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
 
 
 def merged_counts(
-    parts: Iterator[tuple[pa.Array, pa.Array]], name: str, most: int = MERGED_ROWS
+    parts: Iterator[tuple[pa.Array, pa.Array]], name: str, most: int = MERGED_ROWS, chunk: int = 50_000
 ) -> Iterator[pa.RecordBatch]:
     """Counts (``name``, n) of the values of a task; what is held at once is bounded, so a value may come again."""
     held: list[pa.Table] = []
     size = 0
 
     def merge() -> pa.Table:
-        return pa.concat_tables(held).group_by(name).aggregate([("n", "sum")]).rename_columns([name, "n"])
+        merged = pa.concat_tables(held).group_by(name).aggregate([("n", "sum")])
+        return merged.rename_columns([name, "n"]).combine_chunks()
 
     for values, counts in parts:
         held.append(pa.table({name: values, "n": counts}))
@@ -187,10 +189,72 @@ def merged_counts(
             held = [merge()]
             size = held[0].num_rows
             if size > most // 2:
-                yield from held[0].to_batches(max_chunksize=50_000)
+                yield from held[0].to_batches(max_chunksize=chunk)
                 held, size = [], 0
     if held:
-        yield from merge().to_batches(max_chunksize=50_000)
+        yield from merge().to_batches(max_chunksize=chunk)
+
+
+def string_hashes(strings: pa.Array) -> np.ndarray:
+    """64-bit hash of each string."""
+    data, lengths = string_bytes(strings)
+    ends = np.cumsum(lengths, dtype=np.int64)
+    return span_hashes(data, ends - lengths, ends)
+
+
+def string_bytes(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all strings one after the other, and the length of each."""
+    offsets = np.frombuffer(strings.buffers()[1], dtype=np.int32)[strings.offset : strings.offset + len(strings) + 1]
+    raw = strings.buffers()[2]
+    data = np.frombuffer(raw, dtype=np.uint8) if raw is not None and raw.size else np.zeros(0, dtype=np.uint8)
+    return data[offsets[0] : offsets[-1]], np.diff(offsets)
+
+
+PACKED = "bucket int, lengths binary, strings binary, counts binary"
+
+
+def packed(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Strings and counts as one row of ``PACKED`` for each bucket of a batch; equal strings share a bucket."""
+    for batch in batches:
+        strings, counts = batch.column(0), batch.column(1).to_numpy()
+        bucket = (string_hashes(strings) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        strings, counts = strings.take(pa.array(order)), counts[order].astype(np.int64)
+        data, lengths = string_bytes(strings)
+        first = np.r_[group_starts(bucket[order]), len(order)]
+        place = np.r_[0, np.cumsum(lengths, dtype=np.int64)]
+        parts = list(zip(first[:-1].tolist(), first[1:].tolist()))
+        yield pa.RecordBatch.from_arrays([
+            pa.array(bucket[order][first[:-1]], pa.int32()),
+            pa.array([lengths[a:b].astype(np.int32).tobytes() for a, b in parts], pa.binary()),
+            pa.array([data[place[a] : place[b]].tobytes() for a, b in parts], pa.binary()),
+            pa.array([counts[a:b].tobytes() for a, b in parts], pa.binary()),
+        ], names=["bucket", "lengths", "strings", "counts"])
+
+
+def unpacked_sums(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.Table]:
+    """Sums (``name``, n) of each bucket, for rows of ``PACKED`` sorted by bucket."""
+    held: list[pa.Table] = []
+    size, largest, now = 0, MERGED_ROWS, None
+
+    def merge() -> pa.Table:
+        return pa.concat_tables(held).group_by(name).aggregate([("n", "sum")]).rename_columns([name, "n"])
+
+    for batch in batches:
+        for bucket, lengths, strings, counts in zip(*(batch.column(i) for i in range(4))):
+            if bucket.as_py() != now and held:
+                yield merge()
+                held, size, largest = [], 0, MERGED_ROWS
+            now = bucket.as_py()
+            values = string_array(np.frombuffer(strings.as_buffer(), dtype=np.uint8), np.frombuffer(lengths.as_buffer(), dtype=np.int32))
+            held.append(pa.table({name: values, "n": np.frombuffer(counts.as_buffer(), dtype=np.int64)}))
+            size += len(values)
+            if size > largest:
+                held = [merge()]
+                size = held[0].num_rows
+                largest = max(MERGED_ROWS, 2 * size)
+    if held:
+        yield merge()
 
 
 def group_starts(keys: np.ndarray) -> np.ndarray:
@@ -215,7 +279,10 @@ def held_out(column: str, modulus: int, remainder: int) -> Column:
 
 
 def on_workers(df: DataFrame) -> DataFrame:
-    """``df``, once the Python workers can import this package: Spark hands its files to every executor."""
+    """``df``, once the Python workers can import this package: Spark hands its files to every executor.
+
+    Unless the session sets it, a batch for a worker is limited to 8 MB.
+    """
     context = df.sparkSession.sparkContext
     if not getattr(context, "_package_shipped", False):
         package = Path(__file__).resolve().parent.parent
@@ -225,6 +292,9 @@ def on_workers(df: DataFrame) -> DataFrame:
                 out.write(source, source.relative_to(package.parent))
         context.addPyFile(str(target))
         context._package_shipped = True
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_BYTES) == "67108864b":  # the default: whole splits at once in each worker
+        conf.set(_BATCH_BYTES, "8m")
     return df
 
 
