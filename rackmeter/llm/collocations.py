@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rackmeter.llm.common import (
-    LOWER, MERGED_ROWS, PACKED, break_windows, merged_counts, mix64, on_workers, packed, stored, string_array, string_hashes,
+    LOWER, MERGED_ROWS, PACKED, break_windows, lean, merged_counts, mix64, on_workers, packed, stored, string_array, string_hashes,
     text_column, text_slices, unpacked_sums,
 )
 
@@ -35,7 +35,7 @@ SCALE = 1_000_000
 NESTED_SHARE = 50  # percent
 SAMPLE_OF = 8
 SAMPLE_COUNT = 2
-SLICE = 2 << 20
+SLICE = 1 << 20
 BUCKETS_A_PARTITION = 4
 MIN_BITS, MAX_BITS, BITS_A_PHRASE, PROBES = 1 << 20, 1 << 28, 12, 3
 CHUNK = 1 << 16
@@ -106,7 +106,7 @@ def phrase_filter(phrases: DataFrame) -> Broadcast:
     parts = parts.coalesce(4)
     kind = "start long, bits binary"
     bits = np.zeros(size // 8, dtype=np.uint8)
-    for row in parts.mapInArrow(fill, kind).repartition(4, "start").mapInArrow(unite, kind).toLocalIterator():
+    for row in parts.mapInArrow(lean(fill), kind).repartition(4, "start").mapInArrow(lean(unite), kind).toLocalIterator():
         bits[row.start : row.start + len(row.bits)] = np.frombuffer(row.bits, dtype=np.uint8)
     return phrases.sparkSession.sparkContext.broadcast(bits)
 
@@ -223,8 +223,8 @@ def count_phrases(
             often = pc.or_(pc.greater_equal(sums["n"], min_count), pc.ends_with(sums["gram"], "\n"))
             yield from sums.filter(often).to_batches(max_chunksize=50_000)
 
-    counts = on_workers(docs).mapInArrow(count, PACKED).repartition("bucket").sortWithinPartitions("bucket")
-    return counts.mapInArrow(add, "gram string, n long")
+    counts = on_workers(docs).mapInArrow(lean(count), PACKED).repartition("bucket").sortWithinPartitions("bucket")
+    return counts.mapInArrow(lean(add), "gram string, n long")
 
 
 def _named(counts: DataFrame) -> DataFrame:

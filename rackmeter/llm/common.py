@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -19,7 +21,7 @@ from rackmeter.session import scratch_path
 
 SLICE_BYTES = 2 << 20
 WINDOW_BYTES = 4 << 20
-MERGED_ROWS = 600_000
+MERGED_ROWS = 250_000
 MASK64 = (1 << 64) - 1
 _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
@@ -30,9 +32,6 @@ IS_WHITE[WHITE] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-
 
 def mix64(x: np.ndarray) -> np.ndarray:
     """Bijective scrambling of unsigned 64-bit values."""
@@ -43,50 +42,106 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_SYMBOL = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-_SYMBOL_LOWER = _SYMBOL[LOWER]
+# Span hashes: two polynomials with symbols, bases and sums of their own, modulo the prime 2^31 - 1.
+_PRIME = (1 << 31) - 1
+_P, _SHIFT = np.uint64(_PRIME), np.uint64(31)
+_BLOCK = 1 << 16
+
+
+def _fold(x: np.ndarray) -> np.ndarray:
+    """An equal value modulo the prime; below 2^33 for any x, below 2^31 + 4 for x below 2^33."""
+    return (x & _P) + (x >> _SHIFT)
+
+
+def _mod(x: np.ndarray) -> np.ndarray:
+    x = _fold(_fold(x))
+    return np.where(x >= _P, x - _P, x)
+
 
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.ones(1, dtype=np.uint64)
+    while len(out) < n:
+        out = np.concatenate([out, _mod(out * np.uint64(pow(base, len(out), _PRIME)))])
+    return out[:n]
 
-class _Powers:
-    """Powers of the hash base and of its inverse, grown on demand."""
 
-    up = np.ones(1, dtype=np.uint64)
-    down = np.ones(1, dtype=np.uint64)
+class _Lane:
+    def __init__(self, seed: int) -> None:
+        values = mix64(np.arange(1, 258, dtype=np.uint64) * np.uint64(seed | 1))
+        self.base = int(values[256] % np.uint64(_PRIME - 2)) + 2
+        self.symbols = values[:256] % np.uint64(_PRIME - 1) + np.uint64(1)
+        self.symbols_lower = self.symbols[LOWER]
+        self.up = _powers(self.base, _BLOCK)
+        self.down = _powers(pow(self.base, -1, _PRIME), _BLOCK + 1)
 
-    @classmethod
-    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            size = 1 << (n - 1).bit_length()
-            with np.errstate(over="ignore"):
-                cls.up = np.cumprod(np.r_[np.uint64(1), np.full(size - 1, _BASE, dtype=np.uint64)], dtype=np.uint64)
-                cls.down = np.cumprod(
-                    np.r_[np.uint64(1), np.full(size - 1, _BASE_INVERSE, dtype=np.uint64)], dtype=np.uint64
-                )
-        return cls.up[:n], cls.down
+    def power(self, exponents: np.ndarray) -> np.ndarray:
+        out, square = np.ones(len(exponents), dtype=np.uint64), self.base
+        left = exponents.copy()
+        while left.any():
+            out = np.where(left & 1, _mod(out * np.uint64(square)), out)
+            left >>= 1
+            square = square * square % _PRIME
+        return out
+
+
+_LANES = [_Lane(0xD1342543DE82EF95), _Lane(0xA24BAED4963EE407)]
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = False) -> np.ndarray:
-    """64-bit hashes of ``data[start:end]``, equal for equal bytes (A-Z as a-z with ``fold``)."""
-    if not len(starts):
-        return np.zeros(0, dtype=np.uint64)
-    up, down = _Powers.of(len(data))
-    sums = np.empty(len(data) + 1, dtype=np.uint64)
-    sums[0] = 0
-    np.cumsum((_SYMBOL_LOWER if fold else _SYMBOL)[data] * up, out=sums[1:])
-    h = (sums[ends] - sums[starts]) * down[starts]
-    return mix64(h + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    """64-bit hashes of ``data[start:end]``, equal for equal bytes (A-Z as a-z with ``fold``).
+
+    The bytes are gone through in blocks, so that memory beyond the result does not grow with them.
+    """
+    sums = [np.zeros(len(starts), dtype=np.uint64) for _ in _LANES]
+    if len(starts):
+        in_order = bool((starts[1:] >= starts[:-1]).all() and (ends[1:] >= ends[:-1]).all())
+        for low in range(int(starts.min()) // _BLOCK * _BLOCK, int(ends.max()), _BLOCK):
+            high = min(low + _BLOCK, len(data))
+            if in_order:
+                some = slice(int(np.searchsorted(ends, low, "right")), int(np.searchsorted(starts, high, "left")))
+            else:
+                some = np.flatnonzero((starts < high) & (ends > low))
+            first, last = np.maximum(starts[some], low) - low, np.minimum(ends[some], high) - low
+            if not len(first):
+                continue
+            later = np.flatnonzero(starts[some] < low)  # spans that began in an earlier block
+            for lane, out in zip(_LANES, sums):
+                total = np.zeros(high - low + 1, dtype=np.uint64)
+                symbols = lane.symbols_lower if fold else lane.symbols
+                np.cumsum(_fold(symbols[data[low:high]] * lane.up[: high - low]), out=total[1:])
+                part = _mod(_fold(_fold(total[last] - total[first])) * lane.down[first])
+                if len(later):
+                    part[later] = _mod(part[later] * lane.power(low - starts[some][later]))
+                out[some] = _mod(out[some] + part)
+    with np.errstate(over="ignore"):
+        lengths = (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return mix64((sums[0] << np.uint64(32) | sums[1]) ^ mix64(lengths))
+
+
+_GRAM_BASE = 0x9E3779B97F4A7C15
+_GRAM_SYMBOL = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
 def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
-    """64-bit hashes of all runs of ``size`` bytes."""
+    """64-bit hashes of all runs of ``size`` bytes, for runs of a few hundred bytes at most.
+
+    Sums modulo 2^64: strings made for the purpose collide from some thousand bytes on, so longer ones use ``span_hashes``.
+    """
     n = len(data) - size + 1
+    out = np.zeros(max(0, n), dtype=np.uint64)
     if n <= 0:
-        return np.zeros(0, dtype=np.uint64)
-    up, down = _Powers.of(len(data))
-    sums = np.empty(len(data) + 1, dtype=np.uint64)
-    sums[0] = 0
-    np.cumsum(_SYMBOL[data] * up, out=sums[1:])
-    return mix64((sums[size:] - sums[:n]) * down[:n])
+        return out
+    width = min(n, 1 << 18) + size
+    with np.errstate(over="ignore"):
+        up = np.cumprod(np.r_[np.uint64(1), np.full(width, _GRAM_BASE, dtype=np.uint64)], dtype=np.uint64)
+        inverse = np.full(width, pow(_GRAM_BASE, -1, 1 << 64), dtype=np.uint64)
+        down = np.cumprod(np.r_[np.uint64(1), inverse], dtype=np.uint64)
+        for low in range(0, n, 1 << 18):
+            m = min(n - low, 1 << 18)
+            sums = np.zeros(m + size, dtype=np.uint64)
+            np.cumsum(_GRAM_SYMBOL[data[low : low + m + size - 1]] * up[: m + size - 1], out=sums[1:])
+            out[low : low + m] = mix64((sums[size:] - sums[:m]) * down[:m])
+    return out
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -298,6 +353,39 @@ def on_workers(df: DataFrame) -> DataFrame:
     return df
 
 
+def lean(function: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function over batches that leaves nothing behind: a worker serves many tasks, of other operators too.
+
+    At the end of the task the caches named by ``per_task`` are emptied and freed memory goes back to the system.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from function(batches)
+        finally:
+            for cache in _CACHES:
+                cache.clear()
+            give_back()
+
+    return run
+
+
+_CACHES: list[dict] = []
+
+
+def per_task(cache: dict) -> dict:
+    """Names a cache of a module to be emptied at the end of each task."""
+    _CACHES.append(cache)
+    return cache
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, where the platform can do so."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

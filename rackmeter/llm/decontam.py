@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rackmeter.llm.common import on_workers, text_column, text_slices
+from rackmeter.llm.common import lean, on_workers, text_column, text_slices
 
 Q = 8
 WINDOW = 96
@@ -259,7 +259,7 @@ def _block_leaks(docs: DataFrame, block: DataFrame, share: float, q: int, schema
 
     names = [f.split("`")[1] for f in schema.split(", ")]
     item_kind = pa.int64() if "item_id` bigint" in schema else pa.int32() if "item_id` int" in schema else pa.string()
-    return on_workers(docs).mapInArrow(find, schema)
+    return on_workers(docs).mapInArrow(lean(find), schema)
 
 
 def leaked(found: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rackmeter.llm.common import (
-    LOWER, crc_of_id, on_workers, span_hashes, stored, text_column, text_slices, word_spans,
+    LOWER, crc_of_id, lean, on_workers, span_hashes, stored, text_column, text_slices, word_spans,
 )
 
 MODULUS, REMAINDER = 7, 2
@@ -208,8 +208,7 @@ def coded(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     kind_name = docs.schema[key].dataType.simpleString()
     names = ["batch", "ids", "held_out", "sizes", "codes", "hashes", "words", "counts"]
-    return on_workers(docs).select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(
-        encode, f"batch long, ids array<{kind_name}>, held_out array<boolean>, sizes array<long>, codes binary, "
+    return on_workers(docs).select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(lean(encode), f"batch long, ids array<{kind_name}>, held_out array<boolean>, sizes array<long>, codes binary, "
         "hashes array<long>, words array<string>, counts array<long>"
     )
 
@@ -248,7 +247,7 @@ def learn(batches: DataFrame, words: DataFrame, path: str, rounds: int = ROUNDS)
 
     for _ in range(rounds):
         found = (
-            on_workers(words).where("c > 0").select("word", "c").mapInArrow(expect, "piece long, uses double")
+            on_workers(words).where("c > 0").select("word", "c").mapInArrow(lean(expect), "piece long, uses double")
             .groupBy("piece").agg(F.sum("uses").alias("uses")).toPandas()
         )
         uses = np.zeros(model.size)
@@ -299,7 +298,7 @@ def score_texts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "te
         })
 
     own_end = lattice(path).end
-    scored = words.select("hash", "word", "c").mapInArrow(score, "hash long, c long, lp double")
+    scored = words.select("hash", "word", "c").mapInArrow(lean(score), "hash long, c long, lp double")
     places = batches.select(F.col("batch").alias("of"), F.posexplode("hashes").alias("code", "hash"))
     replies = places.join(scored, "hash").select("of", "code", "c", "lp")
     return (

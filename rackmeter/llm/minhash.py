@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rackmeter.llm.common import mix64, on_workers, span_hashes, stored, text_column, text_slices, word_spans
+from rackmeter.llm.common import lean, mix64, on_workers, span_hashes, stored, text_column, text_slices, word_spans
 from rackmeter.llm.graph import components
 
 BANDS, ROWS = 40, 6
@@ -147,8 +147,7 @@ def signatures(docs: DataFrame, words: int, key: str, text: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     names = ["id", "n_shingles", "set_a", "set_b", "filled", "dealt"]
-    return on_workers(docs).select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(
-        describe, f"id {docs.schema[key].dataType.simpleString()}, n_shingles long, set_a long, set_b long, filled binary, dealt binary"
+    return on_workers(docs).select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(lean(describe), f"id {docs.schema[key].dataType.simpleString()}, n_shingles long, set_a long, set_b long, filled binary, dealt binary"
     )
 
 
@@ -172,7 +171,7 @@ def bands(sets: DataFrame) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([rows.column(0), lists], names=["id", "bands"])
 
     kind = sets.schema["id"].dataType.simpleString()
-    found = sets.select("id", "filled", "dealt").mapInArrow(split, f"id {kind}, bands array<long>")
+    found = sets.select("id", "filled", "dealt").mapInArrow(lean(split), f"id {kind}, bands array<long>")
     return found.select(F.explode("bands").alias("band"), "id")
 
 
@@ -246,8 +245,7 @@ def sharing_rare(chosen: DataFrame, texts: DataFrame, words: int) -> DataFrame:
 
     names = ["id", "component", "n_shingles", "shingle"]
     kind = chosen.schema["id"].dataType.simpleString()
-    rows = chosen.join(texts, "id").select("id", "component", "n_shingles", "text").mapInArrow(
-        split, f"id {kind}, component {kind}, n_shingles long, shingle long"
+    rows = chosen.join(texts, "id").select("id", "component", "n_shingles", "text").mapInArrow(lean(split), f"id {kind}, component {kind}, n_shingles long, shingle long"
     )
     rows = stored(rows, "shingles")
     rarity = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("rarity"))

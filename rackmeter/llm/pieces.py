@@ -9,12 +9,13 @@ pairs step by step, but no step is ever undone or queued.
 No piece holds a space mark after another character, so a text is encoded word by word (a word keeps the
 space marks before it), and words are remembered. Runs of space marks have pieces of equal rank, for which
 the order of merges depends on the place; words that begin with several marks are therefore merged
-step by step. Characters outside of the vocabulary become byte pieces.
+step by step, from a heap of pairs. Characters outside of the vocabulary become byte pieces.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -23,11 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rackmeter.llm.common import on_workers, text_column
+from rackmeter.llm.common import lean, on_workers, per_task, text_column
 
 SPACE = "▁"
-CACHED_WORDS = 400_000
-CACHED_PAIRS = 1_000_000
+CACHED_WORDS = 100_000
+CACHED_PAIRS = 300_000
+CACHED_LENGTH = 64
 NORMAL, BYTE = 1, 6
 ROWS = 256
 
@@ -65,27 +67,50 @@ class PieceEncoder:
         self.marks = "".join(c for c in ".,;:!?" if c not in joined)
         self.stems = _Stems(self)
         self.words = _Words(self, self.stems)
+        per_task(self.stems)
+        per_task(self.words)
         self.pairs = _Pairs(self)
 
     def merge(self, word: str) -> list[int]:
-        """Ids by merging pairs step by step, the best rank first and the leftmost among equals."""
-        tokens = [self.ids.get(c, -1) for c in word]
-        texts = list(word)
-        while True:
-            best = None
-            for k in range(len(texts) - 1):
-                joined = self.ids.get(texts[k] + texts[k + 1])
-                if joined is not None and (best is None or self.rank[joined] < best[0]):
-                    best = self.rank[joined], k, joined
-            if best is None:
-                break
-            _, k, joined = best
-            if len(texts) == 2:
-                self.parts[joined] = tokens[0], tokens[1]
-            texts[k : k + 2], tokens[k : k + 2] = [texts[k] + texts[k + 1]], [joined]
+        """Ids by merging pairs step by step, the best rank first and the leftmost among equals.
+
+        Pairs wait in a heap, so the time is near-linear. A pair is out of date if one of its places was merged since.
+        """
+        ids, rank = self.ids, self.rank
+        tokens = [ids.get(c, -1) for c in word]
+        texts: list[str | None] = list(word)
+        following = [*range(1, len(word)), -1]
+        before = list(range(-1, len(word) - 1))
+        queue: list[tuple[float, int, int, int, int]] = []
+
+        def offer(left: int, right: int) -> None:
+            joined = ids.get(texts[left] + texts[right])
+            if joined is not None:
+                heapq.heappush(queue, (rank[joined], left, right, len(texts[left]), joined))
+
+        for k in range(len(word) - 1):
+            offer(k, k + 1)
+        alive = len(word)
+        while queue:
+            _, left, right, length, joined = heapq.heappop(queue)
+            if texts[left] is None or texts[right] is None or len(texts[left]) != length or following[left] != right:
+                continue
+            if len(texts[left]) + len(texts[right]) != len(self.piece[joined]):
+                continue
+            if alive == 2:
+                self.parts[joined] = tokens[left], tokens[right]
+            alive -= 1
+            texts[left], texts[right], tokens[left] = self.piece[joined], None, joined
+            after = following[left] = following[right]
+            if after >= 0:
+                before[after] = left
+                offer(left, after)
+            if before[left] >= 0:
+                offer(before[left], left)
         out: list[int] = []
         for token, text in zip(tokens, texts):
-            out += [token] if token >= 0 else [self.byte[b] for b in text.encode()]
+            if text is not None:
+                out += [token] if token >= 0 else [self.byte[b] for b in text.encode()]
         return out
 
     def split_of(self, token: int) -> tuple[int, int] | None:
@@ -185,7 +210,9 @@ class _Stems(dict):
         self.encoder = encoder
 
     def __missing__(self, word: str) -> str:
-        found = self[word] = ",".join(map(str, self.encoder.encode_word(word)))
+        found = ",".join(map(str, self.encoder.encode_word(word)))
+        if len(word) <= CACHED_LENGTH:
+            self[word] = found
         return found
 
 
@@ -202,7 +229,8 @@ class _Words(dict):
             found = self.stems[word]
         else:
             found = f"{self.stems[stem]},{self.stems[word[len(stem):]]}"
-        self[word] = found
+        if len(word) <= CACHED_LENGTH:
+            self[word] = found
         return found
 
 
@@ -254,4 +282,4 @@ def encode_pieces(docs: DataFrame, model: str, key: str = "doc_id", text: str =
     names = [key, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * ids]
     kind = docs.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
-    return on_workers(docs).select(F.col(key), F.col(text).alias("text")).mapInArrow(encode, schema)
+    return on_workers(docs).select(F.col(key), F.col(text).alias("text")).mapInArrow(lean(encode), schema)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rackmeter.llm.common import (
-    held_out, mix64, on_workers, span_hashes, text_column, text_slices, word_spans,
+    held_out, lean, mix64, on_workers, span_hashes, text_column, text_slices, word_spans,
 )
 from rackmeter.llm.repetition import IS_SYMBOL
 
@@ -96,8 +96,7 @@ def feature_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), lists], names=[key, "features"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return on_workers(docs).select(F.col(key), F.col(text).alias("text")).mapInArrow(
-        describe, f"`{key}` {kind}, features array<double>"
+    return on_workers(docs).select(F.col(key), F.col(text).alias("text")).mapInArrow(lean(describe), f"`{key}` {kind}, features array<double>"
     )
 
 
@@ -170,7 +169,7 @@ def score_documents(docs: DataFrame, ranking: Ranking, key: str = "doc_id", text
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(found)], names=[key, "score"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return on_workers(docs).select(F.col(key), F.col(text).alias("text")).mapInArrow(score, f"`{key}` {kind}, score double")
+    return on_workers(docs).select(F.col(key), F.col(text).alias("text")).mapInArrow(lean(score), f"`{key}` {kind}, score double")
 
 
 def accepted(docs: DataFrame, ranking: Ranking, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rackmeter.llm.common import gram_hashes, on_workers, span_hashes, stored, text_column, text_slices
+from rackmeter.llm.common import gram_hashes, lean, on_workers, span_hashes, stored, text_column, text_slices
 
 LENGTH = 200
 ANCHOR = 64
@@ -159,7 +159,7 @@ def _run_rows(docs: DataFrame, length: int, anchor: int) -> DataFrame:
                 ], names=["anchor", "content", "id", "place"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(describe, f"anchor long, content long, id {kind}, place long")
+    return docs.mapInArrow(lean(describe), f"anchor long, content long, id {kind}, place long")
 
 
 def _texts_with(docs: DataFrame, extra: DataFrame, name: str) -> DataFrame:
@@ -188,7 +188,7 @@ def _run_bytes(docs: DataFrame, chosen: DataFrame) -> DataFrame:
             )
 
     per_text = chosen.groupBy("id").agg(F.collect_list(F.struct("anchor", "content", "place")).alias("wanted"))
-    return _texts_with(docs, per_text, "wanted").mapInArrow(cut, "anchor long, content long, raw binary")
+    return _texts_with(docs, per_text, "wanted").mapInArrow(lean(cut), "anchor long, content long, raw binary")
 
 
 def _mark(raw: bytes) -> int:
@@ -229,7 +229,7 @@ def _counted_repeats(raws: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*same, pa.array(np.arange(n)), pa.array(hashes.view(np.int64))], names=names)
 
     names = ["anchor", "content", "low", "window"]
-    every = raws.mapInArrow(windows, "anchor long, content long, low long, window long")
+    every = raws.mapInArrow(lean(windows), "anchor long, content long, low long, window long")
     again = every.groupBy("anchor", "window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor", "window")
     return every.join(again, ["anchor", "window"]).select("anchor", "content", "low", (F.col("low") + length).alias("high"))
 
@@ -286,8 +286,7 @@ def remove_repeats(
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=[key, "n_bytes", "n_removed", "n_spans", "kept"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return _texts_with(docs, spans, "spans").mapInArrow(
-        strip, f"`{key}` {kind}, n_bytes long, n_removed long, n_spans long, kept binary"
+    return _texts_with(docs, spans, "spans").mapInArrow(lean(strip), f"`{key}` {kind}, n_bytes long, n_removed long, n_spans long, kept binary"
     )
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rackmeter.llm.common import (
-    IS_WHITE, mix64, on_workers, span_hashes, text_column, text_slices, word_spans,
+    IS_WHITE, lean, mix64, on_workers, span_hashes, text_column, text_slices, word_spans,
 )
 
 # Fixed values of the base rules.
@@ -151,4 +151,4 @@ def quality_rules(
     names = [key, *counts, "base_failed", "kept"]
     kind = docs.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, " + ", ".join(f"{c} long" for c in counts) + ", base_failed boolean, kept boolean"
-    return on_workers(docs).select(F.col(key), F.col(text).alias("text")).mapInArrow(count, schema)
+    return on_workers(docs).select(F.col(key), F.col(text).alias("text")).mapInArrow(lean(count), schema)

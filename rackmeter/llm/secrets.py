@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rackmeter.llm.common import on_workers, text_column
+from rackmeter.llm.common import lean, on_workers, text_column
 
 # Patterns and least lengths of the base kinds, in the order in which they are listed.
 KINDS = ["assign", "access", "hex"]
@@ -369,7 +369,7 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     names = [key, "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
     kind = docs.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
-    return on_workers(docs).select(F.col(key), F.col(text).alias("text")).mapInArrow(find, schema)
+    return on_workers(docs).select(F.col(key), F.col(text).alias("text")).mapInArrow(lean(find), schema)
 
 
 def redacted(text: Column | str, mark: str = "[SECRET]") -> Column:

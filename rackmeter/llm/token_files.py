@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rackmeter.llm.common import file_system, mix64, on_workers, text_column
+from rackmeter.llm.common import file_system, lean, mix64, on_workers, text_column
 
 MAGIC = b"IDSHARD1"
 FOOTER = "<8sBxxxxxxxQQ"
@@ -180,7 +180,7 @@ def write_tokens(
         on_workers(docs).select(F.col(key).alias("key"), F.col(text).alias("text"))
         .repartitionByRange("key")
         .sortWithinPartitions("key", "text")
-        .mapInArrow(write, f"key {kind}, shard string, ordinal long, offset long, n_tokens long")
+        .mapInArrow(lean(write), f"key {kind}, shard string, ordinal long, offset long, n_tokens long")
         .write.mode("errorifexists").parquet(f"{base}/entries")
     )
     return spark.read.parquet(f"{base}/entries")
@@ -346,7 +346,7 @@ def lookup(keys: DataFrame, base: str, key: str = "doc_id") -> DataFrame:
     kind = keys.schema[key].dataType.simpleString()
     return (
         on_workers(wanted).select("key", "hash", "file").repartition("file").sortWithinPartitions("file")
-        .mapInPandas(find, f"key {kind}, shard string, ordinal long, copies long, offset long")
+        .mapInPandas(lean(find), f"key {kind}, shard string, ordinal long, copies long, offset long")
     )
 
 
@@ -387,7 +387,7 @@ def read_documents(places: DataFrame, base: str) -> DataFrame:
     kind = places.schema["key"].dataType.simpleString()
     return (
         on_workers(places).repartition("shard").sortWithinPartitions("shard", "offset")
-        .mapInPandas(read, f"key {kind}, shard string, offset long, n_tokens long, ids binary")
+        .mapInPandas(lean(read), f"key {kind}, shard string, offset long, n_tokens long, ids binary")
     )
 
 

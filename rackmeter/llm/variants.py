@@ -22,7 +22,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rackmeter.llm.common import LOWER, merged_counts, on_workers, stored, string_array, text_column, text_windows
+from rackmeter.llm.common import (
+    LOWER, lean, merged_counts, on_workers, stored, string_array, text_column, text_windows,
+)
 
 MIN_LETTERS = 6
 MIN_COUNT = 5
@@ -127,7 +129,7 @@ def count_words(
         yield from merged_counts(found(), "word")
 
     rows = on_workers(docs).select(F.col(key).cast("string").alias("id"), F.col(text).alias("text"))
-    return rows.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(lean(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 class _Index:
@@ -285,7 +287,7 @@ def near_words(words: DataFrame, hot: int = HOT) -> DataFrame:
         "key", "suffix", "tag", "r.part", "r.role", "word", "n"
     )
     grouped = dealt.repartition("key", "part").sortWithinPartitions("key", "part", "role")
-    found = grouped.mapInArrow(_in_groups, "word string, n long, n_near long, best string, best_n long")
+    found = grouped.mapInArrow(lean(_in_groups), "word string, n long, n_near long, best string, best_n long")
     first = F.min(F.when(F.col("best").isNotNull(), F.struct((-F.col("best_n")).alias("m"), F.col("best").alias("w"))))
     return found.groupBy("word", "n").agg(F.sum("n_near").alias("n_near"), first.alias("f")).select(
         "word", "n", "n_near", F.col("f.w").alias("best"), (-F.col("f.m")).alias("best_n")
