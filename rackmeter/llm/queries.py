@@ -6,7 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rackmeter.llm import collocations, decontam, lattice, minhash, pieces, ranking, repeats, repetition, secrets, token_files, variants, warc
+from rackmeter.llm import (
+    collocations, decontam, lattice, minhash, personal, pieces, ranking, repeats, repetition, secrets, token_files,
+    variants, warc,
+)
 from rackmeter.llm.common import held_out, table
 from rackmeter.session import scratch_path
 
@@ -87,11 +90,16 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    return personal.find_personal(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_files": op1_token_files, "op2_pieces": op2_pieces, "op3_minhash": op3_minhash, "op4_warc": op4_warc,
     "op5_repeats": op5_repeats, "op6_repetition": op6_repetition, "op7_ranking": op7_ranking,
     "op8_secrets": op8_secrets, "op9_decontamination": op9_decontamination, "op10_lattice": op10_lattice, "op11_variants": op11_variants,
-    "op12_collocations": op12_collocations,
+    "op12_collocations": op12_collocations, "op13_personal": op13_personal,
 }
 
 SQL = {
