@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -398,6 +399,18 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_row_keys(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a column that tells rows apart, the same whenever it is worked out: file and place in the file.
+
+    Rows that do not come straight from files are written and read back first.
+    """
+    place = lambda file, row: F.struct(file.alias("file"), row.alias("row"))
+    try:
+        return docs.withColumn(name, place(F.xxhash64("_metadata.file_path"), F.col("_metadata.row_index")))
+    except AnalysisException:
+        return stored(docs.withColumn(name, place(F.lit(0), F.monotonically_increasing_id())), "rows")
+
+
 def file_system(path: str) -> tuple[pafs.FileSystem, str]:
     """File system and inner path of a folder that all executors share."""
     if "://" in path or path.startswith("file:"):

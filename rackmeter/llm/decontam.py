@@ -1,13 +1,14 @@
 """Documents that hold benchmark passages, found by the q-gram lemma.
 
-Benchmark texts are cut into overlapping windows. A window of m characters that occurs in a text with at most k
-edits shares at least m + 1 - q (k + 1) of its q-grams with it, and all those matches lie on at most k + 1
-neighbouring diagonals (place in the text minus place in the window). Shared q-grams are counted in bands of
-2 (k + 1) diagonals that overlap by half, so one band holds them all; bands that reach the bound are
-verified by a banded alignment, all others cannot hold a match. Capitals of ASCII and Latin-1 count as small letters.
-
-The windows are the stated query set: they are dealt into blocks of bounded size, each block is sent to
-the executors as one index, and all texts are scanned against it.
+Every window of a benchmark text is looked for, whatever place it starts at. A window of m characters that occurs
+in a text with at most k edits shares at least m + 1 - q (k + 1) of its q-grams with it, and all those matches
+lie on at most k + 1 neighbouring diagonals (place in the text minus place in the item). Shared q-grams are counted
+in bands of 2 (k + 1) diagonals that overlap by half, so one band holds them all: first per item and band, then,
+in the bands that reach the bound, per window. Windows that reach it are verified by a banded alignment, all
+others cannot occur. Capitals of ASCII and Latin-1 count as small letters.
+
+The items are the stated query set: they are dealt into blocks of bounded size, each block is sent to
+the executors as one index of an entry per character, and all texts are scanned against it.
 """
 
 from __future__ import annotations
@@ -18,8 +19,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from rackmeter.llm.common import lean, on_workers, text_column, text_slices
 
@@ -28,8 +31,9 @@ WINDOW = 96
 EDIT_SHARE = 0.08
 BLOCK_CHARACTERS = 2_000_000
 TABLE_BITS = 22
-HITS = 2_000_000
-ALIGNED = 20_000
+HITS = 500_000
+ALIGNED = 4_000
+SLICE = 1 << 20
 OUTSIDE = 0xFFFFFFFF
 
 
@@ -67,33 +71,40 @@ FOLD[[*range(0x41, 0x5B), *range(0xC0, 0xD7), *range(0xD8, 0xDF)]] += 32
 
 
 @dataclass
-class Windows:
-    """Windows of one q-gram length with their index: hashes in order, and the window and place of each."""
+class Items:
+    """Items of one q-gram length with their index: hashes in order, and the item and place of each.
+
+    Every run of ``window`` characters of an item is looked for (the whole item if it is shorter).
+    """
 
     q: int
     share: float
+    window: int
     owners: list
     texts: list[np.ndarray]
     hashes: np.ndarray = field(init=False)
-    window: np.ndarray = field(init=False)
+    item: np.ndarray = field(init=False)
     place: np.ndarray = field(init=False)
 
     def __post_init__(self) -> None:
         grams = [gram_hashes(t, self.q) for t in self.texts]
         sizes = [len(g) for g in grams]
-        window = np.repeat(np.arange(len(grams)), sizes)
+        item = np.repeat(np.arange(len(grams)), sizes)
         place = np.concatenate([np.arange(s) for s in sizes])
         hashes = np.concatenate(grams)
         order = np.argsort(hashes, kind="stable")
-        self.hashes, self.window, self.place = hashes[order], window[order], place[order]
-        self.length = np.array([len(t) for t in self.texts])
+        self.hashes, self.item, self.place = hashes[order], item[order], place[order]
+        self.size = np.array([len(t) for t in self.texts])
+        self.first = np.cumsum(self.size) - self.size
+        self.flat = np.concatenate(self.texts)
+        self.length = np.minimum(self.size, self.window)
         self.edits = np.array([budget(n, self.share) for n in self.length])
         self.least = np.maximum(1, self.length + 1 - self.q * (self.edits + 1))
         self.table = np.zeros(1 << TABLE_BITS, dtype=bool)
         self.table[self.hashes >> np.uint32(32 - TABLE_BITS)] = True
 
-    def regions(self, text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Windows and first diagonals of the bands that reach the bound, over all texts joined."""
+    def hits(self, text: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Item, place in the item and place in the text of shared q-grams, in portions of bounded size."""
         hashes = gram_hashes(text, self.q)
         hit = self.table[hashes >> np.uint32(32 - TABLE_BITS)]
         # A band that reaches the bound needs that many hits within the longest window and its edits.
@@ -108,57 +119,98 @@ class Windows:
         doc = np.searchsorted(offsets, at, "right") - 1
         inside = at + self.q <= offsets[doc + 1]
         at, low, count = at[inside], low[inside], count[inside]
-        keys, counts, base = [], [], 4 * len(text) + 4 * int(self.length.max()) + 64
         first, sums = 0, np.cumsum(count)
         while first < len(at):
-            # hits in bounded portions; a band's counts from two portions are added up below
             last = max(first + 1, int(np.searchsorted(sums, (sums[first - 1] if first else 0) + HITS, "right")))
             some = slice(first, last)
             row = np.repeat(np.arange(last - first), count[some])
             entry = low[some][row] + np.arange(len(row)) - np.repeat(np.cumsum(count[some]) - count[some], count[some])
-            window = self.window[entry]
-            diagonal = at[some][row] - self.place[entry] + int(self.length.max())
-            band = diagonal // (self.edits[window] + 1)
-            key, n = np.unique(np.r_[window * base + band, window * base + band - 1], return_counts=True)
-            keys.append(key)
-            counts.append(n)
+            yield self.item[entry], self.place[entry], at[some][row]
             first = last
-        if not keys:
-            empty = np.zeros(0, dtype=np.int64)
-            return empty, empty
-        key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(inverse, np.concatenate(counts))
-        window = key // base
-        good = total >= self.least[window]
-        window, band = window[good], (key % base)[good]
-        return window, band * (self.edits[window] + 1) - int(self.length.max())
-
-    def verify(self, text: np.ndarray, offsets: np.ndarray, windows: np.ndarray, diagonals: np.ndarray) -> list[tuple]:
-        """(document, window, edits, start, end) where a window occurs; a band in two documents is aligned in each."""
-        reach = self.length[windows] + 2 * self.edits[windows] + 1
-        low, high = np.maximum(0, diagonals), np.minimum(len(text), diagonals + reach)
+
+    def regions(self, text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Item, start in the item and first diagonal of the windows whose band reaches the bound."""
+        none = np.zeros(0, dtype=np.int64)
+        longest = int(self.size.max())
+        base = 4 * (len(text) + longest) + 64
+
+        def keys_of(item: np.ndarray, place: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            band = (at - place + longest) // (self.edits[item] + 1)
+            return np.r_[item * base + band, item * base + band - 1], np.r_[place, place]
+
+        # bands of whole items first: a band without enough hits has no window with enough
+        counted = [np.unique(keys_of(*h)[0], return_counts=True) for h in self.hits(text, offsets)]
+        if not counted:
+            return none, none, none
+        key, inverse = np.unique(np.concatenate([k for k, _ in counted]), return_inverse=True)
+        total = np.bincount(inverse, np.concatenate([n for _, n in counted]))
+        key = key[total >= self.least[key // base]]
+        if not len(key):
+            return none, none, none
+        codes = []
+        for h in self.hits(text, offsets):
+            own, place = keys_of(*h)
+            at = np.minimum(np.searchsorted(key, own), len(key) - 1)
+            good = key[at] == own
+            codes.append(at[good] * (longest + 1) + place[good])
+        code = np.sort(np.concatenate(codes))
+        # then each window of the bands that are left
+        item = key // base
+        starts = self.size[item] - self.length[item] + 1
+        row = np.repeat(np.arange(len(key)), starts)
+        start = np.arange(len(row)) - np.repeat(np.cumsum(starts) - starts, starts)
+        of = item[row]
+        from_ = row * (longest + 1) + start
+        shared = np.searchsorted(code, from_ + self.length[of] - self.q + 1) - np.searchsorted(code, from_)
+        good = shared >= self.least[of]
+        row, start, of = row[good], start[good], of[good]
+        return of, start, (key[row] % base) * (self.edits[of] + 1) - longest
+
+    def verify(
+        self, text: np.ndarray, offsets: np.ndarray, items: np.ndarray, starts: np.ndarray, diagonals: np.ndarray
+    ) -> np.ndarray:
+        """Rows (document, item, edits, start, end) of windows that occur; a band in two documents is aligned in each."""
+        begins = diagonals + starts
+        reach = self.length[items] + 2 * self.edits[items] + 1
+        low, high = np.maximum(0, begins), np.minimum(len(text), begins + reach)
         first = np.searchsorted(offsets, low, "right") - 1
         docs = np.maximum(1, np.searchsorted(offsets, high, "left") - first)
-        row = np.repeat(np.arange(len(windows)), docs)
+        row = np.repeat(np.arange(len(items)), docs)
         doc = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(docs) - docs, docs)
-        found = set()
-        length, edits = self.length[windows[row]], self.edits[windows[row]]
+        found = [np.zeros((0, 5), dtype=np.int64)]
+        length, edits = self.length[items[row]], self.edits[items[row]]
         for m in np.unique(length):
             of_length = np.flatnonzero(length == m)
             for part in np.array_split(of_length, -(-len(of_length) // ALIGNED)):
-                k, some = int(edits[part[0]]), windows[row[part]]
-                begin = diagonals[row[part]]
+                k, some = int(edits[part[0]]), items[row[part]]
+                begin = begins[row[part]]
                 at = begin[:, None] + np.arange(m + 2 * k + 1)
                 inside = (at >= offsets[doc[part]][:, None]) & (at < offsets[doc[part] + 1][:, None])
                 around = np.where(inside, text[np.clip(at, 0, len(text) - 1)], OUTSIDE)
-                cost, start, end = align(np.stack([self.texts[w] for w in some]), around, k)
+                patterns = self.flat[(self.first[some] + starts[row[part]])[:, None] + np.arange(m)]
+                cost, start, end = align(patterns, around, k)
                 good = cost <= k
                 base = offsets[doc[part]]
                 size = offsets[doc[part] + 1] - base
                 start, end = np.clip(begin + start - base, 0, size), np.clip(begin + end - base, 0, size)
-                columns = (doc[part], some, cost, start, end)
-                found.update(zip(*[c[good].tolist() for c in columns]))
-        return sorted(found)
+                found.append(np.stack([doc[part], some, cost, start, end], axis=1)[good])
+        return np.concatenate(found)
+
+
+def passages(rows: np.ndarray) -> np.ndarray:
+    """Overlapping rows (document, item, edits, start, end) of one document and item as one, with the fewest edits."""
+    if not len(rows):
+        return rows
+    rows = rows[np.lexsort((rows[:, 3], rows[:, 1], rows[:, 0]))]
+    other = np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)]
+    far = np.cumsum(other) * (int(rows[:, 4].max()) + 1)  # keeps the places of groups apart
+    reach = np.maximum.accumulate(rows[:, 4] + far)
+    new = np.r_[True, rows[1:, 3] + far[1:] > reach[:-1]] | other
+    first = np.flatnonzero(new)
+    out = rows[first].copy()
+    out[:, 2] = np.minimum.reduceat(rows[:, 2], first)
+    out[:, 4] = np.maximum.reduceat(rows[:, 4], first)
+    return out
 
 
 def align(patterns: np.ndarray, regions: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -182,38 +234,25 @@ def align(patterns: np.ndarray, regions: np.ndarray, k: int) -> tuple[np.ndarray
     return cost, cost * scale - best, patterns.shape[1] + end
 
 
-def scan(text: np.ndarray, offsets: np.ndarray, groups: list[Windows]) -> list[tuple]:
-    """(document, owner, edits, start, end) over all groups of windows."""
+def scan(text: np.ndarray, offsets: np.ndarray, groups: list[Items]) -> list[tuple]:
+    """(document, owner, edits, start, end) of all passages over all groups of items."""
     out = []
     for group in groups:
         if len(text):
-            windows, diagonals = group.regions(text, offsets)
-            out += [(d, group.owners[w], e, s, t) for d, w, e, s, t in group.verify(text, offsets, windows, diagonals)]
+            found = passages(group.verify(text, offsets, *group.regions(text, offsets)))
+            out += [(d, group.owners[i], e, s, t) for d, i, e, s, t in found.tolist()]
     return out
 
 
-def build(rows: list[tuple], share: float = EDIT_SHARE, q: int = Q) -> list[Windows]:
-    """Windows from (owner, text), grouped by the q-gram length that their edits allow."""
+def build(rows: list[tuple], share: float = EDIT_SHARE, q: int = Q, window: int = WINDOW) -> list[Items]:
+    """Items from (owner, text), grouped by the q-gram length that their edits allow."""
     groups: dict[int, tuple[list, list]] = {}
     for owner, text in rows:
         if text:
-            owners, texts = groups.setdefault(q_for(len(text), share, q), ([], []))
+            owners, texts = groups.setdefault(q_for(min(len(text), window), share, q), ([], []))
             owners.append(owner)
             texts.append(code_points(text.encode()))
-    return [Windows(length, share, *groups[length]) for length in sorted(groups)]
-
-
-def benchmark_windows(benchmark: DataFrame, item: str, text: str, window: int) -> DataFrame:
-    """Windows of the benchmark texts, half overlapping; the last one ends with the text."""
-    n = F.char_length("whole")
-    starts = F.when(n <= window, F.array(F.lit(1))).otherwise(
-        F.array_union(F.sequence(F.lit(1), n - window + 1, F.lit(window // 2)), F.array(n - window + 1))
-    )
-    return (
-        benchmark.select(F.col(item).alias("item"), F.col(text).alias("whole")).where("char_length(whole) > 0")
-        .withColumn("start", F.explode(starts))
-        .select("item", F.expr(f"substring(whole, start, {window})").alias("window"))
-    )
+    return [Items(length, share, window, *groups[length]) for length in sorted(groups)]
 
 
 def leaks(
@@ -221,49 +260,72 @@ def leaks(
     item_text: str = "text", window: int = WINDOW, share: float = EDIT_SHARE, q: int = Q,
     block_characters: int = BLOCK_CHARACTERS,
 ) -> DataFrame:
-    """Occurrences of benchmark windows: key, item, edits, start and end (code points, end exclusive), a row each.
+    """Benchmark passages in texts: key, item, edits, start and end (code points, end exclusive), a row each.
 
-    Null and empty texts hold nothing, and null or empty items are held by nothing. Items shorter than a
-    window are one window; repeated rows on either side give repeated results, and an empty table none.
-    Further columns of both tables are not read.
+    Each run of ``window`` characters of an item counts that occurs with at most ``share`` edits; overlapping ones
+    make one passage, with the fewest edits of its runs. Null and empty texts hold nothing, and null or empty items
+    are held by nothing. Items shorter than a window count as a whole; repeated rows on either side give repeated
+    results, and an empty table none. Keys and items may be of any type. Further columns of both tables are not read.
     """
-    windows = benchmark_windows(benchmark, item, item_text, window)
-    size = windows.agg(F.sum(F.char_length("window"))).first()[0] or 0
-    blocks = max(1, -(-size // block_characters))
-    dealt = windows.withColumn("block", F.pmod(F.xxhash64("item", "window"), F.lit(blocks)))
     names = [key, "item_id", "edits", "start", "end"]
     kinds = [docs.schema[key].dataType.simpleString(), benchmark.schema[item].dataType.simpleString(), *["long"] * 3]
     schema = ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds))
-    return reduce(DataFrame.unionAll, [
-        _block_leaks(docs.select(F.col(key), F.col(text).alias("text")), dealt.where(F.col("block") == block), share, q, schema)
-        for block in range(blocks)
-    ])
-
-
-def _block_leaks(docs: DataFrame, block: DataFrame, share: float, q: int, schema: str) -> DataFrame:
-    """Leaks of one block of windows, which is small enough to be held by every executor."""
-    rows = [(r.item, r.window) for r in block.select("item", "window").collect()]
-    held = docs.sparkSession.sparkContext.broadcast(rows)
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups = build(held.value, share, q)
-        for batch in batches:
-            kinds = [batch.schema.field(0).type, item_kind, *[pa.int64()] * 3]
-            for low, high, data, offsets in text_slices(text_column(batch, "text")):
-                heads = np.r_[0, np.cumsum((data & 0xC0) != 0x80, dtype=np.int64)]
-                points = code_points(data.tobytes())
-                found = scan(points, heads[offsets], groups)
-                keys = batch.column(0).slice(low, high - low).take(pa.array([f[0] for f in found], pa.int64()))
-                rest = [pa.array([f[k] for f in found], kinds[k]) for k in range(1, 5)]
-                yield pa.RecordBatch.from_arrays([keys, *rest], names=names)
-
-    names = [f.split("`")[1] for f in schema.split(", ")]
-    item_kind = pa.int64() if "item_id` bigint" in schema else pa.int32() if "item_id` int" in schema else pa.string()
-    return on_workers(docs).mapInArrow(lean(find), schema)
+    item_kind = to_arrow_type(benchmark.schema[item].dataType)
+    texts = docs.select(F.col(key), F.col(text).alias("text"))
+
+    def of_block(held: Broadcast) -> DataFrame:
+        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            groups = build(held.value, share, q, window)
+            for batch in batches:
+                kinds = [batch.schema.field(0).type, item_kind, *[pa.int64()] * 3]
+                for low, high, data, offsets in text_slices(text_column(batch, "text"), SLICE):
+                    heads = np.r_[0, np.cumsum((data & 0xC0) != 0x80, dtype=np.int64)]
+                    points = code_points(data.tobytes())
+                    found = scan(points, heads[offsets], groups)
+                    keys = batch.column(0).slice(low, high - low).take(pa.array([f[0] for f in found], pa.int64()))
+                    rest = [pa.array([f[k] for f in found], kinds[k]) for k in range(1, 5)]
+                    yield pa.RecordBatch.from_arrays([keys, *rest], names=names)
+
+        return on_workers(texts).mapInArrow(lean(find), schema)
+
+    return reduce(DataFrame.unionAll, map(of_block, _blocks(benchmark, item, item_text, block_characters)))
+
+
+def _blocks(benchmark: DataFrame, item: str, text: str, block_characters: int) -> list[Broadcast]:
+    """The items in blocks that are small enough to be held by every executor."""
+    items = benchmark.select(F.col(item).alias("item"), F.col(text).alias("whole")).where("char_length(whole) > 0")
+    size = items.agg(F.sum(F.char_length("whole"))).first()[0] or 0
+    blocks = max(1, -(-size // block_characters))
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("item", "whole"), F.lit(blocks)))
+    rows = lambda block: [(r.item, r.whole) for r in dealt.where(F.col("block") == block).select("item", "whole").collect()]
+    return [benchmark.sparkSession.sparkContext.broadcast(rows(block)) for block in range(blocks)]
+
+
+def without_leaks(
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text",
+    window: int = WINDOW, share: float = EDIT_SHARE, q: int = Q, block_characters: int = BLOCK_CHARACTERS,
+) -> DataFrame:
+    """The rows of ``docs`` whose text holds no benchmark passage, with all their columns.
+
+    Each row is judged by its own text, so null and repeated keys play no part, and no row is moved.
+    """
+    for held in _blocks(benchmark, item, item_text, block_characters):
+
+        def keep(batches: Iterator[pa.RecordBatch], held: Broadcast = held) -> Iterator[pa.RecordBatch]:
+            groups = build(held.value, share, q, window)
+            for batch in batches:
+                clean = np.ones(len(batch), dtype=bool)
+                for low, _, data, offsets in text_slices(text_column(batch, text), SLICE):
+                    heads = np.r_[0, np.cumsum((data & 0xC0) != 0x80, dtype=np.int64)]
+                    clean[[low + f[0] for f in scan(code_points(data.tobytes()), heads[offsets], groups)]] = False
+                yield batch.filter(pa.array(clean))
+
+        docs = on_workers(docs).mapInArrow(lean(keep), docs.schema)
+    return docs
 
 
 def leaked(found: DataFrame, key: str = "doc_id") -> DataFrame:
-    """One row per document and item: fewest edits of a window, first start and last end of the windows found."""
+    """One row per document and item: fewest edits of a passage, first start and last end of the passages found."""
     return found.groupBy(key, "item_id").agg(
         F.min("edits").alias("edits"), F.min("start").alias("start"), F.max("end").alias("end")
     )

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rackmeter.llm.common import lean, mix64, on_workers, span_hashes, stored, text_column, text_slices, word_spans
+from rackmeter.llm.common import lean, mix64, on_workers, span_hashes, stored, text_column, text_slices, with_row_keys, word_spans
 from rackmeter.llm.graph import components
 
 BANDS, ROWS = 40, 6
@@ -261,13 +261,28 @@ def sharing_rare(chosen: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     return pairs.select(F.col("id").alias("a"), F.col("other_id").alias("b")).distinct()
 
 
+def without_duplicates(docs: DataFrame, words: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates, the one of the smallest key, with all its columns.
+
+    Each row is a document of its own, whatever its key: of rows that are alike but for a null or repeated key one is
+    left, and different texts under one key are judged apart. Among equal keys the first row of the files stays.
+    Rows without words stay.
+    """
+    rows = with_row_keys(docs, "row_key")
+    names = rows.withColumn("row_key", F.struct(F.col(key).isNull().alias("late"), F.col(key).alias("key"), "row_key"))
+    gone = near_duplicates(names, words, "row_key", text).where("not kept").select(F.col("row_key.row_key").alias("row_key"))
+    return rows.join(gone, "row_key", "left_anti").select(docs.columns)
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Groups of near-duplicates: key, n_shingles, component_id and kept, a row per row of ``docs``.
 
     A document is linked with all whose sets have a similarity of at least 0.8; a component is all that can
     be reached over links, named by its smallest key, and that document is kept. Texts without words (null,
-    empty, only white space) have an empty set and are linked with nothing. Rows that repeat a key count as
-    one document; a null key is a component of its own and kept. Other columns are not read.
+    empty, only white space) have an empty set and are linked with nothing. Rows that repeat a key are
+    one document, linked with what any of its texts is linked with; its rows share a component (but for rows without
+    words, which are alone). A row with a null key is linked with nothing, has a null component and is kept.
+    Other columns are not read.
     """
     texts = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     marks = stored(signatures(docs, words, key, text), "signatures")
@@ -282,7 +297,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, key: str = "doc_id", text:
     hub = F.max_by("id", F.struct("degree", F.xxhash64("id"))).alias("hub")
     hubs = stored(members.select("band", "id").join(ranked.groupBy("band").agg(hub), "band"), "hubs")
     pairs = hubs.where("id != hub").select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
-    links = stored(confirmed(pairs, sets, texts, words), "links")
+    # a key with several texts is one document: it links the sets of all of them
+    several = real.groupBy("id").agg(F.min(F.struct("set_a", "set_b")).alias("low"), F.max(F.struct("set_a", "set_b")).alias("high"))
+    several = real.join(several.where("low < high").select("id"), "id").select("id", "set_a", "set_b")
+    own = several.join(sets.select("set_a", "set_b", F.col("id").alias("node")), ["set_a", "set_b"])
+    own = own.select(F.least("id", "node").alias("a"), F.greatest("id", "node").alias("b")).where("a < b")
+    links = stored(confirmed(pairs, sets, texts, words).unionAll(own).distinct(), "links")
     known = components(links)
     placed = members.select("band", "id").join(known.withColumnRenamed("node", "id"), "id", "left").select(
         "band", "id", F.coalesce("component", "id").alias("component")
@@ -295,7 +315,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, key: str = "doc_id", text:
     # rows with the same set go with the first of them
     leaders = marks.join(sets.select("set_a", "set_b", F.col("id").alias("node")), ["set_a", "set_b"], "left")
     leaders = leaders.select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node"))
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "node", "id"))
     return leaders.join(groups, "node", "left").select(
-        F.col("id").alias(key), "n_shingles", F.coalesce("component", "node", "id").alias("component_id"),
-        F.coalesce(F.col("id") == F.coalesce("component", "node", "id"), F.lit(True)).alias("kept"),
+        F.col("id").alias(key), "n_shingles", component.alias("component_id"),
+        F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"),
     )

@@ -10,7 +10,7 @@ from rackmeter.llm import (
     collocations, decontam, lattice, minhash, personal, pieces, ranking, repeats, repetition, secrets, token_files,
     variants, warc,
 )
-from rackmeter.llm.common import held_out, table
+from rackmeter.llm.common import held_out, stored, table
 from rackmeter.session import scratch_path
 
 WORD_MODEL = public_tokenizers.path("word_bpe_49k.json")
@@ -38,8 +38,8 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archives of all pages, read back."""
     read = warc.archived(table(spark, sf_dir, "pages"))
     return read.select(
-        F.col("key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
-        F.col("refers_to").cast("long").alias("refers_to"),
+        F.expr("try_cast(key AS long)").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.expr("try_cast(refers_to AS long)").alias("refers_to"),
     )
 
 
@@ -58,7 +58,10 @@ def op6_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents."""
     docs = table(spark, sf_dir, "documents")
-    scored = ranking.score_documents(docs, ranking.train(docs, table(spark, sf_dir, "labels")))
+    labels = table(spark, sf_dir, "labels")
+    ranks = ranking.fit_sample(docs, labels)
+    strengths = stored(ranking.strength_of(docs, ranks), "strengths")
+    scored = strengths.withColumn("score", ranking.score_of(F.col("strength"), ranking.with_cut(ranks, strengths, labels)))
     return scored.select(
         "doc_id", held_out("doc_id", ranking.MODULUS, ranking.REMAINDER).alias("held_out"), "score",
         (F.col("score") >= ranking.THRESHOLD).cast("int").alias("predicted"),

@@ -7,23 +7,24 @@ differences. Documents are then told apart at a quantile of the scores: the shar
 rows. The score that is returned is a logistic function that takes the value ``THRESHOLD`` at that quantile.
 
 The weights are fitted on a bounded sample: at most ``max_rows`` labelled rows, chosen by a hash of their id,
-and ``max_pairs`` pairs of them. Everything else runs on all rows.
+and ``max_pairs`` pairs of them. Everything else runs on all rows, the share and the quantile too.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rackmeter.llm.common import (
-    held_out, lean, mix64, on_workers, span_hashes, text_column, text_slices, word_spans,
+    held_out, lean, mix64, on_workers, span_hashes, stored, text_column, text_slices, word_spans,
 )
 from rackmeter.llm.repetition import IS_SYMBOL
+from rackmeter.operators.describe import exact_quantiles
 
 THRESHOLD = 0.3
 MAX_ROWS = 20_000
@@ -141,17 +142,18 @@ def fit(rows: np.ndarray, labels: np.ndarray, max_pairs: int = MAX_PAIRS, ridge:
         weights -= step
         if np.abs(step).max() < 1e-6:
             break
-    ranking = Ranking(mean, scale, weights)
-    ranking.cut = float(np.quantile(ranking.strength(rows), len(bad) / len(rows)))
-    return ranking
+    return Ranking(mean, scale, weights)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_pairs: int = MAX_PAIRS) -> Ranking:
-    """Fit on at most ``max_rows`` labelled documents outside of the held-out fold."""
-    chosen = (
-        labels.where(F.col("quality").isin(0, 1) & ~held_out("doc_id", MODULUS, REMAINDER))
-        .groupBy("doc_id").agg(F.max("quality").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    )
+def labelled(labels: DataFrame) -> DataFrame:
+    """doc_id and label of the rows outside of the held-out fold."""
+    rows = labels.where(F.col("quality").isin(0, 1) & ~held_out("doc_id", MODULUS, REMAINDER))
+    return rows.groupBy("doc_id").agg(F.max("quality").alias("label"))
+
+
+def fit_sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_pairs: int = MAX_PAIRS) -> Ranking:
+    """Weights from at most ``max_rows`` labelled documents outside of the held-out fold; the cut is still open."""
+    chosen = labelled(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     rows = feature_rows(docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi"))
     found = rows.join(F.broadcast(chosen), "doc_id").orderBy("doc_id").limit(max_rows).toPandas()
     width = features(np.zeros(0, np.uint8), np.zeros(2, np.int64), 1).shape[1]
@@ -159,17 +161,45 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_pair
     return fit(matrix, found["label"].to_numpy(), max_pairs)
 
 
-def score_documents(docs: DataFrame, ranking: Ranking, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Key and score (0 to 1) of every row; null and empty texts have the score of a text without words."""
+def with_cut(ranking: Ranking, strengths: DataFrame, labels: DataFrame) -> Ranking:
+    """The ranking with its cut: the exact quantile, over all labelled rows, at the share of label 0 among them."""
+    rows = strengths.join(labelled(labels), "doc_id").select("strength", "label")
+    share = rows.agg(F.avg((F.col("label") == 0).cast("int"))).first()[0]
+    if not share or share == 1:  # nothing to compare
+        return ranking
+    cut = exact_quantiles(rows, "strength", [share]).first()[0]
+    return replace(ranking, cut=cut)
+
+
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_pairs: int = MAX_PAIRS) -> Ranking:
+    """Weights from a bounded sample, cut from all labelled documents outside of the held-out fold."""
+    ranking = fit_sample(docs, labels, max_rows, max_pairs)
+    return with_cut(ranking, stored(strength_of(docs, ranking), "strengths"), labels)
+
+
+def score_of(strength: Column, ranking: Ranking) -> Column:
+    """Score of a strength."""
+    x = strength - ranking.cut + float(np.log(THRESHOLD / (1 - THRESHOLD)))
+    return 1 / (1 + F.exp(-F.least(F.greatest(x, F.lit(-30.0)), F.lit(30.0))))
+
+
+def strength_of(docs: DataFrame, ranking: Ranking, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Key and strength of every row; null and empty texts have that of a text without words."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, high, data, offsets in text_slices(text_column(batch, "text")):
-                found = ranking.score(features(data, offsets, high - low))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(found)], names=[key, "score"])
+                found = ranking.strength(features(data, offsets, high - low))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(found)], names=[key, "strength"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return on_workers(docs).select(F.col(key), F.col(text).alias("text")).mapInArrow(lean(score), f"`{key}` {kind}, score double")
+    rows = on_workers(docs).select(F.col(key), F.col(text).alias("text"))
+    return rows.mapInArrow(lean(score), f"`{key}` {kind}, strength double")
+
+
+def score_documents(docs: DataFrame, ranking: Ranking, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Key and score (0 to 1) of every row; null and empty texts have the score of a text without words."""
+    return strength_of(docs, ranking, key, text).select(key, score_of(F.col("strength"), ranking).alias("score"))
 
 
 def accepted(docs: DataFrame, ranking: Ranking, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

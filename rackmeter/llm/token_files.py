@@ -286,12 +286,13 @@ def build_index(entries: DataFrame, base: str, bucket_keys: int = BUCKET_KEYS) -
     """Write the index of the entries; returns one row per index file.
 
     Keys are told apart by their 64-bit hash (one-to-one for integer keys) and dealt into buckets by it, so
-    a bucket has about ``bucket_keys`` keys whatever their values are.
+    a bucket has about ``bucket_keys`` keys whatever their values are and however often a key is repeated. The number
+    of buckets is stored with the files.
     """
     keys = entries.groupBy("key").agg(
         F.min(F.struct("shard", "ordinal", "offset")).alias("first"), F.count(F.lit(1)).alias("copies")
     )
-    buckets = max(1, -(-entries.count() // bucket_keys))
+    buckets = max(1, -(-entries.agg(F.count_distinct(F.xxhash64("key"))).first()[0] // bucket_keys))
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
         bucket, hashes = int(group["bucket"].iloc[0]), group["hash"].to_numpy().view(np.uint64)
@@ -305,12 +306,12 @@ def build_index(entries: DataFrame, base: str, bucket_keys: int = BUCKET_KEYS) -
         fs.create_dir(f"{path}/index", recursive=True)
         with fs.open_output_stream(f"{path}/index/{name}.mph") as out:
             out.write(_pack(hashes, places, names.tolist()))
-        return pd.DataFrame({"bucket": [bucket], "file": [name], "keys": [len(group)]})
+        return pd.DataFrame({"bucket": [bucket], "buckets": [buckets], "file": [name], "keys": [len(group)]})
 
     (
         on_workers(keys).select(F.xxhash64("key").alias("hash"), "first.*", "copies")
         .withColumn("bucket", F.pmod("hash", F.lit(buckets)))
-        .groupBy("bucket").applyInPandas(build, "bucket long, file string, keys long")
+        .groupBy("bucket").applyInPandas(build, "bucket long, buckets long, file string, keys long")
         .write.mode("errorifexists").parquet(f"{base}/buckets")
     )
     return entries.sparkSession.read.parquet(f"{base}/buckets")
@@ -320,7 +321,7 @@ def lookup(keys: DataFrame, base: str, key: str = "doc_id") -> DataFrame:
     """Places of the distinct keys among ``keys``: key, shard, ordinal, copies, offset; absent keys give no row."""
     spark = keys.sparkSession
     files = spark.read.parquet(f"{base}/buckets")
-    buckets = files.count()
+    buckets = files.agg(F.max("buckets")).first()[0] or 1  # not the number of files: a bucket may be empty
 
     def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, path = file_system(base)
@@ -342,7 +343,7 @@ def lookup(keys: DataFrame, base: str, key: str = "doc_id") -> DataFrame:
                 })
 
     wanted = keys.select(F.col(key).alias("key")).distinct().withColumn("hash", F.xxhash64("key"))
-    wanted = wanted.withColumn("bucket", F.pmod("hash", F.lit(max(1, buckets)))).join(files, "bucket")
+    wanted = wanted.withColumn("bucket", F.pmod("hash", F.lit(buckets))).join(files, "bucket")
     kind = keys.schema[key].dataType.simpleString()
     return (
         on_workers(wanted).select("key", "hash", "file").repartition("file").sortWithinPartitions("file")

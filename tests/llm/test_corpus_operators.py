@@ -424,3 +424,48 @@ def test_every_operator_is_registered():
 
     names = list(entry.queries())
     assert [n for n in names if n == "pipeline"] and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+
+
+def fewest_edits(window, text):
+    """Fewest edits with which a window occurs anywhere in a text, by the whole table."""
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(window):
+        new = [i + 1]
+        for j, d in enumerate(text):
+            new.append(min(row[j] + (c != d), row[j + 1] + 1, new[j] + 1))
+        row = new
+    return min(row)
+
+
+def test_leaks_of_every_window_against_plain_search():
+    rng = random.Random(17)
+    word = lambda n: "".join(rng.choices("abcde ", k=n))
+    found = 0
+    for _ in range(60):
+        item = word(rng.randint(10, 60))
+        at = rng.randint(0, max(0, len(item) - 24))
+        quote = list(item[at : at + rng.randint(18, 34)])
+        for _ in range(rng.randint(0, 4)):
+            quote[rng.randrange(len(quote))] = rng.choice(["", "x", "ab"])
+        text = word(rng.randint(0, 30)) + "".join(quote) + word(rng.randint(0, 30))
+        points = decontam.code_points(text.encode())
+        got = decontam.scan(points, np.array([0, len(points)]), decontam.build([(5, item)], share=0.12, window=24))
+        n = min(24, len(item))
+        best = min(fewest_edits(item[s : s + n], text) for s in range(len(item) - n + 1))
+        assert bool(got) == (best <= int(0.12 * n)), (item, text)
+        if got:
+            found += 1
+            assert min(g[2] for g in got) == best
+            assert all(a[4] < b[3] for a, b in zip(got, got[1:]))
+    assert 10 < found < 60
+
+
+def test_verbatim_quotes_of_a_window_at_every_start(spark):
+    rng = random.Random(18)
+    item = "".join(rng.choices("abcdefghijklmnopqrst uvw", k=351))
+    other = lambda n: "".join(rng.choices("ABCDEFGH123456789", k=n))
+    rows = [(s, other(50) + item[s : s + 96] + other(50)) for s in range(351 - 96 + 1)]
+    docs = spark.createDataFrame(rows, "doc_id short, text string")
+    bench = spark.createDataFrame([(7, item)], "item_id short, text string")
+    got = decontam.leaked(decontam.leaks(docs, bench)).collect()
+    assert {(r.doc_id, r.item_id, r.edits) for r in got} == {(s, 7, 0) for s, _ in rows}
