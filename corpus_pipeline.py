@@ -1,4 +1,9 @@
-"""Corpus preparation in stages; each is written as Parquet and read again as the documents of the next."""
+"""Corpus preparation in stages; each is written as Parquet and read again as the documents of the next.
+
+Every stage decides per row: null and repeated ids make no difference. Null and empty texts are scored like a
+text without words, are nobody's duplicate and hold no passage or secret. Of rows that are alike but for their id the
+one of the smallest id stays. Empty tables pass through; further columns are kept up to the last stage.
+"""
 
 from __future__ import annotations
 
@@ -19,15 +24,13 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (shingles of five words)."""
-    groups = minhash.near_duplicates(docs, words=5)
-    return docs.join(groups.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """One document of each group of near-duplicates (shingles of five words), whatever its id is."""
+    return minhash.without_duplicates(docs, words=5)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages of benchmark items."""
-    found = decontam.leaks(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """Documents without passages of benchmark items; each is judged by its own text."""
+    return decontam.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
