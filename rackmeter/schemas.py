@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-# One line of a text log. ``split`` and ``pos`` order the lines of a file.
-LINE_SCHEMA = "file STRING, split BIGINT, pos BIGINT, line STRING"
+# One line of a text log: the range of the file it was read in, the bytes at which it and the next line start.
+LINE_SCHEMA = "file STRING, split BIGINT, pos BIGINT, next BIGINT, line STRING"
 
 # Column names of the monitor sample table, in file order.
 CPU_COLUMNS = ["cpu_user", "cpu_nice", "cpu_sys", "cpu_io", "cpu_steal", "cpu_idle"]

@@ -136,15 +136,30 @@ def line_after(
 ) -> DataFrame:
     """Cells of the line that directly follows a marker line, one row per marker.
 
-    ``candidate`` tells the lines that can be read. A line that opens the next split of the file
-    follows the marker that closes the split before.
+    ``candidate`` tells the lines that can be read; a marker before another line gives no row. A marker waits at the
+    place where it ends and a readable line at the place where it starts, so both meet by place, however the file
+    was cut and whichever lines were dropped before. No key has more than two rows.
     """
-    found = assemble(
-        lines, marker, [Rule(names, candidate & ~marker, cells)], keep_last=True, first_match=True
+    after = F.col("next") if "next" in lines.columns else F.col("pos") + 1
+    at = lambda place, opened, values: F.struct(place.alias("at"), opened.alias("opened"), values.alias("cells"))
+    none = F.lit(None).cast("bigint")
+    meets = F.filter(
+        F.array(
+            F.when(marker, at(after, F.col("pos"), F.lit(None).cast(_kind(lines, cells)))),
+            F.when(candidate & ~marker, at(F.col("pos"), none, cells)),
+        ),
+        lambda m: m.isNotNull(),
     )
-    adjacent = (F.col("cell_split") != F.col("block_split")) | (
-        F.col("cell_pos") == F.col("block_pos") + 1
+    met = lines.select("file", "split", F.explode(meets).alias("m")).select(
+        "file", "split", "m.at", "m.opened", *[F.expr(f"get(m.cells, {i}) as v{i}") for i in range(len(names))],
+        F.col("m.opened").isNull().cast("int").alias("read"),
     )
-    return found.where(F.col("cell_pos").isNotNull() & adjacent).select(
-        "file", "block_split", "block_pos", *names
+    pairs = met.groupBy("file", "at").agg(
+        F.max(F.when(F.col("opened").isNotNull(), F.col("split"))).alias("block_split"), F.max("opened").alias("block_pos"),
+        F.max("read").alias("read"), *[F.max(f"v{i}").alias(name) for i, name in enumerate(names)],
     )
+    return pairs.where(F.col("block_pos").isNotNull() & (F.col("read") == 1)).select("file", "block_split", "block_pos", *names)
+
+
+def _kind(lines: DataFrame, cells: Column) -> str:
+    return lines.limit(0).select(cells.alias("c")).schema["c"].dataType.simpleString()

@@ -1,13 +1,14 @@
 """Text logs as DataFrames of lines that keep their order.
 
 A file is read in splits, so a large file is spread over many tasks. The order of its lines is
-(``split``, ``pos``): the byte offset of the split, then the running id within the task. Nothing
-below puts a whole file into one task: order-dependent work runs in *chunks* of at most
-2**CHUNK_BITS lines, and what crosses a chunk border is settled on one or two rows per chunk.
+``pos``, the byte at which a line starts (``split`` is the byte at which its range starts). Nothing
+below puts a whole file into one task: order-dependent work runs in *chunks* of 2**CHUNK_BITS
+bytes, and what crosses a chunk border is settled on one or two rows per chunk.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -16,8 +17,9 @@ from pyspark.sql import functions as F
 
 from rackmeter.functions import text as tx
 from rackmeter.schemas import LINE_SCHEMA
+from rackmeter.sources.byte_lines import lines_of
 
-CHUNK_BITS = 17
+CHUNK_BITS = 22
 
 
 def chunk_of(pos: Column) -> Column:
@@ -43,20 +45,24 @@ def present_paths(spark: SparkSession, paths: str | Sequence[str]) -> list[str]:
 
 
 def read_lines(spark: SparkSession, paths: str | Sequence[str], optional: bool = False) -> DataFrame:
-    """Lines of all files below ``paths`` (globs allowed, ``.gz`` is unpacked on the way).
+    """Lines of all files below ``paths`` (globs allowed, ``.gz`` is unpacked on the way), with their places.
+
+    The files are listed now, and large ``.gz`` files are searched for members that can be read apart.
 
     With ``optional=True`` paths without files are left out.
     """
     found = present_paths(spark, paths) if optional else paths
     if not found:
         return spark.createDataFrame([], LINE_SCHEMA)
-    text = spark.read.text(found if isinstance(found, str) else list(found))
-    return text.select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("split"),
-        F.monotonically_increasing_id().alias("pos"),
-        F.col("value").alias("line"),
-    )
+    size = lambda name: _bytes(spark.conf.get(f"spark.sql.files.{name}"))
+    files = [(r.file, r.bytes) for r in list_files(spark, found).orderBy("file").collect()]
+    return lines_of(spark, files, size("maxPartitionBytes"), size("openCostInBytes"))
+
+
+def _bytes(setting: str) -> int:
+    """A size setting in bytes."""
+    number, unit = re.fullmatch(r"(\d+)\s*([a-z]*)", setting.strip().lower()).groups()
+    return int(number) << 10 * "bkmgtp".index((unit or "b")[0])
 
 
 def with_server(df: DataFrame) -> DataFrame:

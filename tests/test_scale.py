@@ -24,7 +24,7 @@ def test_blocks_scan_once_and_shuffle_twice(spark, tmp_path):
     (tmp_path / "0711-24H" / "tdw-1-1-1-1").mkdir(parents=True)
     (tmp_path / "0711-24H" / "tdw-1-1-1-1" / "sdr_log").write_text("== Tue Jul 11 00:00:01 CST 2017 ==\n")
     plan = plan_of(monitor.sample_blocks(ln.read_lines(spark, f"{tmp_path}/*/*/sdr_log")))
-    assert plan.count("FileScan text") == 1 and plan.count("Exchange hashpartitioning") == 2
+    assert plan.count("BatchScan byte_lines") == 1 and plan.count("Exchange hashpartitioning") == 2
     # No window runs over a file alone.
     for line in plan.splitlines():
         if "Window [" in line:
