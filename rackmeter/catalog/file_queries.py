@@ -76,6 +76,23 @@ def src_app_info(spark, sf_dir):
     )
 
 
+def src_app_orders(spark, sf_dir):
+    """Application logs whose servers write the columns in three orders, one without the mean, read as one."""
+    path = scratch_path(spark, "orders")
+    apps = b.apps(spark, sf_dir).withColumn("avgtask", F.floor(F.try_divide("duration2", "tasks")))
+    server = F.regexp_extract("host", "([0-9]+)$", 1).cast("int")
+    orders = [
+        ["app", "executors", "tasks", "duration2", "avgtask"], ["duration2", "app", "avgtask", "tasks", "executors"],
+        ["tasks", "duration2", "executors", "app"],
+    ]
+    for k, names in enumerate(orders):
+        some = apps.where(server % 3 == k).select("run", "host", *[F.col(n).cast("string").alias(f" {n}" * (k == 1) or n) for n in names])
+        some.hint("rebalance", "run", "host").write.mode("append").partitionBy("run", "host").csv(path, header=True, ignoreLeadingWhiteSpace=False)
+    return tables.app_info(spark, f"{path}/*/*").select(
+        "run", "host", F.col("app").cast("bigint").alias("app"), "executors", "tasks", "duration2", "avgtask"
+    )
+
+
 def src_hosts(spark, sf_dir):
     return ln.hosts(spark, f"{_app_files(spark, sf_dir, 'hosts')}/*/*/*")
 
@@ -226,7 +243,7 @@ def rep_task_distribution_files(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in [
-        src_sample_blocks_files, src_gzip, src_app_info, src_hosts, snk_append, src_task_info,
+        src_sample_blocks_files, src_gzip, src_app_info, src_app_orders, src_hosts, snk_append, src_task_info,
         src_sample_table, snk_incremental, snk_rollup, src_rollup_reread, snk_single_csv, src_raw_csv,
         flt_missing_source, rep_fleet_files, rep_task_distribution_files,
     ]
@@ -239,6 +256,9 @@ SQL = {
         f"select run, date, ip, hour, {_list(ALL_METRICS)} from samples", True),
     "src_gzip": b.with_samples(f"select run, ip, {_list(CPU_COLUMNS)} from samples", True),
     "src_app_info": b.with_apps("select * from apps"),
+    "src_app_orders": b.with_apps("""
+        select *, case when cast(regexp_extract(host, '([0-9]+)$', 1) as int) % 3 < 2 and tasks > 0
+          then cast(duration2 // tasks as double) end as avgtask from apps"""),
     "src_hosts": b.with_apps(
         "select distinct run, host, replace(replace(host, 'tdw-', ''), '-', '.') as ip from apps"),
     "src_task_info": b.with_tasks(f"""

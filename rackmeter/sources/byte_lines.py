@@ -275,6 +275,24 @@ def member_ranges(spark: SparkSession, files: Sequence[tuple[str, int]], range_b
     return out
 
 
+def first_lines(files: DataFrame) -> DataFrame:
+    """First line (``head``) of each file (file, bytes); files without a line are left out. Reads no further."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path in batch.column(0).to_pylist():
+                with open_file(path) as source:
+                    more = _Unpacked(source, 0).read if path.endswith(".gz") else source.read
+                    for data, lengths, _ in cut_lines(more, 0, FRESH, 1):
+                        rows.append((path, data[: lengths[0]].tobytes().decode("utf-8", "replace")))
+            columns = list(zip(*rows)) or [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["file", "head"])
+
+    _by_value()
+    return files.select("file").mapInArrow(read, "file string, head string")
+
+
 def lines_of(spark: SparkSession, files: Sequence[tuple[str, int]], range_bytes: int, open_cost: int) -> DataFrame:
     """Lines of files (path, bytes) with their places."""
     packed = [f for f in files if f[0].endswith(".gz") and f[1] > range_bytes]

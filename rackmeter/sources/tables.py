@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from rackmeter.functions import text as tx
 from rackmeter.schemas import APP_COLUMNS, CSV_NAMES, SAMPLE_METRICS, TASK_SCHEMA, TRAFFIC_COLUMNS, UTIL_SCHEMA
 from rackmeter.schemas import CPU_COLUMNS
-from rackmeter.sources.lines import with_server
+from rackmeter.sources.byte_lines import first_lines
+from rackmeter.sources.lines import list_files, present_paths, with_server
 
 
 def trim_names(df: DataFrame) -> DataFrame:
@@ -19,40 +21,61 @@ def trim_names(df: DataFrame) -> DataFrame:
     return df.toDF(*[name.strip() for name in df.columns])
 
 
+def header_layouts(spark: SparkSession, paths: str | Sequence[str]) -> list[tuple[str, list[str]]]:
+    """The different header lines of the files, in the order of their first file, each with its files."""
+    heads = first_lines(list_files(spark, paths))
+    layouts = heads.groupBy("head").agg(F.sort_array(F.collect_list("file")).alias("files"))
+    return sorted(((r["head"], r["files"]) for r in layouts.collect()), key=lambda layout: layout[1][0])
+
+
 def _csv(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """All columns as trimmed text under their trimmed header names, with the file path.
 
-    Files whose header differs from that of the first one are refused when they are read.
+    Each file's columns are bound by its own header: files are grouped by header line, each group is read with its
+    header, and the groups are put together by name. A column that a file lacks is NULL in its rows. Columns come
+    in the order of the first file, then what later ones add. Partition folders below a single path are columns too.
     """
-    df = spark.read.csv(
-        paths if isinstance(paths, str) else list(paths),
-        header=True, enforceSchema=False, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True,
-    )
-    names = [n.strip() for n in df.columns]
-    return df.select(
-        *[F.col(f"`{c}`").alias(n) for c, n in zip(df.columns, names)],
-        F.col("_metadata.file_path").alias("file"),
-    )
+    plain = isinstance(paths, str) and not any(c in paths for c in "*?[{")
+    frames = []
+    for _, files in header_layouts(spark, paths):
+        folder = plain and not files[0].endswith(paths.split(":")[-1].lstrip("/"))
+        reader = spark.read.option("basePath", paths) if folder else spark.read
+        # Blanks around names may differ, so the header check of the reader would refuse files of the same layout.
+        df = reader.csv(files, header=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+        frames.append(df.select(
+            *[F.col(f"`{c}`").cast("string").alias(c.strip()) for c in df.columns],
+            F.col("_metadata.file_path").alias("file"),
+        ))
+    if not frames:
+        raise ValueError(f"no file with a header line below {paths}")
+    whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return whole.select(*[c for c in whole.columns if c != "file"], "file")
+
+
+def _bound(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """The named columns with their types; those that no file has are NULL."""
+    return df.select(*[F.expr(f"try_cast({'`' + c + '`' if c in df.columns else 'null'} as {kind}) as `{c}`") for c, kind in kinds.items()])
 
 
 def task_info(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Task log: tid, starttime, endtime, duration (whole seconds)."""
-    typed = spark.read.schema(TASK_SCHEMA).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
-    return typed.csv(
-        paths if isinstance(paths, str) else list(paths),
-        header=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True,
-    )
+    """Task log: tid, starttime, endtime, duration (whole seconds), by the header of each file."""
+    return _bound(_csv(spark, paths), {f.name: f.dataType.simpleString() for f in _parsed(TASK_SCHEMA)})
+
+
+def _parsed(schema: str) -> StructType:
+    return StructType.fromDDL(schema)
 
 
 def app_info(spark: SparkSession, paths: str | Sequence[str], optional: bool = False) -> DataFrame:
-    """Application log per server; further columns of the file are kept as text."""
-    try:
-        df = _csv(spark, paths)
-    except AnalysisException as error:
-        if optional and error.getCondition() == "PATH_NOT_FOUND":
-            schema = "file STRING, run STRING, host STRING, ip STRING, executors BIGINT, tasks BIGINT, duration2 BIGINT, avgtask DOUBLE"
-            return spark.createDataFrame([], schema)
-        raise
+    """Application log per server; further columns of the files are kept as text.
+
+    With ``optional=True`` paths without files are left out.
+    """
+    found = present_paths(spark, paths) if optional else paths
+    if not found:
+        schema = "file STRING, run STRING, host STRING, ip STRING, executors BIGINT, tasks BIGINT, duration2 BIGINT, avgtask DOUBLE"
+        return spark.createDataFrame([], schema)
+    df = _csv(spark, found if isinstance(found, str) or len(found) > 1 else found[0])
     kinds = dict(zip(APP_COLUMNS, ["bigint", "bigint", "bigint", "double"]))
     typed = {c: F.col(c).try_cast(kind) for c, kind in kinds.items() if c in df.columns}
     return with_server(df.withColumns(typed))

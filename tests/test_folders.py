@@ -226,3 +226,45 @@ def test_partition_values_stay_text(spark, tmp_path):
     writers.write_new_partitions(df.where(F.col("run") == "0711"), out)
     writers.write_new_partitions(df, out)
     assert spark.read.parquet(out).count() == 2
+
+
+ORDERS = {
+    "task_info": (["tid", "starttime", "endtime", "duration"], ["t1", "2024-01-02 03:04:05", "2024-01-02 03:05:05", "60"]),
+    "app_info": (["executors", "tasks", "duration2", "avgtask", "note"], ["3", "2", "50", "25.5", "x y"]),
+    "sample_table": (["date", "ip", "hour", "cpu_user", "ctn#"], ["Mon", "10.0.0.1", "7", "1.5", "9"]),
+    "rollup_table": (["year", "day", "ip", "hour", "cpu_user"], ["2024", "2", "10.0.0.1", "7", "1.5"]),
+    "traffic": (["ip", "Date", "Mon", "net_received", "net_transferred"], ["10.0.0.1", "2024-01-02", "Jan", "2.5", "4.0"]),
+}
+
+
+@pytest.mark.parametrize("reader", list(ORDERS))
+def test_columns_are_bound_by_the_header_of_each_file(spark, tmp_path, reader):
+    from rackmeter.sources import tables
+
+    names, row = ORDERS[reader]
+    folder = tmp_path / "0711-24H" / "tdw-10-0-0-1"
+    folder.mkdir(parents=True)
+    write = lambda name, head, cells: (folder / name).write_text(head + "\n" + cells + "\n")
+    write("a.csv", ",".join(names), ",".join(row))
+    write("b.csv", ", ".join(reversed(names)), ", ".join(reversed(row)))
+    write("c.csv", ",".join(names[:-1]), ",".join(row[:-1]))
+    (folder / "d.csv").write_text("")
+    (folder / "e.csv").write_text(",".join(names))
+    read = getattr(tables, reader)
+    alone = read(spark, str(folder / "a.csv")).drop("file").collect()
+    assert len(alone) == 1 and None not in tuple(alone[0])
+    df = read(spark, f"{tmp_path}/*/*")
+    got = [r.asDict() for r in df.drop("file").collect()]
+    last = {"ctn#": "ctn"}.get(names[-1], names[-1])
+    assert len(got) == 3
+    assert sum(g == alone[0].asDict() for g in got) == 2
+    assert [g[last] for g in got].count(None) == 1 and {**alone[0].asDict(), last: None} in got
+
+
+def test_optional_application_logs_with_a_missing_path(spark, tmp_path):
+    from rackmeter.sources import tables
+
+    (tmp_path / "a.csv").write_text("executors,tasks\n1,2\n")
+    paths = [f"{tmp_path}/none*", f"{tmp_path}/a.csv"]
+    assert [tuple(r)[:2] for r in tables.app_info(spark, paths, optional=True).collect()] == [(1, 2)]
+    assert tables.app_info(spark, paths[:1], optional=True).count() == 0
