@@ -47,23 +47,17 @@ def host_sql(key: str) -> str:
 
 # --- samples: one row per event -------------------------------------------------------------
 
-# The file queries spread all samples over this many servers, which keeps the number of folders low.
-FEW_SERVERS = 24
-
-
-def samples(spark: SparkSession, sf_dir: str, few_servers: bool = False) -> DataFrame:
+def samples(spark: SparkSession, sf_dir: str, two_runs: bool = False) -> DataFrame:
     """One monitor sample per event, with run, host, ip and date text.
 
-    With ``few_servers`` the samples of all users come from ``FEW_SERVERS`` servers in two runs.
+    A run is a day, or with ``two_runs`` all days of the even or of the odd servers, which gives each server one folder.
     """
     e = table(spark, sf_dir, "events")
-    if few_servers:
-        e = e.withColumn("user_id", F.col("user_id") % FEW_SERVERS)
     user, event, ts = F.col("user_id"), F.col("event_id"), F.col("ts")
     cents = lambda n: n.cast("double") / 100
     return e.select(
         event, ts,
-        (server_run(user) if few_servers else F.concat(F.date_format(ts, "MMdd"), F.lit("-24H"))).alias("run"),
+        (server_run(user) if two_runs else F.concat(F.date_format(ts, "MMdd"), F.lit("-24H"))).alias("run"),
         server_host(user).alias("host"),
         server_ip(user).alias("ip"),
         F.date_format(ts, "EEE MMM dd HH:mm:ss 'CST' yyyy").alias("date"),
@@ -118,15 +112,14 @@ SAMPLES_SQL = f"""
   from events"""
 
 
-FEW_SERVERS_SQL = f"""
+TWO_RUNS_SQL = f"""
   select * exclude (user_id), {run_sql('user_id')} as run from (
-    select s.* exclude (run), e.user_id from ({SAMPLES_SQL.replace(
-      "from events", f"from (select * replace (user_id % {FEW_SERVERS} as user_id) from events)")}) s
-    join (select event_id, user_id % {FEW_SERVERS} as user_id from events) e using (event_id))"""
+    select s.* exclude (run), e.user_id from ({SAMPLES_SQL}) s
+    join (select event_id, user_id from events) e using (event_id))"""
 
 
-def with_samples(body: str, few_servers: bool = False) -> str:
-    return f"with samples as ({FEW_SERVERS_SQL if few_servers else SAMPLES_SQL})\n{body}"
+def with_samples(body: str, two_runs: bool = False) -> str:
+    return f"with samples as ({TWO_RUNS_SQL if two_runs else SAMPLES_SQL})\n{body}"
 
 
 def mean_sql(column: str, digits: int = 9) -> str:
@@ -377,8 +370,8 @@ def _pairs() -> Column:
 
 
 def dump_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All samples as monitor dumps, one file per run and server."""
-    return to_lines(samples(spark, sf_dir), dump_file(), F.col("event_id"), dump_texts())
+    """All samples as monitor dumps, one file per run and server; rendered by all tasks, though the table is one file."""
+    return to_lines(samples(spark, sf_dir).hint("rebalance"), dump_file(), F.col("event_id"), dump_texts())
 
 
 def server_file(name: str) -> Column:

@@ -39,7 +39,7 @@ def _texts(df: DataFrame, kind: str, key: str, texts) -> DataFrame:
 
 def _dumps(spark, sf_dir) -> DataFrame:
     """All samples as dump lines of one run."""
-    return _texts(b.samples(spark, sf_dir, few_servers=True), "sdr_log", "event_id", b.dump_texts())
+    return _texts(b.samples(spark, sf_dir, two_runs=True), "sdr_log", "event_id", b.dump_texts())
 
 
 def src_sample_blocks_files(spark, sf_dir):
@@ -131,14 +131,14 @@ def src_task_info(spark, sf_dir):
 
 def src_sample_table(spark, sf_dir):
     path = scratch_path(spark, "samples")
-    samples = b.samples(spark, sf_dir, few_servers=True).select("run", "host", *SAMPLE_COLUMNS)
+    samples = b.samples(spark, sf_dir, two_runs=True).select("run", "host", *SAMPLE_COLUMNS)
     writers.write_new_partitions(writers.for_csv(samples), path, fmt="csv")
     return tables.sample_table(spark, f"{path}/*/*").select(*SAMPLE_COLUMNS)
 
 
 def snk_incremental(spark, sf_dir):
     path = scratch_path(spark, "incremental")
-    samples = b.samples(spark, sf_dir, few_servers=True).select("run", "host", "event_id", "ctn")
+    samples = b.samples(spark, sf_dir, two_runs=True).select("run", "host", "event_id", "ctn")
     # Servers written first stay as they are; the later run only adds the others.
     writers.write_new_partitions(samples.where(F.col("host").endswith("1")), path)
     writers.write_new_partitions(samples.withColumn("ctn", F.col("ctn") + 100), path)
@@ -218,11 +218,9 @@ def rep_fleet_files(spark, sf_dir):
     files = {
         "config": "kind=config", "perf": "kind=sum_cron", "power": "kind=avg_max_min_stdev_x", "dump": "kind=sdr_log",
     }
-    report = fleet.fleet_report_from_runs(
+    return fleet.fleet_report_from_runs(
         spark, f"{path}/*", server_queries.HOURS, reference_ip=b.REFERENCE, keep_last=True, files=files
     )
-    # The SQL lists the servers of the configuration.
-    return report.where(F.col("jdk").isNotNull())
 
 
 def _perf_lines(spark, sf_dir) -> DataFrame:

@@ -64,9 +64,10 @@ def prj_reuse_ratio(spark, sf_dir):
 def jon_util_tsv(spark, sf_dir):
     used = b.samples(spark, sf_dir).groupBy("ip").agg(
         F.avg("yarn_cpu_used").alias("vcore"),
-        *[cx.fixed_mean(F.col(f"cpu_{c}"), fleet.MONITOR_DIGITS).alias(c) for c in ("user", "sys", "idle")],
+        *[F.avg(f"cpu_{c}").alias(c) for c in ("user", "sys", "idle")],
     )
-    return compare.with_utilisation(b.perf(spark, sf_dir).drop("run", "l_suppkey"), used)
+    joined = compare.with_utilisation(b.perf(spark, sf_dir).drop("run", "l_suppkey"), used)
+    return joined.withColumns({c: F.round(c, 9) for c in ("user_share", "sys_share", "idle_share")})
 
 
 def _util(spark, sf_dir):
@@ -129,31 +130,33 @@ def _with_servers(body: str) -> str:
 
 
 _blank = ", ".join(f"cast(null as varchar) as {c}" for c in FLEET_COLUMNS if c.endswith("_blank"))
-# The monitor prints hundredths; their sum is taken in whole numbers, as the report does.
-_cents = lambda c: f"(cast(sum(cast(round({c} * 100) as bigint)) as double) / 100 / count({c}))"
 _vcore = "event_id % 60 + event_id % 50 + event_id % 40"
 _frac = lambda c: f"cast(cast(round(cast({c} as decimal(18,6)) * 100) as bigint) as double) / 10000"
-_FLEET_SQL = f"""
-  with samples as ({b.SAMPLES_SQL}), perf as ({b.PERF_SQL}), power as ({b.POWER_SQL}), config as ({b.CONFIG_SQL}),
-  util as (select ip, {_cents('cpu_user')} as avg_user, {_cents('cpu_sys')} as avg_sys,
-    {_cents('cpu_idle')} as avg_idle, cast(sum({_vcore}) as double) / count(*) as avg_vcore,
+_fleet_sql = lambda samples, servers: f"""
+  with samples as ({samples}), perf as ({b.PERF_SQL}), power as ({b.POWER_SQL}), config as ({b.CONFIG_SQL}),
+  util as (select ip, avg(cpu_user) as avg_user, avg(cpu_sys) as avg_sys, avg(cpu_idle) as avg_idle, cast(sum({_vcore}) as double) / count(*) as avg_vcore,
     avg(ctn) as ctn, avg(yarn_cpu_used) as cpu_used, avg(yarn_mem_used) as mem_used from samples group by ip),
-  filled as (select config.run, config.ip, java_home as jdk, cast(smt as bigint) as smt, cast(vcore as bigint) as vcore,
+  servers as ({servers}),
+  filled as (select servers.run, servers.ip, java_home as jdk, cast(smt as bigint) as smt, cast(vcore as bigint) as vcore,
     freq, coalesce(mr_nbr, 0) as mr_nbr, coalesce(mr_time, 0) as mr_time, coalesce(sql_nbr, 0) as sql_nbr,
     coalesce(sql_time, 0) as sql_time, coalesce(scala_nbr, 0) as scala_nbr, coalesce(scala_time, 0) as scala_time,
     coalesce(avg_w, 0) as avg_w, coalesce(max_w, 0) as max_w, coalesce(min_w, 0) as min_w,
     coalesce(stdev_w, 0) as stdev_w, round(avg_vcore) as actual_vcore, {_frac('avg_user')} as user_share,
     {_frac('avg_sys')} as sys_share, {_frac('avg_idle')} as idle_share, cast(round(ctn) as bigint) as containers,
     cast(round(cpu_used) as bigint) as cpu_used, cast(round(mem_used) as bigint) // 1000 as mem_used_gb, {_blank},
-    concat_ws(',', case when perf.ip is null then 'perf' end, case when power.ip is null then 'power' end,
+    concat_ws(',', case when config.ip is null then 'config' end, case when perf.ip is null then 'perf' end, case when power.ip is null then 'power' end,
       case when util.ip is null then 'util,yarn' end) as missing_sources
-    from config left join perf using (ip) left join power using (ip) left join util using (ip)),
+    from servers left join config on config.ip = servers.ip left join perf on perf.ip = servers.ip
+      left join power on power.ip = servers.ip left join util on util.ip = servers.ip),
   rated as (select *, mr_nbr + sql_nbr as tput,
     coalesce(cast(mr_nbr + sql_nbr as double) / nullif(max_w, 0) / {HOURS}, 0) as tput_per_wh from filled),
   ref as (select run, tput as ref_tput, tput_per_wh as ref_wh from rated where ip = '{b.REFERENCE}'),
   fleet as (select rated.*, {_REF} from rated left join ref using (run))"""
+_FLEET_SQL = _fleet_sql(b.SAMPLES_SQL, "select run, ip from config")
 _percent = lambda c: f"cast(cast(cast({c} as decimal(9,4)) * 100 as decimal(9,2)) as varchar) || '%' as {c}"
-FLEET_FILES_SQL = f"{_FLEET_SQL.replace(b.SAMPLES_SQL, b.FEW_SERVERS_SQL)} select * from fleet"
+# From folders, all servers that have one: with dumps, throughput or power figures, configured or not.
+_folders = " union ".join(f"select run, ip from {kind}" for kind in ("samples", "perf", "power"))
+FLEET_FILES_SQL = f"{_fleet_sql(b.TWO_RUNS_SQL, _folders)} select * from fleet"
 _ratio = lambda n: (
     f"coalesce(round(cast({n}_reuse as decimal(18,4)) / nullif({n}_new, 0), 1), 0)"
 )
@@ -177,8 +180,8 @@ SQL = {
     "prj_reuse_ratio": b.with_tables(
         ["pool"], f"select ip, {_ratio('mr')} as mr_ratio, {_ratio('sql')} as sql_ratio from pool"),
     "jon_util_tsv": b.with_tables(["samples", "perf"], f"""
-        , util as (select ip, round(avg(yarn_cpu_used)) as actual_vcore, {_cents('cpu_user')} / 100 as user_share,
-          {_cents('cpu_sys')} / 100 as sys_share, {_cents('cpu_idle')} / 100 as idle_share
+        , util as (select ip, round(avg(yarn_cpu_used)) as actual_vcore, round(avg(cpu_user) / 100, 9) as user_share,
+          round(avg(cpu_sys) / 100, 9) as sys_share, round(avg(cpu_idle) / 100, 9) as idle_share
           from samples group by ip)
         select ip, mr_nbr, mr_time, sql_nbr, sql_time, scala_nbr, scala_time, actual_vcore, user_share, sys_share,
           idle_share from perf left join util using (ip)"""),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rackmeter.functions import columns as cx
@@ -20,19 +20,16 @@ def with_throughput(servers: DataFrame, hours: Column) -> DataFrame:
 
 
 def versus_reference(servers: DataFrame, reference_ip: str) -> DataFrame:
-    """Throughput and throughput per watt-hour relative to one server of the same run.
+    """Throughput and throughput per watt-hour relative to one server of the same run; a run without it gets 0.
 
-    The reference has one row per run, so the join stays small; a run without it gets 0.
+    The rows of a run (one per server) meet once, so whatever they are made from is read once.
     """
-    reference = servers.where(F.col("ip") == reference_ip).groupBy("run").agg(
-        F.max("tput").alias("ref_tput"), F.max("tput_per_wh").alias("ref_per_wh")
-    )
-    return (
-        servers.join(reference, "run", "left")
-        .withColumn("tput_vs_ref", cx.ratio_or_zero(F.col("tput"), F.col("ref_tput")))
-        .withColumn("per_wh_vs_ref", cx.ratio_or_zero(F.col("tput_per_wh"), F.col("ref_per_wh")))
-        .drop("ref_tput", "ref_per_wh")
-    )
+    run = Window.partitionBy("run")
+    of_reference = lambda c: F.max(F.when(F.col("ip") == reference_ip, F.col(c))).over(run)
+    return servers.withColumns({
+        "tput_vs_ref": cx.ratio_or_zero(F.col("tput"), of_reference("tput")),
+        "per_wh_vs_ref": cx.ratio_or_zero(F.col("tput_per_wh"), of_reference("tput_per_wh")),
+    })
 
 
 def with_target_flags(servers: DataFrame) -> DataFrame:

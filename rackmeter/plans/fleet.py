@@ -23,8 +23,6 @@ FILES = {
     "dump": "sdr_log*",
     "pool": "hottub_log*",
 }
-# Decimals of the percentages in monitor dumps.
-MONITOR_DIGITS = 2
 DERIVED = ["tput", "tput_vs_ref", "tput_per_wh", "per_wh_vs_ref"]
 
 
@@ -38,7 +36,7 @@ def utilisation_means(cpu_rows: DataFrame, count_rows: DataFrame) -> DataFrame:
     """Mean cpu shares and used vcores per server from the rows of the dumps."""
     cpu = cpu_rows.groupBy(*KEYS).agg(
         *[
-            cx.fixed_mean(F.col(c), MONITOR_DIGITS).alias(name)
+            F.avg(c).alias(name)
             for c, name in [("cpu_user", "avg_user"), ("cpu_sys", "avg_sys"), ("cpu_idle", "avg_idle")]
         ]
     )

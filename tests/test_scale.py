@@ -2,6 +2,7 @@
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -75,3 +76,9 @@ def test_one_server_with_a_third_of_all_lines(spark):
 def test_shortest_task_looks_only_at_the_jobs_in_question(spark):
     plan = plan_of(distribution.longest_with_shortest(b.tasks(spark, DATA), ties=b.TASK_TIES))
     assert "LeftSemi, BuildRight" in plan
+
+
+@pytest.mark.parametrize(("query", "scans"), [("jon_vs_reference", 2), ("rep_fleet", 9), ("rep_fleet_quick_view", 9)])
+def test_comparison_with_a_reference_reads_nothing_twice(spark, query, scans):
+    plan = plan_of(entry.queries()[query](spark, DATA))
+    assert plan.count("FileScan") <= scans
