@@ -99,6 +99,12 @@ def agg_describe(spark, sf_dir):
     return stats.withColumns({c: F.round(c, 6) for c in ("mean", "std", "p25", "p50", "p75")})
 
 
+def agg_describe_frame(spark, sf_dir):
+    """Summary of every numeric column of a table."""
+    stats = describe.describe_all(b.table(spark, sf_dir, "lineitem"))
+    return stats.withColumns({c: F.round(c, 6) for c in ("mean", "std", "p25", "p50", "p75")})
+
+
 def flt_host(spark, sf_dir):
     return rollup.of_host(b.samples(spark, sf_dir), IP).select("event_id", "ip", "cpu_user")
 
@@ -177,12 +183,15 @@ QUERIES = {
     for f in [
         agg_hourly_sql, agg_hourly_mean, agg_hourly_shares, agg_host_mean, prj_sample_ratios, prj_date_parts,
         prj_percent_fraction, prj_metric_series, rep_minute_series, agg_distinct_hosts,
-        agg_group_size, agg_audit_counts, agg_sum_by_date, agg_month_mean, agg_describe, flt_host,
+        agg_group_size, agg_audit_counts, agg_sum_by_date, agg_month_mean, agg_describe, agg_describe_frame, flt_host,
         flt_date_range, flt_drop_dates, srt_head, set_union_all, agg_column_mean, agg_column_sum,
         ml_linear_fit, ml_linear_fit_by_group, fn_math_pack,
     ]
 }
 
+_LINEITEM_NUMBERS = [
+    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+]
 _LINE_VALUES = {c: c for c in LINE_NUMBERS} | {"taxed": "l_extendedprice * l_discount * l_tax"}
 _LONG = [c for c in SAMPLE_METRICS if c not in CPU_COLUMNS]
 _means = ", ".join(
@@ -246,6 +255,11 @@ SQL = {
     "agg_month_mean": b.with_samples(f"""
         select ip, strftime(ts, '%Y-%m') as mon, {b.mean_sql('yarn_mem_used')} as yarn_mem_used,
           {b.mean_sql('cpu_user')} as cpu_user from samples group by 1, 2"""),
+    "agg_describe_frame": " union all ".join(f"""
+        select '{c}' as column, count({c}) as count, {b.mean_sql(c, 6)} as mean, round(stddev({c}), 6) as std,
+          cast(min({c}) as double) as min, round(quantile_cont(cast({c} as double), 0.25), 6) as p25,
+          round(quantile_cont(cast({c} as double), 0.5), 6) as p50, round(quantile_cont(cast({c} as double), 0.75), 6) as p75,
+          cast(max({c}) as double) as max from lineitem""" for c in _LINEITEM_NUMBERS),
     "agg_describe": f"""
         select count(value) as count, {b.mean_sql('value', 6)} as mean, round(stddev(value), 6) as std,
           min(value) as min, round(quantile_cont(value, 0.25), 6) as p25,

@@ -195,3 +195,34 @@ def test_missing_paths_are_left_out(spark, tmp_path):
     paths = [str(tmp_path / "there"), str(tmp_path / "gone" / "*")]
     assert ln.read_lines(spark, paths, optional=True).count() == 2
     assert ln.list_files(spark, paths, optional=True).count() == 1
+
+
+def test_describe_all_columns_in_two_reads(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    n = 20_000
+    data = {
+        "few": rng.integers(0, 3, n).astype(float), "many": rng.normal(size=n), "heavy": np.where(rng.random(n) < 0.9, 7.0, rng.normal(size=n)),
+        "whole": rng.integers(-5, 10**12, n).astype(float), "gaps": np.where(rng.random(n) < 0.5, np.nan, rng.random(n)), "none": np.full(n, np.nan),
+    }
+    import pandas as pd
+
+    df = spark.createDataFrame(pd.DataFrame(data)).withColumn("text", F.lit("x")).repartition(7)
+    df = df.withColumn("gaps", F.when(F.col("few") > 0, F.col("gaps")))
+    rows = {r.column: r for r in describe.describe_all(df).collect()}
+    data["gaps"] = np.where(data["few"] > 0, data["gaps"], np.nan)
+    assert list(rows) == list(data)
+    for name, values in data.items():
+        kept, row = values[~np.isnan(values)], rows[name]
+        assert row["count"] == len(kept)
+        if len(kept):
+            assert (row["min"], row["max"]) == (kept.min(), kept.max())
+            assert np.allclose([row.p25, row.p50, row.p75], np.quantile(kept, [0.25, 0.5, 0.75]), rtol=1e-15)
+            assert np.allclose([row["mean"], row["std"]], [kept.mean(), kept.std(ddof=1)])
+        else:
+            assert row.p50 is None and row["mean"] is None
+    assert describe.describe_all(df.select("text")).count() == 0
+    df.write.parquet(str(tmp_path / "t"))
+    plan = describe._second_read(
+        spark.read.parquet(str(tmp_path / "t")), ["few", "many"], [describe.Bracket(0, 0, 0.0, 1.0, 5.0), describe.Bracket(1, 0, 0.0, 0.1, 5.0)]
+    )._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange") == 1
