@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from rackmeter.catalog import bindings as b
 from rackmeter.catalog import sample_queries, server_queries, task_queries
 from rackmeter.operators import distribution, recalc, rollup
-from rackmeter.plans import fleet
+from rackmeter.plans import fleet, rollups
 from rackmeter.schemas import CPU_COLUMNS, MEM_COLUMNS, SAMPLE_COLUMNS, SWAP_COLUMNS, YARN_COLUMNS
 from rackmeter.session import scratch_path
-from rackmeter.sinks import writers
+from rackmeter.sinks import commits, writers
 from rackmeter.sources import lines as ln
 from rackmeter.sources import monitor, tables
 
@@ -25,7 +25,7 @@ def _write_lines(lines: DataFrame, path: str, **options: str) -> str:
     keys = ["run", "host", "kind"]
     part = F.shiftright(F.col("pos"), PART_BITS)
     ordered = lines.repartition(*keys, part).sortWithinPartitions(*keys, "pos").select(*keys, "line")
-    ordered.write.partitionBy(*keys).options(**options).text(path)
+    ordered.write.mode("append").partitionBy(*keys).options(**options).text(path)
     return path
 
 
@@ -158,6 +158,43 @@ def snk_rollup(spark, sf_dir):
     return sample_queries.rounded(spark.read.schema(means.schema).parquet(path))
 
 
+def snk_rollup_late(spark, sf_dir):
+    """Servers and hours of old runs that come late join the roll-up; what is added twice counts once."""
+    path = scratch_path(spark, "late")
+    samples = b.samples(spark, sf_dir)
+    late = F.col("event_id") % 3 == 0
+    rollups.add_samples(samples.where(~late & F.col("host").endswith("1")), path, "first")
+    rollups.add_samples(samples.where(~late & ~F.col("host").endswith("1")), path, "other servers")
+    rollups.add_samples(samples.where(late), path, "late samples")
+    rollups.add_samples(samples.where(late), path, "late samples")
+    return sample_queries.rounded(rollups.hourly_means(spark, path))
+
+
+def rep_rollup_runs(spark, sf_dir):
+    """The hourly roll-up from run folders, updated when more servers have arrived."""
+    dumps = _dumps(spark, sf_dir)
+    folders, path = scratch_path(spark, "folders"), scratch_path(spark, "grown")
+    odd = F.col("host").rlike("[13579]$")
+    _write_lines(dumps.where(odd), folders)
+    rollups.update_from_runs(spark, f"{folders}/*", path, True, "kind=sdr_log")
+    _write_lines(dumps.where(~odd), folders)
+    rollups.update_from_runs(spark, f"{folders}/*", path, True, "kind=sdr_log")
+    rollups.update_from_runs(spark, f"{folders}/*", path, True, "kind=sdr_log")
+    return sample_queries.rounded(rollups.hourly_means(spark, path))
+
+
+def snk_commits(spark, sf_dir):
+    """Appends by token: the second of the same token and a writer that stopped half-way add nothing."""
+    path = scratch_path(spark, "commits")
+    apps = b.apps(spark, sf_dir)
+    early = F.col("app") % 2 == 0
+    commits.append_once(apps.where(early), path, "even")
+    commits.stage(apps, path)  # never published
+    commits.append_once(apps.where(~early), path, "odd")
+    commits.append_once(apps.where(early), path, "even")
+    return commits.read(spark, path)
+
+
 def src_rollup_reread(spark, sf_dir):
     path = scratch_path(spark, "reread")
     writers.write_once(_rollup(spark, sf_dir), path)
@@ -242,7 +279,7 @@ QUERIES = {
     f.__name__: f
     for f in [
         src_sample_blocks_files, src_gzip, src_app_info, src_app_orders, src_hosts, snk_append, src_task_info,
-        src_sample_table, snk_incremental, snk_rollup, src_rollup_reread, snk_single_csv, src_raw_csv,
+        src_sample_table, snk_incremental, snk_rollup, snk_rollup_late, rep_rollup_runs, snk_commits, src_rollup_reread, snk_single_csv, src_raw_csv,
         flt_missing_source, rep_fleet_files, rep_task_distribution_files,
     ]
 }
@@ -266,6 +303,9 @@ SQL = {
     "snk_incremental": b.with_samples(f"""
         select run, host, event_id, case when host like '%1' then ctn else ctn + 100 end as ctn from samples""", True),
     "snk_rollup": sample_queries.SQL["agg_hourly_mean"],
+    "snk_rollup_late": sample_queries.SQL["agg_hourly_mean"],
+    "rep_rollup_runs": sample_queries.SQL["agg_hourly_mean"].replace(b.SAMPLES_SQL, b.TWO_RUNS_SQL),
+    "snk_commits": b.with_apps("select * from apps"),
     "src_rollup_reread": sample_queries.SQL["agg_hourly_shares"],
     "snk_single_csv": sample_queries.SQL["agg_hourly_sql"],
     "src_raw_csv": f"""
