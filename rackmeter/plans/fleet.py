@@ -56,7 +56,7 @@ def fleet_report(
     perf: DataFrame,
     power: DataFrame,
     util: DataFrame,
-    yarn: DataFrame,
+    yarn: DataFrame | None = None,
     hours: int | None = None,
     *,
     reference_ip: str,
@@ -65,16 +65,17 @@ def fleet_report(
 
     All inputs hold one row per (run, ip) and are joined on these keys; a server that lacks an
     input stays in the report and names it in ``missing_sources``. ``hours`` is the length of the
-    run; without it the run name tells.
+    run; without it the run name tells. Without ``yarn`` the figures of both come in ``util``, which then says itself
+    what a server has (``has_util``, ``has_yarn``; see ``monitor.server_means``).
     """
-    inputs = {"config": config, "perf": perf, "power": power, "util": util, "yarn": yarn}
+    inputs = {"config": config, "perf": perf, "power": power, "util": util} | ({} if yarn is None else {"yarn": yarn})
     joined = servers.select(*KEYS)
     for name, frame in inputs.items():
         own = [c for c in frame.columns if c not in ("host", "file")]
-        joined = joined.join(frame.select(*own, F.lit(True).alias(f"has_{name}")), KEYS, "left")
-    absent = F.array_compact(
-        F.array(*[F.when(F.col(f"has_{n}").isNull(), F.lit(n)) for n in inputs])
-    )
+        flag = [F.lit(True).alias(f"has_{name}")] * (f"has_{name}" not in own)
+        joined = joined.join(frame.select(*own, *flag), KEYS, "left")
+    kinds = ["config", "perf", "power", "util", "yarn"]
+    absent = F.array_compact(F.array(*[F.when(F.col(f"has_{n}").isNull(), F.lit(n)) for n in kinds]))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     cells = {
         "ip": F.col("ip"), "jdk": F.col("java_home"), "freq": F.col("freq"),
@@ -166,7 +167,7 @@ def fleet_report_from_runs(
     keep_last: bool = False,
     files: Mapping[str, str] = FILES,
 ) -> DataFrame:
-    """The fleet report of all run folders that match ``runs`` (a path or glob)."""
+    """The fleet report of all run folders that match ``runs`` (a path or glob); each dump is read once."""
     base = runs.rstrip("/")
     server = f"{base}/*tdw*"
     dumps = ln.read_lines(spark, f"{server}/{files['dump']}")
@@ -177,9 +178,8 @@ def fleet_report_from_runs(
         one_per_server(_config(spark, base, files)),
         one_per_server(perf),
         one_per_server(power),
-        utilisation_means(monitor.cpu_rows(dumps), monitor.count_rows(dumps)),
-        rollup.host_means(monitor.sample_blocks(dumps, keep_last, full=False)),
-        hours,
+        monitor.server_means(dumps, keep_last),
+        hours=hours,
         reference_ip=reference_ip,
     )
 

@@ -29,18 +29,48 @@ class Rule:
     cells: Column
 
 
-def _marked(lines: DataFrame, header: Column, rules: Sequence[Rule], every_rule: bool) -> DataFrame:
-    """Lines that matter: kind 0 for headers, k for the k-th rule, with the parsed cells."""
+@dataclass(frozen=True)
+class Tally:
+    """Lines whose cells are summed and counted, in whatever block they stand or outside of all.
+
+    With ``after`` only lines that directly follow a line for which it holds.
+    """
+
+    names: Sequence[str]
+    when: Column
+    cells: Column
+    after: Column | None = None
+
+
+WAITING = -1
+
+
+def _marked(
+    lines: DataFrame, header: Column, rules: Sequence[Rule], every_rule: bool, tallies: Sequence[Tally] = ()
+) -> DataFrame:
+    """Lines that matter: kind 0 for headers, k for the k-th rule, then one for each tally, with the parsed cells.
+
+    A line that a tally waits for puts a row of kind ``WAITING`` at the place where the next line starts.
+    """
     tests = [header] + [rule.when for rule in rules]
     kinds = [F.when(test, F.lit(k)) for k, test in enumerate(tests)]
-    base = [F.col("file"), F.col("split"), F.col("pos"), F.col("line")]
-    if every_rule:
-        hits = F.filter(F.array(*kinds), lambda k: k.isNotNull())
-        kept = lines.select(*base, F.explode(hits).alias("kind"))
+    base = [F.col("file"), F.col("split"), F.col("line")]
+    if every_rule or tallies:
+        at = lambda place, kind: F.struct(place.alias("pos"), kind.alias("kind"))
+        first = kinds if every_rule else [F.coalesce(*kinds)]
+        hits = [F.when(k.isNotNull(), at(F.col("pos"), k)) for k in first]
+        after = F.col("next") if "next" in lines.columns else F.col("pos") + 1
+        for k, tally in enumerate(tallies, start=len(tests)):
+            hits.append(F.when(tally.when, at(F.col("pos"), F.lit(k))))
+            if tally.after is not None:
+                hits.append(F.when(tally.after, at(after, F.lit(WAITING))))
+        found = F.filter(F.array(*hits), lambda k: k.isNotNull())
+        kept = lines.select(*base, F.explode(found).alias("k")).select(*base, "k.pos", "k.kind")
     else:
-        kept = lines.select(*base, F.coalesce(*kinds).alias("kind")).where(F.col("kind").isNotNull())
-    cells = F.coalesce(*[F.when(F.col("kind") == k, r.cells) for k, r in enumerate(rules, start=1)])
-    width = max(len(rule.names) for rule in rules)
+        kept = lines.select(*base, "pos", F.coalesce(*kinds).alias("kind")).where(F.col("kind").isNotNull())
+    parsed = [(k, r.cells) for k, r in enumerate([*rules, *tallies], start=1)]
+    cells = F.coalesce(*[F.when(F.col("kind") == k, c) for k, c in parsed])
+    width = max(len(rule.names) for rule in [*rules, *tallies])
     return kept.select(
         "file", "split", chunk_of(F.col("pos")).alias("chunk"), "pos", "kind",
         F.when(F.col("kind") == 0, F.col("line")).alias("opener"),
@@ -56,46 +86,51 @@ def assemble(
     header: Column,
     rules: Sequence[Rule],
     keep_last: bool = False,
-    first_match: bool = False,
     every_rule: bool = False,
+    tallies: Sequence[Tally] = (),
 ) -> DataFrame:
     """One row per block: file, header, block_split, block_pos, then the cells of all rules.
 
     Lines before the first header are dropped; so is the last block of each file (it may be cut
     off) unless ``keep_last``. A line counts for the first rule it meets, or for all of them with
-    ``every_rule``. If several lines fill a cell the last one wins, or with ``first_match`` the
-    first one, whose place is then given as ``cell_split`` and ``cell_pos``.
+    ``every_rule``. If several lines fill a cell the last one wins.
+
+    With ``tallies`` each row also has ``<name>_sum`` and ``<name>_n``, and there are rows with ``complete`` false for
+    the blocks and lines that would be dropped, so that all kinds of records come from one reading of the lines.
     """
-    pick = "min_by" if first_match else "max_by"
-    chunk_keys = ["file", "split", "chunk"]
+    chunk_keys = ["file", "chunk"]
     upto = (Window.unboundedPreceding, Window.currentRow)
     in_chunk = Window.partitionBy(*chunk_keys).orderBy("pos", "kind").rowsBetween(*upto)
-    numbered = _marked(lines, header, rules, every_rule).select(
+    awaited = F.last(F.when(F.col("kind") == WAITING, F.col("pos")), ignorenulls=True).over(in_chunk) == F.col("pos")
+    numbered = _marked(lines, header, rules, every_rule, tallies).select(
         "*",
         F.sum((F.col("kind") == 0).cast("int")).over(in_chunk).alias("local"),
         F.last("opener", ignorenulls=True).over(in_chunk).alias("header"),
+        *[awaited.alias("awaited")] * any(t.after is not None for t in tallies),
     )
     cells = [(name, k, i) for k, rule in enumerate(rules, start=1) for i, name in enumerate(rule.names)]
+    sums = []
+    for k, tally in enumerate(tallies, start=len(rules) + 1):
+        hit = (F.col("kind") == k) & (F.col("awaited") if tally.after is not None else F.lit(True))
+        for i, name in enumerate(tally.names):
+            value = F.when(hit, F.col(f"v{i}"))
+            sums += [(f"{name}_sum", F.sum(value)), (f"{name}_n", F.count(value))]
     parts = numbered.groupBy(*chunk_keys, "local", "header").agg(
         F.max(F.when(F.col("kind") == 0, F.col("pos"))).alias("opened"),
-        F.min(F.when(F.col("kind") > 0, F.col("pos"))).alias("first_cell"),
+        F.min(F.when(F.col("kind") == 0, F.col("split"))).alias("split"),
         *[
-            F.expr(f"{pick}(v{i}, case when kind = {k} and v{i} is not null then pos end) as `{name}`")
+            F.expr(f"max_by(v{i}, case when kind = {k} and v{i} is not null then pos end) as `{name}`")
             for name, k, i in cells
         ],
+        *[value.alias(name) for name, value in sums],
     )
     is_edge = (F.col("local") == 0) | (
         F.col("local") == F.max("local").over(Window.partitionBy(*chunk_keys))
     )
-    parts = parts.withColumn("edge", is_edge).withColumns(
-        {
-            "own_split": F.when(~F.col("edge"), F.col("split")),
-            "own_chunk": F.when(~F.col("edge"), F.col("chunk")),
-        }
-    )
-    part_keys = ["file", "own_split", "own_chunk"]
+    parts = parts.withColumn("edge", is_edge).withColumn("own_chunk", F.when(~F.col("edge"), F.col("chunk")))
+    part_keys = ["file", "own_chunk"]
     whole = Window.partitionBy(*part_keys)
-    in_order = whole.orderBy("split", "chunk", "local")
+    in_order = whole.orderBy("chunk", "local")
     opens = F.col("opened").isNotNull().cast("int")
     owned = parts.withColumns(
         {
@@ -104,30 +139,23 @@ def assemble(
             "rank": F.row_number().over(in_order),
             "header": F.last("header", ignorenulls=True).over(in_order.rowsBetween(*upto)),
         }
-    ).where(F.col("owner") > 0)
-    if not keep_last:
-        owned = owned.where(~(F.col("edge") & (F.col("owner") == F.col("owners"))))
-    has_cell = F.when(F.col("first_cell").isNotNull(), F.col("rank"))
-    place = (
-        [
-            F.min_by("split", has_cell).alias("cell_split"),
-            F.min_by("first_cell", has_cell).alias("cell_pos"),
-        ]
-        if first_match
-        else []
     )
+    complete = F.col("owner") > 0
+    if not keep_last:
+        complete = complete & ~(F.col("edge") & (F.col("owner") == F.col("owners")))
+    owned = owned.withColumn("complete", complete) if tallies else owned.where(complete)
     return (
-        owned.groupBy(*part_keys, "owner", "header")
+        owned.groupBy(*part_keys, "owner", "header", *["complete"] * bool(tallies))
         .agg(
             F.max(F.when(F.col("opened").isNotNull(), F.col("split"))).alias("block_split"),
             F.max("opened").alias("block_pos"),
-            *place,
             *[
-                F.expr(f"{pick}(`{name}`, case when `{name}` is not null then rank end) as `{name}`")
+                F.expr(f"max_by(`{name}`, case when `{name}` is not null then rank end) as `{name}`")
                 for name, _, _ in cells
             ],
+            *[F.sum(name).alias(name) for name, _ in sums],
         )
-        .drop("own_split", "own_chunk", "owner")
+        .drop("own_chunk", "owner")
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rackmeter.functions import text as tx
 from rackmeter.schemas import CPU_COLUMNS, MEM_COLUMNS, SWAP_COLUMNS, YARN_COLUMNS
-from rackmeter.sources.blocks import Rule, assemble, line_after
+from rackmeter.sources.blocks import Rule, Tally, assemble, line_after
 from rackmeter.sources.lines import with_server
 
 # What the monitor writes.
@@ -98,6 +98,28 @@ def sample_blocks(
     )
 
 
+def server_means(lines: DataFrame, keep_last: bool = False) -> DataFrame:
+    """Per run and server from one reading of the dumps, a row each.
+
+    avg_user, avg_sys and avg_idle (means of the cpu rows), avg_vcore (mean of the used containers), and the means of
+    the container and memory figures over all blocks, a figure that a block lacks being 0.
+    """
+    line = F.col("line")
+    cpu = Tally(["user", "nice", "sys", "io", "steal", "idle"], line.rlike(NUMBER_ROW) & ~line.contains(CPU_MARKER),
+                tx.numbers(F.slice(tx.tokens(line), 1, 6)), after=line.contains(CPU_MARKER))
+    pairs = _counts(line)
+    vcore = Tally(["vcore"], is_count_line(line), F.array(F.get(pairs, F.lit(0)) + F.get(pairs, F.lit(2)) + F.get(pairs, F.lit(4))))
+    rules = [rule for rule in _sample_rules(False) if rule.names != CPU_COLUMNS]
+    found = with_server(assemble(lines, is_header(line), rules, keep_last=keep_last, tallies=[cpu, vcore]))
+    mean = lambda name: F.try_divide(F.sum(f"{name}_sum"), F.sum(f"{name}_n"))
+    return found.groupBy("run", "ip").agg(
+        *[mean(name).alias(f"avg_{name}") for name in ("user", "sys", "idle", "vcore")],
+        *[F.avg(F.when(F.col("complete"), F.coalesce(c, F.lit(0.0)))).alias(c) for c in YARN_COLUMNS],
+        F.when(F.sum("user_n") + F.sum("vcore_n") > 0, True).alias("has_util"),
+        F.when(F.max(F.col("complete")), True).alias("has_yarn"),
+    )
+
+
 def cpu_rows(lines: DataFrame) -> DataFrame:
     """Six cpu percentages from the line after each cpu marker."""
     line = F.col("line")

@@ -139,3 +139,36 @@ def test_block_numbers_do_not_depend_on_the_cuts(spark, split_size, tmp_path, mo
             got = ln.number_blocks(ln.read_lines(spark, f"{tmp_path}/log"), monitor.is_header(F.col("line"))).orderBy("pos")
             rows = got.collect()
             assert [(r.line, r.block, r.n_blocks) for r in rows] == [(t, b, blocks[-1]) for t, b in zip(text, blocks)]
+
+
+def test_all_records_from_one_reading(spark, split_size, tmp_path, monkeypatch):
+    from rackmeter.operators import rollup
+    from rackmeter.plans import fleet
+    from rackmeter.schemas import YARN_COLUMNS
+    from test_blocks import make_dump
+
+    rng = random.Random(6)
+    for k, blocks in enumerate([60, 3, 1, 0]):
+        folder = tmp_path / "0711-24H" / f"tdw-10-0-0-{k}"
+        folder.mkdir(parents=True)
+        text = make_dump(rng, blocks) if blocks else ["no header", "avg-cpu: x", "1.0 2.0 3.0 4.0 5.0 6.0"]
+        for at in sorted(rng.sample(range(len(text)), min(len(text), 12)), reverse=True):
+            text[at:at] = rng.choice([["Tue Jul 11 00:00:01 CST 2017 now MR 10/12 SQL 8/9 SCALA 2/3"], ["avg-cpu: x", "cut off"]])
+        (folder / f"sdr_log_{k}").write_text("\n".join(text) + "\n")
+    for size in SIZES[1:]:
+        for bits in (5, 9, 22):
+            monkeypatch.setattr(ln, "CHUNK_BITS", bits)
+            split_size(size)
+            dumps = ln.read_lines(spark, f"{tmp_path}/*/*/sdr_log*")
+            one = {r.ip: r for r in monitor.server_means(dumps).collect()}
+            util = {r.ip: r for r in fleet.utilisation_means(monitor.cpu_rows(dumps), monitor.count_rows(dumps)).collect()}
+            yarn = {r.ip: r for r in rollup.host_means(monitor.sample_blocks(dumps, full=False)).collect()}
+            assert set(util) | set(yarn) == {ip for ip, r in one.items() if r.has_util or r.has_yarn}
+            for ip, row in one.items():
+                assert (row.has_util, row.has_yarn) == (True if ip in util else None, True if ip in yarn else None)
+                for c in ("avg_user", "avg_sys", "avg_idle", "avg_vcore"):
+                    assert row[c] == pytest.approx(util[ip][c]) if ip in util and util[ip][c] is not None else row[c] is None
+                for c in YARN_COLUMNS:
+                    assert row[c] == pytest.approx(yarn[ip][c]) if ip in yarn else row[c] is None
+    plan = monitor.server_means(dumps)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BatchScan byte_lines") == 1

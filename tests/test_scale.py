@@ -29,7 +29,7 @@ def test_blocks_scan_once_and_shuffle_twice(spark, tmp_path):
     # No window runs over a file alone.
     for line in plan.splitlines():
         if "Window [" in line:
-            assert re.search(r"\], \[file#\d+, (split|own_split)#", line), line
+            assert re.search(r"\], \[file#\d+, (chunk|own_chunk)#", line), line
     assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
 
 
