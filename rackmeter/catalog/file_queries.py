@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rackmeter.catalog import bindings as b
-from rackmeter.catalog import sample_queries, server_queries, task_queries
+from rackmeter.catalog import sample_queries, server_queries, task_queries, text_queries
 from rackmeter.operators import distribution, recalc, rollup
 from rackmeter.plans import fleet, rollups
 from rackmeter.schemas import CPU_COLUMNS, MEM_COLUMNS, SAMPLE_COLUMNS, SWAP_COLUMNS, YARN_COLUMNS
@@ -260,6 +260,43 @@ def rep_fleet_files(spark, sf_dir):
     )
 
 
+def rep_fleet_older_files(spark, sf_dir):
+    """The older report from folders with fixed-length configuration, summaries with spread and a utilisation file."""
+    path, used = scratch_path(spark, "older"), scratch_path(spark, "utilisation")
+    power = b.power(spark, sf_dir)
+    row = F.concat_ws(" ", *[F.col(c).cast("string") for c in ("avg_w", "max_w", "min_w", "stdev_w")])
+    power_lines = _texts(power, "avg_max_min_stdev_x", "l_suppkey", [F.lit("avg max min stdev"), row])
+    _write_lines(power_lines.unionByName(_perf_lines(spark, sf_dir)), path)
+    config = text_queries.config_lines(spark, sf_dir).withColumn("run", F.regexp_extract("file", "/logs/([^/]+)/", 1))
+    ordered = config.withColumn("kind", F.lit("config")).repartition("run").sortWithinPartitions("run", "pos")
+    ordered.select("run", "kind", "line").write.mode("append").partitionBy("run", "kind").text(path)
+    means = b.samples(spark, sf_dir).groupBy("ip").agg(
+        *[F.round(F.avg(c), 6).alias(c) for c in ("yarn_cpu_used", "cpu_user", "cpu_sys", "cpu_idle")]
+    )
+    means.write.csv(used, sep="\t")
+    files = {"config": "kind=config", "perf": "kind=sum_cron", "power": "kind=avg_max_min_stdev_x"}
+    report = fleet.older_report_from_runs(spark, f"{path}/*", used, server_queries.HOURS, reference_ip=b.REFERENCE, files=files)
+    return report.withColumns({c: F.round(c, 9) for c in ("user_share", "sys_share", "idle_share")})
+
+
+def rep_recalc_runs(spark, sf_dir):
+    """The recalculation from run folders, added to when another run has arrived."""
+    folders, path = scratch_path(spark, "recalcs"), scratch_path(spark, "recalculated")
+    rows = b.apps(spark, sf_dir).select("run", "host", *[F.col(c).cast("string").alias(c) for c in ("executors", "tasks", "duration2")])
+    for first in (True, False):
+        some = rows.where((F.col("run") == "0101-24H") == F.lit(first))
+        some.hint("rebalance", "run", "host").write.mode("append").partitionBy("run", "host").csv(folders, header=True)
+        fleet.recalculation_from_runs(spark, f"{folders}/*", path, "*")
+    return fleet.recalculation_from_runs(spark, f"{folders}/*", path, "*")
+
+
+def src_util_file(spark, sf_dir):
+    """The utilisation file read by its own reader."""
+    path = scratch_path(spark, "tsv")
+    b.samples(spark, sf_dir).select("ip", "yarn_cpu_used", "cpu_user", "cpu_sys", "cpu_idle").write.csv(path, sep="\t")
+    return tables.utilisation(spark, path)
+
+
 def _perf_lines(spark, sf_dir) -> DataFrame:
     texts = [F.lit("=="), F.lit("==")]
     for name, label in [("mr", "Total executors mr"), ("sql", "Total tasks"), ("scala", "Total tasks")]:
@@ -279,7 +316,7 @@ QUERIES = {
     f.__name__: f
     for f in [
         src_sample_blocks_files, src_gzip, src_app_info, src_app_orders, src_hosts, snk_append, src_task_info,
-        src_sample_table, snk_incremental, snk_rollup, snk_rollup_late, rep_rollup_runs, snk_commits, src_rollup_reread, snk_single_csv, src_raw_csv,
+        src_sample_table, snk_incremental, snk_rollup, snk_rollup_late, rep_rollup_runs, snk_commits, rep_fleet_older_files, rep_recalc_runs, src_util_file, src_rollup_reread, snk_single_csv, src_raw_csv,
         flt_missing_source, rep_fleet_files, rep_task_distribution_files,
     ]
 }
@@ -305,6 +342,9 @@ SQL = {
     "snk_rollup": sample_queries.SQL["agg_hourly_mean"],
     "snk_rollup_late": sample_queries.SQL["agg_hourly_mean"],
     "rep_rollup_runs": sample_queries.SQL["agg_hourly_mean"].replace(b.SAMPLES_SQL, b.TWO_RUNS_SQL),
+    "rep_fleet_older_files": server_queries.FLEET_OLDER_SQL,
+    "rep_recalc_runs": task_queries.RECALC_ROWS_SQL,
+    "src_util_file": text_queries.SQL["src_util_tsv"],
     "snk_commits": b.with_apps("select * from apps"),
     "src_rollup_reread": sample_queries.SQL["agg_hourly_shares"],
     "snk_single_csv": sample_queries.SQL["agg_hourly_sql"],

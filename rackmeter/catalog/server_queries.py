@@ -102,6 +102,11 @@ def rep_jvm_pool(spark, sf_dir):
     return fleet.jvm_pool_report(b.jvm_pool(spark, sf_dir), b.config(spark, sf_dir))
 
 
+def prj_jvm_pool_counts(spark, sf_dir):
+    """The JVM-pool figures in the order of the older view."""
+    return fleet.jvm_pool_counts(b.jvm_pool(spark, sf_dir))
+
+
 def snk_flat_line(spark, sf_dir):
     """Lines of the full and of the older layout."""
     report = _fleet(spark, sf_dir)
@@ -112,7 +117,7 @@ QUERIES = {
     f.__name__: f
     for f in [
         prj_throughput, jon_vs_reference, prj_target_flags, prj_default_zero, prj_short_labels,
-        prj_reuse_ratio, jon_util_tsv, rep_fleet, rep_fleet_quick_view, rep_jvm_pool, snk_flat_line,
+        prj_reuse_ratio, jon_util_tsv, rep_fleet, rep_fleet_quick_view, rep_jvm_pool, prj_jvm_pool_counts, snk_flat_line,
     ]
 }
 
@@ -152,6 +157,12 @@ _fleet_sql = lambda samples, servers: f"""
     coalesce(cast(mr_nbr + sql_nbr as double) / nullif(max_w, 0) / {HOURS}, 0) as tput_per_wh from filled),
   ref as (select run, tput as ref_tput, tput_per_wh as ref_wh from rated where ip = '{b.REFERENCE}'),
   fleet as (select rated.*, {_REF} from rated left join ref using (run))"""
+_dropped = ", ".join(["actual_vcore", "user_share", "sys_share", "idle_share", "missing_sources", *FLEET_COLUMNS[30:]])
+FLEET_OLDER_SQL = f"""{_fleet_sql(b.SAMPLES_SQL, "select run, ip from perf union select run, ip from power")},
+  used as (select ip, round(round(avg(yarn_cpu_used), 6)) as actual_vcore, round(round(avg(cpu_user), 6) / 100, 9) as user_share,
+    round(round(avg(cpu_sys), 6) / 100, 9) as sys_share, round(round(avg(cpu_idle), 6) / 100, 9) as idle_share from samples group by ip)
+  select fleet.* exclude ({_dropped}), used.* exclude (ip), replace(missing_sources, 'util,yarn', 'util') as missing_sources
+  from fleet left join used on used.ip = fleet.ip"""
 _FLEET_SQL = _fleet_sql(b.SAMPLES_SQL, "select run, ip from config")
 _percent = lambda c: f"cast(cast(cast({c} as decimal(9,4)) * 100 as decimal(9,2)) as varchar) || '%' as {c}"
 # From folders, all servers that have one: with dumps, throughput or power figures, configured or not.
@@ -200,5 +211,6 @@ SQL = {
         select pool.run, ip, all_crash, task_crash, failed_container, gc_limit, mr_reuse, mr_new,
           {_ratio('mr')} as mr_ratio, mr_fallback, sql_reuse, sql_new, {_ratio('sql')} as sql_ratio, sql_fallback,
           conventional, right(java_home, 16) as jdk from pool left join config using (ip)"""),
+    "prj_jvm_pool_counts": b.with_tables(["pool"], "select * exclude (l_suppkey) from pool"),
     "snk_flat_line": f"{_FLEET_SQL} select {_line(FLEET_COLUMNS)} from fleet union all select {_line(FLEET_COLUMNS_SHORT)} from fleet",
 }

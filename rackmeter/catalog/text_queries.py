@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rackmeter.catalog import bindings as b
 from rackmeter.functions import text as tx
+from rackmeter.operators import distribution
 from rackmeter.schemas import CPU_COLUMNS, MEM_COLUMNS, SWAP_COLUMNS, YARN_COLUMNS
 from rackmeter.sources import lines as ln
 from rackmeter.sources import monitor, summary, tables
@@ -52,6 +53,11 @@ def src_power_readings(spark, sf_dir):
     )
 
 
+def win_top5_power(spark, sf_dir):
+    """The five highest power readings of each server in its dumps, with their counts."""
+    return distribution.highest_values(monitor.power_readings(b.dump_lines(spark, sf_dir)), "watt", 5)
+
+
 def win_block_id(spark, sf_dir):
     numbered = ln.number_blocks(b.dump_lines(spark, sf_dir), monitor.is_header(F.col("line")))
     return numbered.select("file", "pos", "block", "n_blocks")
@@ -76,7 +82,7 @@ def flt_line_class(spark, sf_dir):
     return classed.groupBy("kind").agg(F.count("*").alias("n"))
 
 
-def _config_lines(spark, sf_dir):
+def config_lines(spark, sf_dir):
     """Configuration files of eleven lines per server behind three lines of preamble."""
     config = b.config(spark, sf_dir)
     file = b.run_file("2024-01-01.config.all.txt")
@@ -97,12 +103,12 @@ def _config_lines(spark, sf_dir):
 
 
 def src_config_fixed(spark, sf_dir):
-    return summary.config_fixed(_config_lines(spark, sf_dir)).select("run", "ip", "smt", "vcore", "freq", "java_home")
+    return summary.config_fixed(config_lines(spark, sf_dir)).select("run", "ip", "smt", "vcore", "freq", "java_home")
 
 
 def src_config_blocks(spark, sf_dir):
     # The keyed form recognises a block by a dotted address.
-    dotted = _config_lines(spark, sf_dir).withColumn(
+    dotted = config_lines(spark, sf_dir).withColumn(
         "line", F.when(F.col("line").startswith("===="), F.translate("line", "-", ".")).otherwise(F.col("line"))
     )
     return summary.config_blocks(dotted).select("run", "ip", "smt", "vcore", "freq", "jdk", "java_home")
@@ -222,7 +228,7 @@ QUERIES = {
     f.__name__: f
     for f in [
         src_sample_blocks, src_sample_blocks_hour, src_sample_blocks_full, src_cpu_rows, src_vcore_rows,
-        src_vcore_after_marker, src_power_readings, win_block_id, win_drop_last, flt_line_class,
+        src_vcore_after_marker, src_power_readings, win_top5_power, win_block_id, win_drop_last, flt_line_class,
         src_config_fixed, src_config_blocks, src_perf_summary, src_perf_spread, src_power_stats,
         src_jvm_pool, src_matrix, src_util_tsv, flt_ip, flt_run_name, prj_run_name, fn_text_pack,
     ]
@@ -268,6 +274,10 @@ SQL = {
         select run, ip, mr_nbr, mr_time, mr_time * 2 as mr_std, case when l_suppkey % 4 = 3 then 0 else sql_nbr end as sql_nbr,
           sql_time, sql_time * 2 as sql_std, scala_nbr, scala_time, scala_time * 2 as scala_std from perf"""),
     "src_power_stats": b.with_tables(["power"], "select run, ip, avg_w, max_w, min_w, stdev_w from power"),
+    "win_top5_power": b.with_samples("""
+        , counted as (select ip, cast(yarn_mem_used + 800 as double) as watt, count(*) as n from samples group by 1, 2)
+        select ip, watt, n, row_number() over (partition by ip order by watt desc) as rank from counted
+        qualify rank <= 5"""),
     "src_jvm_pool": b.with_tables(["pool"], f"select run, ip, {_list(_POOL)} from pool where l_suppkey % 10 <> 9"),
     "src_matrix": "select l_quantity as c0, l_extendedprice as c1, l_discount as c2, l_tax as c3 from lineitem",
     "src_util_tsv": b.with_samples("""

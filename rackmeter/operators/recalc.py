@@ -43,10 +43,11 @@ def recalculate(apps: DataFrame, keys: Sequence[str] = ("run", "host")) -> DataF
     )
 
 
-def recalculation_rows(apps: DataFrame) -> DataFrame:
-    """The recalculation per run folder and server with date, hours and tag of the run."""
+def recalculation_rows(apps: DataFrame, *more: str) -> DataFrame:
+    """The recalculation per run folder and server with date, hours and tag of the run, next to ``more`` key columns."""
     run = F.col("run")
     return recalculate(apps).select(
+        *more,
         tx.run_date(run).alias("date"), tx.run_hours(run).alias("hours"),
         F.replace("host", F.lit("tdw-"), F.lit("")).alias("server"), tx.run_tag(run).alias("tag"),
         "duration", "tasks", "executors", "extra_executors", "extra_time",

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from rackmeter.functions import columns as cx
 from rackmeter.functions import text as tx
-from rackmeter.operators import compare, rollup
-from rackmeter.schemas import FLEET_COLUMNS
+from rackmeter.operators import compare, recalc, rollup
+from rackmeter.schemas import FLEET_COLUMNS, FLEET_COLUMNS_SHORT
+from rackmeter.sinks import commits
 from rackmeter.sources import lines as ln
-from rackmeter.sources import monitor, summary
+from rackmeter.sources import monitor, summary, tables
 
 KEYS = ["run", "ip"]
 # Where each kind of input lies, below the run folder (config) or the server folder.
@@ -99,6 +100,20 @@ def fleet_report(
     return compared.select("run", *FLEET_COLUMNS, *DERIVED, "missing_sources").orderBy("run", "ip")
 
 
+def older_report(
+    servers: DataFrame, config: DataFrame, perf: DataFrame, power: DataFrame, utilisation: DataFrame,
+    hours: int | None = None, *, reference_ip: str,
+) -> DataFrame:
+    """The older form of the report: 30 columns, vcores and cpu shares from a utilisation table by server."""
+    used = utilisation.select("ip", *[F.col(c).alias(f"avg_{c}") for c in ("vcore", "user", "sys", "idle")])
+    none = {c: F.lit(None).cast("double") for c in ("ctn", "yarn_cpu_used", "yarn_mem_used")}
+    util = servers.select(*KEYS).join(used, "ip").withColumns({**none, "has_util": F.lit(True)})
+    report = fleet_report(servers, config, perf, power, util.withColumn("has_yarn", F.lit(True)), hours=hours, reference_ip=reference_ip)
+    named = F.regexp_replace("missing_sources", ",?yarn", "")  # this form has no such input
+    filled = compare.with_utilisation(report, utilisation).withColumn("missing_sources", named)
+    return filled.select("run", *FLEET_COLUMNS_SHORT, *DERIVED, "missing_sources").orderBy("run", "ip")
+
+
 def quick_view(report: DataFrame) -> DataFrame:
     """The console form of the report: short labels, rounded figures, target flags."""
     return compare.with_target_flags(report).select(
@@ -184,6 +199,37 @@ def fleet_report_from_runs(
     )
 
 
+def older_report_from_runs(
+    spark: SparkSession, runs: str, utilisation: str, hours: int | None = None, *, reference_ip: str,
+    files: Mapping[str, str] = FILES,
+) -> DataFrame:
+    """The older report from run folders (fixed-length configuration, summaries with spread) and a utilisation file."""
+    base = runs.rstrip("/")
+    server = f"{base}/*tdw*"
+    lines = lambda path: ln.read_lines(spark, path, optional=True)
+    return older_report(
+        ln.hosts(spark, f"{server}/*"),
+        one_per_server(summary.config_fixed(lines(f"{base}/{files['config']}"))),
+        one_per_server(summary.perf_spread(lines(f"{server}/{files['perf']}"))),
+        one_per_server(summary.power_stats(lines(f"{server}/{files['power']}"))),
+        tables.utilisation(spark, utilisation), hours, reference_ip=reference_ip,
+    )
+
+
+def recalculation_from_runs(spark: SparkSession, runs: str, path: str, apps: str = "mr_appinfo*") -> DataFrame:
+    """Recalculation rows of all run folders, kept in a table that grows: a run is added once.
+
+    Servers without such a log are skipped (see ``sources_audit``). Returns the rows of all runs added so far.
+    """
+    found = ln.with_server(ln.list_files(spark, f"{runs.rstrip('/')}/*tdw*/{apps}", optional=True))
+    if not commits.commits(spark, path).isEmpty():
+        found = found.join(commits.read(spark, path).select("run").distinct(), "run", "left_anti")
+    files = sorted(r.file for r in found.select("file").collect())
+    if files:
+        commits.append_new(recalc.recalculation_rows(tables.app_info(spark, files), "run"), path, ["run"])
+    return commits.read(spark, path).drop("run")
+
+
 def jvm_pool_report_from_runs(
     spark: SparkSession, runs: str, files: Mapping[str, str] = FILES
 ) -> DataFrame:
