@@ -47,6 +47,10 @@ BASE64 = re.compile(
 # Places that no match can cross, nor one in what escapes are replaced by: characters of no pattern, empty lines,
 # and single spaces after letters that end no escape.
 LAST_CUT = re.compile(r"""(?s).*(?:[^A-Za-z0-9+/_.=%\\"':\s-]|\n\r?\n|[g-zG-Z]\x20(?=[A-Za-z]))""")
+GOES_ON = re.compile(f"(?:{_SET}|\r?\n[ \t]*(?={_SET}))*")
+BLANKS = re.compile(" {512,}")
+OVERLAP = 512
+LONG = 1 << 21
 CHUNK = 1 << 18
 PORTION = 1 << 20
 
@@ -199,33 +203,101 @@ def _unfolded(source: Source, seen: frozenset[bytes] = frozenset()) -> Iterator[
     if size and digest.digest() not in seen:
         yield from _texts(lambda: iter(Inflated(source)), seen | {digest.digest()})
     if not inflated.whole:
-        yield from _portions(source())
+        yield from _portions(source, seen)
 
 
 def _texts(source: Source, seen: frozenset[bytes] = frozenset()) -> Iterator[str]:
-    return _unfolded(source, seen) if _packed(_head(source)) else _portions(source())
+    return _unfolded(source, seen) if _packed(_head(source)) else _portions(source, seen)
 
 
-def _portions(parts: Iterable[bytes]) -> Iterator[str]:
-    """Decoded text in portions that end where no match, escape or run can go on."""
+def _portions(source: Source, seen: frozenset[bytes] = frozenset()) -> Iterator[str]:
+    """Decoded text in portions that end where no match, escape or run can go on.
+
+    Where there is no such place for ``LONG`` characters, a portion ends anywhere and the next one repeats its last
+    ``OVERLAP`` characters, in step with base64: any part of a match that is long enough is a match as well, and all
+    matches of a layer stand for the same place in the text. Compressed data that goes on beyond the
+    portion it begins in is unpacked from there by another pass over the source.
+    """
     decoder = codecs.getincrementaldecoder("utf-8")("replace")
-    held, size, least = [], 0, PORTION
-    for part in parts:
+    held, size, least, read, fresh = [], 0, PORTION, 0, 0
+    for part in source():
         held.append(decoder.decode(part))
         size += len(held[-1])
-        if size >= least:
-            text = "".join(held)
-            cut = LAST_CUT.match(text)
-            at = cut.end() if cut else 0
-            if at:
-                yield text[:at]
-            held, size = [text[at:]], len(text) - at
-            least = max(PORTION, 2 * size)
+        read += len(held[-1])
+        if size < least:
+            continue
+        text = "".join(held)
+        cut = LAST_CUT.match(text)
+        at = cut.end() if cut else 0
+        if at:
+            yield text[:at]
+            fresh = 0
+        elif size >= LONG:
+            text = BLANKS.sub(" " * OVERLAP, text)  # blanks alone would fill portions
+            if len(text) >= PORTION:
+                yield text
+                at, begins = _step(text, fresh)
+                for start in begins:
+                    yield from _texts(_run_from(source, read - len(text) + start), seen)
+                fresh = len(text) - at
+        held, size = [text[at:]], len(text) - at
+        least = max(PORTION, min(2 * size, LONG))
     held.append(decoder.decode(b"", True))
     if text := "".join(held):
         yield text
 
 
+def _step(text: str, fresh: int) -> tuple[int, list[int]]:
+    """Where the next portion starts, and the places where compressed data begins that goes on.
+
+    Lines that begin within the first ``fresh`` characters were in the portion before as well.
+    """
+    at, begins = len(text) - OVERLAP, []
+    run = None
+    for run in BASE64.finditer(text):
+        pass
+    if run is None or run.end() < len(text):
+        return at, begins
+    lines = list(LINE.finditer(text, run.start(), run.end()))
+    for line in lines:
+        if line.start() >= fresh and _packed(_decode(text[line.start() : line.start() + 4])):
+            begins.append(line.start())
+    before = sum(max(0, min(line.end(), at) - line.start()) for line in lines)
+    while at > run.start() and before % 4:
+        at -= 1
+        before -= text[at] not in "\r\n \t"
+    return at, begins
+
+
+def _run_from(source: Source, start: int) -> Source:
+    """Source of the data of the base64 run that goes on from a place of the text, over line breaks, to its end."""
+
+    def chunks() -> Iterator[bytes]:
+        decoder = codecs.getincrementaldecoder("utf-8")("replace")
+        skip, held, run = start, "", ""
+        for part in source():
+            held += decoder.decode(part)
+            if skip:
+                gone = min(skip, len(held))
+                held, skip = held[gone:], skip - gone
+                if skip:
+                    continue
+            match = GOES_ON.match(held)
+            run += "".join(LINE.findall(match[0]))
+            rest = held[match.end() :]
+            whole = len(run) // 4 * 4
+            if whole:
+                yield _decode(run[:whole])
+                run = run[whole:]
+            if rest.strip("\r\n \t") or len(rest) > OVERLAP:  # more than an open line break: the run has ended
+                break
+            held = rest
+        if run:
+            yield _decode(run)
+
+    return chunks
+
+
 def _decode(run: str) -> bytes:
     """Data of base64 characters; a last character that completes no byte is left out."""
     body = run.replace("-", "+").replace("_", "/")
