@@ -374,6 +374,23 @@ def lean(function: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Itera
 _CACHES: list[dict] = []
 
 
+class Remembered(dict):
+    """Results by word. Those of the generation before are kept too, so frequent ones are not worked out again."""
+
+    def __init__(self, most: int) -> None:
+        super().__init__()
+        self.most, self.before = most, {}
+
+    def age(self) -> None:
+        if len(self) > self.most:
+            self.before = dict(self)
+            super().clear()
+
+    def clear(self) -> None:
+        super().clear()
+        self.before = {}
+
+
 def per_task(cache: dict) -> dict:
     """Names a cache of a module to be emptied at the end of each task."""
     _CACHES.append(cache)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rackmeter.llm.common import lean, on_workers, per_task, text_column
+from rackmeter.llm.common import Remembered, lean, on_workers, per_task, text_column
 
 SPACE = "▁"
 CACHED_WORDS = 100_000
@@ -181,10 +181,8 @@ class PieceEncoder:
 
     def encode(self, text: str) -> str:
         """The ids of a text, in decimal and joined by commas."""
-        if len(self.words) > CACHED_WORDS:
-            self.words.clear()
-        if len(self.stems) > CACHED_WORDS:
-            self.stems.clear()
+        self.words.age()
+        self.stems.age()
         if len(self.pairs) > CACHED_PAIRS:
             self.pairs.clear()
         return ",".join(map(self.words.__getitem__, split_words(text))) if text else ""
@@ -202,28 +200,34 @@ class _Pairs(dict):
         return found
 
 
-class _Stems(dict):
+class _Stems(Remembered):
     """Ids of words, or of parts of them, as text."""
 
     def __init__(self, encoder: PieceEncoder):
-        super().__init__()
+        super().__init__(CACHED_WORDS)
         self.encoder = encoder
 
     def __missing__(self, word: str) -> str:
-        found = ",".join(map(str, self.encoder.encode_word(word)))
+        found = self.before.get(word)
+        if found is None:
+            found = ",".join(map(str, self.encoder.encode_word(word)))
         if len(word) <= CACHED_LENGTH:
             self[word] = found
         return found
 
 
-class _Words(dict):
+class _Words(Remembered):
     """Ids of words as text; marks at the end of a word, which no piece joins with letters, are encoded apart."""
 
     def __init__(self, encoder: PieceEncoder, stems: _Stems):
-        super().__init__()
+        super().__init__(CACHED_WORDS)
         self.marks, self.stems = encoder.marks, stems
 
     def __missing__(self, word: str) -> str:
+        found = self.before.get(word)
+        if found is not None:
+            self[word] = found
+            return found
         stem = word.rstrip(self.marks)
         if stem == word or not stem[-1:].isalpha():
             found = self.stems[word]

@@ -31,39 +31,43 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rackmeter.llm.common import file_system, lean, mix64, on_workers, text_column
+from rackmeter.llm.common import Remembered, file_system, lean, mix64, on_workers, text_column
 
 MAGIC = b"IDSHARD1"
 FOOTER = "<8sBxxxxxxxQQ"
 SHARD_TOKENS = 4 << 20
 BUCKET_KEYS = 16_384
-CACHED_WORDS = 600_000
+CACHED_WORDS = 120_000
 ROWS = 256
 
 
-class _Pieces(dict):
+class _Pieces(Remembered):
     """Ids of pre-tokens in lower case, from the library's model as they are first needed."""
 
     def __init__(self, model, code: str):
-        super().__init__()
+        super().__init__(CACHED_WORDS)
         self.model, self.code = model, code
 
     def __missing__(self, piece: str) -> bytes:
+        if (found := self.before.get(piece)) is not None:
+            self[piece] = found
+            return found
         mapped = piece if piece.isascii() else "".join([BYTE_CHARACTERS[b] for b in piece.encode()])
         found = self[piece] = array(self.code, [t.id for t in self.model.tokenize(mapped)]).tobytes()
         return found
 
 
-class _Words(dict):
+class _Words(Remembered):
     """Ids of words. Latin words are cut into pre-tokens here; all others go through the whole tokenizer."""
 
     def __init__(self, tokenizer, pieces: _Pieces):
-        super().__init__()
+        super().__init__(CACHED_WORDS)
         self.tokenizer, self.pieces = tokenizer, pieces
-        self[""] = b""
 
     def __missing__(self, word: str) -> bytes:
-        if LATIN_WORD.fullmatch(word) and "<|" not in word:
+        if (found := self.before.get(word)) is not None:
+            pass
+        elif LATIN_WORD.fullmatch(word) and "<|" not in word:
             found = b"".join(map(self.pieces.__getitem__, PRE_TOKEN.findall(word.lower())))
         else:
             found = array(self.pieces.code, self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
@@ -97,11 +101,8 @@ class WordEncoder:
         self.words = _Words(tokenizer, self.pieces)
 
     def encode(self, text: str) -> bytes:
-        if len(self.words) > CACHED_WORDS:
-            self.words.clear()
-            self.words[""] = b""
-        if len(self.pieces) > CACHED_WORDS:
-            self.pieces.clear()
+        self.words.age()
+        self.pieces.age()
         return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
 
 
