@@ -37,7 +37,7 @@ MAGIC = b"IDSHARD1"
 FOOTER = "<8sBxxxxxxxQQ"
 SHARD_TOKENS = 4 << 20
 BUCKET_KEYS = 16_384
-CACHED_WORDS = 120_000
+CACHED_WORDS = 250_000
 ROWS = 256
 
 
