@@ -4,7 +4,8 @@ Every window of ``length`` bytes that starts in two places is removed wherever i
 content: the least hash of the runs of ``anchor`` bytes in a window is its anchor, so equal windows share it, and
 neighbouring windows of a text mostly do. A *run* of windows with one anchor is at most twice as long as a window.
 Runs whose anchor is alone in the corpus hold no repeat. If all runs of an anchor are alike, all of their windows
-repeat. The different runs of the other anchors are collections of short texts, sorted as such:
+repeat. The different runs of the other anchors are collections of short texts. What of them cannot hold a window of
+another run, by the bytes next to the anchor, is left out; the rest is sorted:
 
 Their collection Burrows-Wheeler transform is built column by column from the right. Each round extends the last
 suffix of every text by one symbol; the place of the extended suffix follows from the symbols before it in the
@@ -31,8 +32,12 @@ from rackmeter.llm.common import gram_hashes, lean, on_workers, span_hashes, sto
 
 LENGTH = 200
 ANCHOR = 64
-BLOCK_RUNS = 300
+BLOCK_RUNS = 800
 HOT_RUNS = 4096
+#: Windows are told apart by how many bytes stand before the anchor, in bins of so many.
+BIN = 8
+#: Anchors with over 1 / SHARES of all rows of shared anchors are dealt to several tasks; there are fewer than SHARES.
+SHARES = 1000
 SIZE_BITS, MARK_BITS = 10, 22
 #: Hashes are compared without as many low bits, which leaves room for the place (texts of 64 MB).
 PLACE_BITS = 26
@@ -69,11 +74,36 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int, anchor: int) -> tup
     return doc[first], at[first], at[last] + length, hashes[place[first]]
 
 
-def anchor_offset(raw: np.ndarray, length: int, anchor: int) -> int:
-    """Place of the anchor in a run."""
-    hashes = gram_hashes(raw[:length], anchor)
+def anchor_offsets(raws: list[bytes], length: int, anchor: int) -> np.ndarray:
+    """Place of the anchor in each run."""
+    hashes = gram_hashes(np.frombuffer(b"".join(raws), dtype=np.uint8), anchor)
+    first = np.cumsum([0, *map(len, raws[:-1])])
     bits = np.uint64(PLACE_BITS)
-    return int(np.argmin(hashes >> bits << bits))
+    return np.argmin((hashes >> bits << bits)[first[:, None] + np.arange(length - anchor + 1)], axis=1)
+
+
+def shared_bins(raws: list[bytes], groups: list[int], at: list[int], length: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest number of bytes that a window of each run may have before the anchor, if it is in another run.
+
+    All windows of a bin hold the bytes that are common to the bin, so where no other run of the group has these
+    bytes at its anchor, none of the windows occurs again. Runs without such a bin get a greatest number of -1.
+    """
+    spare = length - anchor
+    low = np.full(len(raws), spare + 1)
+    high = np.full(len(raws), -1)
+    for least in range(0, spare + 1, BIN):
+        most = min(least + BIN - 1, spare)
+        behind = anchor + spare - most
+        seen: dict[tuple[int, bytes], int] = {}
+        for k, (raw, group, place) in enumerate(zip(raws, groups, at)):
+            if place < least or len(raw) < place + behind:
+                continue
+            other = seen.setdefault((group, raw[place - least : place + behind]), k)
+            if other != k:
+                for one in (other, k):
+                    low[one] = min(low[one], least)
+                    high[one] = most
+    return low, high
 
 
 def collection_repeats(texts: list[np.ndarray], window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -87,60 +117,69 @@ def collection_repeats(texts: list[np.ndarray], window: int) -> tuple[np.ndarray
     flat = np.concatenate([np.zeros(1, np.uint16), *texts])  # place 0 stands for the symbol before a whole text
     ends = np.cumsum(size) + 1
     symbol = flat[np.where(size > 0, ends - 1, 0)]
-    owner = np.arange(m, dtype=np.int32)
-    depth = np.zeros(m, dtype=np.int32)
-    common = np.zeros(m, dtype=np.int32)
+    name = np.arange(m, dtype=np.int32) << SIZE_BITS  # text and length of each suffix
+    common = np.zeros(m + 1, dtype=np.int16)  # and a last one for the end
     last = np.arange(m)  # row of each text's longest suffix so far
     for j in range(1, int(size.max(initial=0)) + 1):
-        growing = np.flatnonzero(size >= j)
-        order = np.argsort(symbol, kind="stable")
-        order = order[np.searchsorted(symbol[order], 1) :]
-        fresh = np.zeros(len(symbol), dtype=bool)
-        fresh[last[growing]] = True
-        fresh = fresh[order]
-        inserted = owner[order[fresh]]
+        order = np.argsort(symbol, kind="stable")[np.count_nonzero(symbol == 0) :]
+        longest = np.zeros(len(symbol), dtype=bool)
+        longest[last[size >= j]] = True
+        fresh = np.flatnonzero(longest[order])
+        inserted = name[order[fresh]] >> SIZE_BITS
         # common prefixes at both sides of the inserted rows
-        beside = fresh | np.r_[False, fresh[:-1]]
-        beside[0] = False
-        at = np.flatnonzero(beside)
-        low, high = order[at - 1], order[at]
+        beside = np.union1d(fresh, fresh + 1)
+        beside = beside[(beside > 0) & (beside < len(order))]
+        low, high = order[beside - 1], order[beside]
         same = symbol[low] == symbol[high]
-        at, low, high = at[same], low[same], high[same]
-        back = np.argsort(-low, kind="stable")
-        between = np.zeros(len(at), dtype=np.int32)
-        if len(at):
+        between = np.zeros(len(beside), dtype=np.int16)
+        if same.any():
+            low, high = low[same], high[same]
+            back = np.argsort(-low, kind="stable")
             cuts = np.stack([low[back] + 1, high[back] + 1], axis=1).ravel()
-            between[back] = np.minimum.reduceat(np.r_[common, np.int32(0)], cuts)[::2] + 1
-        grown = np.zeros(len(order), dtype=np.int32)
-        grown[~fresh] = common[m:]
-        grown[beside] = 0
-        grown[at] = between
-        new_symbol = np.empty(len(order), dtype=symbol.dtype)
-        new_symbol[~fresh] = symbol[m:]
-        new_symbol[fresh] = flat[np.where(size[inserted] > j, ends[inserted] - j - 1, 0)]
-        new_owner = owner[order]
-        new_depth = np.empty(len(order), dtype=np.int32)
-        new_depth[~fresh] = depth[m:]
-        new_depth[fresh] = j
-        symbol = np.r_[symbol[:m], new_symbol]
-        # a row that has been extended keeps its symbol; only whole texts have none
-        owner, depth = np.r_[owner[:m], new_owner], np.r_[depth[:m], new_depth]
-        common = np.r_[common[:m], grown]
-        last[inserted] = m + np.flatnonzero(fresh)
-    again = np.maximum(common, np.r_[common[1:], np.int32(0)]) >= window
+            least = np.empty(len(low), dtype=np.int16)
+            least[back] = np.minimum.reduceat(common, cuts)[::2] + 1
+            between[same] = least
+        # the rows that were there keep their order; a row that has been extended keeps its symbol
+        rows = m + len(order)
+        there = np.ones(rows + 1, dtype=bool)
+        there[m + fresh] = False
+        grown = np.zeros(rows + 1, dtype=np.int16)
+        grown[there] = common
+        grown[m + beside] = between
+        new_name = np.empty(rows, dtype=name.dtype)
+        new_name[there[:-1]] = name
+        new_name[m + fresh] = inserted << SIZE_BITS | j
+        # only whole texts have no symbol
+        new_symbol = np.empty(rows, dtype=symbol.dtype)
+        new_symbol[there[:-1]] = symbol
+        new_symbol[m + fresh] = flat[np.where(size[inserted] > j, ends[inserted] - j - 1, 0)]
+        symbol, name, common = new_symbol, new_name, grown
+        last[inserted] = m + fresh
+    owner, depth = name >> SIZE_BITS, name & (1 << SIZE_BITS) - 1
+    again = np.maximum(common[:-1], common[1:]) >= window
     again &= depth >= window
     return owner[again], size[owner[again]] - depth[again]
 
 
 def repeated_places(raws: list[bytes], groups: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
-    """Run and start of the windows that occur in another run of the same group."""
+    """Run and start of the windows that occur in another run of the same group; runs must differ.
+
+    Only the parts of runs that may hold such a window go into the transform.
+    """
+    if not raws:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    at = anchor_offsets(raws, length, anchor)
+    low, high = shared_bins(raws, groups.tolist(), at.tolist(), length, anchor)
+    kept = np.flatnonzero(high >= 0)
+    first = np.maximum(at - high, 0)
     texts = []
-    for raw, group in zip(raws, groups.tolist()):
-        text = np.frombuffer(raw, dtype=np.uint8)
-        at = anchor_offset(text, length, anchor)
-        one = np.array([257 + group], dtype=np.uint16)
-        texts.append(np.concatenate([text[:at].astype(np.uint16) + 1, one, text[at + anchor :].astype(np.uint16) + 1]))
-    return collection_repeats(texts, length - anchor + 1)
+    for k in kept.tolist():
+        text = np.frombuffer(raws[k], dtype=np.uint8).astype(np.uint16) + np.uint16(1)
+        one = np.array([257 + groups[k]], dtype=np.uint16)
+        behind = at[k] + anchor
+        texts.append(np.concatenate([text[first[k] : at[k]], one, text[behind : behind + length - anchor - low[k]]]))
+    run, start = collection_repeats(texts, length - anchor + 1) if texts else (kept, kept)
+    return kept[run], start + first[kept[run]]
 
 
 def _run_rows(docs: DataFrame, length: int, anchor: int) -> DataFrame:
@@ -164,7 +203,7 @@ def _run_rows(docs: DataFrame, length: int, anchor: int) -> DataFrame:
 
 def _texts_with(docs: DataFrame, extra: DataFrame, name: str) -> DataFrame:
     """Every document with an array column from ``extra`` (id, name), by key; a null key meets a null key."""
-    right = extra.withColumnRenamed("id", "other")
+    right = extra.withColumnRenamed("id", "other").hint("merge")  # grows with the corpus: never broadcast
     return docs.join(right, docs["id"].eqNullSafe(right["other"]), "left").select("id", "text", name)
 
 
@@ -234,6 +273,26 @@ def _counted_repeats(raws: DataFrame, length: int) -> DataFrame:
     return every.join(again, ["anchor", "window"]).select("anchor", "content", "low", (F.col("low") + length).alias("high"))
 
 
+def _hot_anchors(several: DataFrame) -> DataFrame:
+    """Anchors with over 1 / SHARES of all rows of shared anchors (so under SHARES), and among how many salts to deal each."""
+    total = several.agg(F.sum("n")).first()[0] or 0
+    often = several.where(F.col("n") * SHARES > F.lit(total))
+    return stored(often.select("anchor", F.ceil(F.col("n") * SHARES / F.lit(total)).cast("int").alias("salts")), "hot")
+
+
+def _dealt(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """Rows with a salt, 0 unless their anchor is hot."""
+    rows = rows.join(F.broadcast(hot), "anchor", "left")
+    return rows.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("id", "place"), "salts").cast("int"), F.lit(0))).drop("salts")
+
+
+def _for_all_salts(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """Rows once for every salt of their anchor."""
+    rows = rows.join(F.broadcast(hot), "anchor", "left")
+    last = F.coalesce("salts", F.lit(1)) - 1
+    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0), last))).drop("salts")
+
+
 def remove_repeats(
     docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, anchor: int = ANCHOR,
     block_runs: int = BLOCK_RUNS, hot_runs: int = HOT_RUNS,
@@ -247,12 +306,14 @@ def remove_repeats(
     if not anchor <= length < 1 << SIZE_BITS - 1:
         raise ValueError("a window must be at least as long as an anchor and shorter than 512 bytes")
     docs = on_workers(docs).select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    found = _run_rows(docs, length, anchor)
+    found = stored(_run_rows(docs, length, anchor), "found")
     counts = found.groupBy("anchor").agg(
         F.count(F.lit(1)).alias("n"), F.min("content").alias("low"), F.max("content").alias("high")
     )
-    several = counts.where("n > 1").select("anchor", (F.col("low") == F.col("high")).alias("alike"))
-    shared = stored(found.join(several, "anchor"), "runs")
+    several = stored(counts.where("n > 1").select("anchor", "n", (F.col("low") == F.col("high")).alias("alike")), "several")
+    hot = _hot_anchors(several)
+    places = _for_all_salts(several.drop("n"), hot)
+    shared = stored(_dealt(found, hot).join(places.hint("merge"), ["anchor", "salt"]), "runs")
     # the different runs of an anchor; those that occur several times repeat as a whole
     kinds = shared.where("not alike").groupBy("anchor", "content").agg(
         F.min(F.struct("id", "place")).alias("first"), F.count(F.lit(1)).alias("n")
@@ -271,8 +332,9 @@ def remove_repeats(
     twice = kinds.where("n > 1").select("anchor", "content", F.lit(0).cast("long").alias("low"), F.lit(None).cast("long").alias("high"))
     start = F.col("place") - F.col("place").bitwiseAND((1 << SIZE_BITS) - 1)
     part = start + F.shiftleft("low", SIZE_BITS) + F.col("high") - F.col("low")
-    parts = shared.where("not alike").select("anchor", "content", "id", "place").join(
-        stretches.unionAll(twice), ["anchor", "content"]
+    stretches = _for_all_salts(stretches.unionAll(twice), hot)
+    parts = shared.where("not alike").select("anchor", "salt", "content", "id", "place").join(
+        stretches.hint("merge"), ["anchor", "salt", "content"]
     ).select("id", F.coalesce(part, "place").alias("place"))
     spans = whole.unionAll(parts).groupBy("id").agg(F.collect_list("place").alias("spans"))
 

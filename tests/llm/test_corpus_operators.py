@@ -227,6 +227,26 @@ def test_repeats_long_and_empty(spark, odd, none):
     assert repeats.remove_repeats(none).collect() == []
 
 
+def test_repeats_within_groups():
+    rng = random.Random(8)
+    length, anchor = 30, 6
+    for _ in range(20):
+        text = "".join(rng.choices("ab", k=40))
+        texts = ["".join(rng.choices("ab", k=rng.randint(0, 20))) + text[rng.randint(0, 6) :][: rng.randint(25, 34)] for _ in range(9)]
+        raw = "".join(texts).encode()
+        offsets = np.cumsum([0, *map(len, texts)])
+        _, first, end, hashes = repeats.runs(np.frombuffer(raw, dtype=np.uint8), offsets, length, anchor)
+        kinds = sorted({(h, raw[a:b]) for h, a, b in zip(hashes.tolist(), first.tolist(), end.tolist())})
+        groups = np.unique(np.array([h for h, _ in kinds]), return_inverse=True)[1]
+        every = [(g, r[i : i + length]) for g, (_, r) in zip(groups, kinds) for i in range(len(r) - length + 1)]
+        expected = [
+            (k, i) for k, (g, (_, r)) in enumerate(zip(groups, kinds)) for i in range(len(r) - length + 1)
+            if every.count((g, r[i : i + length])) > 1
+        ]
+        run, start = repeats.repeated_places([r for _, r in kinds], groups, length, anchor)
+        assert sorted(zip(run.tolist(), start.tolist())) == expected
+
+
 def test_collection_repeats():
     rng = random.Random(6)
     for _ in range(30):
