@@ -322,11 +322,10 @@ def remove_repeats(
     crowded = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("runs")).where(F.col("runs") > hot_runs)
     crowded = stored(crowded.select("anchor"), "crowded")
     blocks = max(1, -(-kinds.count() // block_runs))
-    few = _run_bytes(docs, kinds.join(crowded, "anchor", "left_anti"))
-    stretches = _sorted_repeats(few, blocks, length, anchor)
+    raws = stored(_run_bytes(docs, kinds), "raws")
+    stretches = _sorted_repeats(raws.join(crowded, "anchor", "left_anti"), blocks, length, anchor)
     if not crowded.isEmpty():
-        many = stored(_run_bytes(docs, kinds.join(crowded, "anchor", "left_semi")), "crowded-runs")
-        stretches = stretches.unionAll(_counted_repeats(many, length))
+        stretches = stretches.unionAll(_counted_repeats(raws.join(crowded, "anchor", "left_semi"), length))
     # a span is written like the place of a run
     whole = shared.where("alike").select("id", "place")
     twice = kinds.where("n > 1").select("anchor", "content", F.lit(0).cast("long").alias("low"), F.lit(None).cast("long").alias("high"))
