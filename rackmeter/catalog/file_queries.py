@@ -16,29 +16,32 @@ from rackmeter.sources import lines as ln
 from rackmeter.sources import monitor, tables
 
 ALL_METRICS = CPU_COLUMNS + YARN_COLUMNS + MEM_COLUMNS + SWAP_COLUMNS
-# 4096 samples of 32 lines go to one part file, so that no server needs a task of its own.
-PART_BITS = 17
 
 
-def _write_lines(lines: DataFrame, path: str, **options: str) -> str:
-    """Write lines below ``run=/host=/kind=`` in their order; blocks stay whole within a file."""
+def _write_lines(texts: DataFrame, path: str, **options: str) -> str:
+    """Write texts of whole lines below ``run=/host=/kind=``, in their order within a file.
+
+    A server has one file of a kind, or a few if it holds far more than others do; a text stays whole.
+    """
     keys = ["run", "host", "kind"]
-    part = F.shiftright(F.col("pos"), PART_BITS)
-    ordered = lines.repartition(*keys, part).sortWithinPartitions(*keys, "pos").select(*keys, "line")
+    ordered = texts.sortWithinPartitions(*keys, "pos").select(*keys, "line")
     ordered.write.mode("append").partitionBy(*keys).options(**options).text(path)
     return path
 
 
 def _texts(df: DataFrame, kind: str, key: str, texts) -> DataFrame:
-    """Lines of one kind of input per row of ``df``, with run, host and kind."""
-    host = F.concat(F.lit("tdw-"), F.translate("ip", ".", "-"))
-    named = df.withColumn("host", host)
-    lines = b.to_lines(named, F.lit(kind), F.col(key), texts, carry=["run", "host"])
-    return lines.select("run", "host", F.lit(kind).alias("kind"), "pos", "line")
+    """The lines of one kind of input per row of ``df`` as one text, with run, host and kind; NULL lines are skipped.
+
+    Rows are dealt by server before they are rendered, so that its lines end up in few files.
+    """
+    named = df.withColumn("host", F.concat(F.lit("tdw-"), F.translate("ip", ".", "-"))).hint("rebalance", "run", "host")
+    return named.select(
+        "run", "host", F.lit(kind).alias("kind"), F.col(key).alias("pos"), F.concat_ws("\n", *texts).alias("line")
+    )
 
 
 def _dumps(spark, sf_dir) -> DataFrame:
-    """All samples as dump lines of one run."""
+    """All samples as dump texts of two runs."""
     return _texts(b.samples(spark, sf_dir, two_runs=True), "sdr_log", "event_id", b.dump_texts())
 
 

@@ -141,6 +141,10 @@ class LineReader(DataSourceReader):
         self.files = json.loads(options["files"])
         self.size, self.cost = int(options["rangebytes"]), int(options["opencost"])
 
+    def __getstate__(self) -> dict:
+        """What tasks need; the list of all files stays where partitions are planned."""
+        return {name: value for name, value in self.__dict__.items() if name != "files"}
+
     def partitions(self) -> list[Ranges]:
         """Large files in ranges, small ones together."""
         ranges = []
