@@ -17,9 +17,12 @@ from pyspark.sql import functions as F
 
 from rackmeter.functions import text as tx
 from rackmeter.schemas import LINE_SCHEMA
+from rackmeter.session import scratch_path
 from rackmeter.sources.byte_lines import lines_of
 
 CHUNK_BITS = 22
+# Lines that one task numbers; they are sorted in its memory.
+TASK_LINES = 1_000_000
 
 
 def chunk_of(pos: Column) -> Column:
@@ -103,13 +106,20 @@ def head_lines(lines: DataFrame, n: int) -> DataFrame:
 def running_total(lines: DataFrame, weight: Column, name: str, total: str) -> DataFrame:
     """Add the running sum of ``weight`` within each file and the sum over the file.
 
-    Chunks are summed one by one; the sums of the chunks before (one row per chunk) are joined in.
+    Chunks are summed one by one; the sums of the chunks before (one row per chunk) are joined in. The sums are worked
+    out now, as their line counts tell among how many tasks the chunks are dealt: a task's share does not grow.
     """
+    spark = lines.sparkSession
     keys = ["file", "split", "chunk"]
     marked = lines.withColumns({"chunk": chunk_of(F.col("pos")), "_w": weight.cast("bigint")})
     per_file = Window.partitionBy("file")
     earlier = per_file.orderBy("split", "chunk").rowsBetween(Window.unboundedPreceding, -1)
-    sums = marked.groupBy(*keys).agg(F.sum("_w").alias("_n"))
+    path = scratch_path(spark, "sums")
+    marked.groupBy(*keys).agg(F.sum("_w").alias("_n"), F.count("*").alias("_lines")).write.parquet(path)
+    sums = spark.read.schema("file STRING, split BIGINT, chunk BIGINT, _n BIGINT, _lines BIGINT").parquet(path)
+    tasks = -(-(sums.agg(F.sum("_lines")).first()[0] or 0) // TASK_LINES)
+    if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        marked, sums = marked.repartition(tasks, *keys), sums.repartition(tasks, "file")
     offsets = sums.select(
         *keys,
         F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
