@@ -16,6 +16,8 @@ from rackmeter.sources import lines as ln
 from rackmeter.sources import monitor, tables
 
 ALL_METRICS = CPU_COLUMNS + YARN_COLUMNS + MEM_COLUMNS + SWAP_COLUMNS
+# Files and rows that one task writes.
+TASK_FILES, TASK_ROWS = 100, 200_000
 
 
 def _write_lines(texts: DataFrame, path: str, **options: str) -> str:
@@ -32,11 +34,21 @@ def _write_lines(texts: DataFrame, path: str, **options: str) -> str:
 def _texts(df: DataFrame, kind: str, key: str, texts) -> DataFrame:
     """The lines of one kind of input per row of ``df`` as one text, with run, host and kind; NULL lines are skipped.
 
-    Rows are dealt by server before they are rendered, so that its lines end up in few files.
+    Rows are dealt by server before they are rendered, so that a server has one file, or several if it has over
+    ``TASK_ROWS`` rows. The number of tasks follows the number of files and rows.
     """
-    named = df.withColumn("host", F.concat(F.lit("tdw-"), F.translate("ip", ".", "-"))).hint("rebalance", "run", "host")
-    return named.select(
-        "run", "host", F.lit(kind).alias("kind"), F.col(key).alias("pos"), F.concat_ws("\n", *texts).alias("line")
+    server = ["run", "host"]
+    named = df.withColumn("host", F.concat(F.lit("tdw-"), F.translate("ip", ".", "-")))
+    counts = named.groupBy(*server).agg(F.count("*").alias("n"))
+    found = counts.agg(F.count("*").alias("files"), F.sum("n").alias("rows"), F.max("n").alias("most")).first()
+    tasks = max(1, -(-found.files // TASK_FILES), -(-(found.rows or 0) // TASK_ROWS))
+    part = F.lit(0)
+    if (found.most or 0) > TASK_ROWS:
+        large = counts.where(F.col("n") > TASK_ROWS).select(*server, F.ceil(F.col("n") / TASK_ROWS).alias("parts"))
+        named = named.join(large, server, "left")
+        part = F.coalesce(F.pmod(F.xxhash64(key), "parts"), part)
+    return named.repartition(tasks, *server, part).select(
+        *server, F.lit(kind).alias("kind"), F.col(key).alias("pos"), F.concat_ws("\n", *texts).alias("line")
     )
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -54,12 +55,11 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str], optional: bool =
 
     With ``optional=True`` paths without files are left out.
     """
-    found = present_paths(spark, paths) if optional else paths
+    found = [(r.file, r.bytes) for r in list_files(spark, paths, optional).orderBy("file").collect()]
     if not found:
         return spark.createDataFrame([], LINE_SCHEMA)
     size = lambda name: _bytes(spark.conf.get(f"spark.sql.files.{name}"))
-    files = [(r.file, r.bytes) for r in list_files(spark, found).orderBy("file").collect()]
-    return lines_of(spark, files, size("maxPartitionBytes"), size("openCostInBytes"))
+    return lines_of(spark, found, size("maxPartitionBytes"), size("openCostInBytes"))
 
 
 def _bytes(setting: str) -> int:
@@ -76,10 +76,20 @@ def with_server(df: DataFrame) -> DataFrame:
 
 def list_files(spark: SparkSession, paths: str | Sequence[str], optional: bool = False) -> DataFrame:
     """Path and size of each file, without reading any content."""
-    found = present_paths(spark, paths) if optional else paths
-    if not found:
-        return spark.createDataFrame([], "file STRING, bytes BIGINT")
-    files = spark.read.format("binaryFile").load(found if isinstance(found, str) else list(found))
+    if not optional:
+        return _listed(spark, paths)
+    frames = []
+    for path in [paths] if isinstance(paths, str) else paths:
+        try:
+            frames.append(_listed(spark, path))
+        except AnalysisException as error:
+            if not _missing(error):
+                raise
+    return reduce(DataFrame.unionAll, frames).distinct() if frames else spark.createDataFrame([], "file STRING, bytes BIGINT")
+
+
+def _listed(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    files = spark.read.format("binaryFile").load(paths if isinstance(paths, str) else list(paths))
     return files.select(F.col("path").alias("file"), F.col("length").alias("bytes"))
 
 

@@ -37,6 +37,22 @@ def test_samples_of_a_server_share_a_file_however_far_apart_they_are(spark, tmp_
     assert ln.read_lines(spark, f"{path}/*/*/*").count() == 40 * 15
 
 
+def test_files_are_written_by_as_many_tasks_as_there_are_files_and_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(fq, "TASK_FILES", 2)
+    monkeypatch.setattr(fq, "TASK_ROWS", 30)
+    write_events(spark, tmp_path / "sf", [(k, k % 8 if k < 40 else 8) for k in range(160)])
+    dumps = fq._dumps(spark, f"{tmp_path}/sf")
+    assert dumps.rdd.getNumPartitions() == 6
+    fq._write_lines(dumps, f"{tmp_path}/logs")
+    files = {}
+    for file in (tmp_path / "logs").glob("run=*/host=tdw-*/kind=sdr_log/part-*"):
+        files.setdefault(re.search("host=([^/]+)", str(file)).group(1), []).append(file.read_text().splitlines())
+    assert len(files) == 9
+    assert all((len(parts) > 1) == (host == "tdw-10-0-0-8") for host, parts in files.items())
+    assert sum(len(lines) for parts in files.values() for lines in parts) == 160 * 15
+    assert all(lines[k].startswith("== ") for parts in files.values() for lines in parts for k in range(0, len(lines), 15))
+
+
 def test_tasks_do_not_get_the_list_of_all_files():
     options = {"files": '[["/some/file", 5, []]]', "rangebytes": "100", "opencost": "1"}
     reader = LineReader(options)
@@ -44,6 +60,19 @@ def test_tasks_do_not_get_the_list_of_all_files():
     assert [part.ranges[0][0] for part in reader.partitions()] == ["/some/file"]
 
 
+def test_optional_paths_are_listed_once(spark, tmp_path, monkeypatch):
+    (tmp_path / "log").write_text("a\nb\n")
+    loads = []
+    kind = type(spark.read)
+    real = kind.load
+    monkeypatch.setattr(kind, "load", lambda self, *a, **k: loads.append(a) or real(self, *a, **k))
+    paths = [f"{tmp_path}/log", f"{tmp_path}/none*"]
+    assert [r.file.rsplit("/", 1)[1] for r in ln.list_files(spark, paths, optional=True).collect()] == ["log"]
+    assert len(loads) == 2
+    assert ln.read_lines(spark, paths, optional=True).count() == 2
+    assert ln.read_lines(spark, paths[1], optional=True).count() == 0
+
+
 def test_lines_are_numbered_by_as_many_tasks_as_their_number_asks_for(spark, monkeypatch):
     monkeypatch.setattr(ln, "TASK_LINES", 100)
     lines = spark.range(4000).select(
