@@ -273,22 +273,22 @@ def _counted_repeats(raws: DataFrame, length: int) -> DataFrame:
     return every.join(again, ["anchor", "window"]).select("anchor", "content", "low", (F.col("low") + length).alias("high"))
 
 
-def _hot_anchors(several: DataFrame) -> DataFrame:
-    """Anchors with over 1 / SHARES of all rows of shared anchors (so under SHARES), and among how many salts to deal each."""
-    total = several.agg(F.sum("n")).first()[0] or 0
-    often = several.where(F.col("n") * SHARES > F.lit(total))
-    return stored(often.select("anchor", F.ceil(F.col("n") * SHARES / F.lit(total)).cast("int").alias("salts")), "hot")
+def _hot(counts: DataFrame, *keys: str) -> DataFrame:
+    """Keys with over 1 / SHARES of all rows counted in n (so under SHARES), and among how many salts to deal each."""
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    often = counts.where(F.col("n") * SHARES > F.lit(total))
+    return stored(often.select(*keys, F.ceil(F.col("n") * SHARES / F.lit(total)).cast("int").alias("salts")), "hot")
 
 
 def _dealt(rows: DataFrame, hot: DataFrame) -> DataFrame:
-    """Rows with a salt, 0 unless their anchor is hot."""
-    rows = rows.join(F.broadcast(hot), "anchor", "left")
+    """Rows with a salt, 0 unless their key is hot."""
+    rows = rows.join(F.broadcast(hot), hot.columns[:-1], "left")
     return rows.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("id", "place"), "salts").cast("int"), F.lit(0))).drop("salts")
 
 
 def _for_all_salts(rows: DataFrame, hot: DataFrame) -> DataFrame:
-    """Rows once for every salt of their anchor."""
-    rows = rows.join(F.broadcast(hot), "anchor", "left")
+    """Rows once for every salt of their key; with one row a key that adds at most 2 * SHARES rows."""
+    rows = rows.join(F.broadcast(hot), hot.columns[:-1], "left")
     last = F.coalesce("salts", F.lit(1)) - 1
     return rows.withColumn("salt", F.explode(F.sequence(F.lit(0), last))).drop("salts")
 
@@ -311,7 +311,7 @@ def remove_repeats(
         F.count(F.lit(1)).alias("n"), F.min("content").alias("low"), F.max("content").alias("high")
     )
     several = stored(counts.where("n > 1").select("anchor", "n", (F.col("low") == F.col("high")).alias("alike")), "several")
-    hot = _hot_anchors(several)
+    hot = _hot(several, "anchor")
     places = _for_all_salts(several.drop("n"), hot)
     shared = stored(_dealt(found, hot).join(places.hint("merge"), ["anchor", "salt"]), "runs")
     # the different runs of an anchor; those that occur several times repeat as a whole
@@ -326,16 +326,19 @@ def remove_repeats(
     stretches = _sorted_repeats(raws.join(crowded, "anchor", "left_anti"), blocks, length, anchor)
     if not crowded.isEmpty():
         stretches = stretches.unionAll(_counted_repeats(raws.join(crowded, "anchor", "left_semi"), length))
-    # a span is written like the place of a run
-    whole = shared.where("alike").select("id", "place")
+    # a span is written like the place of a run; the stretches of a content stay in one row
+    whole = shared.where("alike").select("id", F.array("place").alias("spans"))
     twice = kinds.where("n > 1").select("anchor", "content", F.lit(0).cast("long").alias("low"), F.lit(None).cast("long").alias("high"))
+    stretches = stretches.unionAll(twice).groupBy("anchor", "content").agg(
+        F.collect_list(F.struct("low", "high")).alias("stretches")
+    )
+    hot = _hot(kinds, "anchor", "content")
     start = F.col("place") - F.col("place").bitwiseAND((1 << SIZE_BITS) - 1)
-    part = start + F.shiftleft("low", SIZE_BITS) + F.col("high") - F.col("low")
-    stretches = _for_all_salts(stretches.unionAll(twice), hot)
-    parts = shared.where("not alike").select("anchor", "salt", "content", "id", "place").join(
-        stretches.hint("merge"), ["anchor", "salt", "content"]
-    ).select("id", F.coalesce(part, "place").alias("place"))
-    spans = whole.unionAll(parts).groupBy("id").agg(F.collect_list("place").alias("spans"))
+    part = lambda s: F.coalesce(start + F.shiftleft(s["low"], SIZE_BITS) + s["high"] - s["low"], "place")
+    parts = _dealt(shared.where("not alike").drop("salt"), hot).join(
+        _for_all_salts(stretches, hot).hint("merge"), ["anchor", "content", "salt"]
+    ).select("id", F.transform("stretches", part).alias("spans"))
+    spans = whole.unionAll(parts).groupBy("id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
