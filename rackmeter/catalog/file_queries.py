@@ -17,22 +17,22 @@ from rackmeter.sources import monitor, tables
 
 ALL_METRICS = CPU_COLUMNS + YARN_COLUMNS + MEM_COLUMNS + SWAP_COLUMNS
 # Files and rows that one task writes.
-TASK_FILES, TASK_ROWS = 100, 200_000
+TASK_FILES, TASK_ROWS = 100, 50_000
 
 
-def _write_lines(texts: DataFrame, path: str, **options: str) -> str:
-    """Write texts of whole lines below ``run=/host=/kind=``, in their order within a file.
+def _write_lines(lines: DataFrame, path: str, **options: str) -> str:
+    """Write lines below ``run=/host=/kind=`` by key and number, in this order within a file.
 
-    A server has one file of a kind, or a few if it holds far more than others do; a text stays whole.
+    A server has one file of a kind, or several if it has very many rows; the lines of a key stay in one file.
     """
     keys = ["run", "host", "kind"]
-    ordered = texts.sortWithinPartitions(*keys, "pos").select(*keys, "line")
+    ordered = lines.sortWithinPartitions(*keys, "pos", "n").select(*keys, "line")
     ordered.write.mode("append").partitionBy(*keys).options(**options).text(path)
     return path
 
 
 def _texts(df: DataFrame, kind: str, key: str, texts) -> DataFrame:
-    """The lines of one kind of input per row of ``df`` as one text, with run, host and kind; NULL lines are skipped.
+    """The lines of one kind of input per row of ``df`` with their number, run, host and kind; NULL lines are skipped.
 
     Rows are dealt by server before they are rendered, so that a server has one file, or several if it has over
     ``TASK_ROWS`` rows. The number of tasks follows the number of files and rows.
@@ -48,12 +48,12 @@ def _texts(df: DataFrame, kind: str, key: str, texts) -> DataFrame:
         named = named.join(large, server, "left")
         part = F.coalesce(F.pmod(F.xxhash64(key), "parts"), part)
     return named.repartition(tasks, *server, part).select(
-        *server, F.lit(kind).alias("kind"), F.col(key).alias("pos"), F.concat_ws("\n", *texts).alias("line")
-    )
+        *server, F.lit(kind).alias("kind"), F.col(key).alias("pos"), F.posexplode(F.array(*texts)).alias("n", "line")
+    ).where(F.col("line").isNotNull())
 
 
 def _dumps(spark, sf_dir) -> DataFrame:
-    """All samples as dump texts of two runs."""
+    """All samples as dump lines of two runs."""
     return _texts(b.samples(spark, sf_dir, two_runs=True), "sdr_log", "event_id", b.dump_texts())
 
 
