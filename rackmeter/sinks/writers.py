@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rackmeter.schemas import CSV_NAMES, FLEET_COLUMNS
+from rackmeter.sinks import key_files
 
 KEYS = ("run", "host")
 
@@ -19,7 +20,7 @@ def write_new_partitions(
     """Append only partitions the table does not hold yet; existing ones are left as they are.
 
     Rows are rebalanced by partition first: a partition with very many rows is split over several
-    writers, small ones share one.
+    writers, small ones share one. On a mounted file system each writer makes its files by Arrow (``key_files``).
     """
     spark = df.sparkSession
     try:
@@ -32,6 +33,8 @@ def write_new_partitions(
         value = lambda k: F.url_decode(F.regexp_replace(F.regexp_extract("path", f"/{k}=([^/]*)/", 1), r"\+", "%2B"))
         present = files.select(*[value(k).alias(k) for k in keys]).distinct()
         df = df.join(present, list(keys), "left_anti")
+    if key_files.can_write(df, path, keys, fmt):
+        return key_files.write(df, path, keys, fmt)
     out = df.hint("rebalance", *keys).write.mode("append").partitionBy(*keys).format(fmt)
     (out.option("header", True) if fmt == "csv" else out).save(path)
 
