@@ -37,11 +37,15 @@ def _csv(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """
     plain = isinstance(paths, str) and not any(c in paths for c in "*?[{")
     frames = []
-    for _, files in header_layouts(spark, paths):
+    options = {"header": True, "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True}
+    for head, files in header_layouts(spark, paths):
         folder = plain and not files[0].endswith(paths.split(":")[-1].lstrip("/"))
         reader = spark.read.option("basePath", paths) if folder else spark.read
+        if head.strip():
+            # The names are those of the first file; to find them in all files Spark would list all of them once more.
+            reader = reader.schema(spark.read.csv(files[0], **options).schema)
         # Blanks around names may differ, so the header check of the reader would refuse files of the same layout.
-        df = reader.csv(files, header=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+        df = reader.csv(files, **options)
         frames.append(df.select(
             *[F.col(f"`{c}`").cast("string").alias(c.strip()) for c in df.columns],
             F.col("_metadata.file_path").alias("file"),

@@ -93,3 +93,18 @@ def test_other_columns_and_places_are_left_to_spark(spark, tmp_path):
     assert not key_files.can_write(plain, str(tmp_path), ["run", "host"], "orc")
     writers.write_new_partitions(df, str(tmp_path / "t"))
     assert spark.read.parquet(str(tmp_path / "t")).where("size(a) = 1 and host = 'h'").count() == 3
+
+
+def test_names_of_a_layout_are_read_from_one_file(spark, tmp_path, monkeypatch):
+    """Without a given schema Spark lists all files once more to find the names."""
+    df = spark.range(50).select(F.col("id").alias("n"), F.lit("x").alias("t"), F.lit("r").alias("run"), F.col("id").cast("string").alias("host"))
+    writers.write_new_partitions(df, str(tmp_path / "t"), fmt="csv")
+    kind, calls = type(spark.read), []
+    real = kind.csv
+    monkeypatch.setattr(kind, "csv", lambda self, path, schema=None, **k: calls.append((1 if isinstance(path, str) else len(path), self)) or real(self, path, schema, **k))
+    given = []
+    real_schema = kind.schema
+    monkeypatch.setattr(kind, "schema", lambda self, s: given.append(self) or real_schema(self, s))
+    read = tables._csv(spark, f"{tmp_path}/t/*/*")
+    assert read.columns == ["n", "t", "file"] and read.where("t = 'x'").count() == 50
+    assert [n for n, reader in calls if reader not in given] == [1]
