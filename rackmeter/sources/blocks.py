@@ -100,11 +100,15 @@ def assemble(
     """
     chunk_keys = ["file", "chunk"]
     upto = (Window.unboundedPreceding, Window.currentRow)
-    in_chunk = Window.partitionBy(*chunk_keys).orderBy("pos", "kind").rowsBetween(*upto)
+    by_place = Window.partitionBy(*chunk_keys).orderBy("pos", "kind")
+    in_chunk = by_place.rowsBetween(*upto)
+    is_opener = (F.col("kind") == 0).cast("int")
     awaited = F.last(F.when(F.col("kind") == WAITING, F.col("pos")), ignorenulls=True).over(in_chunk) == F.col("pos")
     numbered = _marked(lines, header, rules, every_rule, tallies).select(
         "*",
-        F.sum((F.col("kind") == 0).cast("int")).over(in_chunk).alias("local"),
+        F.sum(is_opener).over(in_chunk).alias("local"),
+        # Counted in the same order, so that the wide rows of block parts are not sorted once more for it.
+        F.sum(is_opener).over(by_place.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("last_local"),
         F.last("opener", ignorenulls=True).over(in_chunk).alias("header"),
         *[awaited.alias("awaited")] * any(t.after is not None for t in tallies),
     )
@@ -115,7 +119,7 @@ def assemble(
         for i, name in enumerate(tally.names):
             value = F.when(hit, F.col(f"v{i}"))
             sums += [(f"{name}_sum", F.sum(value)), (f"{name}_n", F.count(value))]
-    parts = numbered.groupBy(*chunk_keys, "local", "header").agg(
+    parts = numbered.groupBy(*chunk_keys, "local", "last_local", "header").agg(
         F.max(F.when(F.col("kind") == 0, F.col("pos"))).alias("opened"),
         F.min(F.when(F.col("kind") == 0, F.col("split"))).alias("split"),
         *[
@@ -124,9 +128,7 @@ def assemble(
         ],
         *[value.alias(name) for name, value in sums],
     )
-    is_edge = (F.col("local") == 0) | (
-        F.col("local") == F.max("local").over(Window.partitionBy(*chunk_keys))
-    )
+    is_edge = (F.col("local") == 0) | (F.col("local") == F.col("last_local"))
     parts = parts.withColumn("edge", is_edge).withColumn("own_chunk", F.when(~F.col("edge"), F.col("chunk")))
     part_keys = ["file", "own_chunk"]
     whole = Window.partitionBy(*part_keys)

@@ -82,3 +82,13 @@ def test_shortest_task_looks_only_at_the_jobs_in_question(spark):
 def test_comparison_with_a_reference_reads_nothing_twice(spark, query, scans):
     plan = plan_of(entry.queries()[query](spark, DATA))
     assert plan.count("FileScan") <= scans
+
+
+def test_block_parts_are_not_sorted_once_more(spark):
+    """One sort by place before the parts are made, one before they are put together."""
+    lines = spark.range(10).select(
+        F.lit("/r/0711-24H/tdw-1-1-1-1/sdr_log").alias("file"), F.lit(0).cast("bigint").alias("split"), F.col("id").alias("pos"),
+        F.lit("== Tue Jul 11 00:00:01 CST 2017 ==").alias("line"),
+    )
+    for keep_last in (True, False):
+        assert plan_of(monitor.sample_blocks(lines, keep_last=keep_last)).count("Sort [") == 2
