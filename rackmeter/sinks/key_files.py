@@ -1,7 +1,7 @@
 """Partition folders of many small files on a file system that all tasks mount (format ``key_files``).
 
 Without native Hadoop libraries Spark's own writer starts three processes per file there, to set the rights of the folder, of
-the file and of its checksum. With a folder per server that is nearly all of the time. Here a task writes the files of its
+the file and of its checksum. With a folder per server that is most of the time of writing. Here a task writes the files of its
 rows by Arrow. They are hidden until all tasks have succeeded; the driver, which gets their names only, then makes them visible.
 """
 
