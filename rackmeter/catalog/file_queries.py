@@ -11,7 +11,7 @@ from rackmeter.operators import distribution, recalc, rollup
 from rackmeter.plans import fleet, rollups
 from rackmeter.schemas import CPU_COLUMNS, MEM_COLUMNS, SAMPLE_COLUMNS, SWAP_COLUMNS, YARN_COLUMNS
 from rackmeter.session import scratch_path
-from rackmeter.sinks import commits, writers
+from rackmeter.sinks import commits, key_files, writers
 from rackmeter.sources import lines as ln
 from rackmeter.sources import monitor, tables
 
@@ -157,7 +157,10 @@ def snk_incremental(spark, sf_dir):
     # Servers written first stay as they are; the later run only adds the others.
     writers.write_new_partitions(samples.where(F.col("host").endswith("1")), path)
     writers.write_new_partitions(samples.withColumn("ctn", F.col("ctn") + 100), path)
-    return spark.read.schema("event_id BIGINT, ctn BIGINT, run STRING, host STRING").parquet(path)
+    # Spark's own reading of folder names takes time with the square of their number, on the driver.
+    read = spark.read.schema("event_id BIGINT, ctn BIGINT").option("recursiveFileLookup", "true").parquet(path)
+    name = lambda k: F.regexp_extract("_metadata.file_path", f"/{k}=([^/]*)/", 1)
+    return read.select("event_id", "ctn", *[F.nullif(name(k), F.lit(key_files.NO_VALUE)).alias(k) for k in ("run", "host")])
 
 
 def _rollup(spark, sf_dir) -> DataFrame:

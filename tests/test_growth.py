@@ -105,3 +105,11 @@ def test_different_runs_of_a_hot_anchor_are_not_dealt_out(spark, monkeypatch):
     rows, dealt = made[-1]
     assert dealt.count() <= rows.count() + 2 * repeats.SHARES
     assert rows.groupBy("anchor", "content").count().where("count > 1").isEmpty()
+
+
+def test_folder_names_are_not_parsed_one_by_one_on_the_driver(spark, tmp_path):
+    write_events(spark, tmp_path / "sf", [(k, k % 40) for k in range(80)])
+    got = fq.snk_incremental(spark, f"{tmp_path}/sf")
+    scan = re.search(r"ReadSchema: struct<([^>]*)>", got._jdf.queryExecution().executedPlan().toString())
+    assert scan and not re.search(r"FileScan parquet \[[^\]]*(run|host)#", got._jdf.queryExecution().executedPlan().toString())
+    assert got.where("run like '010_-24H' and host rlike '^tdw-10-0-0-[0-9]+$'").select("host").distinct().count() == 40
