@@ -27,7 +27,10 @@ def _write_lines(lines: DataFrame, path: str, **options: str) -> str:
     """
     keys = ["run", "host", "kind"]
     ordered = lines.sortWithinPartitions(*keys, "pos", "n").select(*keys, "line")
-    ordered.write.mode("append").partitionBy(*keys).options(**options).text(path)
+    if key_files.local_path(lines, path) and options in ({}, {"compression": "gzip"}):
+        key_files.write_lines(ordered, path, keys, bool(options))
+    else:
+        ordered.write.mode("append").partitionBy(*keys).options(**options).text(path)
     return path
 
 

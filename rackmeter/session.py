@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import re
 import tempfile
 import uuid
 
@@ -41,3 +43,16 @@ def scratch_path(spark: SparkSession, label: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="rackmeter-")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def mounted_path(spark: SparkSession, path: str) -> str | None:
+    """The path on the mounted file system, None if it is on another one."""
+    if path.startswith("file:"):
+        return os.path.normpath("/" + path[5:].lstrip("/"))
+    default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+    return os.path.abspath(path) if re.match("[a-zA-Z][a-zA-Z0-9+.-]*:", path) is None and default.startswith("file:") else None
+
+
+def wide(spark: SparkSession) -> int:
+    """Tasks for many small items whose number is not known: some for each core."""
+    return 4 * spark.sparkContext.defaultParallelism

@@ -13,9 +13,11 @@ of members is then read by itself, at its true place in the unpacked text. A fil
 from __future__ import annotations
 
 import json
+import os
 import sys
+import uuid
 import zlib
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,11 +30,14 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from rackmeter.schemas import LINE_SCHEMA
+from rackmeter.session import wide
 
 CHUNK = 1 << 20
 FEED, RETURN = 10, 13
 MAGIC = b"\x1f\x8b\x08"
 HEADER = 10
+# Of many small files so many make a task, though Spark's setting for the cost of opening one may ask for fewer.
+FILES = 512
 # How the bytes before a range end.
 INSIDE, FRESH, AFTER_RETURN = 0, 1, 2
 
@@ -129,45 +134,70 @@ def cut_lines(
         held, at = held[int(nexts[-1]) :], at + int(nexts[-1])
 
 
+Range = tuple[str, bool, int, int, int, int]
+
+
 @dataclass
 class Ranges(InputPartition):
-    """Ranges of one task: (file, packed, first byte to read, first and last place, state before)."""
+    """Ranges of one task: (file, packed, first byte to read, first and last place, state before).
+
+    They may also stand in a list file: its path, their first byte there and their length.
+    """
 
-    ranges: list[tuple[str, bool, int, int, int, int]]
+    ranges: list[Range]
+    listed: tuple[str, int, int] | None = None
+
+    def all(self) -> Iterator[Range]:
+        yield from self.ranges
+        if self.listed:
+            path, start, length = self.listed
+            with open_file(path) as source:
+                yield from json.loads(source.read_at(length, start))
+
+
+def ranges_of(path: str, size: int, members: Sequence[Sequence[int]], most: int) -> Iterator[tuple[int, Range]]:
+    """The ranges of a file, each with the bytes it holds."""
+    if members:
+        for start, end, low, high, state in members:
+            yield end - start, (path, True, start, low, high, state)
+    elif path.endswith(".gz"):
+        yield size, (path, True, 0, 0, 1 << 62, FRESH)
+    else:
+        for low in range(0, max(size, 1), most):
+            high = min(low + most, size)
+            yield high - low, (path, False, max(low - 1, 0), low, high, INSIDE if low else FRESH)
+
+
+def together(ranges: Iterable[tuple[int, Range]], most: int, cost: int) -> Iterator[list[Range]]:
+    """Large ranges by themselves, small ones together; opening one counts as ``cost`` bytes."""
+    part, held = [], 0
+    for weight, one in ranges:
+        if part and held + weight > most:
+            yield part
+            part, held = [], 0
+        part.append(one)
+        held += weight + cost
+    if part:
+        yield part
 
 
 class LineReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.files = json.loads(options["files"])
+        self.files, self.lists = json.loads(options["files"]), json.loads(options.get("lists", "[]"))
         self.size, self.cost = int(options["rangebytes"]), int(options["opencost"])
 
     def __getstate__(self) -> dict:
         """What tasks need; the list of all files stays where partitions are planned."""
-        return {name: value for name, value in self.__dict__.items() if name != "files"}
+        return {name: value for name, value in self.__dict__.items() if name not in ("files", "lists")}
 
     def partitions(self) -> list[Ranges]:
         """Large files in ranges, small ones together."""
-        ranges = []
-        for path, size, members in self.files:
-            if members:
-                ranges += [(end - start, (path, True, start, low, high, state)) for start, end, low, high, state in members]
-            elif path.endswith(".gz"):
-                ranges.append((size, (path, True, 0, 0, 1 << 62, FRESH)))
-            else:
-                for low in range(0, max(size, 1), self.size):
-                    high = min(low + self.size, size)
-                    ranges.append((high - low, (path, False, max(low - 1, 0), low, high, INSIDE if low else FRESH)))
-        parts, held = [], self.size
-        for weight, one in ranges:
-            if held + weight > self.size:
-                parts.append(Ranges([]))
-                held = 0
-            parts[-1].ranges.append(one)
-            held += weight + self.cost
-        return parts or [Ranges([])]
+        ranges = (one for path, size, members in self.files for one in ranges_of(path, size, members, self.size))
+        parts = [Ranges(part) for part in together(ranges, self.size, self.cost)]
+        return parts + [Ranges([], tuple(one)) for one in self.lists] or [Ranges([])]
 
     def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
-        for path, packed, first, low, high, state in partition.ranges:
+        for path, packed, first, low, high, state in partition.all():
             with open_file(path) as source:
                 if packed:
                     read = _Unpacked(source, first).read
@@ -179,7 +209,7 @@ class LineReader(DataSourceReader):
                     np.cumsum(lengths, out=offsets[1:])
                     n = len(lengths)
                     lines = pa.StringArray.from_buffers(n, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data)))
-                    columns = [pa.array([path] * n, pa.string()), pa.array(np.full(n, low)), pa.array(places[:-1]), pa.array(places[1:]), lines]
+                    columns = [pa.repeat(pa.scalar(path, pa.string()), n), pa.array(np.full(n, low)), pa.array(places[:-1]), pa.array(places[1:]), lines]
                     yield pa.RecordBatch.from_arrays(columns, names=["file", "split", "pos", "next", "line"])
 
 
@@ -280,29 +310,70 @@ def member_ranges(spark: SparkSession, files: Sequence[tuple[str, int]], range_b
 
 
 def first_lines(files: DataFrame) -> DataFrame:
-    """First line (``head``) of each file (file, bytes); files without a line are left out. Reads no further."""
+    """First line (``head``) of each file (file, bytes) with its size; files without a line are left out. Reads no further."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for path in batch.column(0).to_pylist():
+            for path, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 with open_file(path) as source:
                     more = _Unpacked(source, 0).read if path.endswith(".gz") else source.read
                     for data, lengths, _ in cut_lines(more, 0, FRESH, 1):
-                        rows.append((path, data[: lengths[0]].tobytes().decode("utf-8", "replace")))
-            columns = list(zip(*rows)) or [(), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["file", "head"])
+                        rows.append((path, size, data[: lengths[0]].tobytes().decode("utf-8", "replace")))
+            columns = list(zip(*rows)) or [(), (), ()]
+            kinds = [pa.string(), pa.int64(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["file", "bytes", "head"])
 
     _by_value()
-    return files.select("file").mapInArrow(read, "file string, head string")
+    return files.select("file", "bytes").mapInArrow(read, "file string, bytes long, head string")
 
 
 def lines_of(spark: SparkSession, files: Sequence[tuple[str, int]], range_bytes: int, open_cost: int) -> DataFrame:
     """Lines of files (path, bytes) with their places."""
+    return _load(spark, _plan(spark, files, range_bytes), [], range_bytes, open_cost)
+
+
+def lines_of_many(files: DataFrame, path: str, range_bytes: int, open_cost: int) -> DataFrame:
+    """Lines of many files (file, bytes) with their places.
+
+    Tasks put the ranges together and write them to list files below ``path``; the driver gets where those of a task stand.
+    Only large gzip files, which are tasks of their own, are planned there.
+    """
+    spark = files.sparkSession
+    large = F.col("file").endswith(".gz") & (F.col("bytes") > range_bytes)
+    packed = [(r.file, r.bytes) for r in files.where(large).orderBy("file").collect()]
+    cost = min(open_cost, range_bytes // FILES)
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some = (one for b in batches for one in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        ranges = (one for file, size in some for one in ranges_of(file, size, (), range_bytes))
+        name, rows, at = f"{path}/{uuid.uuid4().hex}", [], 0
+        os.makedirs(path, exist_ok=True)
+        with open(name, "wb") as out:
+            for part in together(ranges, range_bytes, cost):
+                text = json.dumps(part).encode()
+                out.write(text)
+                rows.append((name, at, len(text)))
+                at += len(text)
+        columns = list(zip(*rows)) or [(), (), ()]
+        kinds = [pa.string(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["list", "start", "length"])
+
+    _by_value()
+    dealt = files.where(~large).select("file", "bytes").repartition(wide(spark), "file").sortWithinPartitions("file")
+    lists = dealt.mapInArrow(put, "list string, start long, length long").collect()
+    return _load(spark, _plan(spark, packed, range_bytes), [tuple(r) for r in lists], range_bytes, open_cost)
+
+
+def _plan(spark: SparkSession, files: Sequence[tuple[str, int]], range_bytes: int) -> list[list]:
+    """Path, size and members of files."""
     packed = [f for f in files if f[0].endswith(".gz") and f[1] > range_bytes]
     index = member_ranges(spark, packed, range_bytes) if packed else {}
+    return [[path, size, index.get(path, [])] for path, size in files]
+
+
+def _load(spark: SparkSession, plan: list[list], lists: list[tuple], range_bytes: int, open_cost: int) -> DataFrame:
     _by_value()
     spark.dataSource.register(LineSource)
-    plan = [[path, size, index.get(path, [])] for path, size in files]
-    options = {"files": json.dumps(plan), "rangebytes": str(range_bytes), "opencost": str(open_cost)}
+    options = {"files": json.dumps(plan), "lists": json.dumps(lists), "rangebytes": str(range_bytes), "opencost": str(open_cost)}
     return spark.read.format("byte_lines").options(**options).load()

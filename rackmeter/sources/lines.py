@@ -18,12 +18,15 @@ from pyspark.sql import functions as F
 
 from rackmeter.functions import text as tx
 from rackmeter.schemas import LINE_SCHEMA
-from rackmeter.session import scratch_path
-from rackmeter.sources.byte_lines import lines_of
+from rackmeter.session import mounted_path, scratch_path
+from rackmeter.sources.byte_lines import lines_of, lines_of_many
+from rackmeter.sources.listing import many_files
 
 CHUNK_BITS = 22
 # Lines that one task numbers; they are sorted in its memory.
 TASK_LINES = 1_000_000
+# Files that the driver lists and plans itself. More are listed and planned by tasks, where all of them mount the files.
+FEW_FILES = 1000
 
 
 def chunk_of(pos: Column) -> Column:
@@ -48,18 +51,26 @@ def present_paths(spark: SparkSession, paths: str | Sequence[str]) -> list[str]:
     return found
 
 
-def read_lines(spark: SparkSession, paths: str | Sequence[str], optional: bool = False) -> DataFrame:
+def read_lines(spark: SparkSession, paths: str | Sequence[str] | DataFrame, optional: bool = False) -> DataFrame:
     """Lines of all files below ``paths`` (globs allowed, ``.gz`` is unpacked on the way), with their places.
 
-    The files are listed now, and large ``.gz`` files are searched for members that can be read apart.
+    The files are listed now, and large ``.gz`` files are searched for members that can be read apart. Files that are
+    listed already are given as a frame (file, bytes).
 
     With ``optional=True`` paths without files are left out.
     """
-    found = [(r.file, r.bytes) for r in list_files(spark, paths, optional).orderBy("file").collect()]
-    if not found:
-        return spark.createDataFrame([], LINE_SCHEMA)
+    files = paths if isinstance(paths, DataFrame) else list_files(spark, paths, optional)
     size = lambda name: _bytes(spark.conf.get(f"spark.sql.files.{name}"))
-    return lines_of(spark, found, size("maxPartitionBytes"), size("openCostInBytes"))
+    sizes = size("maxPartitionBytes"), size("openCostInBytes")
+    if are_many(files) and (lists := mounted_path(spark, scratch_path(spark, "ranges"))):
+        return lines_of_many(files, lists, *sizes)
+    found = [(r.file, r.bytes) for r in files.orderBy("file").collect()]
+    return lines_of(spark, found, *sizes) if found else spark.createDataFrame([], LINE_SCHEMA)
+
+
+def are_many(files: DataFrame) -> bool:
+    """Whether there are more files than the driver should hold."""
+    return files.limit(FEW_FILES + 1).count() > FEW_FILES
 
 
 def _bytes(setting: str) -> int:
@@ -89,6 +100,8 @@ def list_files(spark: SparkSession, paths: str | Sequence[str], optional: bool =
 
 
 def _listed(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    if isinstance(paths, str) and (many := many_files(spark, paths, FEW_FILES)) is not None:
+        return many
     files = spark.read.format("binaryFile").load(paths if isinstance(paths, str) else list(paths))
     return files.select(F.col("path").alias("file"), F.col("length").alias("bytes"))
 
