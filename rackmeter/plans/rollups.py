@@ -52,7 +52,7 @@ def update_from_runs(spark: SparkSession, runs: str, path: str, keep_last: bool
     found = ln.with_server(ln.list_files(spark, f"{runs.rstrip('/')}/*tdw*/{dump}"))
     if not commits.commits(spark, path).isEmpty():
         found = found.join(commits.read(spark, path).select("run", "ip").distinct(), ["run", "ip"], "left_anti")
-    files = sorted(r.file for r in found.select("file").collect())
-    if files:
+    files = found.select("file", "bytes")
+    if not files.isEmpty():
         samples = monitor.sample_blocks(ln.read_lines(spark, files), keep_last)
         commits.append_new(partial_sums(rollup.with_date_parts(samples)), path, ["run", "ip"])
