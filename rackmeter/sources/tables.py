@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from rackmeter.functions import text as tx
 from rackmeter.schemas import APP_COLUMNS, CSV_NAMES, SAMPLE_METRICS, TASK_SCHEMA, TRAFFIC_COLUMNS, UTIL_SCHEMA
 from rackmeter.schemas import CPU_COLUMNS
+from rackmeter.session import scratch_path, wide
+from rackmeter.sources import lines as ln
 from rackmeter.sources.byte_lines import first_lines
-from rackmeter.sources.lines import list_files, present_paths, with_server
+from rackmeter.sources.lines import are_many, list_files, present_paths, read_lines, with_server
+
+CSV = {"ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True}
+# Endings by which Spark unpacks files, other than .gz.
+OTHER_PACKED = r"\.(bz2|deflate|lz4|snappy|zst|xz|lzo)$"
+# Signs that names of files hold as %XX, the percent sign first.
+QUOTED = "%" + "".join(map(chr, range(1, 33))) + '"#<>?[\\]^`{|}\x7f'
 
 
 def trim_names(df: DataFrame) -> DataFrame:
@@ -21,10 +30,9 @@ def trim_names(df: DataFrame) -> DataFrame:
     return df.toDF(*[name.strip() for name in df.columns])
 
 
-def header_layouts(spark: SparkSession, paths: str | Sequence[str]) -> list[tuple[str, list[str]]]:
-    """The different header lines of the files, in the order of their first file, each with its files."""
-    heads = first_lines(list_files(spark, paths))
-    layouts = heads.groupBy("head").agg(F.sort_array(F.collect_list("file")).alias("files"))
+def header_layouts(files: DataFrame) -> list[tuple[str, list[str]]]:
+    """The different header lines of the files (file, bytes), in the order of their first file, each with its files."""
+    layouts = first_lines(files).groupBy("head").agg(F.sort_array(F.collect_list("file")).alias("files"))
     return sorted(((r["head"], r["files"]) for r in layouts.collect()), key=lambda layout: layout[1][0])
 
 
@@ -36,26 +44,69 @@ def _csv(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     in the order of the first file, then what later ones add. Partition folders below a single path are columns too.
     """
     plain = isinstance(paths, str) and not any(c in paths for c in "*?[{")
-    frames = []
-    options = {"header": True, "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True}
-    for head, files in header_layouts(spark, paths):
-        folder = plain and not files[0].endswith(paths.split(":")[-1].lstrip("/"))
-        reader = spark.read.option("basePath", paths) if folder else spark.read
-        if head.strip():
-            # The names are those of the first file; to find them in all files Spark would list all of them once more.
-            reader = reader.schema(spark.read.csv(files[0], **options).schema)
-        # Blanks around names may differ, so the header check of the reader would refuse files of the same layout.
-        df = reader.csv(files, **options)
-        frames.append(df.select(
-            *[F.col(f"`{c}`").cast("string").alias(c.strip()) for c in df.columns],
-            F.col("_metadata.file_path").alias("file"),
-        ))
+    files = list_files(spark, paths)
+    if not plain and are_many(files):
+        frames = _many_csv(spark, files)
+    else:
+        frames = []
+        for head, some in header_layouts(files):
+            folder = plain and not some[0].endswith(paths.split(":")[-1].lstrip("/"))
+            frames.append(_csv_files(spark, head, some, paths if folder else None))
     if not frames:
         raise ValueError(f"no file with a header line below {paths}")
     whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
     return whole.select(*[c for c in whole.columns if c != "file"], "file")
 
 
+def _csv_files(spark: SparkSession, head: str, files: list[str], base: str | None = None) -> DataFrame:
+    """The rows of files of one header line, by Spark's reader."""
+    reader = spark.read.option("basePath", base) if base else spark.read
+    if head.strip():
+        # The names are those of the first file; to find them in all files Spark would list all of them once more.
+        reader = reader.schema(spark.read.csv(files[0], **CSV, header=True).schema)
+    # Blanks around names may differ, so the header check of the reader would refuse files of the same layout.
+    return _trimmed(reader.csv(files, **CSV, header=True), F.col("_metadata.file_path"))
+
+
+def _trimmed(df: DataFrame, file: Column, names: Sequence[str] | None = None) -> DataFrame:
+    names = df.columns if names is None else names
+    return df.select(*[F.col(f"`{c}`").cast("string").alias(c.strip()) for c in names], file.alias("file"))
+
+
+def _many_csv(spark: SparkSession, files: DataFrame) -> list[DataFrame]:
+    """A frame per header line, in the order of their first file. The driver gets the names of few files only."""
+    table = scratch_path(spark, "heads")
+    first_lines(files.repartition(wide(spark), "file")).write.option("compression", "none").parquet(table)
+    heads = spark.read.schema("file string, bytes long, head string").parquet(table)
+    layouts = heads.groupBy("head").agg(F.min("file").alias("first"), F.count("*").alias("n")).collect()
+    frames = []
+    for head, first, n in sorted(layouts, key=lambda layout: layout["first"]):
+        some = heads.where(F.col("head") == head).select("file", "bytes")
+        # Files packed otherwise than by gzip have other lines than those their bytes hold; they are Spark's to read.
+        if n > ln.FEW_FILES and any(c > " " for c in head) and some.where(F.col("file").rlike(OTHER_PACKED)).isEmpty():
+            frames.append(_csv_lines(spark, first, some))
+        else:
+            frames.append(_csv_files(spark, head, sorted(r["file"] for r in some.collect())))
+    return frames
+
+
+def _csv_lines(spark: SparkSession, first: str, files: DataFrame) -> DataFrame:
+    """The rows of many files of one header line, from their lines, as Spark's reader gives them."""
+    names = spark.read.csv(first, **CSV, header=True).columns
+    schema = ", ".join(f"`{c.replace('`', '``')}` STRING" for c in names)
+    lines = read_lines(spark, files).where((F.col("pos") > 0) & F.col("line").rlike(r"[^\x00-\x20]"))
+    cells = lines.select(F.from_csv("line", schema, {k: str(v) for k, v in CSV.items()}).alias("c"), F.col("file").alias("_file"))
+    return _trimmed(cells.select("c.*", "_file"), _uri(F.col("_file")), names)
+
+
+def _uri(file: Column) -> Column:
+    """The path of a mounted file as ``_metadata.file_path`` names it."""
+    quoted = file
+    for c in QUOTED:
+        quoted = F.replace(quoted, F.lit(c), F.lit(f"%{ord(c):02X}"))
+    return F.when(file.rlike(f"[{re.escape(QUOTED)}]"), quoted).otherwise(file)
+
+
 def _bound(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
     """The named columns with their types; those that no file has are NULL."""
     return df.select(*[F.expr(f"try_cast({'`' + c + '`' if c in df.columns else 'null'} as {kind}) as `{c}`") for c, kind in kinds.items()])

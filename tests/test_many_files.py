@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from rackmeter.catalog import file_queries as fq
 from rackmeter.sinks import key_files
-from rackmeter.sources import byte_lines
+from rackmeter.sources import byte_lines, tables
 from rackmeter.sources import lines as ln
 from tests.conftest import DATA
 from tests.test_key_files import ODD
@@ -123,6 +123,31 @@ def test_an_empty_file_may_come_first(spark, tmp_path):
     assert [r.line for r in ln.read_lines(spark, f"{tmp_path}/*").collect()] == ["x"]
 
 
+def test_many_csv_files_give_the_same_rows(spark, tmp_path, monkeypatch):
+    ends = [
+        "1,2,3\n", ' 1 ,"2, ""x"" ", 3 \n', "1\n", "1,2,3,4\n", "\n  \n5,6,7", "1,2,3\r\n\r\n4,,6\r7,8,9", '"",\\",""\n', "", "ä,　,\x01\n", "a\tb,\t,c\n",
+    ]
+    for k in range(40):
+        put(tmp_path / f"r{k % 2}" / f"h ä%{k}" / "part-1.csv", ("a, b ,c\n" + ends[k % len(ends)]).encode())
+        if k < 8:
+            put(tmp_path / "r2" / f"h{k}" / "part-1.csv", ("c,a,d,d\n" + ends[k]).encode())
+            put(tmp_path / "r3" / f"h{k}" / "part-1.csv.gz", gzip.compress(("a, b ,c\n" + ends[k]).encode()))
+    for k in range(5):
+        put(tmp_path / "r4" / f"h{k}" / "bom.csv", b"\xef\xbb\xbfa,b,c\n1,\xff,3\n")
+    put(tmp_path / "r5" / "h" / "one.csv", b"b,z\n1,2\n")
+    put(tmp_path / "r5" / "blank" / "part-1.csv", b"\na,b,c\n9,9,9\n")
+    put(tmp_path / "r5" / "none" / "part-1.csv", b"")
+    want = tables._csv(spark, f"{tmp_path}/*/*")
+    names, want = want.columns, rows(want)
+    monkeypatch.setattr(ln, "FEW_FILES", 2)
+    asked = []
+    real = tables._csv_files
+    monkeypatch.setattr(tables, "_csv_files", lambda spark, head, files, base=None: asked.append(len(files)) or real(spark, head, files, base))
+    got = tables._csv(spark, f"{tmp_path}/*/*")
+    assert got.columns == names and rows(got) == want
+    assert sorted(asked) == [1, 1]
+
+
 @pytest.mark.parametrize("packed", [False, True])
 def test_text_files_are_those_of_sparks_writer(spark, tmp_path, packed):
     lines = spark.range(400).select(
@@ -152,7 +177,9 @@ def test_names_of_written_files_are_sent_packed():
     assert key_files.Written.of([]).names() == []
 
 
-@pytest.mark.parametrize("name", ["src_gzip", "src_sample_blocks_files", "rep_fleet_files", "rep_fleet_older_files"])
+@pytest.mark.parametrize("name", [
+    "src_gzip", "src_sample_blocks_files", "rep_fleet_files", "rep_rollup_runs", "rep_fleet_older_files", "src_sample_table",
+])
 def test_queries_give_the_same_by_tasks(spark, monkeypatch, spark_lists, name):
     query = entry.queries()[name]
     want = rows(query(spark, DATA))
