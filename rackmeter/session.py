@@ -53,6 +53,14 @@ def mounted_path(spark: SparkSession, path: str) -> str | None:
     return os.path.abspath(path) if re.match("[a-zA-Z][a-zA-Z0-9+.-]*:", path) is None and default.startswith("file:") else None
 
 
+def mounted_scratch(spark: SparkSession, label: str) -> str | None:
+    """A fresh scratch path that tasks can mount, None if there is no such folder."""
+    try:
+        return mounted_path(spark, scratch_path(spark, label))
+    except ValueError:
+        return None
+
+
 def wide(spark: SparkSession) -> int:
     """Tasks for many small items whose number is not known: some for each core."""
     return 4 * spark.sparkContext.defaultParallelism

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from rackmeter.functions import text as tx
 from rackmeter.schemas import LINE_SCHEMA
-from rackmeter.session import mounted_path, scratch_path
+from rackmeter.session import mounted_scratch, scratch_path
 from rackmeter.sources.byte_lines import lines_of, lines_of_many
 from rackmeter.sources.listing import many_files
 
@@ -62,10 +62,12 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str] | DataFrame, opti
     files = paths if isinstance(paths, DataFrame) else list_files(spark, paths, optional)
     size = lambda name: _bytes(spark.conf.get(f"spark.sql.files.{name}"))
     sizes = size("maxPartitionBytes"), size("openCostInBytes")
-    if are_many(files) and (lists := mounted_path(spark, scratch_path(spark, "ranges"))):
-        return lines_of_many(files, lists, *sizes)
-    found = [(r.file, r.bytes) for r in files.orderBy("file").collect()]
-    return lines_of(spark, found, *sizes) if found else spark.createDataFrame([], LINE_SCHEMA)
+    found = files.limit(FEW_FILES + 1).collect()
+    if len(found) > FEW_FILES:
+        if lists := mounted_scratch(spark, "ranges"):
+            return lines_of_many(files, lists, *sizes)
+        found = files.collect()
+    return lines_of(spark, sorted((r["file"], r["bytes"]) for r in found), *sizes) if found else spark.createDataFrame([], LINE_SCHEMA)
 
 
 def are_many(files: DataFrame) -> bool:

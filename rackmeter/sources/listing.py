@@ -18,7 +18,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rackmeter.session import mounted_path, scratch_path, wide
+from rackmeter.session import mounted_path, mounted_scratch, wide
 
 SCHEMA = "file string, bytes long"
 BATCH = 10_000
@@ -101,6 +101,8 @@ def many_files(spark: SparkSession, path: str, few: int) -> DataFrame | None:
     local = mounted_path(spark, path)
     if local is None or re.search(r"[][{}\\]", local) or (begun := _begin(local, few)) is None:
         return None
+    if (table := mounted_scratch(spark, "files")) is None:
+        return None
     folders, parts = begun
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -117,9 +119,8 @@ def many_files(spark: SparkSession, path: str, few: int) -> DataFrame | None:
     paths = spark.createDataFrame([(f,) for f in folders], "path string").repartition(min(len(folders), tasks))
     if parts:
         paths = paths.mapInArrow(opened, "path string").repartition(tasks)
-    table = scratch_path(spark, "files")
     # Not packed, so that the optimizer knows the size of the paths.
-    paths.mapInArrow(listed, SCHEMA).write.option("compression", "none").parquet(table)
-    files = spark.read.schema(SCHEMA).parquet(table)
+    paths.mapInArrow(listed, SCHEMA).write.option("compression", "none").parquet(f"file:{table}")
+    files = spark.read.schema(SCHEMA).parquet(f"file:{table}")
     n, least = files.agg(F.count("*"), F.min("bytes")).first()
     return files if n and least != NESTED else None

@@ -13,7 +13,7 @@ from pyspark.sql.types import StructType
 from rackmeter.functions import text as tx
 from rackmeter.schemas import APP_COLUMNS, CSV_NAMES, SAMPLE_METRICS, TASK_SCHEMA, TRAFFIC_COLUMNS, UTIL_SCHEMA
 from rackmeter.schemas import CPU_COLUMNS
-from rackmeter.session import scratch_path, wide
+from rackmeter.session import mounted_scratch, wide
 from rackmeter.sources import lines as ln
 from rackmeter.sources.byte_lines import first_lines
 from rackmeter.sources.lines import are_many, list_files, present_paths, read_lines, with_server
@@ -45,8 +45,8 @@ def _csv(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """
     plain = isinstance(paths, str) and not any(c in paths for c in "*?[{")
     files = list_files(spark, paths)
-    if not plain and are_many(files):
-        frames = _many_csv(spark, files)
+    if not plain and are_many(files) and (table := mounted_scratch(spark, "heads")):
+        frames = _many_csv(spark, files, f"file:{table}")
     else:
         frames = []
         for head, some in header_layouts(files):
@@ -73,9 +73,8 @@ def _trimmed(df: DataFrame, file: Column, names: Sequence[str] | None = None) ->
     return df.select(*[F.col(f"`{c}`").cast("string").alias(c.strip()) for c in names], file.alias("file"))
 
 
-def _many_csv(spark: SparkSession, files: DataFrame) -> list[DataFrame]:
+def _many_csv(spark: SparkSession, files: DataFrame, table: str) -> list[DataFrame]:
     """A frame per header line, in the order of their first file. The driver gets the names of few files only."""
-    table = scratch_path(spark, "heads")
     first_lines(files.repartition(wide(spark), "file")).write.option("compression", "none").parquet(table)
     heads = spark.read.schema("file string, bytes long, head string").parquet(table)
     layouts = heads.groupBy("head").agg(F.min("file").alias("first"), F.count("*").alias("n")).collect()
